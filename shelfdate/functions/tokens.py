@@ -22,30 +22,32 @@ from ..rules.patterns import DatePattern
 from .text import ASCII_OF_OTHER_DIGITS, FIELD_MARK, MATCH_MARK, OTHER_DIGITS
 
 MATCH_TYPE = "array<struct<no:int,s:int,e:int,g:array<string>>>"
-TOKEN_TYPE = ("array<struct<s:int,e:int,no:int,g:array<string>,"
+TOKEN_TYPE = ("array<struct<s:int,e:int,no:int,tier:int,g:array<string>,"
               "r:array<struct<k:int,score:int,score_dmy:int>>>>")
 
 
-def _guard(pattern: DatePattern, upper: Column, text: Column) -> Column | None:
-    if pattern.needs == "":
-        return None
-    if pattern.needs == "month":
-        return upper.rlike("|".join((*C.MONTHS, *C.MISREAD_MONTHS)) + "|(?iU)SEP")
-    if pattern.needs == "label":
-        return upper.contains("EXP") | upper.contains("BB")
-    return text.contains(pattern.needs)
+def guards(text: str) -> dict[str, Column]:
+    """Cheap markers per row; a pattern that needs one is skipped where it is absent."""
+    month = "|".join((*C.MONTHS, *C.MISREAD_MONTHS))
+    return {
+        "has_month": F.col(text).rlike(rf"(?iU){month}"),
+        "has_comma": F.col(text).contains(","),
+        "has_month_unit": F.col(text).contains("월"),
+        "has_label": F.col(text).rlike("(?i)EXP|BB"),
+    }
+
+
+GUARD_OF = {"month": "has_month", ",": "has_comma", "월": "has_month_unit", "label": "has_label"}
 
 
 def marked_texts(text: Column, patterns, first: int) -> list[Column]:
     """struct<no, marked> per pattern: the text with its matches and their fields framed."""
-    upper = F.upper(text)
     rows = []
     for no, pattern in enumerate(patterns, first):
         fields = FIELD_MARK.join(f"${i + 1}" for i in range(len(pattern.kinds)))
         marked = F.regexp_replace(text, pattern.regex, f"{MATCH_MARK}$0{FIELD_MARK}{fields}{MATCH_MARK}")
-        guard = _guard(pattern, upper, text)
-        if guard is not None:
-            marked = F.when(guard, marked)
+        if pattern.needs:
+            marked = F.when(F.col(GUARD_OF[pattern.needs]), marked)
         rows.append(F.struct(F.lit(no).alias("no"), marked.alias("marked")))
     return rows
 
@@ -80,7 +82,8 @@ def trimmed(found: str, kinds: str, rules: RuleSet) -> str:
         m -> named_struct('no', m.no, 's', m.s, 'e', m.e, 'g', transform(
           if(element_at({kinds}, m.no + 1) = 'nnn' and {first} and length(m.g[2]) = 3,
              array(m.g[0], m.g[1], left(m.g[2], 2)), m.g),
-          x -> translate(x, '{OTHER_DIGITS}', '{ASCII_OF_OTHER_DIGITS}'))))"""
+          x -> if(octet_length(x) = length(x), x,
+                  translate(x, '{OTHER_DIGITS}', '{ASCII_OF_OTHER_DIGITS}')))))"""
 
 
 def _month_map() -> str:
@@ -105,15 +108,15 @@ ONED = (f"translate(x, '{C.ZERO_LETTERS}{C.ONE_LETTERS}', "
         f"'{'0' * len(C.ZERO_LETTERS)}{'1' * len(C.ONE_LETTERS)}')")
 
 
-def readings(found: str, kinds: str, orders: str, codes: str, rules: RuleSet) -> str:
-    """SQL: matches with all their distinct valid readings, ``no`` replaced by its code."""
+def readings(match: str, kinds: str, orders: str, rules: RuleSet) -> str:
+    """SQL: all distinct valid readings of one match."""
     low, high = rules.year_min, rules.year_max
 
     # the fields as numbers or months
     fields = f"""
-      transform({found}, m -> named_struct('m', m, 'kinds', element_at({kinds}, m.no + 1), 'f',
+      transform(array(element_at({kinds}, {match}.no + 1)), kinds -> named_struct('kinds', kinds, 'f',
         transform(
-          transform(m.g, (x, i) -> case substr(element_at({kinds}, m.no + 1), i + 1, 1)
+          transform({match}.g, (x, i) -> case substr(kinds, i + 1, 1)
             when 'n' then named_struct('n', {ZEROED}, 'mon', cast(null as int), 'plain', true)
             when 'd' then named_struct('n', {ONED}, 'mon', cast(null as int), 'plain', false)
             else named_struct('n', cast(null as string),
@@ -122,9 +125,9 @@ def readings(found: str, kinds: str, orders: str, codes: str, rules: RuleSet) ->
 
     # every order of the fields whose parts are all in range
     parts = f"""
-      transform({fields}, t -> named_struct('m', t.m, 'names', t.kinds rlike '[mc]', 'r',
+      transform({fields}, t -> named_struct('names', t.kinds rlike '[mc]', 'r',
         filter(transform(
-          transform(element_at({orders}, t.m.no + 1), o -> named_struct('o', o,
+          transform(element_at({orders}, {match}.no + 1), o -> named_struct('o', o,
             'y', get(t.f, instr(o, 'Y') - 1), 'm', get(t.f, instr(o, 'M') - 1), 'd', get(t.f, instr(o, 'D') - 1))),
           q -> named_struct('o', q.o, 'four', coalesce(q.y.plain and q.y.len = 4, false),
             'y', case when q.y.len = 4 and q.y.v between {low} and {high} then q.y.v
@@ -139,28 +142,38 @@ def readings(found: str, kinds: str, orders: str, codes: str, rules: RuleSet) ->
     bonus = f"if(q.four, {C.FOUR_DIGIT_YEAR_BONUS}, 0)"
     named = _score("q.o", C.ORDER_SCORE_MONTH_NAME)
     scored = f"""
-      transform({parts}, t -> named_struct('m', t.m, 'r', transform(t.r, q -> named_struct(
+      transform({parts}, t -> transform(t.r, q -> named_struct(
           'cut', coalesce(q.d > {days_in_month('q.y', 'q.m')}, false),
           'ym', coalesce(q.y, 0) * 10000 + q.m * 100, 'd', coalesce(q.d, 0),
           'score', if(t.names, {named}, {_score('q.o', C.ORDER_SCORE)}) + {bonus},
-          'score_dmy', if(t.names, {named}, {_score('q.o', C.ORDER_SCORE_DAY_FIRST)}) + {bonus}))))"""
+          'score_dmy', if(t.names, {named}, {_score('q.o', C.ORDER_SCORE_DAY_FIRST)}) + {bonus})))"""
 
     strict = f"""
-      transform({scored}, t -> named_struct('m', t.m, 'r', transform(
-        if(exists(t.r, q -> not q.cut), filter(t.r, q -> not q.cut), t.r),
-        q -> named_struct('k', q.ym + if(q.cut, 0, q.d), 'score', q.score, 'score_dmy', q.score_dmy))))"""
+      transform({scored}, r -> transform(
+        if(exists(r, q -> not q.cut), filter(r, q -> not q.cut), r),
+        q -> named_struct('k', q.ym + if(q.cut, 0, q.d), 'score', q.score, 'score_dmy', q.score_dmy)))"""
 
-    return f"""
-      transform({strict}, t -> named_struct('s', t.m.s, 'e', t.m.e,
-        'no', element_at({codes}, t.m.no + 1), 'g', t.m.g,
-        'r', filter(t.r, (q, i) -> not exists(slice(t.r, 1, i), z -> z.k = q.k))))"""
+    return f"""transform({strict},
+        r -> filter(r, (q, i) -> not exists(slice(r, 1, i), z -> z.k = q.k)))[0]"""
 
 
-def claim(found: str, taken: str | None = None) -> str:
-    """SQL: matches with a reading claim their span in order; earlier claims win."""
-    start = f"cast(array() as {TOKEN_TYPE})" if taken is None else taken
-    return f"""aggregate(filter({found}, m -> size(m.r) > 0), {start},
-      (acc, m) -> if(exists(acc, c -> m.s < c.e and c.s < m.e), acc, array_append(acc, m)))"""
+def claim(found: str, kinds: str, orders: str, codes: str, tiers: str, rules: RuleSet) -> str:
+    """SQL: matches with a reading claim their span in order; earlier claims of a tier win.
+
+    A match is only read when its span is still free, and matches of a fallback tier only when
+    no token of the main table was found.
+    """
+    return f"""
+      aggregate({found}, cast(array() as {TOKEN_TYPE}), (acc, m) ->
+        if(exists(acc, c -> (c.tier = element_at({tiers}, m.no + 1) and m.s < c.e and c.s < m.e)
+                            or (c.no < 100 and element_at({tiers}, m.no + 1) > 1)),
+           acc,
+           concat(acc, filter(
+             transform(array(m), x -> named_struct(
+               's', x.s, 'e', x.e, 'no', element_at({codes}, x.no + 1),
+               'tier', element_at({tiers}, x.no + 1), 'g', x.g,
+               'r', {readings('x', kinds, orders, rules)})),
+             x -> size(x.r) > 0))))"""
 
 
 def attempted(found: str) -> str:
@@ -174,27 +187,30 @@ def attempted(found: str) -> str:
         g -> try_cast(g[0] as int) * 100 + try_cast(g[1] as int))"""
 
 
-def with_readings(df: DataFrame, sources, rules: RuleSet, *, only: Column, out: str,
-                  attempts: str | None = None) -> DataFrame:
-    """Add every match with its readings as column ``out``.
+def with_tokens(df: DataFrame, sources, rules: RuleSet, *, only: Column, out: str, attempts: str) -> DataFrame:
+    """Add the date tokens of every tier as column ``out``.
 
-    ``sources`` lists (text column, patterns, code): the matches of a source get the codes
-    ``code``, ``code + 1``, ... in pattern order.  Rows outside ``only`` are not scanned.
-    ``attempts`` names a second column with the attempted dates of the first source.
+    ``sources`` lists (text column, patterns, code, tier): the tokens of a source carry the
+    codes ``code``, ``code + 1``, ... in pattern order, and sources of one tier share claims.
+    Rows outside ``only`` are not scanned.  ``attempts`` names a second column with the
+    attempted dates of the first source.
     """
-    flat, codes, framed = [], [], []
-    for text, patterns, code in sources:
+    flat, codes, tiers, framed = [], [], [], []
+    for text, patterns, code, tier in sources:
         framed += marked_texts(F.col(text), patterns, len(flat))
         codes += range(code, code + len(patterns))
+        tiers += [tier] * len(patterns)
         flat += patterns
     kinds = _sql_array(p.kinds for p in flat)
     orders = "array(" + ", ".join(_sql_array(p.orders()) for p in flat) + ")"
-    code_array = "array(" + ", ".join(map(str, codes)) + ")"
+    code_array, tier_array = ("array(" + ", ".join(map(str, v)) + ")" for v in (codes, tiers))
     hits = F.filter(F.array(*framed), lambda h: F.contains(h["marked"], F.lit(MATCH_MARK)))
+    df = df.withColumns(guards(sources[0][0]))
     df = df.withColumn("_hits", F.when(only, hits)).withColumn("_found", matches("_hits"))
     df = df.withColumn("_found", F.expr(trimmed("_found", kinds, rules)))
-    columns = {out: F.expr(readings("_found", kinds, orders, code_array, rules))}
-    if attempts:
-        first = f"filter(_found, m -> m.no < {len(sources[0][1])})"
-        columns[attempts] = F.expr(attempted(first))
-    return df.withColumns(columns).drop("_hits", "_found")
+    df = df.withColumn(out, F.expr(claim("_found", kinds, orders, code_array, tier_array, rules)))
+    # only a date without a day can have lost one
+    first = f"filter(_found, m -> m.no < {len(sources[0][1])})"
+    partial = f"exists({out}, t -> exists(t.r, q -> q.k >= 10000 and q.k % 100 = 0))"
+    return df.withColumn(attempts, F.expr(f"if({partial}, {attempted(first)}, null)")).drop(
+        "_hits", "_found", *guards(sources[0][0]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions.geometry import box_geometry
 from ..functions.text import MATCH_MARK
-from ..functions.tokens import claim, days_in_month, matches, with_readings
+from ..functions.tokens import days_in_month, matches, with_tokens
 from ..rules import PRODUCTION, RuleSet
 from ..rules import constants as C
 from ..rules import patterns as P
@@ -31,11 +31,6 @@ def tier_of(no: str) -> str:
             f"when {no} < {SIX_SURE} then 3 when {no} < {PADDED_SURE} then 4 else 5 end)")
 
 
-def _evidenced(column: str, evidence: str, needs_offset: int) -> str:
-    return (f"transform({column}, m -> named_struct('s', m.s, 'e', m.e, "
-            f"'no', m.no + if({evidence}, 0, {needs_offset}), 'g', m.g, 'r', m.r))")
-
-
 def _nearest_word_is_exclude() -> str:
     """SQL: among the words of both kinds in the box, the one closest to the token excludes it."""
     def closest(spans: str) -> str:
@@ -44,14 +39,17 @@ def _nearest_word_is_exclude() -> str:
     return f"{closest('exclude_spans')} <= {closest('anchor_spans')}"
 
 
-def annotate_boxes(boxes: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
-    """One row per box: geometry, word flags, format hints and date tokens of every tier."""
-    raw = F.coalesce(F.col("text"), F.lit(""))
-    df = boxes.select(
-        "image_id", "stage", "box_index", raw.alias("text"), "confidence",
+def measure(boxes: DataFrame) -> DataFrame:
+    """The slim form of a box table: polygons become centre, edges and height."""
+    return boxes.select(
+        "image_id", "stage", "box_index", F.coalesce(F.col("text"), F.lit("")).alias("text"), "confidence",
         (F.coalesce(F.size("bbox"), F.lit(0)) > 0).alias("placed"),
-        *[c.alias(n) for n, c in box_geometry(F.col("bbox")).items()],
-        TX.clean(raw).alias("t"))
+        *[c.alias(n) for n, c in box_geometry(F.col("bbox")).items()])
+
+
+def annotate(measured: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
+    """One row per box: word flags, format hints and date tokens of every tier."""
+    df = measured.withColumn("t", TX.clean(F.col("text")))
     df = df.withColumn("up", F.upper("t")).withColumn("digits", F.col("t").rlike(r"(?U)\d"))
     df = df.withColumn("repaired", F.when(F.col("digits"), TX.repair(F.col("t"))).otherwise(F.col("t")))
     df = df.withColumn("masked", TX.mask_clocks(F.col("repaired")))
@@ -67,38 +65,29 @@ def annotate_boxes(boxes: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
         yearless = F.regexp_replace(yearless, *P.YEARLESS_HOUR)
     df = df.withColumn("yearless_text", yearless)
     sources = [
-        ("masked", rules.patterns, 0),
-        ("t", P.HINTED_PATTERNS if rules.hinted_word else P.HINTED_PATTERNS[:1], HINTED),
-        ("t", P.COMPACT_PATTERNS, COMPACT),
-        ("yearless_text", P.YEARLESS_PATTERNS, YEARLESS),
-        ("t", P.SIX_DIGIT_PATTERNS if rules.six_digit else (), SIX_SURE),
-        ("t", P.PADDED_PATTERNS, PADDED_SURE),
+        ("masked", rules.patterns, 0, 1),
+        ("t", P.HINTED_PATTERNS if rules.hinted_word else P.HINTED_PATTERNS[:1], HINTED, 1),
+        ("t", P.COMPACT_PATTERNS, COMPACT, 2),
+        ("yearless_text", P.YEARLESS_PATTERNS, YEARLESS, 3),
+        ("t", P.SIX_DIGIT_PATTERNS if rules.six_digit else (), SIX_SURE, 4),
+        ("t", P.PADDED_PATTERNS, PADDED_SURE, 5),
     ]
-    df = with_readings(df, sources, rules, only=F.col("placed") & F.col("digits"),
-                       out="read", attempts="attempted")
-
-    def tier(low: int, high: int, taken: str | None = None) -> str:
-        return claim(f"filter(read, m -> m.no between {low} and {high - 1})", taken)
-
-    until = f"(anchor or substring(t, m.e + 1) rlike r'{rules.until_after}')"
-    labelled = f"substring(up, 1, m.s) rlike r'{P.LABEL_BEFORE}'"
-    df = df.withColumn("main", F.expr(f"if(size(read) > 0, {tier(0, HINTED)}, null)"))
-    df = df.withColumn("all_tokens", F.expr(f"""
-      case when size(main) > 0 then array_sort({tier(HINTED, COMPACT, 'main')})
-           when size(read) > 0 then concat(
-             {tier(HINTED, COMPACT)}, {tier(COMPACT, YEARLESS)}, {tier(YEARLESS, SIX_SURE)},
-             {_evidenced(tier(SIX_SURE, PADDED_SURE), until, SIX_NEEDS - SIX_SURE)},
-             {_evidenced(tier(PADDED_SURE, PADDED_SURE + 50), f"({until} or {labelled})", PADDED_NEEDS - PADDED_SURE)})
-      end"""))
+    df = with_tokens(df, sources, rules, only=F.col("placed") & F.col("digits"),
+                     out="all_tokens", attempts="attempted")
 
     # per token: does its own box exclude it, may a day box complete it, is it a short slash date
     both = F.col("anchor") & F.col("exclude") & (F.size("all_tokens") > 0)
     words = {"anchor_words": TX.ANCHOR_REGEX, "exclude_words": TX.EXCLUDE_REGEX}
     df = df.withColumns({n: F.when(both, framed_words(F.col("up"), r)) for n, r in words.items()})
     df = df.withColumns({"anchor_spans": matches("anchor_words"), "exclude_spans": matches("exclude_words")})
+    until = f"(anchor or substring(t, m.e + 1) rlike r'{rules.until_after}')"
+    labelled = f"substring(up, 1, m.s) rlike r'{P.LABEL_BEFORE}'"
     df = df.withColumn("tokens", F.expr(f"""
       if(coalesce(size(all_tokens), 0) <= 0, {EMPTY_TOKENS}, transform(all_tokens, m -> named_struct(
-        's', m.s, 'e', m.e, 'no', m.no,
+        's', m.s, 'e', m.e,
+        'no', case m.tier when 4 then m.no + if({until}, 0, {SIX_NEEDS - SIX_SURE})
+                          when 5 then m.no + if({until} or {labelled}, 0, {PADDED_NEEDS - PADDED_SURE})
+                          else m.no end,
         'own', exclude and (not anchor or m.no between {COMPACT} and {SIX_SURE - 1}
                             or coalesce({_nearest_word_is_exclude()}, true)),
         'year_month', m.no < {COMPACT} and size(m.g) = 2 and length(m.g[0]) = 4
@@ -115,26 +104,28 @@ def annotate_boxes(boxes: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
       zip_with(regexp_extract_all(t, r'{P.LONG_SLASH}', 1), regexp_extract_all(t, r'{P.LONG_SLASH}', 2),
         (a, b) -> named_struct('a', int(a), 'b', int(b)))""")
     years = F.expr(f"transform(regexp_extract_all(t, r'{P.LONG_SLASH}', 3), y -> int(y))")
-    df = df.withColumns({"_long": F.when(F.col("t").contains("/"), long_dates),
+    df = df.withColumns({"may_hint": F.col("up").rlike("월|MM|MONAT|MONTH"),
+                         "_long": F.when(F.col("t").contains("/"), long_dates),
                          "_years": F.when(F.col("t").contains("/"), years)})
     has_tokens = F.size("tokens") > 0
     return df.select(
         "image_id", "stage", "box_index", "text", "confidence", "placed", "cx", "cy", "x0", "x1", "h",
         "anchor", "exclude", "primary", "tokens",
         F.when(has_tokens, F.col("attempted")).alias("attempted"),
-        F.when(has_tokens, TX.words_found(F.col("up"), C.ANCHOR_WORDS)).alias("words"),
+        F.when(has_tokens & F.col("anchor"), TX.words_found(F.col("up"), C.ANCHOR_WORDS))
+         .when(has_tokens, F.lit("")).alias("words"),
         F.when(has_tokens, TX.squeezed_length(F.col("t")) <= C.SHORT_TEXT_CHARS).alias("short"),
         F.when(has_tokens, F.col("t").rlike(P.BARE_DATE)).alias("bare"),
-        TX.matches_any(F.col("t"), P.DAY_FIRST_HINTS).alias("hint_dmy"),
-        TX.matches_any(F.col("t"), P.MONTH_YEAR_HINTS).alias("hint_my"),
+        (F.col("may_hint") & TX.matches_any(F.col("t"), P.DAY_FIRST_HINTS)).alias("hint_dmy"),
+        (F.col("may_hint") & TX.matches_any(F.col("t"), P.MONTH_YEAR_HINTS)).alias("hint_my"),
         (F.col("t").rlike(P.YEAR_FIRST_SLASH) | F.expr(
             "coalesce(exists(_long, x -> x.a between 1 and 12 and x.b between 13 and 31), false)"
         )).alias("slash_veto"),
         F.expr(f"""coalesce(exists(zip_with(_long, _years, (x, y) ->
             x.a > 12 and y between {rules.year_min} and {rules.year_max}
             and x.b between 1 and 12 and x.a <= {days_in_month('y', 'x.b')}), z -> z), false)""").alias("slash_dmy"),
-        F.when(F.col("placed"), number_if(P.LONE_DAY)).alias("lone_day"),
-        F.when(F.col("placed"), _year_in(rules)).alias("lone_year"),
+        F.when(F.col("placed") & F.col("digits"), number_if(P.LONE_DAY)).alias("lone_day"),
+        F.when(F.col("placed") & F.col("digits"), _year_in(rules)).alias("lone_year"),
         (F.col("placed") & TX.is_expiry_label(F.col("t"))).alias("label"),
         F.when(F.col("t").contains("제조일"), F.expr(f"""zip_with(
             regexp_extract_all(t, r'{P.PERIOD}', 1), regexp_extract_all(t, r'{P.PERIOD}', 2),
@@ -143,8 +134,8 @@ def annotate_boxes(boxes: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
 
 
 def _year_in(rules: RuleSet):
-    year = F.regexp_extract("t", P.LONE_YEAR, 1).try_cast("int")
-    return F.when(year.between(rules.year_min, rules.year_max), year)
+    year = F.regexp_extract("t", P.LONE_YEAR, 1).cast("int")
+    return F.when(F.col("t").rlike(P.LONE_YEAR) & year.between(rules.year_min, rules.year_max), year)
 
 
 def framed_words(text, regex: str):

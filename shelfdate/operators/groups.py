@@ -55,8 +55,13 @@ class Together:
     def __init__(self, keys=KEYS):
         self.window = Window.partitionBy(*keys)
 
+    def place(self, boxes: DataFrame) -> DataFrame:
+        # the only exchange: every window below and the cascade's grouping by image reuse it,
+        # and it spreads the text work evenly however the input files are split
+        return boxes.repartition("image_id")
+
     def prepare(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition("image_id")
+        return rows
 
     def facts(self, rows: DataFrame) -> DataFrame:
         points = {
@@ -111,9 +116,11 @@ class Together:
 class Spread:
     """Facts by aggregate and join, for groups too large to hold together."""
 
-    def __init__(self, spark, keys=KEYS):
+    def __init__(self, keys=KEYS):
         self.keys = keys
-        self.spark = spark
+
+    def place(self, boxes: DataFrame) -> DataFrame:
+        return boxes.repartition("image_id", "stage", "box_index")
 
     def prepare(self, rows: DataFrame) -> DataFrame:
         return spatial.cut(rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import add_period, exists_on_calendar, final_date, is_complete, latest_meaning, render
 from ..rules import PRODUCTION, RuleSet
 from ..rules import constants as C
-from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, YEARLESS, HINTED, annotate_boxes, tier_of
+from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, YEARLESS, HINTED, annotate, measure, tier_of
 from .groups import KEYS, MAX_GROUP_BOXES, Spread, Together, crowded_images
 
 
@@ -154,8 +154,8 @@ def _evidence(picks: DataFrame) -> DataFrame:
     )
 
 
-def _run(rows: DataFrame, groups, rules: RuleSet) -> DataFrame:
-    rows = groups.prepare(rows)
+def _run(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
+    rows = groups.prepare(annotate(groups.place(measure(boxes)), rules))
     rows = _choose_tier(groups.facts(rows), groups)
     picks = _decide(_pick(_candidates(rows, groups), groups), rules)
     return _evidence(groups.source_confidence(rows, picks))
@@ -175,12 +175,11 @@ def stage_results(boxes: DataFrame, rules: RuleSet = PRODUCTION, *,
         if crowded.isEmpty():
             crowded = False
     if crowded is False:
-        return _run(annotate_boxes(boxes, rules), Together(), rules)
+        return _run(boxes, Together(), rules)
     ids = crowded.select("image_id").distinct()
     plain = boxes.join(ids, "image_id", "left_anti")
     dense = boxes.join(ids, "image_id", "left_semi")
-    return _run(annotate_boxes(plain, rules), Together(), rules).unionByName(
-        _run(annotate_boxes(dense, rules), Spread(boxes.sparkSession), rules))
+    return _run(plain, Together(), rules).unionByName(_run(dense, Spread(), rules))
 
 
 def parse_dates(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
