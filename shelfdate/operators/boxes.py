@@ -133,6 +133,15 @@ def annotate(measured: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
     )
 
 
+def date_tokens(annotated: DataFrame, *keep: str) -> DataFrame:
+    """One row per token as struct ``t``.
+
+    The outer form matters: a plain explode makes the optimizer push a size filter below the
+    projections that compute the tokens, and so compute them twice.
+    """
+    return annotated.select(*keep, F.explode_outer("tokens").alias("t")).where("t is not null")
+
+
 def _year_in(rules: RuleSet):
     year = F.regexp_extract("t", P.LONE_YEAR, 1).cast("int")
     return F.when(F.col("t").rlike(P.LONE_YEAR) & year.between(rules.year_min, rules.year_max), year)

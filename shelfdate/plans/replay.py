@@ -28,6 +28,17 @@ def ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **
     return out
 
 
+def parser_ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **options) -> DataFrame:
+    """As :func:`ablation` for one stage per image, without the cascade."""
+    out = None
+    for name in names:
+        part = stage_results(boxes, variant(base, name), **options).select(
+            F.lit(name).alias("variant"), "image_id", "final_date", F.array("stage").alias("attempts"),
+            F.lit(None).cast("string").alias("missing_stage"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ablation_summary(results: DataFrame, truth: DataFrame, baseline: str = "baseline") -> DataFrame:
     """Per variant: correct, calls, gains and regressions against the baseline variant."""
     base = results.where(F.col("variant") == baseline).select(

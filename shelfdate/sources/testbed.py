@@ -64,3 +64,95 @@ def lineitem_boxes(spark: SparkSession, sf_dir: str, *, text: Column | None = No
 def stage_of(column: str = "l_suppkey") -> Column:
     """One of the five stages by key."""
     return F.element_at(F.array(*[F.lit(s) for s in STAGES]), (F.col(column) % 5 + 1).cast("int"))
+
+
+DATE_TEXT = "yyyy-MM-dd"
+
+
+def per_line(li_prefix: str = "") -> Column:
+    """An image id of its own for every line item."""
+    return F.concat_ws("-", image_key("l_orderkey"), F.col("l_linenumber").cast("string"),
+                       F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+
+
+def companion_boxes(spark: SparkSession, sf_dir: str, layout: list[tuple[Column, Column, Column, float, Column]]) -> DataFrame:
+    """Several boxes per line item; the layout lists (text, x, y, width, confidence)."""
+    li = table(spark, sf_dir, "lineitem").withColumn("truth", moved("l_shipdate"))
+    boxes = F.array(*[F.struct(F.lit(i).cast("bigint").alias("box_index"), t.alias("text"),
+                               c.cast("double").alias("confidence"), rectangle(x, y, w).alias("bbox"))
+                      for i, (t, x, y, w, c) in enumerate(layout)])
+    return li.select(per_line().alias("image_id"), F.lit(STAGES[0]).alias("stage"), F.inline(boxes))
+
+
+def order_boxes(spark: SparkSession, sf_dir: str, texts: list[Column], keep: Column | None = None,
+                first_index: int = 0) -> DataFrame:
+    """Stacked boxes per order; null texts give no box."""
+    orders = table(spark, sf_dir, "orders")
+    if keep is not None:
+        orders = orders.where(keep)
+    orders = orders.withColumn("truth", moved("o_orderdate"))
+    boxes = F.array(*[F.struct(F.lit(i + first_index).cast("bigint").alias("box_index"), t.alias("text"),
+                               F.lit(0.95).alias("confidence"), rectangle(F.lit(0), F.lit(40 * i)).alias("bbox"))
+                      for i, t in enumerate(texts)])
+    return orders.select(image_key("o_orderkey").alias("image_id"), F.lit(STAGES[0]).alias("stage"),
+                         F.inline(boxes)).where("text is not null")
+
+
+def stage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage results made from line items without the parser: the first line of each
+    (order, stage) becomes the outcome of that stage."""
+    li = table(spark, sf_dir, "lineitem").withColumn("d", moved("l_shipdate"))
+    has = F.col("l_quantity") > 12
+    partial = F.col("l_partkey") % 13 == 0
+    year, month = F.date_format("d", "yyyy"), F.date_format("d", "MM")
+    day = F.when(partial, "NONE").otherwise(F.date_format("d", "dd"))
+    many = F.col("l_linenumber") % 3 == 0
+    final = F.concat_ws("-", year, month, day)
+    earlier = F.date_format(F.date_sub("d", 400), DATE_TEXT)
+
+    def shown(value: Column) -> Column:
+        return F.when(has, value).otherwise("NONE")
+
+    outcome = F.struct(
+        shown(year).alias("year"), shown(month).alias("month"), shown(day).alias("day"), shown(final).alias("final_date"),
+        has.alias("has_candidate"), F.when(has, 1 - 2 * F.col("l_discount")).alias("q"),
+        F.when(has, many).alias("many"), F.when(has, F.col("l_partkey") % 7 == 0).alias("short"),
+        F.when(has, F.lit(False)).alias("bare"), F.when(has, partial & (F.col("l_partkey") % 2 == 0)).alias("damaged_day"),
+        F.when(has, F.col("l_returnflag") == "A").alias("self_anchor"),
+        F.when(has, F.col("l_returnflag") == "R").alias("self_exclude"),
+        F.when(has, F.when(many, F.array(earlier, final)).otherwise(F.array(final))).alias("candidate_dates"),
+        F.when(has, 1).otherwise(0).alias("n_candidates"), F.col("l_tax").alias("seconds"))
+    order = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    return (li.groupBy(image_key("l_orderkey").alias("image_id"), stage_of().alias("stage"))
+            .agg(F.min_by(outcome, order).alias("r")).select("image_id", "stage", "r.*"))
+
+
+def order_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth per order: the last ship date of its lines, with unknown parts for some orders."""
+    li = table(spark, sf_dir, "lineitem")
+    last = li.groupBy("l_orderkey").agg(F.max(moved("l_shipdate")).alias("d"))
+    key = F.col("l_orderkey")
+    year = F.when(key % 17 == 0, "NONE").otherwise(F.date_format("d", "yyyy"))
+    month = F.when(key % 17 == 0, "NONE").otherwise(F.date_format("d", "MM"))
+    day = F.when((key % 17 == 0) | (key % 13 == 0), "NONE").otherwise(F.date_format("d", "dd"))
+    final = F.when(key % 17 == 0, "NONE").otherwise(F.concat_ws("-", year, month, day))
+    return last.select(image_key("l_orderkey").alias("image_id"), year.alias("year"), month.alias("month"),
+                       day.alias("day"), final.alias("final_date"), (key % 3).cast("string").alias("cohort"))
+
+
+def label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two label sources over the orders; the second is edited here and there."""
+    o = table(spark, sf_dir, "orders").withColumn("d", moved("o_orderdate"))
+    key = F.col("o_orderkey")
+    y, m, d = F.date_format("d", "yyyy"), F.date_format("d", "MM"), F.date_format("d", "dd")
+    first = o.select(key.cast("string").alias("image_id"), F.lit("first").alias("source"),
+                     F.when(key % 19 == 0, "none").when(key % 23 == 0, F.substring(y, 3, 2)).otherwise(y).alias("year"),
+                     F.when(key % 29 == 0, F.date_format("d", "M")).otherwise(m).alias("month"),
+                     F.when(key % 31 == 0, "xx").when(key % 37 == 0, "45").otherwise(d).alias("day"),
+                     F.when(key % 41 == 0, "NONE").otherwise(F.concat_ws("-", y, m, d)).alias("final_date"))
+    swap = (key % 11 == 0) & (F.dayofmonth("d") <= 12)
+    second = o.where(key % 5 != 0).select(
+        F.lpad(key.cast("string"), 7, "0").alias("image_id"), F.lit("second").alias("source"), y.alias("year"),
+        F.when(swap, d).otherwise(m).alias("month"), F.when(swap, m).otherwise(d).alias("day"),
+        F.when(swap, F.concat_ws("-", y, d, m)).otherwise(F.concat_ws("-", y, m, d)).alias("final_date"))
+    return first.unionByName(second)

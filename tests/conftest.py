@@ -11,6 +11,7 @@ from shelfdate.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session("tests", master="local[8]", shuffle_partitions=4, extra={
+        "spark.driver.memory": "8g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("cut")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("wh"))})
     yield session
