@@ -1,12 +1,12 @@
-"""Ground-truth labels: normalisers and reason codes as Column expressions.
+"""Ground-truth labels: normalisers and reason codes.
 
-A normaliser returns a struct ``(year, month, day, final_date, error)``; ``error`` is null when
-the row is valid and the date fields are null when it is not.
+The steps add columns one after another instead of nesting one large expression, so that the
+optimizer sees each part once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import constants as C
@@ -57,38 +57,48 @@ def calendar_error(y: Column, m: Column, d: Column) -> Column:
             .otherwise(""))
 
 
-def canonical(year: Column, month: Column, day: Column) -> Column:
-    """Components in canonical form, without range checks on month and day."""
-    y, m, d = _component(year, 4), _component(month, 2), _component(day, 2)
-    error = (F.when(y.isNull(), "invalid_year").when(m.isNull(), "invalid_month").when(d.isNull(), "invalid_day"))
-    return F.struct(*[F.when(error.isNull(), v).alias(n) for n, v in
-                      (("year", y), ("month", m), ("day", d), ("final_date", join_date(y, m, d)))],
-                    error.alias("error"))
-
-
-def normalize_date(year: Column, month: Column, day: Column) -> Column:
-    """Canonical form that must also be a possible calendar date."""
-    c = canonical(year, month, day)
-    reason = calendar_error(c["year"], c["month"], c["day"])
-    error = F.coalesce(c["error"], F.when(reason != "", reason))
-    return F.struct(*[F.when(error.isNull(), c[n]).alias(n) for n in ("year", "month", "day", "final_date")],
-                    error.alias("error"))
-
-
-def stored_date(value: Column) -> Column:
-    """Canonical form of a stored final date, null when it is not one."""
-    parts = F.split(F.trim(value), "-")
-    c = canonical(*[F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(3)])
-    return F.when(is_none(value), F.lit(C.NONE)).when((F.size(parts) == 3) & c["error"].isNull(), c["final_date"])
-
-
-def normalize_truth(year: Column, month: Column, day: Column, final: Column) -> Column:
-    """As ``normalize_date``; the stored final date must be the one the components make."""
-    n = normalize_date(year, month, day)
-    mismatch = ~F.coalesce(stored_date(final) == n["final_date"], F.lit(False))
-    error = F.coalesce(n["error"], F.when(mismatch, "component_final_mismatch"))
-    return F.struct(*[F.when(error.isNull(), n[f]).alias(f) for f in ("year", "month", "day", "final_date")],
-                    error.alias("error"))
+PARTS = ("year", "month", "day")
+
+
+def with_canonical(df: DataFrame, columns=PARTS, prefix: str = "c") -> DataFrame:
+    """Add c_year, c_month, c_day, c_final_date (null when malformed), c_error and c_calendar.
+
+    ``c_error`` names the malformed part; ``c_calendar`` is the reason the date cannot exist,
+    empty when it can.  Month and day ranges are left to ``c_calendar``.
+    """
+    y, m, d = (F.col(f"_{prefix}{n}") for n in PARTS)
+    df = df.withColumns({f"_{prefix}{n}": _component(F.col(c), 4 if n == "year" else 2) for n, c in zip(PARTS, columns)})
+    df = df.withColumn(f"{prefix}_error", F.when(y.isNull(), "invalid_year").when(m.isNull(), "invalid_month")
+                       .when(d.isNull(), "invalid_day"))
+    ok = F.col(f"{prefix}_error").isNull()
+    return df.withColumns({
+        **{f"{prefix}_{n}": F.when(ok, F.col(f"_{prefix}{n}")) for n in PARTS},
+        f"{prefix}_final_date": F.when(ok, join_date(y, m, d)),
+        f"{prefix}_calendar": F.when(ok, calendar_error(y, m, d)),
+    }).drop(*[f"_{prefix}{n}" for n in PARTS])
+
+
+def with_stored(df: DataFrame, final: str = "final_date") -> DataFrame:
+    """Add ``stored``: the canonical form of a stored final date (null when it is not one), and
+    ``s_calendar``, the reason it cannot exist."""
+    none = is_none(F.col(final))
+    df = df.withColumn("_parts", F.when(none, F.array(*[F.lit(C.NONE)] * 3)).otherwise(F.split(F.trim(final), "-")))
+    whole = F.size("_parts") == 3
+    df = df.withColumns({f"_p_{n}": F.when(whole, F.get("_parts", F.lit(i))) for i, n in enumerate(PARTS)})
+    df = with_canonical(df, [f"_p_{n}" for n in PARTS], "s")
+    return df.withColumn("stored", F.col("s_final_date")).drop(
+        "_parts", *[f"_p_{n}" for n in PARTS], *[f"s_{n}" for n in PARTS], "s_final_date", "s_error")
+
+
+def with_truth(df: DataFrame) -> DataFrame:
+    """Add t_year ... t_final_date and t_error: a possible calendar date whose stored final date
+    is the one its components make."""
+    df = with_stored(with_canonical(df))
+    mismatch = ~F.coalesce(F.col("stored") == F.col("c_final_date"), F.lit(False))
+    df = df.withColumn("t_error", F.coalesce(
+        "c_error", F.when(F.col("c_calendar") != "", F.col("c_calendar")),
+        F.when(mismatch, "component_final_mismatch")))
+    return df.withColumns({f"t_{n}": F.when(F.col("t_error").isNull(), F.col(f"c_{n}")) for n in (*PARTS, "final_date")})
 
 
 def legacy_component(value: Column, width: int) -> Column:

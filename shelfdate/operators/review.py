@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import calendar_error, canonical, normalize_truth, numeric_key, stored_date
+from ..functions.labels import numeric_key, with_canonical, with_stored, with_truth
 from ..rules import constants as C
 
 REASONS = ("invalid_component", "all_none", "partial_none", "unusual_year", "calendar_invalid",
@@ -17,28 +17,25 @@ def audit_records(records: DataFrame) -> DataFrame:
 
     Expects image_id, source, year, month, day, final_date as text.
     """
-    df = records.withColumn("key", numeric_key(F.col("image_id"))).withColumn(
-        "c", canonical(F.col("year"), F.col("month"), F.col("day")))
-    valid = F.col("c.error").isNull()
-    y, m, d = (F.col(f"c.{n}") for n in ("year", "month", "day"))
+    df = with_stored(with_canonical(records.withColumn("key", numeric_key(F.col("image_id")))))
+    valid = F.col("c_error").isNull()
+    y, m, d = (F.col(f"c_{n}") for n in ("year", "month", "day"))
     unknown = sum((v == C.NONE).cast("int") for v in (y, m, d))
-    stored = stored_date(F.col("final_date"))
-    p = F.split(stored, "-")
-    stored_bad = F.when(stored != C.NONE, calendar_error(*[F.get(p, F.lit(i)) for i in range(3)]) != "")
+    stored_bad = F.col("s_calendar") != ""
     mi, di = m.try_cast("int"), d.try_cast("int")
     conditions = {
         "invalid_component": ~valid,
         "all_none": valid & (unknown == 3),
         "partial_none": valid & unknown.between(1, 2),
         "unusual_year": valid & ~y.try_cast("int").between(C.YEAR_MIN, C.YEAR_MAX),
-        "calendar_invalid": valid & ((calendar_error(y, m, d) != "") | F.coalesce(stored_bad, F.lit(False))),
+        "calendar_invalid": valid & ((F.col("c_calendar") != "") | F.coalesce(stored_bad, F.lit(False))),
         "ambiguous_date_order": valid & (y == C.NONE) & mi.between(1, 12) & di.between(1, 12) & (mi != di),
-        "component_final_mismatch": valid & ~F.coalesce(stored == F.col("c.final_date"), F.lit(False)),
+        "component_final_mismatch": valid & ~F.coalesce(F.col("stored") == F.col("c_final_date"), F.lit(False)),
     }
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items()]))
     changed = F.array_compact(F.array(*[
-        F.when(valid & (F.col(n) != F.col(f"c.{n}")), F.lit(n)) for n in ("year", "month", "day", "final_date")]))
-    return df.select("key", "source", "image_id", *[F.col(f"c.{n}").alias(f"canonical_{n}")
+        F.when(valid & (F.col(n) != F.col(f"c_{n}")), F.lit(n)) for n in ("year", "month", "day", "final_date")]))
+    return df.select("key", "source", "image_id", *[F.col(f"c_{n}").alias(f"canonical_{n}")
                      for n in ("year", "month", "day", "final_date")], reasons.alias("reasons"),
                      changed.alias("format_changes"))
 
@@ -106,13 +103,12 @@ def review_summary(images: DataFrame) -> DataFrame:
 
 def approved(labels: DataFrame) -> DataFrame:
     """Rows a person approved completely, with their normalised truth; others carry an error."""
-    truth = normalize_truth(*[F.col(c) for c in ("year", "month", "day", "final_date")])
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    df = labels.withColumn("key", numeric_key(F.col("image_id"))).withColumn("t", truth)
-    accepted = df.where(F.col("review_status") == "approved")
+    accepted = with_truth(labels.where(F.col("review_status") == "approved")
+                          .withColumn("key", numeric_key(F.col("image_id"))))
     error = (F.when(F.col("key").isNull(), "invalid_image_id")
              .when(~F.coalesce(F.col("master_eligible") == "true", F.lit(False))
                    | blank(F.col("reviewer")) | blank(F.col("review_note")), "incomplete_approval")
-             .otherwise(F.col("t.error")))
-    return accepted.select(F.col("key").alias("image_id"), *[F.col(f"t.{n}").alias(n) for n in
+             .otherwise(F.col("t_error")))
+    return accepted.select(F.col("key").alias("image_id"), *[F.col(f"t_{n}").alias(n) for n in
                            ("year", "month", "day", "final_date")], error.alias("error"))

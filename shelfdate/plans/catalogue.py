@@ -302,9 +302,9 @@ def error_classes(spark, sf):
 
 def method_attempt_counts(spark, sf):
     done = CA.cascade(T.stage_table(spark, sf)).where("missing_stage is null")
-    calls = E.attempt_counts(done).select(F.lit("stage").alias("kind"), F.col("stage").alias("name"), F.col("calls").alias("n"))
-    methods = done.groupBy("method").agg(F.count("*").alias("n")).select(F.lit("method").alias("kind"), F.col("method").alias("name"), "n")
-    return calls.unionByName(methods)
+    names = F.concat(F.transform("attempts", lambda a: F.struct(F.lit("stage").alias("kind"), a.alias("name"))),
+                     F.array(F.struct(F.lit("method").alias("kind"), F.col("method").alias("name"))))
+    return done.select(F.explode(names).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
 def _events(spark, sf):
@@ -379,10 +379,8 @@ def snapshot_diff(spark, sf):
 # -- labels --------------------------------------------------------------------------
 
 def truth_normalise(spark, sf):
-    rec = T.label_records(spark, sf)
-    t = L.normalize_truth(*[F.col(c) for c in ("year", "month", "day", "final_date")])
-    return rec.select("image_id", "source", t.alias("t")).select(
-        "image_id", "source", "t.year", "t.month", "t.day", "t.final_date", "t.error")
+    rec = L.with_truth(T.label_records(spark, sf))
+    return rec.select("image_id", "source", *[F.col(f"t_{n}").alias(n) for n in ("year", "month", "day", "final_date", "error")])
 
 
 def id_keys(spark, sf):

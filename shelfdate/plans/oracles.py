@@ -189,7 +189,7 @@ WORK = "p / n + 1.96 * 1.96 / (2 * n)"
 ORACLES: dict[str, str] = {
     "parse_rendered_dates": f"WITH {LI} SELECT line_img AS image_id, {ISO} AS final_date FROM li GROUP BY 1, 2",
     "token_pattern_counts": f"""WITH {LI} SELECT CASE l_partkey % 6 WHEN 2 THEN 'odd_separators_year_last' WHEN 3 THEN 'yyyymmdd'
-        WHEN 4 THEN 'day_word_year_glued' WHEN 5 THEN 'korean_year_month_day' ELSE 'separated_triple' END AS pattern,
+        WHEN 4 THEN 'day_word_year_spaced' WHEN 5 THEN 'korean_year_month_day' ELSE 'separated_triple' END AS pattern,
         count(*) AS n FROM li GROUP BY 1""",
     "select_expiry_per_image": selection(STANDARD),
     "select_latest_no_anchor": f"WITH {LI} SELECT img AS image_id, strftime(max(d), '%Y-%m-%d') AS final_date FROM li GROUP BY 1",
@@ -223,7 +223,7 @@ ORACLES: dict[str, str] = {
         FROM s JOIN g USING (img, stage) JOIN b ON b.img = s.img AND b.stage = s.stage AND b.text = s.text AND b.cx = s.cx AND b.cy = s.cy
         GROUP BY s.img, s.stage, s.d, s.l_partkey""",
     "rule_ablation": f"""WITH {LI}, v AS (SELECT unnest(['baseline', 'year_month_word+mixed_comma', 'no_six']) AS variant)
-        SELECT variant, count(*) AS n, count(*) FILTER (variant LIKE 'year%' AND l_partkey % 4 < 2) AS gains,
+        SELECT variant, count(*) AS n, count(*) FILTER (variant LIKE 'year%' AND l_partkey % 4 = 1) AS gains,
         count(*) FILTER (variant = 'no_six' AND l_partkey % 4 = 2) AS regressions FROM li, v GROUP BY 1""",
     "cascade_production": f"""WITH {ST}, {cascade_cte()} SELECT image_id, CASE WHEN missing_stage IS NULL THEN s.f END AS final_date,
         CASE WHEN missing_stage IS NULL THEN method END AS method,
