@@ -86,7 +86,7 @@ def label_csv(spark: SparkSession, path: str, required=LABEL_COLUMNS) -> DataFra
 
 def sound_labels(labels: DataFrame) -> DataFrame:
     """Label rows after the gate that none is ragged."""
-    require_empty(labels.where("_bad is not null").select("_bad"), "ragged label row")
+    require_empty(labels.where("_bad is not null"), "ragged label row")
     return labels.drop("_bad")
 
 
