@@ -12,7 +12,7 @@ from ..operators import evaluate as E
 from ..operators import policies as PO
 from ..operators import quality as Q
 from ..operators import review as R
-from ..operators.boxes import annotate, date_tokens, measure
+from ..operators.boxes import annotate, date_tokens, measure, spread_if_thin
 from ..operators.quantiles import exclusive_quantile
 from ..operators.select import stage_results
 from ..rules import PRODUCTION
@@ -39,7 +39,7 @@ def parse_rendered_dates(spark, sf):
 
 
 def token_pattern_counts(spark, sf):
-    rows = annotate(measure(T.lineitem_boxes(spark, sf).repartition("image_id")), PRODUCTION)
+    rows = annotate(measure(spread_if_thin(T.lineitem_boxes(spark, sf))), PRODUCTION)
     names = F.array(*[F.lit(p.name) for p in DATE_PATTERNS])
     tokens = date_tokens(rows)
     return tokens.groupBy(F.get(names, F.col("t.no")).alias("pattern")).agg(F.count("*").alias("n"))
@@ -140,18 +140,19 @@ def rule_ablation(spark, sf):
 
 
 def date_mentions_in_documents(spark, sf):
-    """Dates in free text, whole texts, one row per mention."""
-    docs = T.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("image_id"), "text")
-    pages = T.table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("image_id"), F.col("html").alias("text"))
+    """Dates in free text, whole texts: texts, texts with a date, and dates per kind of text."""
+    names = {"documents": "text", "pages": "html", "conversations": "text"}
     flat = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
-    texts = docs.unionByName(pages).where(F.col("text").rlike(r"\d")).select(
-        "image_id", F.lit("text").alias("stage"), F.lit(0).cast("bigint").alias("box_index"), "text",
-        F.lit(1.0).alias("confidence"), flat.alias("bbox"))
-    rows = annotate(measure(texts.repartition("image_id")), PRODUCTION)
-    names = F.array(*[F.lit(p.name) for p in DATE_PATTERNS])
-    tokens = date_tokens(rows, "image_id").where("t.no < 100")
-    return tokens.select("image_id", F.col("t.s").alias("start"), F.get(names, F.col("t.no")).alias("pattern"),
-                         F.col("t.r")[0]["k"].alias("date_number"))
+    texts = None
+    for name, column in names.items():
+        part = T.table(spark, sf, name).select(F.lit(name).alias("stage"), F.col(column).alias("text"))
+        texts = part if texts is None else texts.unionByName(part)
+    boxes = texts.select(F.xxhash64("text").cast("string").alias("image_id"), "stage",
+                         F.lit(0).cast("bigint").alias("box_index"), "text", F.lit(1.0).alias("confidence"), flat.alias("bbox"))
+    rows = annotate(measure(spread_if_thin(boxes)), PRODUCTION)
+    dated = F.size(F.filter("tokens", lambda t: t["no"] < 100))
+    return rows.select(F.col("stage").alias("kind"), dated.alias("n")).groupBy("kind").agg(
+        F.count("*").alias("texts"), F.count_if(F.col("n") > 0).alias("with_date"), F.sum("n").alias("dates"))
 
 
 # -- cascade and policies ---------------------------------------------------------
