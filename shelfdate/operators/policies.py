@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import has_word
 from ..rules import constants as C
 from .cascade import stages_side_by_side, true_if
 
@@ -103,3 +104,12 @@ def overlay(base: DataFrame, retry: DataFrame, when: str = "has_candidate") -> D
     out = base.join(r, "image_id", "left")
     return out.withColumns({d: F.when(found, F.col(f"_{d}")).otherwise(F.col(d)) for d in dates}).withColumn(
         "overlaid", found).drop("_found", "_tried", *[f"_{d}" for d in dates])
+
+
+def keyword_anchor(boxes: DataFrame, stages=C.STAGES) -> DataFrame:
+    """Per image the most confident placed box that holds an expiry word; earlier stages win ties."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage"))
+    words = boxes.where((F.size("bbox") > 0) & has_word(F.col("text"), C.ANCHOR_WORDS) & (rank > 0))
+    return words.groupBy("image_id").agg(F.max_by(
+        F.struct("stage", "box_index", "text", "confidence", "bbox"),
+        F.struct("confidence", -rank, -F.col("box_index"))).alias("b")).select("image_id", "b.*")

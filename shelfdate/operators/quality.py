@@ -124,3 +124,16 @@ def reuse_reasons(old: DataFrame, current: DataFrame, fields: list[str]) -> Data
     reasons = F.when(F.col("_now").isNull(), F.array(F.lit("not_in_plan"))).otherwise(
         F.array_compact(F.array(*differs)))
     return both.select("image_id", "stage", reasons.alias("reasons"), (F.size(reasons) == 0).alias("reusable"))
+
+
+def file_digests(spark, folder: str) -> DataFrame:
+    """(path, sha256) of the files in a folder, hashed where they are read."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def file_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Files that changed, vanished or appeared between two digest tables."""
+    a = before.select("path", F.col("sha256").alias("old"))
+    b = after.select("path", F.col("sha256").alias("new"))
+    return a.join(b, "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))

@@ -511,6 +511,11 @@ def keyword_crop_window(spark, sf):
                     F.round(left, 3).alias("centre_left"), F.round(right, 3).alias("centre_right"))
 
 
+def keyword_anchor_choice(spark, sf):
+    boxes = T.lineitem_boxes(spark, sf, stage=T.stage_of())
+    return PO.keyword_anchor(boxes).select("image_id", "stage", "box_index", "confidence")
+
+
 QUERIES = {f.__name__: f for f in (
     parse_rendered_dates, token_pattern_counts, select_expiry_per_image, select_latest_no_anchor,
     labelled_set_earliest, period_from_manufacture, manufacture_rerank, adjacent_day_join, nearest_year_join,
@@ -523,4 +528,5 @@ QUERIES = {f.__name__: f for f in (
     wilson_by_source, paired_variant, snapshot_diff, truth_normalise, id_keys, label_record_reasons,
     label_review_images, label_review_summary, approved_labels, submission_violations, completeness_gap,
     duplicate_stage_records, record_checksums, broken_checksums, table_fingerprint, sampled_images, sample_drift,
-    reuse_audit, detection_validation, unfinished_work, keyword_crop_window)}
+    reuse_audit, detection_validation, unfinished_work, keyword_crop_window,
+    keyword_anchor_choice)}

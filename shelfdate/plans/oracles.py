@@ -368,4 +368,6 @@ ORACLES: dict[str, str] = {
         SELECT img AS image_id, ord AS box_index, 0 AS crop_left, 1024 AS crop_right,
         CAST(floor(least(t0, 768 - h)) AS BIGINT) AS crop_top, CAST(ceil(least(t0, 768 - h) + h) AS BIGINT) AS crop_bottom,
         round(least(l0, 1024 * 0.4), 3) AS centre_left, round(least(l0, 1024 * 0.4) + 614.4, 3) AS centre_right FROM s""",
+    "keyword_anchor_choice": f"""WITH {LI} SELECT img AS image_id, {STAGE_NAME} AS stage, ord AS box_index, conf AS confidence FROM li
+        WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY img ORDER BY conf DESC, l_suppkey % 5, ord) = 1""",
 }

@@ -47,3 +47,15 @@ def test_exact_quantile(spark):
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
     got = exclusive_quantile(df, "g", "v", 0.9).first()["quantile"]
     assert abs(got - statistics.quantiles(values, n=10)[8]) < 1e-9
+
+
+def test_file_drift(spark, tmp_path):
+    from shelfdate.operators.quality import file_digests, file_drift
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a").write_text("1")
+    (folder / "b").write_text("2")
+    before = spark.createDataFrame(file_digests(spark, str(folder)).collect())
+    (folder / "b").write_text("3")
+    changed = file_drift(before, file_digests(spark, str(folder))).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in changed] == ["b"]
