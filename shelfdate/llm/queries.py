@@ -4,12 +4,14 @@ from .chat import OP6_SQL, op6_snapshot_collapse
 from .language import op1_language_bitmask
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
+from .toxicity import op10_ordinal_toxicity
 
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op4_deficit_packing": op4_deficit_packing,
     "op6_snapshot_collapse": op6_snapshot_collapse,
     "op9_length_count_mix": op9_length_count_mix,
+    "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 
 ORACLES = {"op6_snapshot_collapse": OP6_SQL}
