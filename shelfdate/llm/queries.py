@@ -4,10 +4,12 @@ from .chat import OP6_SQL, op6_snapshot_collapse
 from .language import op1_language_bitmask
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
+from .substrings import op2_window_repeats
 from .toxicity import op10_ordinal_toxicity
 
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
+    "op2_window_repeats": op2_window_repeats,
     "op4_deficit_packing": op4_deficit_packing,
     "op6_snapshot_collapse": op6_snapshot_collapse,
     "op9_length_count_mix": op9_length_count_mix,
