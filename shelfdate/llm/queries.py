@@ -2,6 +2,7 @@
 
 from .chat import OP6_SQL, op6_snapshot_collapse
 from .language import op1_language_bitmask
+from .minhash import op8_minhash_components
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
 from .substrings import op2_window_repeats
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_window_repeats": op2_window_repeats,
     "op4_deficit_packing": op4_deficit_packing,
     "op6_snapshot_collapse": op6_snapshot_collapse,
+    "op8_minhash_components": op8_minhash_components,
     "op9_length_count_mix": op9_length_count_mix,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
