@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from .chat import OP6_SQL, op6_snapshot_collapse
+from .imatch import op7_imatch_fingerprints
 from .language import op1_language_bitmask
 from .minhash import op8_minhash_components
 from .mixing import op9_length_count_mix
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_window_repeats": op2_window_repeats,
     "op4_deficit_packing": op4_deficit_packing,
     "op6_snapshot_collapse": op6_snapshot_collapse,
+    "op7_imatch_fingerprints": op7_imatch_fingerprints,
     "op8_minhash_components": op8_minhash_components,
     "op9_length_count_mix": op9_length_count_mix,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
