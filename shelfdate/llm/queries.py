@@ -3,6 +3,7 @@
 from .chat import OP6_SQL, op6_snapshot_collapse
 from .imatch import op7_imatch_fingerprints
 from .language import op1_language_bitmask
+from .language_model import op5_log_frequency_bloom
 from .minhash import op8_minhash_components
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_window_repeats": op2_window_repeats,
     "op4_deficit_packing": op4_deficit_packing,
+    "op5_log_frequency_bloom": op5_log_frequency_bloom,
     "op6_snapshot_collapse": op6_snapshot_collapse,
     "op7_imatch_fingerprints": op7_imatch_fingerprints,
     "op8_minhash_components": op8_minhash_components,
