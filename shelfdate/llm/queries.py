@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from .chat import OP6_SQL, op6_snapshot_collapse
+from .embeddings import op3_pruned_graph
 from .imatch import op7_imatch_fingerprints
 from .language import op1_language_bitmask
 from .language_model import op5_log_frequency_bloom
@@ -13,6 +14,7 @@ from .toxicity import op10_ordinal_toxicity
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_window_repeats": op2_window_repeats,
+    "op3_pruned_graph": op3_pruned_graph,
     "op4_deficit_packing": op4_deficit_packing,
     "op5_log_frequency_bloom": op5_log_frequency_bloom,
     "op6_snapshot_collapse": op6_snapshot_collapse,
