@@ -131,12 +131,13 @@ def learn(labelled: DataFrame, *, sample_per_language: int = 500, slots: int = 1
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """(row, lang_pred, score, known): every row with its language."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    rows = docs.select(packed(docs).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(packed(docs).alias("row"))
+    text = docs.columns.index("text")
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("known", "double")
 
     def judge(batches):
         for batch in batches:
-            told = [sent.value.judge(t.as_py()) for t in batch.column(1)]
+            told = [sent.value.judge(t.as_py()) for t in batch.column(0).field(text)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()),
                  pa.array([x[2] for x in told], pa.float64())], ["row", "lang_pred", "score", "known"])
@@ -144,11 +145,17 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     return rows.mapInArrow(judge, schema)
 
 
+def in_known_language(docs: DataFrame, *, least_known: float = 0.4, **options) -> DataFrame:
+    """The documents in one of the languages that the labelled ones (lang not null) teach, with their columns; rejected
+    are texts without a letter and those of whose n-grams less than `least_known` belong to any one language."""
+    told = predict(docs, learn(docs, **options))
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("known") >= least_known)).select("row.*")
+
+
 def op1_language_bitmask(spark, folder):
     """Learns from documents whose crc32 modulo 4 is not 2, predicts all of them."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held = remainder("doc_id", 4) == 2
     filters = learn(docs.where(~held))
-    told = predict(docs.select("doc_id", "text", held.alias("held_out")).select(
-        F.struct("doc_id", "held_out").alias("kept"), "text"), filters)
-    return told.select("row.kept.doc_id", "row.kept.held_out", "lang_pred", "score", "known")
+    told = predict(docs.select("doc_id", "text", held.alias("held_out")), filters)
+    return told.select("row.doc_id", "row.held_out", "lang_pred", "score", "known")

@@ -187,12 +187,13 @@ def judged(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the near-duplicates of a document with a smaller id; of rows with equal ids one stays."""
+    """The documents without the near-duplicates of a document with a smaller id; of rows with equal ids the one
+    whose text has the smallest hash stays."""
     gone = judged(docs, **options).where("NOT kept").select("doc_id").distinct()
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = rows.join(gone, "doc_id", "left_anti")
-    once = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(rows.where("doc_id IS NULL")).select("row.*")
+    once = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return once.select("row.*").unionByName(rows.where("doc_id IS NULL").select("row.*"))
 
 
 def op8_minhash_components(spark, folder):

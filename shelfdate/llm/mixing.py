@@ -8,8 +8,8 @@ finds which lengths close the gap. Which documents of a length are taken follows
 Defined cases: a null text has size 0, a null source is a source of its own and comes last; documents of size 0
 get the source's whole repeats and no more; repeated rows count one by one; an empty table gives an empty result.
 The number of distinct sources is bounded by `max_sources` (one summary row each comes to the driver); everything
-else stays distributed. A (source, length) group may hold any share of all rows: it is cut into `BINS` by hash,
-only the one bin that the cut falls into is ranked.
+else stays distributed. A (source, length) group may hold any share of all rows: it is cut into `BINS` by hash, and rows
+are ranked within their bin only.
 """
 
 from __future__ import annotations
@@ -129,14 +129,9 @@ def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[float, ..
             .join(F.broadcast(goals.drop("budget")), "name"))
     plan = keep(plan)
 
-    dealt = rows.join(plan, ["name", "size", "bin"])
-    sure = dealt.where((F.col("pick") == 0) | (F.col("pick") == F.col("n"))).select(
-        "row", "size", "source_size", "target", (F.col("whole") + (F.col("pick") > 0).cast("long")).alias("times"))
     rank = F.row_number().over(Window.partitionBy("name", "size", "bin").orderBy("mark"))
-    cut = (dealt.where((F.col("pick") > 0) & (F.col("pick") < F.col("n"))).withColumn("rank", rank)
-           .select("row", "size", "source_size", "target",
-                   (F.col("whole") + (F.col("rank") <= F.col("pick")).cast("long")).alias("times")))
-    return sure.unionByName(cut)
+    return rows.join(plan, ["name", "size", "bin"]).withColumn("rank", rank).select(
+        "row", "size", "source_size", "target", (F.col("whole") + (F.col("rank") <= F.col("pick")).cast("long")).alias("times"))
 
 
 def _whole(target: float, words: int, repeats: int) -> int:
