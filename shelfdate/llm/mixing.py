@@ -3,7 +3,7 @@
 Every document has a size in words. Sources get targets by weight, capped at a number of repeats of what they
 hold; whole repeats cover most of a target, and the rest is fitted exactly: documents are counted per (source,
 length), a proportional share of each length is taken, and a bounded-knapsack table over the remaining budget
-finds which lengths close the gap. Which documents of a length are taken follows a seeded hash.
+finds which lengths close the gap, from below or above. Which documents of a length are taken follows a seeded hash.
 
 Defined cases: a null text has size 0, a null source is a source of its own and comes last; documents of size 0
 get the source's whole repeats and no more; repeated rows count one by one; an empty table gives an empty result.
@@ -56,8 +56,8 @@ def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ..
 
 
 def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their sizes sum to the budget, or as near below as the
-    table finds. Starts from an even share of every length, so that the choice follows the source's own mix."""
+    """How many documents of each length to take so that their sizes sum to the budget, or as near as the table
+    finds. Starts from an even share of every length, so that the choice follows the source's own mix."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     budget = max(0, min(budget, total))
     if not total or not budget:
@@ -78,18 +78,21 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
         taken[i] += more
         rest -= more * lengths[i]
     items = []
-    for i in sorted((i for i in range(len(lengths)) if 0 < lengths[i] <= rest and taken[i] < counts[i]),
+    for i in sorted((i for i in range(len(lengths)) if 0 < lengths[i] <= 2 * rest and taken[i] < counts[i]),
                     key=lambda i: lengths[i])[:TABLE_LENGTHS]:
-        left, step = min(counts[i] - taken[i], rest // lengths[i]), 1
+        left, step = min(counts[i] - taken[i], 2 * rest // lengths[i]), 1
         while left:
             items.append((i, min(step, left)))
             left -= min(step, left)
             step *= 2
-    full, reach, layers = (1 << rest + 1) - 1, 1, []
+    full, reach, layers = (1 << 2 * rest + 1) - 1, 1, []
     for i, n in items:
         layers.append(reach)
         reach |= (reach << lengths[i] * n) & full
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << rest + 1) - 1)).bit_length() - 1
+    over = reach >> rest
+    above = rest + (over & -over).bit_length() - 1 if over else below
+    at = above if above - rest < rest - below else below
     for (i, n), before in zip(reversed(items), reversed(layers), strict=True):
         if not before >> at & 1:
             taken[i] += n

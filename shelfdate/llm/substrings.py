@@ -21,12 +21,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import packed, partitions, table
 from .windows import BASES, rolling, word_hash
 
-SPANS = "spans array<struct<first: long, last: long>>"
-
 
 def by_id_ranges(docs: DataFrame, parts: int):
     """A column function: the part of an id, from approximate quantiles of all ids; null ids spread over the parts."""
@@ -115,7 +114,9 @@ def find_repeats(docs: DataFrame, *, width: int = 13, carry: tuple[str, ...] = (
                          "bits": pa.array(bits, pa.binary())})
 
     told = sent.groupBy("bucket").applyInArrow(count, "part int, bucket int, bits binary")
-    spec = f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, {SPANS}, kept_text string"
+    span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+    spec = (dealt.select("row").schema.add("n_words", T.LongType()).add("n_removed", T.LongType())
+            .add("spans", T.ArrayType(span)).add("kept_text", T.StringType()))
 
     def remove(rows: pa.Table, bits: pa.Table) -> pa.Table:
         own = PartWindows(rows, width, parts)
