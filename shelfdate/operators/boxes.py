@@ -133,13 +133,6 @@ def annotate(measured: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
     )
 
 
-def spread_if_thin(rows: DataFrame) -> DataFrame:
-    """Shuffle only an input that comes in fewer partitions than there are cores (one large
-    file, say); inputs with enough splits are left where they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores * 4) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def date_tokens(annotated: DataFrame, *keep: str) -> DataFrame:
     """One row per token as struct ``t``.
 

@@ -110,10 +110,14 @@ def single_date_disagreement(old, new) -> Column:
 # -- the cascade ---------------------------------------------------------------
 
 def stages_side_by_side(stage_rows: DataFrame, stages=C.STAGES, fields=EVIDENCE) -> DataFrame:
-    """One row per image with one struct column per stage, null where it was not recorded."""
+    """One row per image with one struct column per stage, null where it was not recorded.
+
+    Of repeated rows of an (image, stage) the smallest one, field by field, is taken, so that a
+    rerun takes the same; :func:`..quality.duplicates` is the gate that refuses them.
+    """
     known = stage_rows.where(F.col("stage").isin(*stages))
     return known.groupBy("image_id").agg(*[
-        F.any_value(F.when(F.col("stage") == s, F.struct(*fields)), ignoreNulls=True).alias(s) for s in stages])
+        F.min(F.when(F.col("stage") == s, F.struct(*fields))).alias(s) for s in stages])
 
 
 def cascade(stage_rows: DataFrame, rules: RuleSet = PRODUCTION,
@@ -215,8 +219,9 @@ def first_candidate(stage_rows: DataFrame, order=C.STAGES[:4]) -> DataFrame:
 
 
 def review_route(results: DataFrame) -> DataFrame:
-    """How much checking a person should give the result of an image."""
-    return results.withColumn("route", F.when(F.coalesce("final_date", F.lit(C.NONE)).contains(C.NONE), "MANUAL")
+    """How much checking a person should give the result of an image; unknown where a stage is missing."""
+    return results.withColumn("route", F.when(F.col("missing_stage").isNotNull(), C.UNKNOWN)
+                              .when(F.coalesce("final_date", F.lit(C.NONE)).contains(C.NONE), "MANUAL")
                               .when(F.col("n_dates") >= 2, "CHOOSE")
                               .when(F.col("q").isNull() | (F.col("q") < C.RETRY_CONFIDENCE), "RECHECK")
                               .otherwise("CONFIRM"))

@@ -54,11 +54,13 @@ def stage_seconds(results: DataFrame, attempts: str = "attempts", seconds: str =
 
 
 def changes(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFrame:
-    """Images whose prediction changed, with gain / regression / changed_wrong."""
+    """Images whose prediction changed, with gain / regression / changed_wrong; unknown where one
+    of the two has no prediction or no row, or the truth is not known."""
     rows = (before.select("image_id", F.col("final_date").alias("old"))
-            .join(after.select("image_id", F.col("final_date").alias("new")), "image_id")
-            .join(truth.select("image_id", F.col("final_date").alias("truth")), "image_id"))
-    kind = (F.when((F.col("old") != F.col("truth")) & (F.col("new") == F.col("truth")), "gain")
+            .join(after.select("image_id", F.col("final_date").alias("new")), "image_id", "full")
+            .join(truth.select("image_id", F.col("final_date").alias("truth")), "image_id", "left"))
+    kind = (F.when(F.col("old").isNull() | F.col("new").isNull() | F.col("truth").isNull(), C.UNKNOWN)
+            .when((F.col("old") != F.col("truth")) & (F.col("new") == F.col("truth")), "gain")
             .when((F.col("old") == F.col("truth")) & (F.col("new") != F.col("truth")), "regression")
             .when(~F.col("old").eqNullSafe(F.col("new")), "changed_wrong"))
     return rows.withColumn("kind", kind).where("kind is not null")

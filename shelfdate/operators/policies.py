@@ -44,39 +44,42 @@ RULES: dict[str, Callable[[list[Column]], Column]] = {
 
 
 def policy_outcomes(stage_rows: DataFrame, truth: DataFrame, gates=GATES, rules=RULES) -> DataFrame:
-    """One row per image, gate and rule: the stage taken and what became of the image.
+    """One row per image, gate and rule: the stage taken and what became of the image; unknown
+    images lack one of the three stages and are neither triggered nor correct.
 
     The grid of gates and rules is expanded inside each row; it is a few constants wide.
     """
     wide = stages_side_by_side(stage_rows, POLICY_STAGES).join(truth, "image_id")
     stages = [F.col(s) for s in POLICY_STAGES]
-    wide = wide.where(stages[0].isNotNull() & stages[1].isNotNull() & stages[2].isNotNull())
+    known = stages[0].isNotNull() & stages[1].isNotNull() & stages[2].isNotNull()
     grid = F.array(*[
         F.struct(F.lit(g).alias("gate"), F.lit(r).alias("rule"), true_if(gate(stages[0])).alias("triggered"),
                  F.when(true_if(gate(stages[0])), rule(stages)).otherwise(0).alias("taken"))
         for g, gate in gates.items() for r, rule in rules.items()])
     dates = F.array(*[s["final_date"] for s in stages])
     rows = wide.select("image_id", *[c for c in truth.columns if c not in ("image_id",)],
-                       dates.alias("dates"), F.explode(grid).alias("g"))
+                       dates.alias("dates"), (~known).alias("unknown"), F.explode(grid).alias("g"))
     first, chosen = F.get("dates", F.lit(0)), F.get("dates", F.col("g.taken"))
     return rows.select(
-        "image_id", *[c for c in truth.columns if c != "image_id"], "g.gate", "g.rule", "g.triggered",
+        "image_id", *[c for c in truth.columns if c != "image_id"], "g.gate", "g.rule", "unknown",
+        (F.col("g.triggered") & ~F.col("unknown")).alias("triggered"),
         F.get(F.array(*[F.lit(s) for s in POLICY_STAGES]), F.col("g.taken")).alias("selected_stage"),
-        chosen.alias("selected"),
-        (chosen == F.col("truth")).alias("correct"), (chosen != first).alias("changed"),
-        ((first != F.col("truth")) & (chosen == F.col("truth"))).alias("recovery"),
-        ((first == F.col("truth")) & (chosen != F.col("truth"))).alias("regression"))
+        chosen.alias("selected"), *[(~F.col("unknown") & flag).alias(name) for name, flag in {
+            "correct": chosen == F.col("truth"), "changed": chosen != first,
+            "recovery": (first != F.col("truth")) & (chosen == F.col("truth")),
+            "regression": (first == F.col("truth")) & (chosen != F.col("truth"))}.items()])
 
 
 def policy_grid(outcomes: DataFrame, by=("gate", "rule")) -> DataFrame:
-    flags = ("triggered", "correct", "changed", "recovery", "regression")
+    flags = ("unknown", "triggered", "correct", "changed", "recovery", "regression")
     return outcomes.groupBy(*by).agg(
         F.count("*").alias("n"), *[F.count_if(F.col(f)).alias(f"{f}_count") for f in flags])
 
 
 def shadow_outcome(before: Column, after: Column, truth: Column) -> Column:
     """What switching from one prediction to another means for an image."""
-    return (F.when((before == truth) & (after == truth), "unchanged_correct")
+    return (F.when(before.isNull() | after.isNull() | truth.isNull(), C.UNKNOWN)
+            .when((before == truth) & (after == truth), "unchanged_correct")
             .when((before == truth) & (after != truth), "regression")
             .when((before != truth) & (after == truth), "recovery")
             .when(before == after, "unchanged_wrong")

@@ -10,19 +10,22 @@ from ..rules import constants as C
 
 
 def submission_violations(rows: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """(rule, image_id, n) for every broken rule; raises when the columns are not the five."""
+    """(rule, image_id, n) for every broken rule; raises when the columns are not the five.
+
+    A missing value breaks the rule of its column and that of the final date it belongs to.
+    """
     if tuple(rows.columns) != C.DATE_COLUMNS:
         raise ValueError(f"expected columns {C.DATE_COLUMNS}, found {tuple(rows.columns)}")
-    blank = F.trim("image_id") == ""
+    blank = F.trim("image_id") == ""  # null counts as blank
     checks = {
         "blank_id": blank,
-        "id_characters": ~F.col("image_id").rlike("^[0-9A-Za-z_-]+$"),
-        "year": ~((F.col("year") == C.NONE) | F.col("year").rlike(r"(?U)^\d{4}$")),
-        "month": ~((F.col("month") == C.NONE) | F.col("month").rlike("^(0[1-9]|1[0-2])$")),
-        "day": ~((F.col("day") == C.NONE) | F.col("day").rlike("^(0[1-9]|[12][0-9]|3[01])$")),
+        "id_characters": ~F.col("image_id").rlike(r"\A[0-9A-Za-z_-]+\z"),
+        "year": ~((F.col("year") == C.NONE) | F.col("year").rlike(r"(?U)\A\d{4}\z")),
+        "month": ~((F.col("month") == C.NONE) | F.col("month").rlike(r"\A(0[1-9]|1[0-2])\z")),
+        "day": ~((F.col("day") == C.NONE) | F.col("day").rlike(r"\A(0[1-9]|[12][0-9]|3[01])\z")),
         "final_date": F.col("final_date") != join_date(F.col("year"), F.col("month"), F.col("day")),
     }
-    rules = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
+    rules = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in checks.items()]))
     per_row = (rows.select("image_id", F.explode(rules).alias("rule")).groupBy("rule", "image_id")
                .agg(F.count("*").alias("n")))
     found = per_row.unionByName(
@@ -83,10 +86,11 @@ def broken_seals(rows: DataFrame, columns: list[str], sealed: str = "record_sha2
 
 
 def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free digest of a table: the count and the sum of two 48-bit slices of row digests."""
+    """Order-free digest of a table: the count and, over all 256 bits of the row digests, the sums
+    of eight 32-bit slices."""
     digest = record_digest(columns)
-    half = lambda i: F.conv(F.substring(digest, i, 12), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count("*").alias("n"), F.sum(half(1)).alias("low"), F.sum(half(13)).alias("high"))
+    slices = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(8)]
+    return rows.agg(F.count("*").alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(slices)])
 
 
 def require_empty(rows: DataFrame, message: str) -> None:

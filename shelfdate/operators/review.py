@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.labels import numeric_key, with_canonical, with_stored, with_truth
 from ..rules import constants as C
 
-REASONS = ("invalid_component", "all_none", "partial_none", "unusual_year", "calendar_invalid",
+REASONS = ("invalid_image_id", "invalid_component", "all_none", "partial_none", "unusual_year", "calendar_invalid",
            "ambiguous_date_order", "component_final_mismatch")
 
 
 def audit_records(records: DataFrame) -> DataFrame:
     """Records with canonical dates and the reasons that call for a review.
 
-    Expects image_id, source, year, month, day, final_date as text.
+    Expects image_id, source, year, month, day, final_date as text. An id that is not numeric is a
+    reason of its own and stays the record's key as it is written (empty if it is missing).
     """
-    df = with_stored(with_canonical(records.withColumn("key", numeric_key(F.col("image_id")))))
+    df = with_stored(with_canonical(records.withColumn("key", F.coalesce(numeric_key(F.col("image_id")), F.col("image_id"), F.lit("")))))
     valid = F.col("c_error").isNull()
     y, m, d = (F.col(f"c_{n}") for n in ("year", "month", "day"))
     unknown = sum((v == C.NONE).cast("int") for v in (y, m, d))
     stored_bad = F.col("s_calendar") != ""
     mi, di = m.try_cast("int"), d.try_cast("int")
     conditions = {
+        "invalid_image_id": numeric_key(F.col("image_id")).isNull(),
         "invalid_component": ~valid,
         "all_none": valid & (unknown == 3),
         "partial_none": valid & unknown.between(1, 2),

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.text import has_word
 from ..functions.windows import keyword_window, recentred_window
 from ..operators import cascade as CA
 from ..operators import evaluate as E
 from ..operators import policies as PO
 from ..operators import quality as Q
 from ..operators import review as R
-from ..operators.boxes import annotate, date_tokens, measure, spread_if_thin
+from ..operators.boxes import annotate, date_tokens, measure
 from ..operators.quantiles import exclusive_quantile
 from ..operators.select import stage_results
 from ..rules import PRODUCTION
@@ -39,7 +40,7 @@ def parse_rendered_dates(spark, sf):
 
 
 def token_pattern_counts(spark, sf):
-    rows = annotate(measure(spread_if_thin(T.lineitem_boxes(spark, sf))), PRODUCTION)
+    rows = annotate(measure(T.lineitem_boxes(spark, sf)), PRODUCTION)
     names = F.array(*[F.lit(p.name) for p in DATE_PATTERNS])
     tokens = date_tokens(rows)
     return tokens.groupBy(F.get(names, F.col("t.no")).alias("pattern")).agg(F.count("*").alias("n"))
@@ -149,7 +150,7 @@ def date_mentions_in_documents(spark, sf):
         texts = part if texts is None else texts.unionByName(part)
     boxes = texts.select(F.xxhash64("text").cast("string").alias("image_id"), "stage",
                          F.lit(0).cast("bigint").alias("box_index"), "text", F.lit(1.0).alias("confidence"), flat.alias("bbox"))
-    rows = annotate(measure(spread_if_thin(boxes)), PRODUCTION)
+    rows = annotate(measure(boxes), PRODUCTION)
     dated = F.size(F.filter("tokens", lambda t: t["no"] < 100))
     return rows.select(F.col("stage").alias("kind"), dated.alias("n")).groupBy("kind").agg(
         F.count("*").alias("texts"), F.count_if(F.col("n") > 0).alias("with_date"), F.sum("n").alias("dates"))
@@ -173,8 +174,7 @@ def cascade_order_trials(spark, sf):
 
 
 def review_route(spark, sf):
-    known = CA.cascade(T.stage_table(spark, sf)).where("missing_stage is null")
-    return CA.review_route(known).groupBy("route").agg(F.count("*").alias("n"))
+    return CA.review_route(CA.cascade(T.stage_table(spark, sf))).groupBy("route").agg(F.count("*").alias("n"))
 
 
 def policy_grid(spark, sf):
@@ -194,9 +194,8 @@ def retry_trigger_summary(spark, sf):
 def outcome_categories(spark, sf):
     wide = CA.stages_side_by_side(T.stage_table(spark, sf)).join(
         T.order_truth(spark, sf).select("image_id", F.col("final_date").alias("truth")), "image_id")
-    both = wide.where(F.col(C.STAGES[0]).isNotNull() & F.col(C.STAGES[2]).isNotNull())
     kind = PO.shadow_outcome(F.col(C.STAGES[0])["final_date"], F.col(C.STAGES[2])["final_date"], F.col("truth"))
-    return both.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+    return wide.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def best_pass_per_image(spark, sf):
@@ -246,7 +245,7 @@ def accuracy_by_truth_group(spark, sf):
 def gains_regressions(spark, sf):
     stages, truth = T.stage_table(spark, sf), T.order_truth(spark, sf)
     before = CA.first_candidate(stages)
-    after = CA.cascade(stages).where("missing_stage is null")
+    after = CA.cascade(stages)
     return E.changes(before, after, truth).select("image_id", "old", "new", "kind")
 
 
@@ -302,7 +301,8 @@ def error_classes(spark, sf):
 
 
 def method_attempt_counts(spark, sf):
-    done = CA.cascade(T.stage_table(spark, sf)).where("missing_stage is null")
+    done = CA.cascade(T.stage_table(spark, sf)).withColumns({
+        "method": F.coalesce("method", F.lit(C.UNKNOWN)), "attempts": F.coalesce("attempts", F.array().cast("array<string>"))})
     names = F.concat(F.transform("attempts", lambda a: F.struct(F.lit("stage").alias("kind"), a.alias("name"))),
                      F.array(F.struct(F.lit("method").alias("kind"), F.col("method").alias("name"))))
     return done.select(F.explode(names).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
@@ -424,10 +424,10 @@ def _submission(spark, sf):
     return li.select(
         F.when(k % 101 == 0, F.lit(" ")).when(k % 103 == 0, F.concat(T.image_key("o_orderkey"), F.lit(".jpg")))
         .when(k % 107 == 0, F.lit("000001")).otherwise(T.image_key("o_orderkey")).alias("image_id"),
-        F.when(k % 109 == 0, F.lit("27")).otherwise(F.date_format("d", "yyyy")).alias("year"),
+        F.when(k % 109 == 0, F.lit("27")).when(k % 137 != 0, F.date_format("d", "yyyy")).alias("year"),
         F.when(k % 113 == 0, F.lit("13")).otherwise(F.date_format("d", "MM")).alias("month"),
         F.when(k % 127 == 0, F.lit("NONE")).when(k % 131 == 0, F.lit("00")).otherwise(F.date_format("d", "dd")).alias("day"),
-        F.date_format("d", "yyyy-MM-dd").alias("final_date"))
+        F.when(k % 139 != 0, F.date_format("d", "yyyy-MM-dd")).alias("final_date"))
 
 
 def submission_violations(spark, sf):
@@ -503,7 +503,7 @@ def unfinished_work(spark, sf):
 # -- geometry ----------------------------------------------------------------------------
 
 def keyword_crop_window(spark, sf):
-    m = measure(T.lineitem_boxes(spark, sf, extra=None).where(F.col("text").startswith("EXP")))
+    m = measure(T.lineitem_boxes(spark, sf, extra=None).where(has_word(F.col("text"), C.ANCHOR_WORDS)))
     y0 = F.col("cy") - F.col("h") / 2
     crop = keyword_window(F.col("x0"), F.col("x1"), y0, y0 + F.col("h"), F.lit(1024), F.lit(768))
     left, right = recentred_window(F.col("cx"), 0.6, F.lit(1024.0))

@@ -142,11 +142,12 @@ def _exclusive(p: float) -> str:
 
 
 RECORDS = f"""{ORD}, rec AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS image_id, 'first' AS source,
+  SELECT CASE WHEN o_orderkey % 43 = 0 THEN o_orderkey || 'a' WHEN o_orderkey % 4700 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS image_id, 'first' AS source,
     CASE WHEN o_orderkey % 19 = 0 THEN 'none' WHEN o_orderkey % 23 = 0 THEN strftime(d, '%y') ELSE strftime(d, '%Y') END AS year,
     CASE WHEN o_orderkey % 29 = 0 THEN CAST(month(d) AS VARCHAR) ELSE strftime(d, '%m') END AS month,
     CASE WHEN o_orderkey % 31 = 0 THEN 'xx' WHEN o_orderkey % 37 = 0 THEN '45' ELSE strftime(d, '%d') END AS day,
-    CASE WHEN o_orderkey % 41 = 0 THEN 'NONE' ELSE strftime(d, '%Y-%m-%d') END AS final_date, o_orderkey AS k, d FROM o
+    CASE WHEN o_orderkey % 41 = 0 THEN 'NONE' ELSE strftime(d, '%Y-%m-%d') END AS final_date,
+    CASE WHEN o_orderkey % 43 <> 0 AND o_orderkey % 4700 <> 0 THEN o_orderkey END AS k, d FROM o
   UNION ALL
   SELECT lpad(CAST(o_orderkey AS VARCHAR), 7, '0'), 'second', strftime(d, '%Y'),
     CASE WHEN o_orderkey % 11 = 0 AND day(d) <= 12 THEN strftime(d, '%d') ELSE strftime(d, '%m') END,
@@ -159,7 +160,8 @@ checked AS (SELECT *, CASE WHEN bad IS NULL THEN y || '-' || m || '-' || dd END
     CASE WHEN dd <> 'xx' AND CAST(dd AS INT) > 31 THEN 'day_out_of_range'
          WHEN dd <> 'xx' AND CAST(dd AS INT) > day(last_day(make_date(CASE WHEN y = 'NONE' THEN 2000 ELSE CAST(y AS INT) END, CAST(m AS INT), 1)))
          THEN 'calendar_invalid' END AS cal FROM canon)"""
-REASONED = f"""{RECORDS}, why AS (SELECT *, CAST(k AS VARCHAR) AS key, list_sort(list_filter([
+REASONED = f"""{RECORDS}, why AS (SELECT *, coalesce(CAST(k AS VARCHAR), image_id, '') AS key, list_sort(list_filter([
+    CASE WHEN k IS NULL THEN 'invalid_image_id' END,
     CASE WHEN bad IS NOT NULL THEN 'invalid_component' END,
     CASE WHEN bad IS NULL AND y = 'NONE' THEN 'partial_none' END,
     CASE WHEN bad IS NULL AND cal IS NOT NULL THEN 'calendar_invalid' END,
@@ -172,15 +174,16 @@ IMAGES = f"""{REASONED}, img AS (SELECT key, count(*) AS n_records, count(DISTIN
     max(CASE WHEN source = 'first' AND bad IS NULL THEN m || dd END) AS fmd, max(CASE WHEN source = 'second' THEN dd || m END) AS sdm,
     max(CASE WHEN source = 'second' THEN m || dd END) AS smd FROM why GROUP BY 1),
 rv AS (SELECT *, list_sort(list_distinct(list_concat(rs, list_filter([
+    CASE WHEN n_records > n_sources THEN 'duplicate_source_id' END,
     CASE WHEN variants > 1 THEN 'label_conflict' END,
     CASE WHEN variants > 1 AND ys = 1 AND fmd = sdm AND fmd <> smd THEN 'ambiguous_date_order' END], lambda x: x IS NOT NULL)))) AS reasons FROM img)"""
 
 SUB = f"""{ORD}, s AS (SELECT
     CASE WHEN o_orderkey % 101 = 0 THEN ' ' WHEN o_orderkey % 103 = 0 THEN img || '.jpg' WHEN o_orderkey % 107 = 0 THEN '000001' ELSE img END AS image_id,
-    CASE WHEN o_orderkey % 109 = 0 THEN '27' ELSE strftime(d, '%Y') END AS year,
+    CASE WHEN o_orderkey % 109 = 0 THEN '27' WHEN o_orderkey % 137 <> 0 THEN strftime(d, '%Y') END AS year,
     CASE WHEN o_orderkey % 113 = 0 THEN '13' ELSE strftime(d, '%m') END AS month,
     CASE WHEN o_orderkey % 127 = 0 THEN 'NONE' WHEN o_orderkey % 131 = 0 THEN '00' ELSE strftime(d, '%d') END AS day,
-    strftime(d, '%Y-%m-%d') AS final_date FROM o)"""
+    CASE WHEN o_orderkey % 139 <> 0 THEN strftime(d, '%Y-%m-%d') END AS final_date FROM o)"""
 
 SHORT_READ = ("CASE WHEN day(d) >= 15 AND year(d) - 2000 <= day(last_day(make_date(2000 + day(d), month(d), 1))) "
               "THEN make_date(2000 + day(d), month(d), year(d) - 2000) ELSE d END")
@@ -229,11 +232,13 @@ ORACLES: dict[str, str] = {
         CASE WHEN missing_stage IS NULL THEN method END AS method,
         coalesce(CASE WHEN missing_stage IS NULL THEN array_to_string(asked, ',') END, NULL) AS attempts, missing_stage FROM res""",
     "cascade_first_candidate": f"WITH {ST}, {FIRST} SELECT image_id, f AS final_date, method FROM fc",
-    "review_route": f"""WITH {ST}, {cascade_cte()} SELECT CASE WHEN f LIKE '%NONE%' THEN 'MANUAL' WHEN n_dates >= 2 THEN 'CHOOSE'
-        WHEN q IS NULL OR q < 0.9 THEN 'RECHECK' ELSE 'CONFIRM' END AS route, count(*) AS n FROM done GROUP BY 1""",
-    "policy_grid": f"""WITH {ST}, {TRUTH}, t AS (SELECT o.*, r.f AS rf, r.q AS rq, r.has AS rh, r.cd AS rcd, h.f AS hf, h.q AS hq, h.has AS hh, h.cd AS hcd, truth
-          FROM st o JOIN st r ON r.image_id = o.image_id AND r.stage = 'rotation_270' JOIN st h ON h.image_id = o.image_id AND h.stage = 'highres_1024'
-          JOIN tr ON tr.image_id = o.image_id WHERE o.stage = 'original_512'),
+    "review_route": f"""WITH {ST}, {cascade_cte()} SELECT CASE WHEN missing_stage IS NOT NULL THEN 'unknown' WHEN s.f LIKE '%NONE%' THEN 'MANUAL' WHEN len(s.cd) >= 2 THEN 'CHOOSE'
+        WHEN s.q IS NULL OR s.q < 0.9 THEN 'RECHECK' ELSE 'CONFIRM' END AS route, count(*) AS n FROM res GROUP BY 1""",
+    "policy_grid": f"""WITH {ST}, {TRUTH}, i AS (SELECT DISTINCT image_id FROM st WHERE stage IN ('original_512', 'rotation_270', 'highres_1024')),
+        t AS (SELECT o.* EXCLUDE (image_id), o.image_id IS NULL OR r.image_id IS NULL OR h.image_id IS NULL AS unk, r.f AS rf, r.q AS rq, r.has AS rh, r.cd AS rcd, h.f AS hf, h.q AS hq, h.has AS hh, h.cd AS hcd, truth
+          FROM i LEFT JOIN st o ON o.image_id = i.image_id AND o.stage = 'original_512'
+          LEFT JOIN st r ON r.image_id = i.image_id AND r.stage = 'rotation_270' LEFT JOIN st h ON h.image_id = i.image_id AND h.stage = 'highres_1024'
+          JOIN tr ON tr.image_id = i.image_id),
         gr AS (SELECT unnest(['forced', 'A', 'B']) AS gate), ru AS (SELECT unnest(['keep_stage1', 'retry_agreement', 'highest_q',
           'unique_evidence_higher_q', 'latest_highres_reference']) AS rule),
         e AS (SELECT *, CASE gate WHEN 'forced' THEN true WHEN 'A' THEN coalesce(q < 0.9, false) ELSE coalesce(q < 0.9 OR many, false) END AS trig FROM t, gr, ru),
@@ -243,17 +248,18 @@ ORACLES: dict[str, str] = {
              WHEN rh AND rq > coalesce(q, -1) THEN rf ELSE f END
           ELSE CASE WHEN q IS NULL THEN f WHEN hh AND len(hcd) = 1 AND hq > q AND (NOT (rh AND len(rcd) = 1) OR hq > rq) THEN hf
              WHEN rh AND len(rcd) = 1 AND rq > q THEN rf ELSE f END END AS sel FROM e)
-        SELECT gate, rule, count(*) AS n, count(*) FILTER (trig) AS triggered_count, count(*) FILTER (sel = truth) AS correct_count,
-          count(*) FILTER (sel <> f) AS changed_count, count(*) FILTER (f <> truth AND sel = truth) AS recovery_count,
-          count(*) FILTER (f = truth AND sel <> truth) AS regression_count FROM c GROUP BY 1, 2""",
+        SELECT gate, rule, count(*) AS n, count(*) FILTER (unk) AS unknown_count, count(*) FILTER (NOT unk AND trig) AS triggered_count,
+          count(*) FILTER (NOT unk AND sel = truth) AS correct_count, count(*) FILTER (NOT unk AND sel <> f) AS changed_count,
+          count(*) FILTER (NOT unk AND f <> truth AND sel = truth) AS recovery_count,
+          count(*) FILTER (NOT unk AND f = truth AND sel <> truth) AS regression_count FROM c GROUP BY 1, 2""",
     "retry_trigger_summary": f"""WITH {ST}, {cascade_cte()}, f1 AS (SELECT * FROM st WHERE stage = 'original_512')
         SELECT count(*) AS n, count(*) FILTER (q < 0.9) AS a, count(*) FILTER (q < 0.9 OR (q IS NOT NULL AND many)) AS b,
         count(*) FILTER (q IS NULL) AS unevaluable, (SELECT count(*) FROM w WHERE retry) AS production FROM f1""",
-    "outcome_categories": f"""WITH {ST}, {TRUTH} SELECT CASE WHEN o.f = truth AND h.f = truth THEN 'unchanged_correct'
+    "outcome_categories": f"""WITH {ST}, {TRUTH} SELECT CASE WHEN o.f IS NULL OR h.f IS NULL THEN 'unknown' WHEN o.f = truth AND h.f = truth THEN 'unchanged_correct'
         WHEN o.f = truth THEN 'regression' WHEN h.f = truth THEN 'recovery' WHEN o.f = h.f THEN 'unchanged_wrong'
         ELSE 'wrong_to_different_wrong' END AS outcome, count(*) AS n
-        FROM st o JOIN st h ON h.image_id = o.image_id AND h.stage = 'highres_1024' JOIN tr ON tr.image_id = o.image_id
-        WHERE o.stage = 'original_512' GROUP BY 1""",
+        FROM (SELECT DISTINCT image_id FROM st) i LEFT JOIN st o ON o.image_id = i.image_id AND o.stage = 'original_512'
+        LEFT JOIN st h ON h.image_id = i.image_id AND h.stage = 'highres_1024' JOIN tr ON tr.image_id = i.image_id GROUP BY 1""",
     "best_pass_per_image": f"""WITH {ST} SELECT image_id, stage AS pass, f AS final_date FROM st QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY
         CASE WHEN sa THEN 2 WHEN se THEN 0 WHEN has THEN 1 ELSE 0 END DESC,
         CASE WHEN has THEN -round(l_tax * 100) ELSE 0.0 END DESC, f NOT LIKE '%NONE%' DESC,
@@ -268,8 +274,10 @@ ORACLES: dict[str, str] = {
         round(avg((dd = td)::INT), 9) AS day_accuracy, round(avg((f = truth)::INT), 9) AS final_date_accuracy
         FROM names LEFT JOIN sc ON truth_group = 'all' OR g = truth_group GROUP BY 1""",
     "gains_regressions": f"""WITH {ST}, {TRUTH}, {FIRST}, {cascade_cte()} SELECT image_id, fc.f AS "old", done.f AS "new",
-        CASE WHEN fc.f <> truth AND done.f = truth THEN 'gain' WHEN fc.f = truth THEN 'regression' ELSE 'changed_wrong' END AS kind
-        FROM fc JOIN done USING (image_id) JOIN tr USING (image_id) WHERE fc.f <> done.f""",
+        CASE WHEN fc.f IS NULL OR done.f IS NULL OR truth IS NULL THEN 'unknown' WHEN fc.f <> truth AND done.f = truth THEN 'gain'
+          WHEN fc.f = truth THEN 'regression' ELSE 'changed_wrong' END AS kind
+        FROM fc FULL JOIN (SELECT * FROM res LEFT JOIN (SELECT image_id, f FROM done) USING (image_id)) done USING (image_id) LEFT JOIN tr USING (image_id)
+        WHERE fc.f IS DISTINCT FROM done.f OR truth IS NULL OR fc.f IS NULL""",
     "policy_comparison": f"""WITH {ST}, {TRUTH}, base AS (WITH {cascade_cte()} SELECT * FROM done), trial AS (WITH {cascade_cte('false')} SELECT * FROM done)
         SELECT cohort, 'no_short_retry' AS policy, count(*) AS n, count(*) FILTER (t.f = truth) AS correct,
         count(*) FILTER (b.f <> truth AND t.f = truth) AS gains, count(*) FILTER (b.f = truth AND t.f <> truth) AS regressions,
@@ -301,7 +309,7 @@ ORACLES: dict[str, str] = {
         SELECT CASE WHEN hit THEN 'D' WHEN listed THEN 'C' WHEN mon THEN 'B' ELSE 'A' END AS error_class, count(*) AS n
         FROM sc JOIN h USING (image_id) WHERE f <> truth GROUP BY 1""",
     "method_attempt_counts": f"""WITH {ST}, {cascade_cte()} SELECT 'stage' AS kind, name, count(*) AS n FROM (SELECT unnest(asked) AS name FROM done) GROUP BY 2
-        UNION ALL SELECT 'method', method, count(*) FROM done GROUP BY 2""",
+        UNION ALL SELECT 'method', CASE WHEN missing_stage IS NULL THEN method ELSE 'unknown' END, count(*) FROM res GROUP BY 2""",
     "stage_timing_profile": f"""WITH {EV}, g AS (SELECT event_type, count(*) AS calls, CAST(sum(micros) AS BIGINT) AS micros, list_sort(list(micros::DOUBLE)) AS l FROM ev GROUP BY 1)
         SELECT event_type, calls, micros, {_exclusive(0.9)} AS p90, {_exclusive(0.5)} AS median FROM g""",
     "listed_stage_seconds": f"""WITH {EV} SELECT event_type AS stage, count(*) AS calls, CAST(sum(micros) AS BIGINT) AS micros FROM ev GROUP BY 1
@@ -343,8 +351,8 @@ ORACLES: dict[str, str] = {
         FROM o WHERE o_orderstatus = 'F'""",
     "submission_violations": f"""WITH {SUB}, v AS (SELECT image_id, unnest(list_filter([
           CASE WHEN trim(image_id) = '' THEN 'blank_id' END, CASE WHEN NOT regexp_full_match(image_id, '[0-9A-Za-z_-]+') THEN 'id_characters' END,
-          CASE WHEN length(year) <> 4 THEN 'year' END, CASE WHEN month = '13' THEN 'month' END, CASE WHEN day = '00' THEN 'day' END,
-          CASE WHEN final_date <> year || '-' || month || '-' || day THEN 'final_date' END], lambda x: x IS NOT NULL)) AS rule FROM s),
+          CASE WHEN coalesce(length(year), 0) <> 4 THEN 'year' END, CASE WHEN month = '13' THEN 'month' END, CASE WHEN day = '00' THEN 'day' END,
+          CASE WHEN coalesce(final_date <> year || '-' || month || '-' || day, true) THEN 'final_date' END], lambda x: x IS NOT NULL)) AS rule FROM s),
         known AS (SELECT img FROM o WHERE o_orderkey % 50 <> 3)
         SELECT rule, image_id, count(*) AS n FROM v GROUP BY 1, 2
         UNION ALL SELECT 'duplicate_id', image_id, count(*) FROM s GROUP BY 2 HAVING count(*) > 1
@@ -355,6 +363,8 @@ ORACLES: dict[str, str] = {
     "record_checksums": """SELECT o_orderkey, sha256(printf('{"o_orderkey":%d,"o_orderpriority":"%s","o_orderstatus":"%s"}',
         o_orderkey, o_orderpriority, o_orderstatus)) AS record_sha256 FROM orders""",
     "broken_checksums": "SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0",
+    "table_fingerprint": """WITH h AS (SELECT sha256(printf('{"o_orderkey":%d,"o_orderstatus":"%s"}', o_orderkey, o_orderstatus)) AS h FROM orders)
+        SELECT count(*) AS n, """ + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT) AS s{i}" for i in range(8)) + " FROM h",
     "sampled_images": f"WITH {ORD} SELECT img AS image_id, o_orderstatus FROM o ORDER BY sha256('42:' || img), img LIMIT 250",
     "sample_drift": f"WITH {ORD} SELECT img AS image_id, o_orderstatus FROM o WHERE o_orderkey % 3 = 0",
     "reuse_audit": f"""WITH {ST}, x AS (SELECT CASE WHEN stage = 'rotation_270' THEN 'not_in_plan' WHEN has AND sa THEN 'final_date' ELSE '' END AS reasons FROM st)

@@ -38,4 +38,5 @@ SHORT_TEXT_CHARS = 8
 NEAR_HEIGHTS = 3
 
 NONE = "NONE"
+UNKNOWN = "unknown"
 DATE_COLUMNS = ("image_id", "year", "month", "day", "final_date")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,19 +70,25 @@ def lenient_detections(texts: Column, scores: Column, polygons: Column) -> Colum
         F.coalesce(F.get(polygons, i), F.array().cast("array<array<double>>")).alias("bbox")))
 
 
-def label_csv(spark: SparkSession, path: str, required=LABEL_COLUMNS) -> DataFrame:
-    """All-text label file; a byte-order mark, missing or repeated headers and ragged rows are checked."""
-    header = spark.read.text(path).first()
-    if header is None:
+def label_csv(spark: SparkSession, path: str, required=LABEL_COLUMNS, multi_line: bool = False) -> DataFrame:
+    """All-text label file or files; a byte-order mark, missing or repeated headers and ragged rows are checked.
+
+    The header names are read as CSV, so they may be quoted. Every file must have the same ones in the same order:
+    the reader compares each file's header with the schema and stops where they differ. multi_line: values may hold
+    line breaks.
+    """
+    first = spark.read.text(path).first()
+    if first is None:
         raise ValueError(f"empty label file {path}")
-    names = [n.strip().strip('"').lstrip("﻿") for n in header[0].split(",")]
+    written = next(csv.reader([first[0]]))
+    names = [n.strip().lstrip("\ufeff") for n in written]
     if len(set(names)) != len(names):
         raise ValueError(f"repeated header in {path}: {names}")
     missing = [n for n in required if n not in names]
     if missing:
         raise ValueError(f"missing columns in {path}: {missing}")
     schema = ", ".join(f"`{n or f'_c{i}'}` string" for i, n in enumerate(names)) + ", `_bad` string"
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option(
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", multi_line).option(
         "columnNameOfCorruptRecord", "_bad").csv(path)
 
 
@@ -101,7 +109,12 @@ def pass_csv(spark: SparkSession, path: str) -> DataFrame:
 # -- sinks ---------------------------------------------------------------------
 
 def write_submission(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The five output columns in order; the commit protocol makes the write atomic."""
+    """The five output columns in order; the commit protocol makes the write atomic. Refuses rows with a missing
+    value, which results of unknown images are."""
+    lacking = F.lit(False)
+    for c in C.DATE_COLUMNS:
+        lacking = lacking | F.col(c).isNull()
+    require_empty(results.where(lacking), "result without a value")
     results.select(*C.DATE_COLUMNS).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 

@@ -145,7 +145,7 @@ def label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("d", moved("o_orderdate"))
     key = F.col("o_orderkey")
     y, m, d = F.date_format("d", "yyyy"), F.date_format("d", "MM"), F.date_format("d", "dd")
-    first = o.select(key.cast("string").alias("image_id"), F.lit("first").alias("source"),
+    first = o.select(F.when(key % 43 == 0, F.concat(key.cast("string"), F.lit("a"))).when(key % 4700 != 0, key.cast("string")).alias("image_id"), F.lit("first").alias("source"),
                      F.when(key % 19 == 0, "none").when(key % 23 == 0, F.substring(y, 3, 2)).otherwise(y).alias("year"),
                      F.when(key % 29 == 0, F.date_format("d", "M")).otherwise(m).alias("month"),
                      F.when(key % 31 == 0, "xx").when(key % 37 == 0, "45").otherwise(d).alias("day"),
