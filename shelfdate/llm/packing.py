@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql.window import Window
 from .common import keep, packed, table
 
 END = 1
-#: Distinct pieces of text a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Distinct words, and pieces of words, that a worker remembers before it starts afresh (about 200 bytes each).
+REMEMBERED = 1_000_000
 #: Bytes of tokens per batch that leaves a worker.
 BATCH_BYTES = 8 << 20
 #: How the vocabulary's own rule cuts lower-case ASCII (fixed value).
@@ -53,10 +54,14 @@ class WordCoder(dict):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.coder.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.whole: dict[bytes, bytes] = {}
 
     def cuts(self, word: bytes) -> list[bytes]:
+        if word.isalpha():  # ASCII letters only
+            return [word.lower()]
+        if word[:-1].isalpha() and word[-1:] in _TRAILING:
+            return [word[:-1].lower(), word[-1:]]
         if b"<|" in word:
             return [word]
         if word.isascii():
@@ -67,17 +72,19 @@ class WordCoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as bytes."""
         words = [t.encode("utf-8", "replace").split() for t in texts]
-        fresh = set(chain.from_iterable(words)).difference(self)
+        fresh = set(filterfalse(self.__contains__, chain.from_iterable(words)))
         if len(self) + len(fresh) > REMEMBERED:
             self.clear()
-            self.whole.clear()
             fresh = set(chain.from_iterable(words))
         if fresh:
             parts = {w: self.cuts(w) for w in fresh}
-            new = list(set(chain.from_iterable(parts.values())).difference(self.whole))
+            if len(self.whole) > REMEMBERED:
+                self.whole.clear()
+            new = list(set(filterfalse(self.whole.__contains__, chain.from_iterable(parts.values()))))
             for x, told in zip(new, self.coder.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-                self.whole[x] = np.array(told.ids, self.kind).tobytes()
-            self.update({w: b"".join([self.whole[x] for x in p]) for w, p in parts.items()})
+                self.whole[x] = array(self.code, told.ids).tobytes()
+            whole = self.whole
+            self.update({w: whole[p[0]] if len(p) == 1 else b"".join([whole[x] for x in p]) for w, p in parts.items()})
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
