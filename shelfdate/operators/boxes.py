@@ -151,3 +151,9 @@ def framed_words(text, regex: str):
     """Framed text of one word expression, in the shape ``matches`` reads."""
     framed = F.regexp_replace(text, regex, f"{MATCH_MARK}$0{MATCH_MARK}")
     return F.array(F.struct(F.lit(0).alias("no"), framed.alias("marked")))
+
+
+def stage_texts(boxes: DataFrame) -> DataFrame:
+    """(image_id, stage, texts): the texts of a stage in the order of its boxes, joined; one row holds one stage's boxes."""
+    ordered = F.array_sort(F.collect_list(F.struct("box_index", "text")))
+    return boxes.groupBy("image_id", "stage").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), " | ").alias("texts"))

@@ -182,3 +182,78 @@ def project_runtime(calls: DataFrame, cost: DataFrame, images: int, target: int,
     rows = calls.join(cost, "stage")
     return rows.select("stage", "calls", (F.col("calls") * F.col("unit_seconds") * target / images / efficiency)
                        .alias("projected_seconds"))
+
+
+def coverage_gap(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """(image_id, predicted, labelled) of the images that are not exactly once on either side: the gate before a score."""
+    p = predictions.groupBy("image_id").agg(F.count("*").alias("predicted"))
+    t = truth.groupBy("image_id").agg(F.count("*").alias("labelled"))
+    both = p.join(t, "image_id", "full").select(
+        "image_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("predicted", "labelled")])
+    return both.where("predicted <> 1 or labelled <> 1")
+
+
+def baseline_issues(recomputed: DataFrame, stored: DataFrame) -> DataFrame:
+    """(image_id, stored, recomputed, issue) where a recomputed prediction is not the stored one; empty when it may be used."""
+    rows = stored.select("image_id", F.col("final_date").alias("stored")).join(
+        recomputed.select("image_id", F.col("final_date").alias("recomputed")), "image_id", "full")
+    issue = (F.when(F.col("stored").isNull(), "not_stored").when(F.col("recomputed").isNull(), "not_recomputed")
+             .when(F.col("stored") != F.col("recomputed"), "differs"))
+    return rows.withColumn("issue", issue).where("issue is not null")
+
+
+def grown_attempts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Images for which a policy asks for stages that another one does not, with those stages."""
+    rows = before.select("image_id", F.col("attempts").alias("old")).join(
+        after.select("image_id", F.col("attempts").alias("new")), "image_id")
+    return rows.withColumn("added", F.array_except("new", "old")).where(F.size("added") > 0).select("image_id", "added")
+
+
+def oracle_change(stage_rows: DataFrame, truth: DataFrame, before: tuple[str, ...], after: tuple[str, ...]) -> DataFrame:
+    """How many images have some right stage in each of two runs, and how many gain or lose it; one aggregate per image."""
+    right = F.col("final_date") == F.col("truth")
+    per = stage_rows.join(truth.select("image_id", F.col("final_date").alias("truth")), "image_id").groupBy("image_id").agg(
+        *[F.coalesce(F.bool_or(right & F.col("stage").isin(*names)), F.lit(False)).alias(n) for n, names in (("before", before), ("after", after))])
+    return per.agg(F.count("*").alias("n"), F.count_if("before").alias("before"), F.count_if("after").alias("after"),
+                   F.count_if(~F.col("before") & F.col("after")).alias("gained"), F.count_if(F.col("before") & ~F.col("after")).alias("lost"))
+
+
+def run_summary(scored: DataFrame, seconds: DataFrame, none_method: str = "original_no_candidate") -> DataFrame:
+    """One row: images, candidates, successes (also among those with a candidate), and seconds.
+
+    seconds: image_id, micros, boxes; images without a row there count as new without cost.
+    """
+    rows = scored.join(seconds, "image_id", "left")
+    has, ok = F.col("method") != none_method, F.col("final_date_correct")
+    n, candidates = F.count("*"), F.count_if(has)
+    return rows.agg(
+        n.alias("n"), candidates.alias("candidates"), F.count_if(ok).alias("correct"), F.count_if(has & ok).alias("correct_with_candidate"),
+        (candidates / n).alias("candidate_rate"), (F.count_if(has & ok) / candidates).alias("success_given_candidate"),
+        F.coalesce(F.sum("boxes"), F.lit(0)).alias("boxes"), F.coalesce(F.sum("micros"), F.lit(0)).alias("micros"),
+        (F.sum("micros") / n).alias("mean_micros"))
+
+
+def method_table(policies: dict[str, DataFrame], truth: DataFrame, baseline: str) -> DataFrame:
+    """Per policy: images, calls, exact results, accuracy, percentage points above the baseline, recoveries, regressions
+    and unknown images. Policies stand beside each other in one row per image, so the truth is joined once."""
+    wide = truth.select("image_id", F.col("final_date").alias("truth"))
+    for name, df in policies.items():
+        wide = wide.join(df.select("image_id", F.struct(F.col("final_date").alias("date"), F.coalesce(F.size("attempts"), F.lit(0)).alias("calls")).alias(name)), "image_id", "left")
+    base = F.coalesce(F.col(baseline)["date"] == F.col("truth"), F.lit(False))
+    each = F.array(*[F.struct(F.lit(n).alias("policy"), F.col(n)["date"].isNull().alias("unknown"), F.coalesce(F.col(n)["calls"], F.lit(0)).alias("calls"),
+                              F.coalesce(F.col(n)["date"] == F.col("truth"), F.lit(False)).alias("ok")) for n in policies])
+    rows = wide.select(base.alias("base"), F.explode(each).alias("p")).select("base", "p.*")
+    out = rows.groupBy("policy").agg(
+        F.count("*").alias("n"), F.count_if("unknown").alias("unknown"), F.sum("calls").alias("calls"), F.count_if("ok").alias("exact"),
+        F.count_if("base").alias("base_exact"), F.count_if(~F.col("base") & F.col("ok")).alias("recoveries"),
+        F.count_if(F.col("base") & ~F.col("ok")).alias("regressions"))
+    return out.select("policy", "n", "unknown", "calls", "exact", (F.col("exact") / F.col("n")).alias("accuracy"),
+                      (100.0 * (F.col("exact") - F.col("base_exact")) / F.col("n")).alias("points"), "recoveries", "regressions")
+
+
+def verdict_changes(rows: DataFrame) -> DataFrame:
+    """(raw, normalised, n) for rows of prediction, label and normalised label: whether a prediction equals the label as it
+    is written and as it is normalised, so that a change of verdict by normalising shows apart from one by inference."""
+    raw = F.coalesce(F.col("prediction") == F.col("label"), F.lit(False))
+    normal = F.coalesce(F.col("prediction") == F.col("normalised"), F.lit(False))
+    return rows.groupBy(raw.alias("raw"), normal.alias("normalised")).agg(F.count("*").alias("n"))

@@ -14,6 +14,7 @@ from ..operators import policies as PO
 from ..operators import quality as Q
 from ..operators import review as R
 from ..operators.boxes import annotate, date_tokens, measure
+from ..operators.boxes import stage_texts as stage_texts_of
 from ..operators.quantiles import exclusive_quantile
 from ..operators.select import stage_results
 from ..rules import PRODUCTION
@@ -308,6 +309,51 @@ def method_attempt_counts(spark, sf):
     return done.select(F.explode(names).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
+def coverage_gap(spark, sf):
+    return E.coverage_gap(CA.first_candidate(T.stage_table(spark, sf)), T.order_truth(spark, sf))
+
+
+def baseline_issues(spark, sf):
+    stages = T.stage_table(spark, sf)
+    return E.baseline_issues(CA.first_candidate(stages), stages.where(F.col("stage") == C.STAGES[0]))
+
+
+def grown_attempts(spark, sf):
+    stages = T.stage_table(spark, sf)
+    rows = E.grown_attempts(CA.cascade(stages, order=CA.TRIALS["no_short_retry"]), CA.cascade(stages))
+    return rows.select("image_id", F.array_join("added", ",").alias("added"))
+
+
+def oracle_change(spark, sf):
+    return E.oracle_change(T.stage_table(spark, sf), T.order_truth(spark, sf), C.STAGES[:4], C.STAGES[1:])
+
+
+def run_summary(spark, sf):
+    stages = T.stage_table(spark, sf)
+    per = stages.groupBy("image_id").agg(F.count("*").alias("boxes"), F.sum(F.round(F.col("seconds") * MICRO).cast("bigint")).alias("micros"))
+    out = E.run_summary(E.score(CA.first_candidate(stages), T.order_truth(spark, sf)), per)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def method_table(spark, sf):
+    stages = T.stage_table(spark, sf)
+    first = CA.first_candidate(stages).withColumn("attempts", F.array("method"))
+    out = E.method_table({"first": first, "production": CA.cascade(stages)}, T.order_truth(spark, sf), "first")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def verdict_changes(spark, sf):
+    records = L.with_truth(T.label_records(spark, sf))
+    moved = T.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.date_format(T.moved("o_orderdate"), "yyyy-MM-dd").alias("prediction"))
+    rows = records.withColumn("k", L.numeric_key(F.col("image_id"))).join(moved, "k").select(
+        "prediction", F.col("final_date").alias("label"), F.col("t_final_date").alias("normalised"))
+    return E.verdict_changes(rows)
+
+
+def stage_texts(spark, sf):
+    return stage_texts_of(T.lineitem_boxes(spark, sf, stage=T.stage_of()))
+
+
 def _events(spark, sf):
     return T.table(spark, sf, "events").withColumn("micros", F.round(F.col("value") * MICRO).cast("bigint"))
 
@@ -524,7 +570,8 @@ QUERIES = {f.__name__: f for f in (
     policy_grid, retry_trigger_summary, outcome_categories, best_pass_per_image, retry_overlay,
     merged_stage_sources, hybrid_fill, accuracy_by_truth_group, gains_regressions, policy_comparison, stage_oracle,
     candidate_oracle, early_stop_oracle, failure_stage_counts, wrong_answer_kinds, late_date_errors, error_classes,
-    method_attempt_counts, stage_timing_profile, listed_stage_seconds, runtime_projection, speed_gate,
+    method_attempt_counts, coverage_gap, baseline_issues, grown_attempts, oracle_change, run_summary, method_table,
+    verdict_changes, stage_texts, stage_timing_profile, listed_stage_seconds, runtime_projection, speed_gate,
     wilson_by_source, paired_variant, snapshot_diff, truth_normalise, id_keys, label_record_reasons,
     label_review_images, label_review_summary, approved_labels, submission_violations, completeness_gap,
     duplicate_stage_records, record_checksums, broken_checksums, table_fingerprint, sampled_images, sample_drift,

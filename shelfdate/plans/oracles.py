@@ -310,6 +310,35 @@ ORACLES: dict[str, str] = {
         FROM sc JOIN h USING (image_id) WHERE f <> truth GROUP BY 1""",
     "method_attempt_counts": f"""WITH {ST}, {cascade_cte()} SELECT 'stage' AS kind, name, count(*) AS n FROM (SELECT unnest(asked) AS name FROM done) GROUP BY 2
         UNION ALL SELECT 'method', CASE WHEN missing_stage IS NULL THEN method ELSE 'unknown' END, count(*) FROM res GROUP BY 2""",
+    "coverage_gap": f"""WITH {ST}, {TRUTH}, {FIRST} SELECT image_id, count(fc.f) AS predicted, count(truth) AS labelled
+        FROM fc FULL JOIN tr USING (image_id) GROUP BY 1 HAVING count(fc.f) <> 1 OR count(truth) <> 1""",
+    "baseline_issues": f"""WITH {ST}, {FIRST} SELECT image_id, s.f AS stored, fc.f AS recomputed,
+        CASE WHEN s.f IS NULL THEN 'not_stored' WHEN fc.f IS NULL THEN 'not_recomputed' ELSE 'differs' END AS issue
+        FROM (SELECT * FROM st WHERE stage = 'original_512') s FULL JOIN fc USING (image_id) WHERE s.f IS DISTINCT FROM fc.f""",
+    "grown_attempts": f"""WITH {ST}, base AS (WITH {cascade_cte()} SELECT * FROM done), trial AS (WITH {cascade_cte('false')} SELECT * FROM done)
+        SELECT image_id, array_to_string(list_filter(b.asked, lambda v: NOT list_contains(t.asked, v)), ',') AS added
+        FROM base b JOIN trial t USING (image_id) WHERE len(list_filter(b.asked, lambda v: NOT list_contains(t.asked, v))) > 0""",
+    "oracle_change": f"""WITH {ST}, {TRUTH}, h AS (SELECT image_id, coalesce(bool_or(f = truth AND stage <> 'clahe_1024'), false) AS b,
+          coalesce(bool_or(f = truth AND stage <> 'original_512'), false) AS a FROM st JOIN tr USING (image_id) GROUP BY 1)
+        SELECT count(*) AS n, count(*) FILTER (b) AS before, count(*) FILTER (a) AS after, count(*) FILTER (a AND NOT b) AS gained,
+        count(*) FILTER (b AND NOT a) AS lost FROM h""",
+    "run_summary": f"""WITH {ST}, {TRUTH}, {FIRST}, {SCORED}, s AS (SELECT image_id, count(*) AS boxes, CAST(sum(round(l_tax * 1000000)) AS BIGINT) AS micros FROM st GROUP BY 1),
+        x AS (SELECT *, method <> 'original_no_candidate' AS has, f = truth AS ok FROM sc LEFT JOIN s USING (image_id))
+        SELECT count(*) AS n, count(*) FILTER (has) AS candidates, count(*) FILTER (ok) AS correct, count(*) FILTER (has AND ok) AS correct_with_candidate,
+        round(count(*) FILTER (has) / count(*), 6) AS candidate_rate, round(count(*) FILTER (has AND ok) / count(*) FILTER (has), 6) AS success_given_candidate,
+        CAST(sum(boxes) AS BIGINT) AS boxes, CAST(sum(micros) AS BIGINT) AS micros, round(CAST(sum(micros) AS BIGINT) / count(*), 6) AS mean_micros FROM x""",
+    "method_table": f"""WITH {ST}, {TRUTH}, {FIRST}, {cascade_cte()}, b AS (SELECT tr.image_id, truth, fc.f AS ff, CASE WHEN fc.f IS NULL THEN 0 ELSE 1 END AS fcalls,
+          done.f AS pf, coalesce(len(done.asked), 0) AS pcalls FROM tr LEFT JOIN fc ON fc.image_id = tr.image_id LEFT JOIN done ON done.image_id = tr.image_id),
+        u AS (SELECT 'first' AS policy, ff AS f, fcalls AS calls, truth, coalesce(ff = truth, false) AS base FROM b
+          UNION ALL SELECT 'production', pf, pcalls, truth, coalesce(ff = truth, false) FROM b), o AS (SELECT *, coalesce(f = truth, false) AS ok FROM u)
+        SELECT policy, count(*) AS n, count(*) FILTER (f IS NULL) AS unknown, CAST(sum(calls) AS BIGINT) AS calls, count(*) FILTER (ok) AS exact,
+        round(count(*) FILTER (ok) / count(*), 6) AS accuracy, round(100.0 * (count(*) FILTER (ok) - count(*) FILTER (base)) / count(*), 6) AS points,
+        count(*) FILTER (ok AND NOT base) AS recoveries, count(*) FILTER (base AND NOT ok) AS regressions FROM o GROUP BY 1""",
+    "verdict_changes": f"""WITH {RECORDS}, e AS (SELECT *, coalesce(bad, cal, CASE WHEN final_date <> cf THEN 'component_final_mismatch' END) AS error FROM checked),
+        x AS (SELECT coalesce(strftime(d, '%Y-%m-%d') = final_date, false) AS raw, coalesce(error IS NULL AND strftime(d, '%Y-%m-%d') = cf, false) AS normalised FROM e WHERE k IS NOT NULL)
+        SELECT raw, normalised, count(*) AS n FROM x GROUP BY 1, 2""",
+    "stage_texts": f"""WITH {LI} SELECT img AS image_id, {STAGE_NAME} AS stage, string_agg(CASE l_returnflag WHEN 'A' THEN 'EXP ' WHEN 'R' THEN 'MFG ' ELSE '' END || {FORMATTED},
+        ' | ' ORDER BY ord, CASE l_returnflag WHEN 'A' THEN 'EXP ' WHEN 'R' THEN 'MFG ' ELSE '' END || {FORMATTED}) AS texts FROM li GROUP BY 1, 2""",
     "stage_timing_profile": f"""WITH {EV}, g AS (SELECT event_type, count(*) AS calls, CAST(sum(micros) AS BIGINT) AS micros, list_sort(list(micros::DOUBLE)) AS l FROM ev GROUP BY 1)
         SELECT event_type, calls, micros, {_exclusive(0.9)} AS p90, {_exclusive(0.5)} AS median FROM g""",
     "listed_stage_seconds": f"""WITH {EV} SELECT event_type AS stage, count(*) AS calls, CAST(sum(micros) AS BIGINT) AS micros FROM ev GROUP BY 1
