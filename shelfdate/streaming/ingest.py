@@ -13,9 +13,13 @@ from ..sources.io import STAGE_RECORD, to_boxes
 ARRIVAL = STAGE_RECORD + ", arrived timestamp"
 
 
-def arriving_records(spark: SparkSession, folder: str, *, lateness: str | None = None,
+def arriving_records(spark: SparkSession, folder: str, *, lateness: str | None,
                      files_per_batch: int = 1000) -> DataFrame:
-    """Each (image, stage) once.  With ``lateness`` the state of old keys is dropped by watermark."""
+    """Each (image, stage) once.
+
+    The state of a key is dropped ``lateness`` after its arrival; None has to be said, as it keeps
+    every key for ever and so suits finite inputs only.
+    """
     stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_per_batch).json(folder)
     keys = ["image_id", "stage"]
     if lateness:

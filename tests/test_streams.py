@@ -4,7 +4,7 @@ from conftest import rect
 
 from shelfdate.operators.quantiles import exclusive_quantile
 from shelfdate.sources import io
-from shelfdate.streaming.ingest import arriving_records, ingest, parse_arrivals
+from shelfdate.streaming.ingest import arriving_records, ingest, parse_arrivals, stage_counts
 
 
 def record(image, stage, text):
@@ -17,8 +17,8 @@ def test_ingest_resumes_without_duplicates(spark, tmp_path):
     inbox.mkdir()
     (inbox / "a.json").write_text(record("1", "clahe", "2027.01.02") + "\n" + record("1", "clahe", "2027.01.02"))
     for step in range(2):
-        ingest(arriving_records(spark, str(inbox)), str(table), str(marks / "i")).awaitTermination()
-        parse_arrivals(arriving_records(spark, str(inbox)), str(parsed), str(marks / "p")).awaitTermination()
+        ingest(arriving_records(spark, str(inbox), lateness=None), str(table), str(marks / "i")).awaitTermination()
+        parse_arrivals(arriving_records(spark, str(inbox), lateness=None), str(parsed), str(marks / "p")).awaitTermination()
         (inbox / "b.json").write_text(record("1", "clahe", "2028.01.02") + "\n" + record("2", "clahe", "EXP 2028.05.06"))
     assert spark.read.parquet(str(table)).count() == 2
     found = {r.image_id: r.final_date for r in spark.read.parquet(str(parsed)).collect()}
@@ -59,3 +59,13 @@ def test_file_drift(spark, tmp_path):
     (folder / "b").write_text("3")
     changed = file_drift(before, file_digests(spark, str(folder))).collect()
     assert [r.path.rsplit("/", 1)[1] for r in changed] == ["b"]
+
+
+def test_running_counts_and_bounded_state(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.json").write_text("\n".join(record(str(i), s, "x") for i in range(3) for s in ("clahe", "rotation_270") if i or s == "clahe"))
+    seen = stage_counts(arriving_records(spark, str(inbox), lateness="1 hour"))
+    query = seen.writeStream.format("memory").queryName("counted").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.stage: r.n for r in spark.table("counted").collect()} == {"clahe": 3, "rotation_270": 2}
