@@ -8,6 +8,7 @@ from .language_model import op5_log_frequency_bloom
 from .minhash import op8_minhash_components
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
+from .sql import OP2_SQL, OP3_SQL, OP8_SQL
 from .substrings import op2_window_repeats
 from .toxicity import op10_ordinal_toxicity
 
@@ -24,4 +25,9 @@ QUERIES = {
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 
-ORACLES = {"op6_snapshot_collapse": OP6_SQL}
+ORACLES = {
+    "op2_window_repeats": OP2_SQL,
+    "op3_pruned_graph": OP3_SQL,
+    "op6_snapshot_collapse": OP6_SQL,
+    "op8_minhash_components": OP8_SQL,
+}

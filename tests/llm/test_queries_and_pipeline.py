@@ -2,9 +2,9 @@
 
 import os
 
-import duckdb
 import pytest
 from brute import near_components, window_repeats
+from check_oracles import compare, connect
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -14,11 +14,10 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
-def test_snapshot_query_matches_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{FOLDER}/conversations.parquet'")
-    got = sorted(tuple(r) for r in entry.queries()["op6_snapshot_collapse"](spark, FOLDER).select("conv_id", "n_turns", "copies", "rendered_sha256").collect())
-    assert got == sorted(con.execute(entry.oracle_sql()["op6_snapshot_collapse"]).fetchall())
+@pytest.mark.parametrize("name", ["op2_window_repeats", "op3_pruned_graph", "op6_snapshot_collapse", "op8_minhash_components"])
+def test_query_matches_sql(spark, name):
+    message, same = compare(spark, connect(FOLDER), FOLDER, name)
+    assert same, message
 
 
 def test_every_operator_has_its_query():
