@@ -5,7 +5,7 @@ Reports are long tables of counts or of image rows; no report collects ids into
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import constants as C
@@ -37,10 +37,17 @@ def accuracy_by_group(scored: DataFrame, group: str = "truth_group") -> DataFram
                        *[(F.col(f"{f}_n") / F.col("n")).alias(f"{f}_accuracy") for f in DATE_FIELDS])
 
 
-def failure_stage(image_found: Column, boxes: Column, has_candidate: Column, correct: Column) -> Column:
-    return (F.when(~image_found, "missing_image").when(correct, "success")
-            .when(F.coalesce(boxes, F.lit(0)) == 0, "ocr_no_boxes")
-            .when(~has_candidate, "ocr_boxes_no_date_candidate").otherwise("parser_wrong_after_candidate"))
+def failure_stage(image_found: Column, boxes: Column, has_candidate: Column, correct: Column,
+                  needs_candidate: bool = True) -> Column:
+    """Where an image fails. With ``needs_candidate`` an image without a date candidate is never a
+    success; without it a right answer counts however it came about (no date where there is none)."""
+    found = F.coalesce(image_found, F.lit(False))
+    correct, has_candidate = (F.coalesce(c, F.lit(False)) for c in (correct, has_candidate))
+    kind = F.when(~found, "missing_image")
+    if not needs_candidate:
+        kind = kind.when(correct, "success")
+    return (kind.when(F.coalesce(boxes, F.lit(0)) == 0, "ocr_no_boxes").when(~has_candidate, "ocr_boxes_no_date_candidate")
+            .when(~correct, "parser_wrong_after_candidate").otherwise("success"))
 
 
 def attempt_counts(results: DataFrame, by: str = "attempts") -> DataFrame:
@@ -103,7 +110,8 @@ def candidate_oracle(stage_rows: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def early_stop_oracle(stage_rows: DataFrame, truth: DataFrame, stages=C.STAGES[:4]) -> DataFrame:
-    """Where the first-candidate policy stops, and what stages after that would have given."""
+    """Where the first-candidate policy stops, what the recorded stages after that would have given, and how many
+    of them there are with their seconds (``seconds`` of the stage rows, in micros)."""
     number = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage"))
     t = truth.select("image_id", F.col("final_date").alias("truth"))
     rows = stage_rows.where(F.col("stage").isin(*stages)).join(t, "image_id").withColumn("no", number)
@@ -111,15 +119,19 @@ def early_stop_oracle(stage_rows: DataFrame, truth: DataFrame, stages=C.STAGES[:
     per = rows.groupBy("image_id").agg(
         F.min(F.when(F.col("has_candidate"), F.col("no"))).alias("stop"),
         F.min_by("final_date", F.when(F.col("has_candidate"), F.col("no"))).alias("stopped_date"),
-        F.max(F.when(hit, F.col("no"))).alias("last_hit"), F.max("no").alias("last"),
-        F.any_value("truth").alias("truth"))
+        F.max(F.when(hit, F.col("no"))).alias("last_hit"),
+        F.collect_list(F.struct("no", F.round(F.col("seconds") * 1_000_000).cast("bigint").alias("micros"))).alias("recorded"),
+        F.any_value("truth").alias("truth"))  # a few stages per image
     normal = F.coalesce("stopped_date", F.lit(C.NONE))
+    extra = F.when(F.col("stop").isNotNull(), F.filter("recorded", lambda x: x["no"] > F.col("stop")))
     return per.select(
         "image_id", F.coalesce(F.get(F.array(*[F.lit(s) for s in stages]), F.col("stop").cast("int") - 1),
                                F.lit("original_no_candidate")).alias("stop_stage"),
         F.when(normal == F.col("truth"), "preserve").when(F.col("last_hit") > F.col("stop"), "fix")
         .otherwise("fail").alias("outcome"),
-        F.coalesce(F.col("last") - F.col("stop"), F.lit(0)).alias("extra_attempts"))
+        F.coalesce(F.size(extra), F.lit(0)).cast("bigint").alias("extra_attempts"),
+        F.aggregate(F.coalesce(extra, F.array().cast("array<struct<no:bigint,micros:bigint>>")), F.lit(0).cast("bigint"),
+                    lambda total, x: total + F.coalesce(x["micros"], F.lit(0))).alias("extra_micros"))
 
 
 def error_class(any_stage: Column, listed: Column, text_has_label: Column) -> Column:
@@ -177,6 +189,17 @@ def compare_policies(baseline: DataFrame, policies: dict[str, DataFrame], truth:
         F.count_if(F.size(F.array_except("calls", "old_calls")) > 0).alias("images_with_new_stages"))
 
 
+def speed_gate(calls: DataFrame, group: str, order: str, first: int = 10, limit: float = 45_000.0) -> DataFrame:
+    """(group, calls, projected, within_limit): the mean of the first few calls of each group, projected to all of its
+    calls. calls: micros beside the named columns. first: how many calls are measured; limit: seconds allowed."""
+    by_group = Window.partitionBy(group).orderBy(order)
+    early = (calls.select(group, order, "micros").withColumn("rn", F.row_number().over(by_group)).where(F.col("rn") <= first)
+             .groupBy(group).agg((F.sum("micros") / F.count("*")).alias("mean")))
+    counted = calls.groupBy(group).agg(F.count("*").alias("calls"))
+    projected = F.col("mean") * F.col("calls") / 1_000_000
+    return counted.join(early, group).select(group, "calls", projected.alias("projected"), (projected <= limit).alias("within_limit"))
+
+
 def project_runtime(calls: DataFrame, cost: DataFrame, images: int, target: int, efficiency: float = 1.0) -> DataFrame:
     """Linear projection of stage calls to a target number of images."""
     rows = calls.join(cost, "stage")

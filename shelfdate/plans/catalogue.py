@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -269,13 +269,15 @@ def candidate_oracle(spark, sf):
 
 def early_stop_oracle(spark, sf):
     rows = E.early_stop_oracle(T.stage_table(spark, sf), T.order_truth(spark, sf))
-    return rows.groupBy("stop_stage", "outcome").agg(F.count("*").alias("n"), F.sum("extra_attempts").cast("bigint").alias("extra"))
+    return rows.groupBy("stop_stage", "outcome").agg(F.count("*").alias("n"), F.sum("extra_attempts").alias("extra"), F.sum("extra_micros").alias("micros"))
 
 
 def failure_stage_counts(spark, sf):
-    rows = _first_scored(spark, sf)
-    kind = E.failure_stage(F.lit(True), F.when(F.col("method") == "original_no_candidate", 0).otherwise(1),
-                           F.col("method") != "original_no_candidate", F.col("final_date_correct"))
+    stages, truth = T.stage_table(spark, sf), T.order_truth(spark, sf)
+    seen = stages.groupBy("image_id").agg(F.count("*").alias("boxes"))
+    rows = truth.select("image_id", F.col("final_date").alias("truth")).join(
+        CA.first_candidate(stages).select("image_id", "final_date", "method"), "image_id", "left").join(seen, "image_id", "left")
+    kind = E.failure_stage(F.col("method").isNotNull(), F.col("boxes"), F.col("method") != "original_no_candidate", F.col("final_date") == F.col("truth"))
     return rows.groupBy(kind.alias("failure_stage")).agg(F.count("*").alias("n"))
 
 
@@ -382,22 +384,8 @@ def runtime_projection(spark, sf):
 
 def speed_gate(spark, sf):
     """Mean of the ten earliest calls per stage, projected to all calls of the stage."""
-    ev = _events(spark, sf)
-    first = ev.groupBy("event_type").agg(F.min("ts").alias("start"), F.count("*").alias("calls"))
-    kth = _kth_smallest(ev, "event_type", "event_id", 10)
-    early = ev.join(kth, "event_type").where("event_id <= kth").groupBy("event_type").agg(
-        F.sum("micros").alias("early_micros"), F.count("*").alias("early"))
-    rows = first.join(early, "event_type")
-    projected = F.col("early_micros") / F.col("early") * F.col("calls") / MICRO
-    return rows.select("event_type", "calls", F.round(projected, 4).alias("projected_seconds"),
-                       (projected <= 45000).alias("within_limit"))
-
-
-def _kth_smallest(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
-    """Value of the k-th smallest key per group; the rank limit is applied before the shuffle."""
-    by_group = Window.partitionBy(group).orderBy(key)
-    best = rows.select(group, key).withColumn("rn", F.row_number().over(by_group)).where(F.col("rn") <= k)
-    return best.groupBy(group).agg(F.max(key).alias("kth"))
+    rows = E.speed_gate(_events(spark, sf), "event_type", "event_id")
+    return rows.select("event_type", "calls", F.round("projected", 4).alias("projected_seconds"), "within_limit")
 
 
 def _judged(spark, sf):

@@ -292,12 +292,14 @@ ORACLES: dict[str, str] = {
     "early_stop_oracle": f"""WITH {ST}, {TRUTH}, n AS (SELECT *, list_position(['original_512', 'rotation_270', 'highres_1024', 'clahe'], stage) AS no
           FROM st JOIN tr USING (image_id) WHERE stage <> 'clahe_1024'),
         i AS (SELECT image_id, any_value(truth) AS truth, min(no) FILTER (has) AS stop, coalesce(arg_min(f, no) FILTER (has), 'NONE') AS normal,
-          max(no) FILTER (f = truth) AS last_hit, max(no) AS last FROM n GROUP BY 1)
+          max(no) FILTER (f = truth) AS last_hit, list(struct_pack(no := no, s := CAST(round(l_tax * 1000000) AS BIGINT))) AS rec FROM n GROUP BY 1)
         SELECT coalesce(['original_512', 'rotation_270', 'highres_1024', 'clahe'][stop], 'original_no_candidate') AS stop_stage,
         CASE WHEN normal = truth THEN 'preserve' WHEN last_hit > stop THEN 'fix' ELSE 'fail' END AS outcome, count(*) AS n,
-        CAST(sum(coalesce(last - stop, 0)) AS BIGINT) AS extra FROM i GROUP BY 1, 2""",
-    "failure_stage_counts": f"""WITH {ST}, {TRUTH}, {FIRST}, {SCORED} SELECT CASE WHEN f = truth THEN 'success' WHEN method = 'original_no_candidate'
-        THEN 'ocr_no_boxes' ELSE 'parser_wrong_after_candidate' END AS failure_stage, count(*) AS n FROM sc GROUP BY 1""",
+        CAST(sum(coalesce(len(list_filter(rec, lambda x: x.no > stop)), 0)) AS BIGINT) AS extra,
+        CAST(sum(coalesce(list_sum(list_transform(list_filter(rec, lambda x: x.no > stop), lambda x: x.s)), 0)) AS BIGINT) AS micros FROM i GROUP BY 1, 2""",
+    "failure_stage_counts": f"""WITH {ST}, {TRUTH}, {FIRST} SELECT CASE WHEN method IS NULL THEN 'missing_image' WHEN method = 'original_no_candidate'
+        THEN 'ocr_boxes_no_date_candidate' WHEN f = truth THEN 'success' ELSE 'parser_wrong_after_candidate' END AS failure_stage, count(*) AS n
+        FROM tr LEFT JOIN fc USING (image_id) GROUP BY 1""",
     "wrong_answer_kinds": f"""WITH {ST}, {TRUTH}, {FIRST}, {SCORED} SELECT CASE WHEN f = 'NONE' THEN 'none' WHEN f LIKE '%NONE%' THEN 'partial' ELSE 'full' END AS kind,
         count(*) AS n FROM sc WHERE f <> truth GROUP BY 1""",
     "late_date_errors": f"""WITH {ST}, {TRUTH}, {FIRST}, {SCORED} SELECT method, count(*) AS errors, count(*) FILTER (
