@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,34 @@ def keep(rows: DataFrame) -> DataFrame:
     rows.write.option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(rows.schema).parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Deletes kept tables that nothing reads any more: what was made from them must itself be kept."""
+    for rows in kept:
+        spark = rows.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(rows.kept_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: What tasks remember between batches and tasks, by the module that does.
+_remembered: dict[str, dict] = {}
+
+
+def remembers(owner: str, cache: dict) -> dict:
+    _remembered[owner] = cache
+    return cache
+
+
+def settle(owner: str = "") -> None:
+    """At the start of a task: a worker process that served another operator before forgets what that one remembered."""
+    for name, cache in _remembered.items():
+        if name != owner:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

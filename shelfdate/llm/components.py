@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import forget, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = _state(now)
     while state[0]:
-        now = keep(_small_star(_large_star(now)))
+        last, now = now, keep(_small_star(_large_star(now)))
         before, state = state, _state(now)
+        forget(last)
         if before == state:
             break
     return now

@@ -4,10 +4,12 @@
    id stands for it from here on.
 2. `bands * rows` multiply-shift hash minima per set; each band of minima is a bucket. With the defaults a pair at
    Jaccard 0.85 misses all buckets with probability 8e-7.
-3. In each bucket every member is compared with one centre (the smallest id). Members that this leaves in another
-   component than the bucket's largest are centres in turn, a few rounds with one such centre per bucket, then all
-   that still remain, so that every pair of a bucket is either compared or already in one component. A bucket of linked
-   copies costs one comparison per member, never all pairs.
+3. In each bucket every member is compared with one centre (the smallest id). Where that leaves a bucket with members
+   of several components, members that have too many shingles of their own to be similar to any other are settled.
+   Of the rest, those outside the bucket's largest component are centres in turn, a few rounds with one per bucket, then
+   all that still remain; a pair is formed in its first common bucket only, unless counts of shared shingles or the
+   signatures rule it out. So every pair of a bucket is compared, ruled out or already in one component, and a group of
+   copies never costs all its pairs.
 4. A comparison first estimates from the signatures (five standard errors of slack), then counts the intersection of
    the full sets; a link needs 100 * intersection >= percent * union.
 5. Links make components by alternating large-star and small-star.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, packed, table
+from .common import forget, keep, packed, settle, table
 from .components import components
 from .windows import BASES, finish, rolling, word_hash
 
@@ -69,6 +71,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     a, b = multipliers(n)
 
     def sign(batches):
+        settle("windows")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
@@ -95,6 +98,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     a, b = multipliers(n)
 
     def gather(batches):
+        settle("windows")
         for batch in batches:
             p = batch.column(2).to_numpy()
             hit = np.flatnonzero(sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1)
@@ -131,7 +135,7 @@ def _least_agreement(percent: int, n: int) -> int:
     return int(n * s - 5 * (n * s * (1 - s)) ** 0.5)
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int = 24, rows: int = 5, centre_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int = 24, rows: int = 5, centre_rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n, key), (key, rep, component_id, copies)): every document with its set's digest, and per class of
     equal sets its smallest id, the smallest id reachable by links, and the number of rows."""
     n = bands * rows
@@ -147,27 +151,44 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int = 24, rows
     found = confirmed(spots.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), sets, percent, n)
     stars = components(found)
     members = spots.select("bucket", "id")
+    done = [spots, sets]
+    marks = ("id", "label", "n", "m", "seats", "sig")
     for turn in range(centre_rounds + 1):
-        apart = keep(_unsettled(members, stars))
-        if apart.isEmpty():
+        open_ = keep(_unsettled(members, stars))
+        done.append(open_)
+        if open_.isEmpty():
             break
-        members = apart.select("bucket", "id")
+        sized = keep(_matchable(open_.select("id").distinct(), sets, percent))
+        apart = keep(_unsettled(open_.select("bucket", "id").join(sized.select("id"), "id"), stars))
+        done += [sized, apart]
+        seats = apart.groupBy("id").agg(F.collect_list("bucket").alias("seats"))  # one per band at most
+        members, apart = apart.select("bucket", "id"), apart.join(sized, "id").join(seats, "id")
         stray = apart.where("NOT main")
         if turn < centre_rounds:
-            stray = stray.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("s")).select(
-                "bucket", F.col("s.id").alias("b"), F.col("s.label").alias("label_b"), F.lit(False).alias("main_b"))
-        else:
-            stray = stray.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"), "main").withColumnRenamed("main", "main_b")
-        # both of two strays are centres in the last turn: one order of the pair is enough
-        pairs = apart.join(stray, "bucket").where("label <> label_b").select(
-            F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        more = confirmed(pairs, sets, percent, n)
+            stray = stray.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), *marks)).alias("s")).select("bucket", "s.*")
+        stray = stray.select("bucket", *[F.col(c).alias(f"{c}_b") for c in marks])
+        most = F.least("m", "m_b")
+        pairs = apart.join(stray, "bucket").where(
+            (F.col("label") != F.col("label_b")) & (100 * most >= percent * (F.col("n") + F.col("n_b") - most))
+            & (F.array_min(F.array_intersect("seats", "seats_b")) == F.col("bucket")) & (_agreement("sig", "sig_b") >= _least_agreement(percent, n)))
+        more = confirmed(pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct(), sets, percent, n)
         stars = components(stars.unionByName(more))
+    forget(*done)
     roots = stars.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     return seen.select("doc_id", "n", "key"), classes.join(roots, "rep", "left").select(
         "key", "rep", F.coalesce("root", "rep").alias("component_id"), "copies")
 
 
+def _matchable(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, m, sig) of the ids whose sets can be similar enough to another one's: n items, m of which occur in another of
+    these sets too. What occurs in one set only cannot be common, so m bounds every intersection."""
+    own = sets.join(ids, "id", "left_semi")
+    once = (own.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+            .where("k = 1").groupBy("id").agg(F.count("*").alias("u")))
+    return (own.dropDuplicates(["id"]).join(once, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"), "sig")
+            .where(100 * F.col("m") >= percent * F.col("n")))
+
+
 def _unsettled(members: DataFrame, stars: DataFrame) -> DataFrame:
     """(bucket, id, label, main) of the buckets whose members lie in several components; main: in the largest of them."""
     named = members.join(stars.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select(

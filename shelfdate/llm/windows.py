@@ -6,10 +6,12 @@ import hashlib
 
 import numpy as np
 
+from .common import remembers
+
 #: Odd bases of the two rolling polynomials and the finishing multiplier (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 FINISH = 0xFF51AFD7ED558CCD
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class WordHash(dict):
@@ -25,7 +27,7 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-word_hash = WordHash()
+word_hash = remembers("windows", WordHash())
 
 
 def finish(x: np.ndarray) -> np.ndarray:
