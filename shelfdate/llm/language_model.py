@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, remainder, table
+from .common import forget, keep, partitions, remainder, table
 from .windows import finish
 
 CHUNK = 2_000_000
@@ -41,7 +41,9 @@ KEPT_SHARE = 0.9
 #: Odd multipliers (fixed values).
 FIRST, SECOND, PROBE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 LEVEL = 0x165667B19E3779F9
-PAIR_MASK = np.uint64((1 << 48) - 1)
+#: A pair is known by five bytes within its bucket.
+PAIR_BYTES = 5
+PAIR_MASK = np.uint64((1 << 8 * PAIR_BYTES) - 1)
 END = b""
 
 CODED = ("part long, kind string, bucket int, ids array<long>, held array<boolean>, lengths array<long>, codes binary, "
@@ -200,7 +202,7 @@ def kept_pairs(parts: DataFrame, least: int, buckets: int) -> DataFrame:
                     if len(at):
                         heads, run = np.unique(first[at], return_counts=True)  # pairs are in order of their first word
                         yield _rows(bucket=[b], lengths=[[len(at), len(heads)]], ids=[own.keys[heads].view(np.int64)],
-                                    codes=[_squeeze(run.astype(np.uint32))], keys=[key[at].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()],
+                                    codes=[_squeeze(run.astype(np.uint32))], keys=[key[at].view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES].T.tobytes()],
                                     counts=[_squeeze(n[at].astype(np.uint32))])
 
     def add(rows: pa.Table) -> pa.Table:
@@ -208,7 +210,7 @@ def kept_pairs(parts: DataFrame, least: int, buckets: int) -> DataFrame:
         for r in rows.to_pylist():
             size, firsts = r["lengths"]
             key = np.zeros((size, 8), np.uint8)
-            key[:, :6] = np.frombuffer(r["keys"], np.uint8).reshape(6, size).T
+            key[:, :PAIR_BYTES] = np.frombuffer(r["keys"], np.uint8).reshape(PAIR_BYTES, size).T
             keys.append(key.view("<u8").ravel())
             heads.append(np.repeat(np.array(r["ids"], np.int64), _expand(r["codes"], "<u4", firsts)))
             n.append(_expand(r["counts"], "<u4", size))
@@ -269,6 +271,7 @@ def score(docs: DataFrame, held, *, keep_pairs: int = 1 << 20) -> DataFrame:
     sums = told.where("kind = 'sums'").agg(*[F.coalesce(F.sum(F.get("lengths", F.lit(i))), F.lit(0)).alias(n) for i, n in enumerate("nvab")]).first()
     tokens, words, once, twice = (int(x) for x in sums)
     parts = keep(joined(start.unionByName(told.where("kind = 'totals'"))))
+    forget(start, told)
     least = max(2, -(-tokens // keep_pairs))
     kept = kept_pairs(parts, least, buckets).toArrow()
     lookup = LogFrequencyFilter(least)
