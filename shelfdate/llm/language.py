@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, remainder, table
+from .common import packed, remainder, settle, table
 
 UNDETERMINED = "und"
 N = 4
@@ -105,6 +105,7 @@ def learn(labelled: DataFrame, *, sample_per_language: int = 500, slots: int = 1
     chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < rate * (1 << 30))
 
     def texts_grams(batches):
+        settle()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = [np.unique(c) for c in grams(text)]
@@ -136,6 +137,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("known", "double")
 
     def judge(batches):
+        settle()
         for batch in batches:
             told = [sent.value.judge(t.as_py()) for t in batch.column(0).field(text)]
             yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, keep, packed, table
+from .common import WORD, forget, keep, packed, settle, table
 
 BINS = 4096
 #: Budgets up to this many words are closed by the knapsack table; larger ones are first reduced greedily.
@@ -131,6 +131,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[float, ..
                     F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("until") + F.col("n"))).alias("pick"))
             .join(F.broadcast(goals.drop("budget")), "name"))
     plan = keep(plan)
+    forget(bins)
 
     rank = F.row_number().over(Window.partitionBy("name", "size", "bin").orderBy("mark"))
     return rows.join(plan, ["name", "size", "bin"]).withColumn("rank", rank).select(
@@ -142,6 +143,7 @@ def _whole(target: float, words: int, repeats: int) -> int:
 
 
 def _fit(part: pd.DataFrame) -> pd.DataFrame:
+    settle()
     part = part.sort_values("size")
     extra = fit_lengths([int(x) for x in part["size"]], [int(x) for x in part["n"]], int(part["budget"].iloc[0]))
     return pd.DataFrame({"name": part["name"], "size": part["size"], "extra": extra})

@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, packed, table
+from .common import keep, packed, remembers, settle, table
 
 END = 1
-#: Distinct words, and pieces of words, that a worker remembers before it starts afresh (about 200 bytes each).
-REMEMBERED = 1_000_000
+#: Distinct words, and pieces of words, that a worker remembers at most (about 200 bytes each).
+REMEMBERED = 800_000
 #: Bytes of tokens per batch that leaves a worker.
 BATCH_BYTES = 8 << 20
 #: How the vocabulary's own rule cuts lower-case ASCII (fixed value).
@@ -69,17 +69,17 @@ class WordCoder(dict):
         head = word.rstrip(_TRAILING)
         return [head, word[len(head):]] if len(head) < len(word) else [word]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, as bytes."""
-        words = [t.encode("utf-8", "replace").split() for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts in UTF-8, as bytes."""
+        words = [t.split() for t in texts]
         fresh = set(filterfalse(self.__contains__, chain.from_iterable(words)))
         if len(self) + len(fresh) > REMEMBERED:
-            self.clear()
-            fresh = set(chain.from_iterable(words))
+            _forget_late(self)
+            fresh = set(filterfalse(self.__contains__, chain.from_iterable(words)))
         if fresh:
             parts = {w: self.cuts(w) for w in fresh}
             if len(self.whole) > REMEMBERED:
-                self.whole.clear()
+                _forget_late(self.whole)
             new = list(set(filterfalse(self.whole.__contains__, chain.from_iterable(parts.values()))))
             for x, told in zip(new, self.coder.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
                 self.whole[x] = array(self.code, told.ids).tobytes()
@@ -88,7 +88,14 @@ class WordCoder(dict):
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
-_coders: dict[str, WordCoder] = {}
+def _forget_late(known: dict) -> None:
+    """Drops all but the first third: what came early comes often."""
+    early = list(islice(known.items(), REMEMBERED // 3))
+    known.clear()
+    known.update(early)
+
+
+_coders: dict[str, WordCoder] = remembers("packing", {})
 
 
 def coder_of(path: str) -> WordCoder:
@@ -111,12 +118,13 @@ def tokenised(docs: DataFrame, carry: tuple[str, ...], vocabulary: str | None) -
     schema = rows.select("row", "name").schema.add("part", "long").add("start", "long").add("n", "long").add("ids", "binary")
 
     def encode(batches):
+        settle("packing")
         coder = coder_of(vocabulary or vocabulary_file())
         end, wide, part, seen = np.array([END], coder.kind).tobytes(), np.dtype(coder.kind).itemsize, TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                ids = [x + end for x in coder.encode([t or "" for t in some.column(2).to_pylist()])]
+                ids = [x + end for x in coder.encode([t or b"" for t in some.column(2).cast(pa.binary()).to_pylist()])]
                 starts, names = [], some.column(1).to_pylist()
                 for name, x in zip(names, ids, strict=True):
                     starts.append(seen.get(name, 0))
@@ -213,6 +221,7 @@ def pack(docs: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), window: int =
     full = total // window
 
     def place(batches):
+        settle("packing")
         kind = coder_of(vocabulary or vocabulary_file()).kind
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, partitions, table
+from .common import packed, partitions, settle, table
 from .windows import BASES, rolling, word_hash
 
 
@@ -87,6 +87,7 @@ def find_repeats(docs: DataFrame, *, width: int = 13, carry: tuple[str, ...] = (
                         packed(docs.select(*carry)).alias("row"))
 
     def send(rows: pa.Table) -> pa.Table:
+        settle("windows")
         own = PartWindows(rows, width, parts)
         number, keys = rows.column("part")[0].as_py(), []
         for b in range(parts):
@@ -100,6 +101,7 @@ def find_repeats(docs: DataFrame, *, width: int = 13, carry: tuple[str, ...] = (
     sent = dealt.groupBy("part").applyInArrow(send, "bucket int, part int, keys binary")
 
     def count(rows: pa.Table) -> pa.Table:
+        settle()
         order = np.argsort(rows.column("part").to_numpy())
         blobs = [np.frombuffer(rows.column("keys")[int(i)].as_buffer(), np.uint8) for i in order]
         keys = [np.ascontiguousarray(x.reshape(8, -1).T).view(">u8").ravel().astype(np.uint64) for x in blobs]
@@ -119,6 +121,7 @@ def find_repeats(docs: DataFrame, *, width: int = 13, carry: tuple[str, ...] = (
             .add("spans", T.ArrayType(span)).add("kept_text", T.StringType()))
 
     def remove(rows: pa.Table, bits: pa.Table) -> pa.Table:
+        settle("windows")
         own = PartWindows(rows, width, parts)
         gone = np.zeros(len(own.hash), bool)
         for b, told_bits in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
