@@ -1,14 +1,16 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast to workers.
+"""LM scoring: log-frequency Bloom filters of quantised n-gram counts, in shards by hash of the n-gram.
 
 Words: every part of the corpus (some `CHUNK` tokens of whole documents) sends its distinct words, by hash, with their
 training counts; buckets of hashes add the counts up over all parts and answer each part for its own words. So every
 part knows the exact count of each of its words, whatever the size of the vocabulary, and no word is sent more than
 once per part.
 
-Pairs of words: all training pairs are counted in Spark, and those with at least N / `keep_pairs` occurrences are kept,
-which bounds them by `keep_pairs` at any corpus size. Their counts go into the filter on a logarithmic scale: a pair
-with level q is inserted as q items (pair, 1) ... (pair, q), and read back by probing levels until one is absent. The
-sum of the kept counts of each first word is stored the same way. The filter has a fixed number of bits.
+Pairs of words go the same way: a part sends its distinct pairs with their training counts, a bucket adds them up and
+keeps every pair seen `LEAST` times or more, at any corpus size. Their counts go into the bucket's filter on a
+logarithmic scale: a pair with level q is inserted as q items (pair, 1) ... (pair, q), and read back by probing levels
+until one is absent. The bucket answers each part for all its pairs. The sum of the kept counts of each first word is
+stored the same way, in the buckets of words. A filter has `ITEM_BITS` bits per item: all filters together grow with the
+corpus, each by itself stays as large as its bucket, and none is broadcast.
 
 Probability of word w after h, with c the exact counts, c' the count read from the filter (lower end of its level), and
 s(h) the sum read for h (upper end): 0.9 c'(h,w) / c(h) + (1 - 0.9 s(h) / c(h)) P(w); P is the word probability with an
@@ -31,19 +33,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep, partitions, remainder, table
+from .common import keep, partitions, remainder, table
 from .windows import finish
 
 CHUNK = 2_000_000
-#: Filter: bits, items' probes, growth from one level to the next.
-FILTER_BITS, PROBES, GROWTH = 1 << 26, 6, 1.5
+#: A pair seen so often in training is kept.
+LEAST = 2
+#: Filter: bits per item, items' probes, growth from one level to the next.
+ITEM_BITS, PROBES, GROWTH = 16, 6, 1.5
+#: Sums of kept counts are whole numbers of 1 / UNIT.
+UNIT = 1024
 KEPT_SHARE = 0.9
 #: Odd multipliers (fixed values).
 FIRST, SECOND, PROBE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 LEVEL = 0x165667B19E3779F9
-#: A pair is known by five bytes within its bucket.
+#: A pair is known by five bytes within its bucket; the others choose the bucket.
 PAIR_BYTES = 5
-PAIR_MASK = np.uint64((1 << 8 * PAIR_BYTES) - 1)
+PAIR_BITS, PAIR_MASK = np.uint64(8 * PAIR_BYTES), np.uint64((1 << 8 * PAIR_BYTES) - 1)
 END = b""
 
 CODED = ("part long, kind string, bucket int, ids array<long>, held array<boolean>, lengths array<long>, codes binary, "
@@ -72,8 +78,8 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def coded(docs: DataFrame, held, buckets: int) -> DataFrame:
-    """Per part one row of kind "text" (ids, training marks, lengths and word numbers of its documents) and a row of
-    kind "words" per bucket (hashes and training counts of its distinct words, in the order of their numbers)."""
+    """Per part one row of kind "text": ids, training marks, lengths and word numbers of its documents; number, hashes and
+    training counts of its distinct words, in the order of their numbers, which is by bucket."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), held.alias("held"), F.col("text").alias("text"))
 
     def encode(batches):
@@ -84,22 +90,16 @@ def coded(docs: DataFrame, held, buckets: int) -> DataFrame:
         def close():
             words = list(numbers)
             hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-            bucket = (finish(hashes) % np.uint64(buckets)).astype(np.int32)
+            bucket = _word_bucket(hashes, buckets)
             order = np.lexsort((hashes, bucket))
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             codes = place[np.concatenate(parts)]
             trained = np.repeat(~np.array(marks, bool), lengths)
             counts = np.bincount(codes[trained], minlength=len(words)).astype(np.uint32)
-            hashes, bucket = hashes[order], bucket[order]
             part = TaskContext.get().partitionId() << 20 | chunk
-            yield _rows(part=[part], kind=["text"], ids=[ids], held=[marks], lengths=[lengths], codes=[_squeeze(codes)])
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-            yield _rows(part=[part] * len(full), kind=["words"] * len(full), bucket=full,
-                        lengths=[[int(edges[b + 1] - edges[b])] for b in full],
-                        keys=[_squeeze(hashes[edges[b]:edges[b + 1]]) for b in full],
-                        counts=[_squeeze(counts[edges[b]:edges[b + 1]]) for b in full])
+            yield _rows(part=[part], kind=["text"], bucket=[len(words)], ids=[ids], held=[marks], lengths=[lengths], codes=[_squeeze(codes)],
+                        keys=[_squeeze(hashes[order])], counts=[_squeeze(counts)])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -123,113 +123,150 @@ def coded(docs: DataFrame, held, buckets: int) -> DataFrame:
     return rows.mapInArrow(encode, CODED)
 
 
-def totals(words: DataFrame) -> DataFrame:
-    """Rows of kind "totals": per part and bucket the counts over all parts; and per bucket one row of kind "sums" with
-    the tokens, the words, and the words seen once and twice."""
-    def add(rows: pa.Table) -> pa.Table:
-        sizes = [x[0] for x in rows.column("lengths").to_pylist()]
-        keys = np.concatenate([_expand(k, "<u8", n) for k, n in zip(rows.column("keys").to_pylist(), sizes, strict=True)])
-        own = np.concatenate([_expand(k, "<u4", n) for k, n in zip(rows.column("counts").to_pylist(), sizes, strict=True)])
-        distinct, back = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(distinct), np.uint64)
-        np.add.at(total, back, own.astype(np.uint64))
-        each = np.split(total[back], np.cumsum(sizes)[:-1])
-        sums = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
-        n, bucket = len(sizes), rows.column("bucket")[0].as_py()
-        out = _rows(part=[*rows.column("part").to_pylist(), -1], kind=["totals"] * n + ["sums"], bucket=[bucket] * (n + 1),
-                    lengths=[*[[x] for x in sizes], sums], counts=[*map(_squeeze, each), None])
-        return pa.Table.from_batches([out])
+def _cells(bucket: np.ndarray, buckets: int):
+    """(bucket, first place, end) of each bucket that occurs; bucket is in order."""
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    return [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b] < edges[b + 1]]
+
+
+def _word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (finish(keys) % np.uint64(buckets)).astype(np.int32)
+
 
-    return words.groupBy("bucket").applyInArrow(add, CODED)
+def words(texts: DataFrame, buckets: int) -> DataFrame:
+    """Per part a row of kind "words" per bucket: hashes and training counts of its distinct words."""
+    def send(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, counts = _expand(row["keys"], "<u8", row["bucket"]), _expand(row["counts"], "<u4", row["bucket"])
+                cells = _cells(_word_bucket(keys, buckets), buckets)
+                yield _rows(part=[row["part"]] * len(cells), kind=["words"] * len(cells), bucket=[b for b, _, _ in cells],
+                            lengths=[[int(hi - lo)] for _, lo, hi in cells], keys=[_squeeze(keys[lo:hi]) for _, lo, hi in cells],
+                            counts=[_squeeze(counts[lo:hi]) for _, lo, hi in cells])
 
+    return texts.select("part", "bucket", "keys", "counts").mapInArrow(send, CODED)
 
-def joined(rows: DataFrame) -> DataFrame:
-    """Per part one row with its documents, word numbers, word hashes, and exact counts."""
-    def meet(rows: pa.Table) -> pa.Table:
-        by = {(r["kind"], r["bucket"]): r for r in rows.to_pylist()}
-        text = by["text", None]
-        buckets = sorted(b for k, b in by if k == "words")
-        sizes = [by["words", b]["lengths"][0] for b in buckets]
-        keys = np.concatenate([_expand(by["words", b]["keys"], "<u8", n) for b, n in zip(buckets, sizes, strict=True)])
-        counts = np.concatenate([_expand(by["totals", b]["counts"], "<u8", n) for b, n in zip(buckets, sizes, strict=True)])
-        out = _rows(part=[text["part"]], kind=["joined"], bucket=[len(keys)], ids=[text["ids"]], held=[text["held"]], lengths=[text["lengths"]],
-                    codes=[text["codes"]], keys=[keys.tobytes()], counts=[_squeeze(counts)])
+
+def totals(rows: DataFrame, least: int) -> DataFrame:
+    """Of rows of kind "words" and "heads": rows of kind "totals", per part and bucket the counts over all parts and the levels
+    of the sums of kept pairs; and per bucket one row of kind "sums" with the tokens, the words, and the words seen once and
+    twice."""
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        own, heads = ([r for r in rows if r["kind"] == kind] for kind in ("words", "heads"))
+        if not own:  # a pair's first word is in some part
+            raise ValueError("sums of words that no part has")
+        sizes = [r["lengths"][0] for r in own]
+        distinct, back = np.unique(np.concatenate([_expand(r["keys"], "<u8", n) for r, n in zip(own, sizes, strict=True)]), return_inverse=True)
+        total, kept = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
+        np.add.at(total, back, np.concatenate([_expand(r["counts"], "<u4", n) for r, n in zip(own, sizes, strict=True)]).astype(np.uint64))
+        for r in heads:
+            at = np.searchsorted(distinct, _expand(r["keys"], "<u8", r["lengths"][0]))
+            kept[at] += _expand(r["counts"], "<u8", r["lengths"][0])
+        lookup = LogFrequencyFilter.of(distinct, kept / UNIT, least)
+        level = np.where(total >= least, lookup.read(distinct), 0).astype(np.uint8)
+        ends = np.cumsum(sizes)[:-1]
+        sums = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
+        n, bucket = len(sizes), own[0]["bucket"]
+        out = _rows(part=[*[r["part"] for r in own], -1], kind=["totals"] * n + ["sums"], bucket=[bucket] * (n + 1),
+                    lengths=[*[[x] for x in sizes], sums], codes=[*map(_squeeze, np.split(level[back], ends)), None],
+                    counts=[*map(_squeeze, np.split(total[back], ends)), None])
         return pa.Table.from_batches([out])
 
-    return rows.groupBy("part").applyInArrow(meet, CODED)
+    return rows.groupBy("bucket").applyInArrow(add, CODED)
 
 
 class Part:
-    """A joined row, unpacked: per token its word's number and the number of the word before it."""
+    """A row of kind "text", unpacked: per token its word's number and the number of the word before it."""
 
     def __init__(self, row: dict):
         self.lengths = np.array(row["lengths"], np.int64)
         self.codes = _expand(row["codes"], "<u4", int(self.lengths.sum()))
-        self.keys = np.frombuffer(row["keys"], "<u8")
-        self.counts = _expand(row["counts"], "<u8", row["bucket"])
+        self.keys = _expand(row["keys"], "<u8", row["bucket"])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.before = np.empty_like(self.codes)
         self.before[1:] = self.codes[:-1]
         self.before[self.starts] = self.codes[self.starts[0] + self.lengths[0] - 1]
         self.held = np.repeat(np.array(row["held"], bool), self.lengths)
 
-    def pairs(self, least: int, where: np.ndarray | None = None):
-        """(places, first, second): tokens whose word and the word before occur often enough to form a kept pair."""
-        often = self.counts >= max(1, least)
-        ok = often[self.codes] & often[self.before]
-        at = np.flatnonzero(ok if where is None else ok & where)
-        return at, self.before[at], self.codes[at]
-
-    def pair_keys(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return finish(self.keys[first] * FIRST + self.keys[second] * SECOND) & PAIR_MASK
-
-
-def kept_pairs(parts: DataFrame, least: int, buckets: int) -> DataFrame:
-    """(h, pair, n): first word's hash, pair's hash and count of the training pairs with at least `least` occurrences."""
+    def pairs(self, buckets: int):
+        """(first, second, key, bucket, which): the distinct pairs in order of their bucket, then of their first word; and
+        the place among them of each token's."""
+        both, which = np.unique(self.before.astype(np.uint64) << np.uint64(32) | self.codes, return_inverse=True)
+        first, second = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        key = finish(self.keys[first] * FIRST + self.keys[second] * SECOND)
+        bucket = ((key >> PAIR_BITS) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return first[order], second[order], (key & PAIR_MASK)[order], bucket[order], place[which]
+
+
+def pairs(texts: DataFrame, buckets: int) -> DataFrame:
+    """Per part a row of kind "pairs" per bucket: keys, first words' hashes and training counts of its distinct pairs."""
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 own = Part(row)
-                _, first, second = own.pairs(least, ~own.held)
-                both, n = np.unique(first.astype(np.uint64) << np.uint64(32) | second, return_counts=True)
-                first, second = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                key = own.pair_keys(first, second)
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    at = order[edges[b]:edges[b + 1]]
-                    if len(at):
-                        heads, run = np.unique(first[at], return_counts=True)  # pairs are in order of their first word
-                        yield _rows(bucket=[b], lengths=[[len(at), len(heads)]], ids=[own.keys[heads].view(np.int64)],
-                                    codes=[_squeeze(run.astype(np.uint32))], keys=[key[at].view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES].T.tobytes()],
-                                    counts=[_squeeze(n[at].astype(np.uint32))])
+                first, _, key, bucket, which = own.pairs(buckets)
+                n = np.bincount(which[~own.held], minlength=len(key)).astype(np.uint32)
+                for b, lo, hi in _cells(bucket, buckets):
+                    heads, run = np.unique(first[lo:hi], return_counts=True)
+                    yield _rows(part=[row["part"]], kind=["pairs"], bucket=[b], lengths=[[int(hi - lo), len(heads)]], ids=[own.keys[heads].view(np.int64)],
+                                codes=[_squeeze(run.astype(np.uint32))], keys=[key[lo:hi].view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES].T.tobytes()],
+                                counts=[_squeeze(n[lo:hi])])
 
+    return texts.select("part", "bucket", "held", "lengths", "codes", "keys").mapInArrow(send, CODED)
+
+
+def judged_pairs(rows: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Rows of kind "levels": per part and bucket the levels of its pairs, as the bucket's filter of all training pairs with at
+    least `least` occurrences tells them; and of kind "heads": per bucket of words the sums of the kept counts by first word."""
     def add(rows: pa.Table) -> pa.Table:
-        keys, heads, n = [], [], []
-        for r in rows.to_pylist():
+        keys, heads, n, rows = [], [], [], rows.to_pylist()
+        for r in rows:
             size, firsts = r["lengths"]
             key = np.zeros((size, 8), np.uint8)
             key[:, :PAIR_BYTES] = np.frombuffer(r["keys"], np.uint8).reshape(PAIR_BYTES, size).T
             keys.append(key.view("<u8").ravel())
             heads.append(np.repeat(np.array(r["ids"], np.int64), _expand(r["codes"], "<u4", firsts)))
             n.append(_expand(r["counts"], "<u4", size))
+        sizes = [len(k) for k in keys]
         distinct, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, back, np.concatenate(n).astype(np.int64))
+        lookup = LogFrequencyFilter.of(distinct, total, least)
+        answers = np.split(lookup.read(distinct).astype(np.uint8)[back], np.cumsum(sizes)[:-1])
         often = total >= least
-        return pa.table({"h": np.concatenate(heads)[first[often]], "pair": distinct[often].view(np.int64), "n": total[often]})
+        head, back = np.unique(np.concatenate(heads)[first[often]].view(np.uint64), return_inverse=True)
+        kept = np.zeros(len(head), np.uint64)
+        np.add.at(kept, back, np.ceil(lookup.value(lookup.levels(total[often])) * UNIT).astype(np.uint64))
+        bucket = _word_bucket(head, buckets)
+        order = np.argsort(bucket, kind="stable")
+        head, kept, cells = head[order], kept[order], _cells(bucket[order], buckets)
+        out = _rows(part=[*[r["part"] for r in rows], *[-1] * len(cells)], kind=["levels"] * len(rows) + ["heads"] * len(cells),
+                    bucket=[*[r["bucket"] for r in rows], *[b for b, _, _ in cells]], lengths=[*[[x] for x in sizes], *[[int(hi - lo)] for _, lo, hi in cells]],
+                    codes=[*map(_squeeze, answers), *[None] * len(cells)], keys=[*[None] * len(rows), *[_squeeze(head[lo:hi]) for _, lo, hi in cells]],
+                    counts=[*[None] * len(rows), *[_squeeze(kept[lo:hi]) for _, lo, hi in cells]])
+        return pa.Table.from_batches([out])
 
-    return parts.mapInArrow(send, CODED).select("bucket", "lengths", "ids", "codes", "keys", "counts").groupBy("bucket").applyInArrow(
-        add, "h long, pair long, n long")
+    return rows.groupBy("bucket").applyInArrow(add, CODED)
 
 
 class LogFrequencyFilter:
     """Counts of at least `least`, by level: level q means least * GROWTH**(q-1) or more."""
 
-    def __init__(self, least: int, bits: int = FILTER_BITS):
+    def __init__(self, least: int, bits: int):
         self.least, self.bits = least, np.zeros(bits >> 3, np.uint8)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, n: np.ndarray, least: int) -> LogFrequencyFilter:
+        """Holds all keys with counts of at least `least`, in a size by the number of its items."""
+        levels = cls(least, 8).levels(n)
+        made = cls(least, max(1 << 10, -(-int(levels.sum()) * ITEM_BITS // 8) * 8))
+        made.insert(keys[levels > 0], levels[levels > 0])
+        return made
+
     def _places(self, keys: np.ndarray, level: int):
         x = finish(keys + np.uint64(level * LEVEL % (1 << 64)))
         y = finish(x * PROBE) | np.uint64(1)
@@ -262,52 +299,49 @@ class LogFrequencyFilter:
         return found
 
 
-def score(docs: DataFrame, held, *, keep_pairs: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, held, *, keep_pairs: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; documents for which
-    `held` is true are not learned from."""
-    spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
-    start = keep(coded(docs, held, buckets))
-    told = keep(totals(start.where("kind = 'words'")))
+    `held` is true are not learned from. keep_pairs: keep only pairs with at least N / keep_pairs of the N tokens' places
+    (default: all that were seen `LEAST` times)."""
+    buckets = partitions(docs.sparkSession)
+    texts = keep(coded(docs, held, buckets))
+    least = LEAST
+    if keep_pairs is not None:
+        trained = F.expr("aggregate(zip_with(lengths, held, (n, h) -> IF(h, 0L, n)), 0L, (a, n) -> a + n)")
+        least = max(LEAST, -(-(texts.agg(F.sum(trained)).first()[0] or 0) // keep_pairs))
+    levels = keep(judged_pairs(pairs(texts, buckets), least, buckets))
+    told = keep(totals(words(texts, buckets).unionByName(levels.where("kind = 'heads'")), least))
     sums = told.where("kind = 'sums'").agg(*[F.coalesce(F.sum(F.get("lengths", F.lit(i))), F.lit(0)).alias(n) for i, n in enumerate("nvab")]).first()
-    tokens, words, once, twice = (int(x) for x in sums)
-    parts = keep(joined(start.unionByName(told.where("kind = 'totals'"))))
-    forget(start, told)
-    least = max(2, -(-tokens // keep_pairs))
-    kept = kept_pairs(parts, least, buckets).toArrow()
-    lookup = LogFrequencyFilter(least)
-    levels = lookup.levels(kept.column("n").to_numpy())
-    lookup.insert(kept.column("pair").to_numpy().view(np.uint64), levels)
-    heads, back = np.unique(kept.column("h").to_numpy(), return_inverse=True)
-    sum_levels = lookup.levels(np.bincount(back, lookup.value(levels), len(heads)))
-    lookup.insert(finish(heads.view(np.uint64)), sum_levels)
-    sent = spark.sparkContext.broadcast(lookup)
+    tokens, distinct, once, twice = (int(x) for x in sums)
     discount = once / (once + 2 * twice) if once else 0.5
-
-    def judge(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = Part(row)
-                c = own.counts.astype(float)
-                base = np.log10((c + 1) / (tokens + words + 1))
-                word = np.where(c > 0, c - discount, discount * words) / tokens if tokens else np.ones(len(c))
-                p = word[own.codes]
-                at, first, second = own.pairs(least)
-                both, which = np.unique(first.astype(np.uint64) << np.uint64(32) | second, return_inverse=True)
-                h, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                pair = sent.value.value(sent.value.read(own.pair_keys(h, w)))
-                level = np.zeros(len(c), np.int64)
-                often = np.flatnonzero(own.counts >= max(1, least))
-                level[often] = sent.value.read(finish(own.keys[often]))
-                share = np.where(level > 0, np.minimum(1, sent.value.value(level + 1) / np.maximum(c, 1)), 0)
-                p *= (1 - KEPT_SHARE * share)[own.before]
-                p[at] += (KEPT_SHARE * np.minimum(pair, c[h]) / np.maximum(c[h], 1))[which]
-                sums = [np.add.reduceat(x, own.starts) for x in (base[own.codes], np.log10(p), (c > 0).astype(np.int64)[own.codes])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(own.lengths), pa.array(sums[2]),
-                     pa.array([tokens] * len(own.lengths), pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return parts.mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    value = LogFrequencyFilter(least, 8).value
+
+    def judge(rows: pa.Table) -> pa.Table:
+        by = {(r["kind"], r["bucket"] if r["kind"] != "text" else None): r for r in rows.to_pylist()}
+
+        def gathered(kind: str, column: str, number: str) -> np.ndarray:
+            own = [by[k, b] for k, b in sorted(x for x in by if x[0] == kind)]
+            return np.concatenate([_expand(r[column], number, r["lengths"][0]) for r in own])
+
+        row = by["text", None]
+        own = Part(row)
+        c = gathered("totals", "counts", "<u8").astype(float)
+        base = np.log10((c + 1) / (tokens + distinct + 1))
+        word = np.where(c > 0, c - discount, discount * distinct) / tokens if tokens else np.ones(len(c))
+        level = gathered("totals", "codes", "u1").astype(np.int64)
+        share = np.where(level > 0, np.minimum(1, value(level + 1) / np.maximum(c, 1)), 0)
+        h, w, _, _, which = own.pairs(buckets)
+        pair = np.where((c[h] >= least) & (c[w] >= least), value(gathered("levels", "codes", "u1").astype(np.int64)), 0)
+        p = word[own.codes] * (1 - KEPT_SHARE * share)[own.before] + (KEPT_SHARE * np.minimum(pair, c[h]) / np.maximum(c[h], 1))[which]
+        sums = [np.add.reduceat(x, own.starts) for x in (base[own.codes], np.log10(p), (c > 0).astype(np.int64)[own.codes])]
+        return pa.table(
+            [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(own.lengths), pa.array(sums[2]),
+             pa.array([tokens] * len(own.lengths), pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    rows = texts.unionByName(told.where("kind = 'totals'")).unionByName(levels.where("kind = 'levels'"))
+    return rows.groupBy("part").applyInArrow(
+        judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_log_frequency_bloom(spark, folder):

@@ -67,6 +67,34 @@ def base_scores(rows, divisor=7):
     return {i: (held[i], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) for i, w in tokens.items()}
 
 
+def pair_scores(rows, divisor=7, least=2, growth=1.5, kept=0.9):
+    """[(doc_id, score)] with every training pair seen `least` times or more, counted without a filter."""
+    texts = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
+    words, pairs, sums = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in texts:
+        if zlib.crc32(str(i).encode()) % divisor != 2:
+            words.update(w)
+            pairs.update(zip([b""] + w[:-1], w))
+    n, once, twice = sum(words.values()), sum(k == 1 for k in words.values()), sum(k == 2 for k in words.values())
+    discount = once / (once + 2 * twice) if once else 0.5
+
+    def level(k):
+        return 1 + math.floor(math.log(k / least) / math.log(growth) + 1e-9) if k >= least else 0
+
+    def value(q):
+        return least * growth ** (q - 1) if q > 0 else 0
+
+    for (h, _), k in pairs.items():
+        sums[h] += value(level(k))
+
+    def probability(h, w):
+        share = min(1, value(level(sums[h]) + 1) / words[h]) if level(sums[h]) else 0
+        alone = (words[w] - discount if words[w] else discount * len(words)) / n
+        return alone * (1 - kept * share) + kept * min(value(level(pairs[h, w])), words[h]) / max(words[h], 1)
+
+    return sorted((i, sum(math.log10(probability(h, x)) for h, x in zip([b""] + w[:-1], w))) for i, w in texts)
+
+
 def round_robin(totals, window, grain):
     """Queue of every token of the stream, by playing the rounds."""
     all_tokens = sum(totals)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import base_scores, near_components, round_robin, shingle_set, unite, window_repeats
+from brute import base_scores, near_components, pair_scores, round_robin, shingle_set, unite, window_repeats
 
 from shelfdate.llm import chat, embeddings, imatch, language, language_model, minhash, mixing, packing, substrings, toxicity
 from shelfdate.llm.common import remainder
@@ -277,6 +277,32 @@ def test_language_model_is_a_distribution(spark):
         assert math.isfinite(got[1000 + k]) and got[1000 + k] < 0 and base[1000 + k].score < 0
 
 
+def test_language_model_keeps_pairs_seen_twice_at_any_size(spark):
+    """A pair seen twice counts for as much among 2.4 million tokens as it does among few: N / 2**20 is 3 here."""
+    filler = " ".join(["z"] * 24_000)
+    docs = spark.createDataFrame([(i, filler) for i in range(100)] + [(200, "rare pair"), (201, "rare pair"), (1000, "rare pair"), (1001, "pair rare")],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score(docs, docs.doc_id >= 1000).collect()}
+    assert got[1000].train_tokens > 2 << 20
+    # P(rare | end) P(pair | rare) P(end | pair) is .02 * .9 * .9 or so; turned round, no pair is known
+    assert got[1000].score == pytest.approx(math.log10(0.9 ** 3 * 2 / 102), abs=0.1) and got[1001].score < got[1000].score - 5
+
+
+@pytest.mark.parametrize("shards", [1, 16])
+def test_language_model_equals_plain_counts(spark, docs, rows, shards):
+    """But for the filters' false positives, which raise some scores, whatever the number of shards."""
+    wide = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", shards)
+        got = sorted((r.doc_id, r.score) for r in language_model.score(docs, remainder("doc_id", 7) == 2).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wide)
+    want = pair_scores([r[:2] for r in rows])
+    assert [i for i, _ in got] == [i for i, _ in want]
+    same = [a == pytest.approx(b, rel=1e-6) for (_, a), (_, b) in zip(got, want, strict=True)]
+    assert np.mean(same) > 0.85 and all(abs(a - b) < 8 for (_, a), (_, b) in zip(got, want, strict=True) if a > -1000)
+
+
 def test_filter_reads_levels_back():
     f = language_model.LogFrequencyFilter(10, 1 << 20)
     keys, n = np.arange(1, 3000, dtype=np.uint64), np.random.default_rng(1).integers(1, 5000, 2999)
