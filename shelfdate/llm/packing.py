@@ -23,6 +23,7 @@ import os
 import re
 from array import array
 from itertools import chain, filterfalse, islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,15 @@ REMEMBERED = 800_000
 #: Bytes of tokens per batch that leaves a worker.
 BATCH_BYTES = 8 << 20
 #: How the vocabulary's own rule cuts lower-case ASCII (fixed value).
-ASCII_CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ASCII_CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 _TRAILING = b".,;:!?"
 
 
 class WordCoder(dict):
     """Remembers the ids of white-space separated words. The vocabulary drops white space and cuts before it merges,
     so a text's ids are those of its words, and an ASCII word's ids those of its letter and sign runs in lower case;
-    words with other characters or a special token's mark are encoded as they are, less closing marks."""
+    words with other characters or a special token's mark are encoded as they are, less closing marks after a letter or
+    digit: after another sign they belong to its run."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -67,7 +69,9 @@ class WordCoder(dict):
         if word.isascii():
             return [x.encode() for x in ASCII_CUTS.findall(word.decode("ascii").lower())]
         head = word.rstrip(_TRAILING)
-        return [head, word[len(head):]] if len(head) < len(word) else [word]
+        if len(head) < len(word) and (head[-1:].isalnum() or normalize("NFC", head.decode()[-1:]).lower()[-1:].isalnum()):
+            return [head, word[len(head):]]  # a letter or digit as the vocabulary sees it
+        return [word]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts in UTF-8, as bytes."""

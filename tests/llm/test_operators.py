@@ -201,6 +201,18 @@ def test_packing_round_trip(docs, rows):
     assert order == [names[q] for q in played] and len(order) == total
 
 
+def test_words_get_the_ids_that_the_whole_text_gives_them():
+    import public_tokenizers
+
+    coder = packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    signs = [*"abzAZ09'\".,;:!?-<|>", *"“”’…éÉ日本İΣ½\u0301\u0958\u200b\xa0\x85", *"\x00\x1c\x1d\x1e\x1f\x7f", *" \t\n\x0b\x0c", "'s", "'ll", "’s", "<|endoftext|>"]
+    texts = ["“hello”.", "été).", "don’t”,", "日本…!", "İ.", "\u0958.", "ab\x1ccd", *["".join(rng.choices(signs, k=rng.randint(1, 14))) for _ in range(20_000)]]
+    got = [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in texts])]
+    want = [x.ids for x in coder.coder.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_sequences_join_their_pieces(docs):
     pieces = packing.pack(docs)
     packed = packing.sequences(pieces).collect()
