@@ -24,7 +24,7 @@ def connect(folder):
 
 def normal(df):
     df = df[sorted(df.columns)]
-    rows = [tuple("\0" if v is None or v is pd.NA or v != v else (int(v) if isinstance(v, bool) or hasattr(v, "item") and float(v).is_integer()
+    rows = [tuple("\0" if v is None or v is pd.NA or v != v else (int(v) if isinstance(v, bool) or (isinstance(v, float) or hasattr(v, "item")) and float(v).is_integer()
                   else v) for v in r) for r in df.astype(object).itertuples(index=False)]
     return sorted(map(str, rows)), list(df.columns)
 
