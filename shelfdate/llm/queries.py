@@ -8,6 +8,7 @@ from .language_model import op5_log_frequency_bloom
 from .minhash import op8_minhash_components
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .sql import OP2_SQL, OP3_SQL, OP8_SQL
 from .substrings import op2_window_repeats
 from .toxicity import op10_ordinal_toxicity
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_minhash_components": op8_minhash_components,
     "op9_length_count_mix": op9_length_count_mix,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -30,4 +32,5 @@ ORACLES = {
     "op3_pruned_graph": OP3_SQL,
     "op6_snapshot_collapse": OP6_SQL,
     "op8_minhash_components": OP8_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
