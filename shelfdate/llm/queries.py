@@ -9,6 +9,7 @@ from .minhash import op8_minhash_components
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
 from .prefix_trie import OP13_SQL, op13_prefix_trie
+from .ranked_search import OP12_SQL, op12_accumulator_search
 from .sql import OP2_SQL, OP3_SQL, OP8_SQL
 from .substrings import op2_window_repeats
 from .toxicity import op10_ordinal_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash_components": op8_minhash_components,
     "op9_length_count_mix": op9_length_count_mix,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
+    "op12_accumulator_search": op12_accumulator_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -32,5 +34,6 @@ ORACLES = {
     "op3_pruned_graph": OP3_SQL,
     "op6_snapshot_collapse": OP6_SQL,
     "op8_minhash_components": OP8_SQL,
+    "op12_accumulator_search": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
