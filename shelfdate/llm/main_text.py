@@ -24,16 +24,17 @@ from __future__ import annotations
 import html as markup
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembers, settle, table
+from .common import settle, table
 
 SAMPLE, SAMPLE_CHARS = 400, 100_000
-EPOCHS, RATE, RIDGE = 150, 0.1, 1e-3
+EPOCHS, RATE, RIDGE = 80, 0.15, 1e-3
 STATES = 50_000
 
 # What HTML says about its elements.
@@ -42,6 +43,7 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("iframe noembed noframes noscript script style template textarea title".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that end an open element of the same kind, up to the container named.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -57,10 +59,12 @@ ASIDE_WORDS = frozenset("comment comments respond advert advertisement sponsored
 
 
 class States:
-    """Open elements by number: an element with the same words in the same place is the same state. 0 is the page."""
+    """Open elements by number: an element with the same words in the same place is the same state. 0 is the page.
+    told: what its tag, its words and its ancestors' tell; only features in `known`, if given."""
 
-    def __init__(self):
-        self.number, self.parent, self.tag, self.words, self.label = {}, [-1], ["#page"], [()], [None]
+    def __init__(self, known=None):
+        self.known, self.number, self.parent, self.tag, self.words, self.label = known, {}, [-1], ["#page"], [()], [None]
+        self.told = [frozenset()]
 
     def of(self, parent: int, tag: str, words: tuple, label: str | None) -> int:
         key = parent, tag, words, label
@@ -71,6 +75,10 @@ class States:
             self.tag.append(tag)
             self.words.append(words)
             self.label.append(label if label is not None else self.label[parent])
+            own, above = {f"in {tag}", *(f"word {w.removesuffix('s')}" for w in words)}, self.told[parent]
+            if self.known is not None:
+                own &= self.known
+            self.told.append(above if own <= above else above | own)
         return at
 
 
@@ -94,7 +102,7 @@ def _attributes(page: str, at: int) -> tuple[tuple, str | None, int]:
 
 def leaf_blocks(page: str, states: States) -> list[tuple[int, str, int]]:
     """(state, text, characters of links) of the page's leaf blocks, in page order."""
-    blocks, parts, stack, at, links, in_link, linked = [], [], [0], 0, 0, 0, 0
+    blocks, parts, stack, at, in_link, linked, opened = [], [], [0], 0, 0, 0, Counter()
 
     def close():
         nonlocal parts, linked
@@ -106,6 +114,7 @@ def leaf_blocks(page: str, states: States) -> list[tuple[int, str, int]]:
     def leave(depth: int):
         nonlocal in_link
         for state in stack[depth:]:
+            opened[states.tag[state]] -= 1
             in_link -= states.tag[state] == "a"
         del stack[depth:]
 
@@ -144,21 +153,21 @@ def leaf_blocks(page: str, states: States) -> list[tuple[int, str, int]]:
                 close()
             elif tag == "br":
                 say(" ")
-            for depth in range(len(stack) - 1, 0, -1):
-                if states.tag[stack[depth]] == tag:
+            ends = HEADINGS if tag in HEADINGS else (tag,)
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
+                if states.tag[stack[depth]] in ends:
                     leave(depth)
                     break
                 if tag not in BLOCKS and states.tag[stack[depth]] in BLOCKS:
                     break  # an inline end tag does not leave the block
             continue
         if tag in UNSEEN:
-            end = _raw_end(page, at, tag)
-            at = end
+            at = _raw_end(page, at, tag)
             continue
         if tag in BLOCKS:
             close()
             ends, until = SIBLINGS.get(tag, ({"p"}, KEEPS_PARAGRAPH))
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
                 if states.tag[stack[depth]] in ends:
                     leave(depth)
                     break
@@ -169,6 +178,7 @@ def leaf_blocks(page: str, states: States) -> list[tuple[int, str, int]]:
             continue
         if tag in BLOCKS or tag == "a" or label is not None:
             stack.append(states.of(stack[-1], tag, words, label))
+            opened[tag] += 1
             in_link += tag == "a"
     close()
     return blocks
@@ -180,17 +190,11 @@ def _raw_end(page: str, at: int, tag: str) -> int:
     return found.end() if found else len(page)
 
 
-def state_features(states: States, at: int) -> set[str]:
+def state_features(states: States, at: int) -> frozenset[str]:
     """Own tag, parent's tag, and all tags and words of the ancestors."""
     while states.tag[at] == "a" and states.parent[at] >= 0:  # a link does not make a block
         at = states.parent[at]
-    told = {f"leaf {states.tag[at]}", f"under {states.tag[states.parent[at]]}" if at else "under nothing"}
-    while at > 0:
-        told.add(f"in {states.tag[at]}")
-        for word in states.words[at]:
-            told.add(f"word {word.removesuffix('s')}")
-        at = states.parent[at]
-    return told
+    return states.told[at] | {f"leaf {states.tag[at]}", f"under {states.tag[states.parent[at]]}" if at else "under nothing"}
 
 
 def text_features(text: str, linked: int, i: int, n: int) -> tuple[str, ...]:
@@ -334,28 +338,32 @@ def laid_out(rng: random.Random, paragraphs: list[str], others: list[str]) -> st
         k = rng.randrange(max(1, len(told) - most)) if len(told) > most else 0
         return markup.escape(" ".join(told[k:k + rng.randint(1, most)]))
 
+    def heading(text: str, most: int) -> str:
+        level = rng.randint(1, most)
+        return f"<h{level}>{text}</h{level}>"
+
     def part(kind: str) -> str:
         element, name = rng.choice(PARTS[kind])
         attribute = f' {rng.choice(("class", "id", "class"))}="{name}"' if name else ""
         if kind == "menu":
             inside = "<ul>" + "".join(f'<li><a href="#">{words(3)}</a></li>' for _ in range(rng.randint(3, 9))) + "</ul>"
         elif kind == "header":
-            inside = f"<h{rng.randint(1, 3)}>{words(6)}</h2>" + rng.choice(("", f"<p>{words(9)}</p>"))
+            inside = heading(words(6), 3) + rng.choice(("", f"<p>{words(9)}</p>"))
         elif kind == "footer":
             inside = rng.choice((f"&copy; {words(8)}", f"<p>{words(20)}</p><p>&copy; {words(4)}</p>", f"<a href='#'>{words(2)}</a> | <a href='#'>{words(2)}</a> &middot; {words(12)}"))
         elif kind == "comments":
             block = rng.choice(("div", "li", "article", "p"))
-            inside = f"<h3>{words(3)}</h3>" + "".join(f'<{block} class="{rng.choice(("comment", "reply", "comment-body"))}"><p>{words(60)}</p></{block}>' for _ in range(rng.randint(1, 5)))
+            inside = heading(words(3), 5) + "".join(f'<{block} class="{rng.choice(("comment", "reply", "comment-body"))}"><p>{words(60)}</p></{block}>' for _ in range(rng.randint(1, 5)))
         elif kind == "form":
             inside = f"<label>{words(3)}</label><input name=q><button>{words(2)}</button>" + rng.choice(("", f"<p>{words(25)}</p>"))
         elif kind == "sidebar":
-            inside = f"<h4>{words(4)}</h4>" + rng.choice((f"<p>{words(50)}</p>", "<ul>" + "".join(f"<li><a href='#'>{words(8)}</a></li>" for _ in range(4)) + "</ul>"))
+            inside = heading(words(4), 5) + rng.choice((f"<p>{words(50)}</p>", "<ul>" + "".join(f"<li><a href='#'>{words(8)}</a></li>" for _ in range(4)) + "</ul>"))
         else:
             inside = rng.choice((words(30), f"<p>{words(60)}</p>", f"<p>{words(20)}</p><a href='#'>{words(3)}</a>"))
         return f"<{element}{attribute}>{inside}</{element}>"
 
     element, name = rng.choice(PARTS["main"])
-    body = [rng.choice((f"<h{rng.randint(1, 3)}>{words(9)}</h1>", ""))]
+    body = [rng.choice((heading(words(9), 3), ""))]
     for text in paragraphs:
         block = rng.choice(("p", "p", "p", "div", "blockquote", "li", "h2", "pre"))
         body.append(f"<{block}>{markup.escape(text)}</{block}>")
@@ -395,20 +403,17 @@ def fit_on(pages: DataFrame, *, sample: int = SAMPLE, sample_chars: int = SAMPLE
     return fit(labelled_pages(sample_of(pages, sample, sample_chars)))
 
 
-_known = remembers("main_text", {})
-
-
 class Reader:
     """Main text by a field; remembers the weight of each state."""
 
     def __init__(self, field: Field):
-        self.field, self.states, self.weights = field, States(), {}
+        self.field, self.states, self.weights = field, States(field.weight.keys()), {}
 
     def main_text(self, page: str | None) -> str:
         if not page:
             return ""
         if len(self.states.parent) > STATES:
-            self.states, self.weights = States(), {}
+            self.states, self.weights = States(self.field.weight.keys()), {}
         blocks = leaf_blocks(page, self.states)
         if not blocks:
             return ""
@@ -431,7 +436,7 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
 
     def read(batches):
         settle("main_text")
-        reader = _known.get(held.id) or _known.setdefault(held.id, Reader(held.value))
+        reader = Reader(held.value)
         for batch in batches:
             texts = [reader.main_text(page.as_py()) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

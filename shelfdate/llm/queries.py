@@ -5,6 +5,7 @@ from .embeddings import op3_pruned_graph
 from .imatch import op7_imatch_fingerprints
 from .language import op1_language_bitmask
 from .language_model import op5_log_frequency_bloom
+from .main_text import op11_main_text
 from .minhash import op8_minhash_components
 from .mixing import op9_length_count_mix
 from .packing import op4_deficit_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_minhash_components": op8_minhash_components,
     "op9_length_count_mix": op9_length_count_mix,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
+    "op11_main_text": op11_main_text,
     "op12_accumulator_search": op12_accumulator_search,
     "op13_prefix_trie": op13_prefix_trie,
 }

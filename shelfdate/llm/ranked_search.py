@@ -22,6 +22,7 @@ named ones are not read. A text is counted whole, in one task.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -162,7 +163,7 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, block_chars: int
         for r in counts.collect():  # one row per query term of this block
             often[r["terms"]] = r["df"]
         documents = size["documents"]
-        weight = np.floor(1000 * np.log((2 * documents + 2) / (2 * often + 1))).astype(np.int64)
+        weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1))) for df in often.tolist()], np.int64)
         coded = [(i, {number[t]: n for t, n in terms.items()}) for i, (_, terms) in enumerate(wanted)]
         best = best_of_shards(lists, sc.broadcast(coded), sc.broadcast(weight), sc.broadcast(often), documents, size["total"], k)
         order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())

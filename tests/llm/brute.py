@@ -107,3 +107,38 @@ def round_robin(totals, window, grain):
             order += [q] * (upto - sent[q])
             sent[q] = upto
     return order
+
+
+def trie_nodes(conversations):
+    """Rows of all nodes of the trie of {conv_id: [(role, text), ...]}, from sets of prefixes."""
+    members = collections.defaultdict(list)
+    for c, turns in sorted(conversations.items()):
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = collections.Counter(p[:-1] for p in members if p)
+    out = []
+    for p, own in members.items():
+        below = [q for q in members if q[:len(p)] == p]
+        ends = [c for c in own if len(conversations[c]) == len(p)]
+        out.append((own[0], len(p), members[p[:-1]][0] if p else None, len(own), children[p], sum(children[q] == 0 for q in below),
+                    sum((len(members[q]) - 1) * len(q[-1][1]) for q in below if q), hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def best_documents(docs, query, k=10):
+    """[(doc_id, score)] of the k best rows (doc_id, text), scoring every one."""
+    import re
+
+    def terms(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+    corpus = [(i, collections.Counter(w), len(w)) for i, t in docs if (w := terms(t))]
+    df = collections.Counter(t for _, c, _ in corpus for t in c)
+    n_docs, total = len(corpus), sum(n for _, _, n in corpus)
+    out = []
+    for i, c, n in corpus:
+        m = 100 - 75 + 75 * n * n_docs // total
+        score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in terms(query) if c[t])
+        if score > 0:
+            out.append((i, score))
+    return sorted(out, key=lambda r: (-r[1], r[0] is None, r[0] or 0))[:k]

@@ -14,7 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
-@pytest.mark.parametrize("name", ["op2_window_repeats", "op3_pruned_graph", "op6_snapshot_collapse", "op8_minhash_components"])
+@pytest.mark.parametrize("name", ["op2_window_repeats", "op3_pruned_graph", "op6_snapshot_collapse", "op8_minhash_components",
+                                  "op12_accumulator_search", "op13_prefix_trie"])
 def test_query_matches_sql(spark, name):
     message, same = compare(spark, connect(FOLDER), FOLDER, name)
     assert same, message
@@ -22,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_has_its_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
