@@ -5,7 +5,7 @@ the tags and the class, id and role words of its ancestors, and by its text (len
 digits, place in the page). The field has two labels, main text or not; its weights are learned by maximum likelihood
 (forward-backward, Adam, L2) and Viterbi's best labels decide.
 
-Labelled pages: of a sample of at most `SAMPLE` pages (smallest hashes of id and url, at most `SAMPLE_CHARS` long), those
+Labelled pages: of a sample of at most `SAMPLE` pages (smallest hashes of id, url and html, at most `SAMPLE_CHARS` long), those
 that mark their main part themselves (article, main, role main) are labelled by it, less the menus, notes, forms and
 comments inside. The paragraphs of the sample also fill pages of the layouts below, with and without such tags, whose
 parts are labelled by the layout. So pages whose markup says nothing plain are judged by what they share with these.
@@ -394,9 +394,11 @@ def labelled_pages(pages: list[str], seed: int = 7) -> list[tuple[list, list[int
 
 
 def sample_of(pages: DataFrame, size: int, chars: int) -> list[str]:
-    """At most `size` pages of at most `chars` characters: those with the smallest hashes of id and url."""
-    rows = pages.where(F.length("html").between(1, chars)).select(F.xxhash64("page_id", "url").alias("h"), "html").orderBy("h", "html").limit(size)
-    return [r["html"] for r in rows.collect()]
+    """At most `size` pages of at most `chars` characters: those with the smallest hashes. Only hashes in the share of all
+    that holds about twice the sample leave their tasks."""
+    share = min(1.0, 2 * size / max(1, pages.count()))
+    marked = pages.where(F.length("html").between(1, chars)).select(F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 40)).alias("h"), "html")
+    return [r["html"] for r in marked.where(F.col("h") < int(share * (1 << 40))).orderBy("h", "html").limit(size).collect()]
 
 
 def fit_on(pages: DataFrame, *, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Field:
