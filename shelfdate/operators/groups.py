@@ -104,10 +104,10 @@ class Together:
         return rows.withColumns({n: a.over(self.window) for n, a in facts.items()})
 
     def source_confidence(self, rows: DataFrame, picks: DataFrame) -> DataFrame:
-        """Lowest confidence among boxes with the text and centre of the selected one."""
-        return picks.withColumn("q", F.expr("""
-            array_min(transform(filter(sources, b -> b.text = selected.text and b.cx = selected.cx
-                                                     and b.cy = selected.cy), b -> b.confidence))"""))
+        """Lowest and highest confidence among boxes with the text and centre of the selected one."""
+        same = F.expr("""transform(filter(sources, b -> b.text = selected.text and b.cx = selected.cx
+                                                        and b.cy = selected.cy), b -> b.confidence)""")
+        return picks.withColumn("_same", same).withColumns({"q": F.array_min("_same"), "q_high": F.array_max("_same")}).drop("_same")
 
     def sources(self) -> Column:
         return F.collect_list(F.when(F.size("tokens") > 0, F.struct("text", "cx", "cy", "confidence")))
@@ -165,6 +165,6 @@ class Spread:
 
     def source_confidence(self, rows: DataFrame, picks: DataFrame) -> DataFrame:
         same = [*self.keys, "text", "cx", "cy"]
-        lowest = rows.where(F.size("tokens") > 0).groupBy(*same).agg(F.min("confidence").alias("q"))
+        lowest = rows.where(F.size("tokens") > 0).groupBy(*same).agg(F.min("confidence").alias("q"), F.max("confidence").alias("q_high"))
         wanted = picks.withColumns({n: F.col("selected")[n] for n in ("text", "cx", "cy")})
         return wanted.join(lowest, same, "left").drop("text", "cx", "cy")

@@ -87,15 +87,18 @@ def shadow_outcome(before: Column, after: Column, truth: Column) -> Column:
 
 
 def best_pass(passes: DataFrame, priority: dict[str, int]) -> DataFrame:
-    """Per image the pass with the best evidence: anchor preference, closeness, completeness,
-    number of valid fields, confidence, then a fixed priority."""
+    """Per image the pass with the best evidence: anchor preference, closeness, completeness, number of valid fields,
+    confidence, then a fixed priority. passes: rows of ``candidate_detail`` with the pass in ``stage``. Passes without a
+    candidate do not compete; an image that has no other keeps a row with null pass and the date ``NONE``."""
     rank = F.lit(0)
     for name, value in priority.items():
-        rank = F.when(F.col("pass") == name, F.lit(value)).otherwise(rank)
-    fields = [c for c in passes.columns if c != "image_id"]
-    return passes.groupBy("image_id").agg(F.max_by(F.struct(*fields), F.struct(
-        "anchor_preference", F.coalesce(-F.col("anchor_distance"), F.lit(0.0)), F.col("complete"),
-        "valid_fields", "confidence", rank)).alias("b")).select("image_id", "b.*")
+        rank = F.when(F.col("stage") == name, F.lit(value)).otherwise(rank)
+    kept = ("final_date", "source_text", "confidence", "anchor_preference", "anchor_distance", "valid_fields", "complete", "score")
+    order = F.struct("anchor_preference", F.coalesce(-F.col("anchor_distance"), F.lit(0.0)), "complete", "valid_fields", "confidence", rank)
+    return passes.groupBy("image_id").agg(
+        F.max_by(F.struct(F.col("stage").alias("pass"), *kept), F.when(F.col("has_candidate"), order)).alias("b"),
+        F.count("*").alias("passes"), F.count_if("has_candidate").alias("passes_with_candidate")
+    ).select("image_id", "passes", "passes_with_candidate", "b.*").withColumn("final_date", F.coalesce("final_date", F.lit(C.NONE)))
 
 
 def overlay(base: DataFrame, retry: DataFrame, when: str = "has_candidate") -> DataFrame:

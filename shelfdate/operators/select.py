@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import add_period, exists_on_calendar, final_date, is_complete, latest_meaning, render
+from ..functions.dates import add_period, exists_on_calendar, final_date, is_complete, latest_meaning, parts, render
 from ..rules import PRODUCTION, RuleSet
 from ..rules import constants as C
 from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, YEARLESS, HINTED, annotate, measure, tier_of
@@ -70,20 +70,23 @@ def _candidates(rows: DataFrame, groups) -> DataFrame:
         F.expr(f"has_anchor and has_exclude and {is_complete('k0')} and d_exclude < d_anchor"),
         F.struct("d_exclude", "box_index", "s", "text")))
     cands = groups.over(cands, reference=reference)
-    return cands.withColumn("k1", F.expr(f"""
+    top = f"""
         if(reference is not null and d_anchor < d_exclude,
            array_sort(transform(r, (q, i) -> named_struct(
              'rank', q.rank - if({is_complete('q.k')} and q.k > reference, {C.AFTER_MANUFACTURE_BONUS}, 0),
-             'i', i, 'k', q.k)))[0].k,
-           k0)"""))
+             'i', i, 'k', q.k, 'score', -q.rank)))[0],
+           named_struct('rank', 0, 'i', 0, 'k', k0, 'score', -r[0].rank))"""
+    return cands.withColumn("top", F.expr(top)).withColumns(
+        {"k1": F.col("top.k"), "score": F.col("top.score"), "score0": F.expr("-r[0].rank")}).drop("top")
 
 
 def _pick(cands: DataFrame, groups) -> DataFrame:
     found = F.col("k0").isNotNull()
     order = ["box_index", "s", "text"]
 
-    def chosen(k: str):
-        return F.struct(F.col(k).alias("k"), "text", "cx", "cy", "anchor", "exclude", "short", "bare", "attempted")
+    def chosen(k: str, score: str = "score0"):
+        return F.struct(F.col(k).alias("k"), "text", "cx", "cy", "anchor", "exclude", "short", "bare", "attempted",
+                        "d_anchor", "d_exclude", F.col(score).alias("score"))
 
     rank = F.when(found, F.expr(f"""
         if(has_anchor,
@@ -102,13 +105,13 @@ def _pick(cands: DataFrame, groups) -> DataFrame:
         F.max(F.when(found, F.col("words"))).alias("words_high"),
         F.min("k0").alias("k_low"), F.max("k0").alias("k_high"),
         F.min(dated).alias("base_low"), F.max(dated).alias("base_high"),
-        F.min_by(chosen("k1"), rank).alias("best"),
+        F.min_by(chosen("k1", "score"), rank).alias("best"),
         F.min_by(chosen("k0"), F.when(found, F.struct("k0", *order))).alias("earliest"),
         F.min_by(chosen("k0"), F.when(dated.isNotNull(), F.struct(*order))).alias("base"),
         F.min_by(chosen("k0"), F.when(found, F.struct(*order))).alias("first"),
         F.collect_set("k0").alias("found_dates"),   # bounded by the calendar
         F.first("period_low").alias("period_low"), F.first("period_high").alias("period_high"),
-        F.min("tier").alias("tier"),
+        F.min("tier").alias("tier"), F.max("has_anchor").alias("has_anchor"),
         groups.sources().alias("sources") if isinstance(groups, Together) else F.max(F.lit(None)).alias("sources"),
     )
 
@@ -119,7 +122,7 @@ def _decide(picks: DataFrame, rules: RuleSet) -> DataFrame:
     moved = add_period("base.k", amount, unit)
     derived = {
         "computed": f"if({moved} is null, null, struct({moved} as k, base.text, base.cx, base.cy, base.anchor, "
-                    "base.exclude, base.short, base.bare, base.attempted))",
+                    "base.exclude, base.short, base.bare, base.attempted, base.d_anchor, base.d_exclude, 0 as score))",
         "printed_base": f"if({moved} is null, null, first)",
         "off": "null",
     }[rules.period]
@@ -154,17 +157,61 @@ def _evidence(picks: DataFrame) -> DataFrame:
     )
 
 
-def _run(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
+def _detail(picks: DataFrame) -> DataFrame:
+    k, has = F.col("selected.k"), F.col("selected").isNotNull()
+    year, month, day = (F.coalesce(p.isNotNull().cast("int"), F.lit(0)) for p in parts(k))
+    near = F.col("selected.d_anchor") <= F.col("selected.d_exclude")
+    return picks.select(
+        *KEYS, F.coalesce(final_date(k), F.lit(C.NONE)).alias("final_date"), has.alias("has_candidate"),
+        F.coalesce("selected.text", F.lit("")).alias("source_text"),
+        F.coalesce("q_high", F.lit(0.0)).alias("confidence"),
+        (has & F.col("has_anchor")).alias("anchor_found"),
+        F.when(has & F.col("has_anchor"), F.when(near, 2).otherwise(1)).otherwise(0).alias("anchor_preference"),
+        F.when(has & F.col("has_anchor"), F.col("selected.d_anchor")).alias("anchor_distance"),
+        (year + month + day).alias("valid_fields"),
+        F.coalesce(F.expr(is_complete("selected.k")), F.lit(False)).alias("complete"),
+        F.col("selected.score").alias("score"))
+
+
+def _marked(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
     rows = groups.prepare(annotate(groups.place(measure(boxes)), rules))
-    rows = _choose_tier(groups.facts(rows), groups)
+    return _choose_tier(groups.facts(rows), groups)
+
+
+def _run(boxes: DataFrame, groups, rules: RuleSet, view) -> DataFrame:
+    rows = _marked(boxes, groups, rules)
     picks = _decide(_pick(_candidates(rows, groups), groups), rules)
-    return _evidence(groups.source_confidence(rows, picks))
+    return view(groups.source_confidence(rows, picks))
+
+
+def _candidate_rows(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
+    found = _candidates(_marked(boxes, groups, rules), groups).where("k0 is not null")
+    return found.select(
+        *KEYS, "box_index", F.col("s").alias("start"), "text", "confidence", "tier", F.col("own").alias("self_excluded"),
+        final_date(F.col("k0")).alias("printed_date"), final_date(F.col("k1")).alias("final_date"), "score",
+        *[F.when(F.col(d) < F.expr("double('infinity')"), F.col(d)).alias(d) for d in ("d_anchor", "d_exclude")])
+
+
+def candidate_rows(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
+    """One row per candidate date of the tier that counts in its (image, stage): where it is printed, its best reading, that
+    reading beside a manufacture date (final_date), its score and its distances to the nearest words of both kinds."""
+    return _parse(boxes, lambda part, groups: _candidate_rows(part, groups, rules), **options)
+
+
+def candidate_detail(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
+    """One row per (image, stage) with the evidence of its chosen candidate: text, highest confidence among the boxes with
+    that text and centre, preference (2 nearer to an expiry word than to a manufacture word, 1 farther, 0 without expiry
+    word), distance to the nearest expiry word, known parts, completeness and score of the reading."""
+    return _parse(boxes, lambda part, groups: _run(part, groups, rules, _detail), **options)
+
+
+def stage_results(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
+    """Date and evidence of every (image, stage) in a box table; options as in :func:`_parse`."""
+    return _parse(boxes, lambda part, groups: _run(part, groups, rules, _evidence), **options)
 
 
-def stage_results(boxes: DataFrame, rules: RuleSet = PRODUCTION, *,
-                  crowded: DataFrame | bool | None = None,
-                  max_group_boxes: int = MAX_GROUP_BOXES) -> DataFrame:
-    """Date and evidence of every (image, stage) in a box table.
+def _parse(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = None, max_group_boxes: int = MAX_GROUP_BOXES) -> DataFrame:
+    """``run`` on the boxes of all images.
 
     ``crowded`` tells which images hold more boxes than one task should keep together: a
     table with ``image_id``, ``False`` when the caller knows there are none, or ``None`` to
@@ -175,11 +222,11 @@ def stage_results(boxes: DataFrame, rules: RuleSet = PRODUCTION, *,
         if crowded.isEmpty():
             crowded = False
     if crowded is False:
-        return _run(boxes, Together(), rules)
+        return run(boxes, Together())
     ids = crowded.select("image_id").distinct()
     plain = boxes.join(ids, "image_id", "left_anti")
     dense = boxes.join(ids, "image_id", "left_semi")
-    return _run(plain, Together(), rules).unionByName(_run(dense, Spread(), rules))
+    return run(plain, Together()).unionByName(run(dense, Spread()))
 
 
 def parse_dates(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:

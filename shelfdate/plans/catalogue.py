@@ -16,7 +16,7 @@ from ..operators import review as R
 from ..operators.boxes import annotate, date_tokens, measure
 from ..operators.boxes import stage_texts as stage_texts_of
 from ..operators.quantiles import exclusive_quantile
-from ..operators.select import stage_results
+from ..operators.select import candidate_detail, candidate_rows, stage_results
 from ..rules import PRODUCTION
 from ..rules import constants as C
 from ..rules.patterns import DATE_PATTERNS
@@ -199,15 +199,30 @@ def outcome_categories(spark, sf):
     return wide.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def _pass_boxes(spark, sf):
+    """Boxes of five passes; some dates lack their day, some boxes hold no date."""
+    key, d = F.col("l_partkey"), F.col("truth")
+    word = F.when(F.col("l_returnflag") == "A", "EXP ").when(F.col("l_returnflag") == "R", "MFG ").otherwise("")
+    text = F.when(key % 17 == 0, "INGREDIENTS").when(key % 13 == 0, F.concat(word, F.date_format(d, "yyyy.MM"))).otherwise(
+        F.concat(word, T.rendered(d, key % 6)))
+    return T.lineitem_boxes(spark, sf, text=text, stage=T.stage_of())
+
+
+def candidates_of_passes(spark, sf):
+    rows = candidate_rows(_pass_boxes(spark, sf))
+    return rows.select("image_id", "stage", "box_index", "start", "printed_date", "final_date", "score", "self_excluded", "tier",
+                       *[F.round(d, 6).alias(d) for d in ("d_anchor", "d_exclude")])
+
+
+def candidate_detail_per_pass(spark, sf):
+    rows = candidate_detail(_pass_boxes(spark, sf))
+    return rows.withColumns({"anchor_distance": F.round("anchor_distance", 6), "confidence": F.round("confidence", 6)})
+
+
 def best_pass_per_image(spark, sf):
-    passes = T.stage_table(spark, sf).select(
-        "image_id", F.col("stage").alias("pass"), "final_date",
-        F.when(F.col("self_anchor"), 2).when(F.col("self_exclude"), 0).when(F.col("has_candidate"), 1).otherwise(0).alias("anchor_preference"),
-        F.when(F.col("has_candidate"), F.round(F.col("seconds") * 100)).alias("anchor_distance"),
-        (~F.col("final_date").contains("NONE")).alias("complete"),
-        (3 - F.size(F.split("final_date", "NONE")) + 1).alias("valid_fields"), F.coalesce("q", F.lit(0.0)).alias("confidence"))
     priority = {s: 10 - i for i, s in enumerate(C.STAGES)}
-    return PO.best_pass(passes, priority).select("image_id", "pass", "final_date")
+    best = PO.best_pass(candidate_detail(_pass_boxes(spark, sf)), priority)
+    return best.withColumns({"anchor_distance": F.round("anchor_distance", 6), "confidence": F.round("confidence", 6)})
 
 
 def retry_overlay(spark, sf):
@@ -555,7 +570,8 @@ QUERIES = {f.__name__: f for f in (
     labelled_set_earliest, period_from_manufacture, manufacture_rerank, adjacent_day_join, nearest_year_join,
     format_hint_per_image, slash_order_per_image, fallback_tiers, stage_evidence, replay_accuracy, rule_ablation,
     date_mentions_in_documents, cascade_production, cascade_first_candidate, cascade_order_trials, review_route,
-    policy_grid, retry_trigger_summary, outcome_categories, best_pass_per_image, retry_overlay,
+    policy_grid, retry_trigger_summary, outcome_categories, candidates_of_passes, candidate_detail_per_pass,
+    best_pass_per_image, retry_overlay,
     merged_stage_sources, hybrid_fill, accuracy_by_truth_group, gains_regressions, policy_comparison, stage_oracle,
     candidate_oracle, early_stop_oracle, failure_stage_counts, wrong_answer_kinds, late_date_errors, error_classes,
     method_attempt_counts, coverage_gap, baseline_issues, grown_attempts, oracle_change, run_summary, method_table,

@@ -189,6 +189,38 @@ SHORT_READ = ("CASE WHEN day(d) >= 15 AND year(d) - 2000 <= day(last_day(make_da
               "THEN make_date(2000 + day(d), month(d), year(d) - 2000) ELSE d END")
 WORK = "p / n + 1.96 * 1.96 / (2 * n)"
 
+
+def shown(day: str) -> str:
+    """A date of the passes below as text; dates without a day are the first of their month, marked by `part`."""
+    return f"CASE WHEN part THEN strftime({day}, '%Y-%m') || '-NONE' ELSE strftime({day}, '%Y-%m-%d') END"
+
+
+#: Candidates (k) and evidence (det) of every (image, stage) over boxes with complete dates, months, and no date.
+PASSES = f"""WITH {LI}, x AS (SELECT img AS image_id, {STAGE_NAME} AS stage, ord, conf, cx, cy, l_partkey % 13 = 0 AS part, l_partkey % 17 = 0 AS blank, l_partkey,
+    CASE WHEN l_partkey % 17 = 0 THEN 'N' ELSE l_returnflag END AS kw, d FROM li),
+b AS (SELECT image_id, stage, ord, conf, cx, cy, part, kw, CASE WHEN part THEN date_trunc('month', d)::DATE ELSE d END AS d,
+    CASE WHEN part THEN [d] ELSE list_filter([d, {SWAPPED}], lambda v: v IS NOT NULL) END AS alts, CASE WHEN part THEN last_day(d) ELSE d END AS until,
+    CASE WHEN part THEN 13 WHEN l_partkey % 6 = 2 THEN CASE WHEN day(d) = month(d) THEN 11 ELSE 12 END ELSE 13 END AS own_score, CASE WHEN l_partkey % 6 = 2 THEN 11 ELSE 10 END AS other_score,
+    CASE kw WHEN 'A' THEN 'EXP ' WHEN 'R' THEN 'MFG ' ELSE '' END || CASE WHEN part THEN strftime(d, '%Y.%m') ELSE {FORMATTED} END AS text FROM x WHERE NOT blank),
+dist AS (SELECT b.image_id, b.stage, b.ord, min(CASE WHEN p.kw = 'A' THEN sqrt((b.cx - p.cx) ^ 2 + (b.cy - p.cy) ^ 2) END) AS da,
+    min(CASE WHEN p.kw = 'R' THEN sqrt((b.cx - p.cx) ^ 2 + (b.cy - p.cy) ^ 2) END) AS de FROM b JOIN b p USING (image_id, stage) GROUP BY ALL),
+m AS (SELECT * FROM b JOIN dist USING (image_id, stage, ord)),
+ref AS (SELECT image_id, stage, d AS ref FROM m WHERE da IS NOT NULL AND de < da AND NOT part QUALIFY row_number() OVER (PARTITION BY image_id, stage ORDER BY de, ord) = 1),
+k AS (SELECT * REPLACE (CASE WHEN part OR k1 IS NULL THEN d ELSE k1 END AS k1), CASE WHEN part OR k1 IS NULL OR k1 = d THEN own_score ELSE other_score END AS score
+    FROM (SELECT m.*, CASE WHEN ref IS NOT NULL AND da < coalesce(de, 'infinity'::DOUBLE) THEN list_filter(alts, lambda v: v > ref)[1] END AS k1 FROM m LEFT JOIN ref USING (image_id, stage))),
+agg AS (SELECT image_id, stage, bool_and(kw = 'R') AS all_own, count(*) >= 2 AND count(DISTINCT text) = count(*) AND bool_and(kw = 'A' AND NOT part) AND count(DISTINCT d) >= 2 AS labelled
+    FROM b GROUP BY ALL),
+won AS (SELECT k.*, labelled FROM k JOIN agg USING (image_id, stage) WHERE NOT all_own QUALIFY row_number() OVER (PARTITION BY image_id, stage ORDER BY
+    CASE WHEN labelled THEN d END, CASE WHEN da IS NULL THEN part::INT WHEN kw = 'R' THEN 1 ELSE 0 END, CASE WHEN da > coalesce(de, 'infinity'::DOUBLE) THEN 1 ELSE 0 END,
+    CASE WHEN da IS NULL THEN (CASE WHEN NOT part THEN k1 END) ELSE CASE WHEN part THEN until ELSE k1 END END DESC NULLS LAST, da, ord) = 1),
+det AS (SELECT g.image_id, g.stage, w.ord IS NOT NULL AS has_candidate, CASE WHEN w.labelled THEN w.d ELSE w.k1 END AS day, coalesce(w.part, false) AS part, coalesce(w.text, '') AS text,
+    coalesce(max(s.conf), 0) AS raw_confidence, w.da AS raw_distance, w.de, CASE WHEN w.labelled THEN w.own_score ELSE w.score END AS score
+  FROM (SELECT DISTINCT image_id, stage FROM x) g LEFT JOIN won w USING (image_id, stage)
+  LEFT JOIN b s ON s.image_id = w.image_id AND s.stage = w.stage AND s.text = w.text AND s.cx = w.cx AND s.cy = w.cy GROUP BY ALL)"""
+DETAIL = f"""CASE WHEN has_candidate THEN {shown('day')} ELSE 'NONE' END AS final_date, has_candidate, text AS source_text, round(raw_confidence, 6) AS confidence,
+    raw_distance IS NOT NULL AS anchor_found, CASE WHEN raw_distance IS NULL THEN 0 WHEN raw_distance <= coalesce(de, 'infinity'::DOUBLE) THEN 2 ELSE 1 END AS anchor_preference,
+    round(raw_distance, 6) AS anchor_distance, CASE WHEN NOT has_candidate THEN 0 WHEN part THEN 2 ELSE 3 END AS valid_fields, has_candidate AND NOT part AS complete, score"""
+
 ORACLES: dict[str, str] = {
     "parse_rendered_dates": f"WITH {LI} SELECT line_img AS image_id, {ISO} AS final_date FROM li GROUP BY 1, 2",
     "token_pattern_counts": f"""WITH {LI} SELECT CASE l_partkey % 6 WHEN 2 THEN 'odd_separators_year_last' WHEN 3 THEN 'yyyymmdd'
@@ -260,11 +292,15 @@ ORACLES: dict[str, str] = {
         ELSE 'wrong_to_different_wrong' END AS outcome, count(*) AS n
         FROM (SELECT DISTINCT image_id FROM st) i LEFT JOIN st o ON o.image_id = i.image_id AND o.stage = 'original_512'
         LEFT JOIN st h ON h.image_id = i.image_id AND h.stage = 'highres_1024' JOIN tr ON tr.image_id = i.image_id GROUP BY 1""",
-    "best_pass_per_image": f"""WITH {ST} SELECT image_id, stage AS pass, f AS final_date FROM st QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY
-        CASE WHEN sa THEN 2 WHEN se THEN 0 WHEN has THEN 1 ELSE 0 END DESC,
-        CASE WHEN has THEN -round(l_tax * 100) ELSE 0.0 END DESC, f NOT LIKE '%NONE%' DESC,
-        CASE WHEN f = 'NONE' THEN 2 WHEN f LIKE '%NONE%' THEN 2 ELSE 3 END DESC, coalesce(q, 0.0) DESC,
-        list_position(['original_512', 'rotation_270', 'highres_1024', 'clahe', 'clahe_1024'], stage)) = 1""",
+    "candidates_of_passes": f"""{PASSES} SELECT image_id, stage, ord AS box_index, CASE WHEN kw = 'N' THEN 0 ELSE 4 END AS start,
+        {shown('d')} AS printed_date, {shown('k1')} AS final_date, score, kw = 'R' AS self_excluded, 1 AS tier, round(da, 6) AS d_anchor, round(de, 6) AS d_exclude FROM k""",
+    "candidate_detail_per_pass": f"""{PASSES} SELECT image_id, stage, {DETAIL} FROM det""",
+    "best_pass_per_image": f"""{PASSES} SELECT image_id, passes, passes_with_candidate, CASE WHEN found THEN stage END AS pass, coalesce(final_date, 'NONE') AS final_date,
+        CASE WHEN found THEN source_text END AS source_text, CASE WHEN found THEN confidence END AS confidence, CASE WHEN found THEN anchor_preference END AS anchor_preference,
+        anchor_distance, CASE WHEN found THEN valid_fields END AS valid_fields, CASE WHEN found THEN complete END AS complete, score FROM (
+        SELECT *, has_candidate AS found, count(*) OVER (PARTITION BY image_id) AS passes, count(*) FILTER (has_candidate) OVER (PARTITION BY image_id) AS passes_with_candidate,
+          row_number() OVER (PARTITION BY image_id ORDER BY has_candidate DESC, anchor_preference DESC, coalesce(-raw_distance, 0) DESC, complete DESC, valid_fields DESC,
+            raw_confidence DESC, list_position({list(STAGES)}, stage)) AS rn FROM (SELECT image_id, stage, {DETAIL}, raw_distance, raw_confidence FROM det)) WHERE rn = 1""",
     "retry_overlay": f"""WITH {ST}, {FIRST} SELECT fc.image_id, CASE WHEN k.has THEN k.f ELSE fc.f END AS final_date, coalesce(k.has, false) AS overlaid
         FROM fc LEFT JOIN st k ON k.image_id = fc.image_id AND k.stage = 'clahe_1024'""",
     "merged_stage_sources": f"WITH {ST} SELECT CASE WHEN has THEN 'early' ELSE 'late' END AS origin, stage, count(*) AS n FROM st GROUP BY 1, 2",
