@@ -28,6 +28,11 @@ def crowded_images(boxes: DataFrame, limit: int = MAX_GROUP_BOXES) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > limit)
 
 
+def slim(rows: DataFrame) -> DataFrame:
+    """Annotated boxes as they are exchanged: only boxes with a date token keep their text."""
+    return rows.withColumn("text", F.when(F.size("tokens") > 0, F.col("text")))
+
+
 def _point(kind: Column, *extra: str) -> Column:
     return F.when(F.col("placed") & kind, F.struct("cx", "cy", *extra))
 
@@ -55,13 +60,9 @@ class Together:
     def __init__(self, keys=KEYS):
         self.window = Window.partitionBy(*keys)
 
-    def place(self, boxes: DataFrame) -> DataFrame:
-        # the only exchange: every window below and the cascade's grouping by image reuse it,
-        # and it spreads the text work evenly however the input files are split
-        return boxes.repartition("image_id")
-
     def prepare(self, rows: DataFrame) -> DataFrame:
-        return rows
+        # the only exchange: every window below and the cascade's grouping by image reuse it
+        return slim(rows).repartition("image_id")
 
     def facts(self, rows: DataFrame) -> DataFrame:
         points = {
@@ -119,11 +120,8 @@ class Spread:
     def __init__(self, keys=KEYS):
         self.keys = keys
 
-    def place(self, boxes: DataFrame) -> DataFrame:
-        return boxes.repartition("image_id", "stage", "box_index")
-
     def prepare(self, rows: DataFrame) -> DataFrame:
-        return spatial.cut(rows)
+        return spatial.cut(slim(rows))
 
     def over(self, rows: DataFrame, **facts: Column) -> DataFrame:
         # one row per crowded group: there are at most rows / MAX_GROUP_BOXES of them, and

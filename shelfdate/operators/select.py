@@ -174,7 +174,7 @@ def _detail(picks: DataFrame) -> DataFrame:
 
 
 def _marked(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
-    rows = groups.prepare(annotate(groups.place(measure(boxes)), rules))
+    rows = groups.prepare(annotate(measure(boxes), rules))
     return _choose_tier(groups.facts(rows), groups)
 
 

@@ -1,6 +1,7 @@
 """Exact spatial search for image groups too large for one task.
 
-Points are summarised in a pyramid of grid cells with tight bounds.  Probes descend three
+Points are summarised in a pyramid of cells with tight bounds; cells halve the ranks of the
+points, so one far point does not press the others into one cell.  Probes descend three
 levels at a time and keep only the cells that can still hold their answer, so no step pairs
 every probe with every point, and no group is gathered anywhere.
 """
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..rules import constants as C
 
-DEPTH, STEP, LEAF_POINTS = 24, 3, 64
+STEP, LEAF_POINTS = 3, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,21 +27,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _gridded(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points with their cell at the deepest level of their group's own square."""
-    bounds = points.groupBy(*keys).agg(
-        F.min("px").alias("_x"), F.min("py").alias("_y"),
-        F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py"), F.lit(1e-9)).alias("_span"))
-    top = (1 << DEPTH) - 1
-
-    def cell(value: str, low: str):
-        return F.least(F.floor((F.col(value) - F.col(low)) / F.col("_span") * (1 << DEPTH)), F.lit(top))
-
-    return points.join(bounds, keys).withColumns({"i": cell("px", "_x"), "j": cell("py", "_y")}).drop("_x", "_y", "_span")
-
-
-def _cells(points: DataFrame, keys: list[str], level: int) -> DataFrame:
-    shift, up = DEPTH - level, STEP
+def _numbered(values: DataFrame, keys: list[str], value: str, number: str) -> DataFrame:
+    """Distinct (keys, value) with the place of the value among those of its group, from 0. Places come from one range sort
+    over all groups, so a group may spread over any number of tasks; the driver holds one count per task."""
+    ordered = cut(values.select(*keys, value).distinct().repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+                  .withColumn("_at", F.monotonically_increasing_id()))
+    task, row = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before, offsets = 0, []
+    for r in ordered.groupBy(task.alias("task")).count().orderBy("task").collect():
+        offsets.append((r["task"], before))
+        before += r["count"]
+    starts = ordered.sparkSession.createDataFrame(offsets, "_task bigint, _before bigint")
+    placed = ordered.withColumn("_task", task).join(F.broadcast(starts), "_task").withColumn("_at", row + F.col("_before"))
+    first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return placed.join(first, keys).select(*keys, value, (F.col("_at") - F.col("_first")).alias(number))
+
+
+def _gridded(points: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Points with their ranks by x and by y in their group as cell numbers of the deepest level, and that level: halving
+    the ranks splits at the median, however the coordinates lie, and at the deepest level a cell is one point."""
+    at = points
+    for value, number in (("px", "i"), ("py", "j")):
+        at = at.join(_numbered(points, keys, value, number), [*keys, value])
+    at = cut(at)
+    most = at.agg(F.max(F.greatest("i", "j"))).first()[0] or 0
+    return at, -(-max(1, most.bit_length()) // STEP) * STEP
+
+
+def _cells(points: DataFrame, keys: list[str], level: int, depth: int) -> DataFrame:
+    shift, up = depth - level, STEP
     at = points.select(*keys, "px", "py", F.shiftright("i", shift).alias("i"), F.shiftright("j", shift).alias("j"))
     return at.groupBy(*keys, "i", "j").agg(
         F.min("px").alias("lx"), F.max("px").alias("hx"), F.min("py").alias("ly"), F.max("py").alias("hy"),
@@ -54,22 +69,22 @@ FAR_X = "greatest(abs(cx - lx), abs(cx - hx))"
 FAR_Y = "greatest(abs(cy - ly), abs(cy - hy))"
 
 
-def _descend(probes: DataFrame, points: DataFrame, keys: list[str], probe: list[str], keep):
+def _descend(probes: DataFrame, points: DataFrame, keys: list[str], probe: list[str], depth: int, keep):
     """(frontier, level): for every probe the cells ``keep`` could not rule out."""
     frontier = probes.withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint")})
     level = 0
     while True:
         level += STEP
-        below = _cells(points, keys, level).withColumnsRenamed({"i": "ci", "j": "cj"})
+        below = _cells(points, keys, level, depth).withColumnsRenamed({"i": "ci", "j": "cj"})
         parents = frontier.select(*probe, F.col("i").alias("pi"), F.col("j").alias("pj"))
         frontier = cut(keep(parents.join(below, [*keys, "pi", "pj"])).withColumnsRenamed({"ci": "i", "cj": "j"}))
         widest = frontier.agg(F.max("points")).first()[0]
-        if widest is None or widest <= LEAF_POINTS or level >= DEPTH:
+        if widest is None or widest <= LEAF_POINTS or level >= depth:
             return frontier, level
 
 
-def _leaves(frontier: DataFrame, points: DataFrame, keys: list[str], probe: list[str], level: int) -> DataFrame:
-    shift = DEPTH - level
+def _leaves(frontier: DataFrame, points: DataFrame, keys: list[str], probe: list[str], level: int, depth: int) -> DataFrame:
+    shift = depth - level
     at = points.withColumns({"i": F.shiftright("i", shift), "j": F.shiftright("j", shift)})
     return frontier.select(*probe, "i", "j").join(at, [*keys, "i", "j"])
 
@@ -80,7 +95,7 @@ def nearest(probes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     unique = points.select(*keys, F.col("cx").alias("px"), F.col("cy").alias("py"),
                            *(["payload"] if "payload" in points.columns else [])
                            ).groupBy(*keys, "px", "py").agg(payload.alias("payload"))
-    gridded = cut(_gridded(unique, keys))
+    gridded, depth = _gridded(unique, keys)
     probe = [*keys, "cx", "cy"]
     mine = Window.partitionBy(*probe)        # a handful of cells per probe
 
@@ -91,8 +106,8 @@ def nearest(probes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
         best = bounded.withColumn("best", F.min("high").over(mine))
         return best.where("low <= best * (1 + 1e-9)").drop("low", "high", "best")
 
-    frontier, level = _descend(probes.distinct(), gridded, keys, probe, keep)
-    pairs = _leaves(frontier, gridded, keys, probe, level)
+    frontier, level = _descend(probes.distinct(), gridded, keys, probe, depth, keep)
+    pairs = _leaves(frontier, gridded, keys, probe, level, depth)
     gap = F.struct(F.expr("sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py))").alias("d"), "payload")
     return pairs.groupBy(*probe).agg(F.min(gap).alias("g")).select(*probe, "g.d", "g.payload")
 
@@ -102,7 +117,7 @@ def label_on_line(probes: DataFrame, labels: DataFrame, keys: list[str]) -> Data
     probe = [*keys, "cx", "cy", "h"]
     wanted = probes.select(*probe).distinct()
     unique = labels.select(*keys, F.col("cx").alias("px"), F.col("cy").alias("py")).distinct()
-    gridded = cut(_gridded(unique, keys))
+    gridded, depth = _gridded(unique, keys)
     limit = f"{C.NEAR_HEIGHTS} * h"
     mine = Window.partitionBy(*probe)
 
@@ -115,8 +130,8 @@ def label_on_line(probes: DataFrame, labels: DataFrame, keys: list[str]) -> Data
         return settled.where("inside or not any_inside").withColumn(
             "points", F.when(F.col("any_inside"), F.lit(1)).otherwise(F.col("points"))).drop("inside", "any_inside")
 
-    frontier, level = _descend(wanted, gridded, keys, probe, keep)
-    pairs = _leaves(frontier, gridded, keys, probe, level)
+    frontier, level = _descend(wanted, gridded, keys, probe, depth, keep)
+    pairs = _leaves(frontier, gridded, keys, probe, level, depth)
     hit = pairs.where(f"abs(cy - py) <= h and sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py)) <= {limit}")
     return hit.select(*probe).distinct().withColumn("label_near", F.lit(True))
 

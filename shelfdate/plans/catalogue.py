@@ -41,7 +41,7 @@ def parse_rendered_dates(spark, sf):
 
 
 def token_pattern_counts(spark, sf):
-    rows = annotate(measure(T.lineitem_boxes(spark, sf).repartition("image_id")), PRODUCTION)
+    rows = annotate(measure(T.lineitem_boxes(spark, sf)), PRODUCTION)
     names = F.array(*[F.lit(p.name) for p in DATE_PATTERNS])
     tokens = date_tokens(rows)
     return tokens.groupBy(F.get(names, F.col("t.no")).alias("pattern")).agg(F.count("*").alias("n"))
@@ -143,15 +143,15 @@ def rule_ablation(spark, sf):
 
 def date_mentions_in_documents(spark, sf):
     """Dates in free text, whole texts: texts, texts with a date, and dates per kind of text."""
-    names = {"documents": "text", "pages": "html", "conversations": "text"}
+    names = {"documents": ("text", "doc_id"), "pages": ("html", "page_id"), "conversations": ("text", "conv_id", "turn")}
     flat = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
     texts = None
-    for name, column in names.items():
-        part = T.table(spark, sf, name).select(F.lit(name).alias("stage"), F.col(column).alias("text"))
+    for name, (column, *keys) in names.items():
+        part = T.dealt(T.table(spark, sf, name), *keys).select(F.lit(name).alias("stage"), F.col(column).alias("text"))
         texts = part if texts is None else texts.unionByName(part)
-    boxes = texts.select(F.xxhash64("text").cast("string").alias("image_id"), "stage",
+    boxes = texts.select(F.lit("").alias("image_id"), "stage",
                          F.lit(0).cast("bigint").alias("box_index"), "text", F.lit(1.0).alias("confidence"), flat.alias("bbox"))
-    rows = annotate(measure(boxes.repartition("image_id")), PRODUCTION)
+    rows = annotate(measure(boxes), PRODUCTION)
     dated = F.size(F.filter("tokens", lambda t: t["no"] < 100))
     return rows.select(F.col("stage").alias("kind"), dated.alias("n")).groupBy("kind").agg(
         F.count("*").alias("texts"), F.count_if(F.col("n") > 0).alias("with_date"), F.sum("n").alias("dates"))

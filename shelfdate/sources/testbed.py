@@ -1,7 +1,7 @@
 """Box, stage and label tables derived from the TPC-H-like test tables.
 
-Everything is a projection of the source rows: no numbering window, no shuffle, so the tables
-grow with their source and cost no more than a scan.
+Everything is a projection of the source rows, without a numbering window, so the tables grow with their source and
+cost no more than a scan; only rows of a table of few parts are dealt out first, before their texts are made.
 """
 
 from __future__ import annotations
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key where the scan has fewer parts than there are cores (a small file is one part, however much
+    work its rows make); larger tables stay as they are read."""
+    parts = df._jdf.rdd().getNumPartitions()
+    return df.repartition(*keys) if parts < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def moved(column: str) -> Column:
     return F.add_months(F.col(column).cast("date"), 12 * YEARS_AHEAD)
 
@@ -45,7 +52,7 @@ def lineitem_boxes(spark: SparkSession, sf_dir: str, *, text: Column | None = No
                    stage: Column | None = None, keep: Column | None = None,
                    image: Column | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """One text box per line item; ``truth`` is the date it shows."""
-    li = table(spark, sf_dir, "lineitem")
+    li = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     if keep is not None:
         li = li.where(keep)
     li = li.withColumn("truth", moved("l_shipdate"))
@@ -77,7 +84,7 @@ def per_line(li_prefix: str = "") -> Column:
 
 def companion_boxes(spark: SparkSession, sf_dir: str, layout: list[tuple[Column, Column, Column, float, Column]]) -> DataFrame:
     """Several boxes per line item; the layout lists (text, x, y, width, confidence)."""
-    li = table(spark, sf_dir, "lineitem").withColumn("truth", moved("l_shipdate"))
+    li = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey").withColumn("truth", moved("l_shipdate"))
     boxes = F.array(*[F.struct(F.lit(i).cast("bigint").alias("box_index"), t.alias("text"),
                                c.cast("double").alias("confidence"), rectangle(x, y, w).alias("bbox"))
                       for i, (t, x, y, w, c) in enumerate(layout)])
@@ -87,7 +94,7 @@ def companion_boxes(spark: SparkSession, sf_dir: str, layout: list[tuple[Column,
 def order_boxes(spark: SparkSession, sf_dir: str, texts: list[Column], keep: Column | None = None,
                 first_index: int = 0) -> DataFrame:
     """Stacked boxes per order; null texts give no box."""
-    orders = table(spark, sf_dir, "orders")
+    orders = dealt(table(spark, sf_dir, "orders"), "o_orderkey")
     if keep is not None:
         orders = orders.where(keep)
     orders = orders.withColumn("truth", moved("o_orderdate"))

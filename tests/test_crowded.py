@@ -47,3 +47,31 @@ def test_nearest_equals_brute_force(spark):
     for _, x, y in probes:
         want = min(((x - a) ** 2 + (y - b) ** 2) ** .5 for _, a, b in points)
         assert abs(got[(x, y)] - want) < 1e-9
+
+
+def test_crowd_beyond_the_limit_with_one_far_box(spark):
+    """More boxes than the limit, most in one corner and one far away: the same rows as by window."""
+    rng = random.Random(9)
+    rows = [("big", "clahe", i, rng.choice(WORDS) if i % 3 else f"20{24 + i % 6}.0{1 + i % 9}.{10 + i % 18}", .9,
+             rect(rng.randint(0, 300), rng.randint(0, 300), 60, 20)) for i in range(4300)]
+    rows.append(("big", "clahe", 5000, "EXP", .9, rect(1e12, -1e12, 60, 20)))
+    boxes = spark.createDataFrame(rows, BOXES).persist()
+    assert as_rows(stage_results(boxes)) == as_rows(stage_results(boxes, crowded=False))
+
+
+def test_ranks_split_points_that_share_one_spot_of_a_fixed_grid(spark):
+    points = [("a", 1e-9 * i, 0.0) for i in range(2000)] + [("a", 1e15, 1e15)]
+    schema = "image_id string, px double, py double"
+    gridded, depth = spatial._gridded(spark.createDataFrame(points, schema), ["image_id"])
+    assert depth >= 11 and gridded.selectExpr("max(i)").first()[0] == 2000
+    widest = spatial._cells(gridded, ["image_id"], 6, depth).selectExpr("max(points)").first()[0]
+    assert widest <= 64
+
+
+def test_exchange_moves_no_text_of_undated_boxes(spark):
+    boxes = spark.createDataFrame([("a", "clahe", 0, "no date here", .9, rect(0, 0, 9, 9)), ("a", "clahe", 1, "2027.01.02", .9, rect(0, 0, 9, 9))], BOXES)
+    from shelfdate.operators.boxes import annotate, measure
+    from shelfdate.operators.groups import slim
+    assert [r.text for r in slim(annotate(measure(boxes))).orderBy("box_index").collect()] == [None, "2027.01.02"]
+    plan = stage_results(boxes, crowded=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(image_id") == 1
