@@ -10,11 +10,13 @@
    own list the search expands through everything in range, until no new vector is in range. Each hit is verified by
    its cosine in double precision. A pair is counted by the lowest shard that both vectors are in, so by one task.
 5. Tasks report the links of each vector and one label per local component; large-star and small-star join the labels.
-6. Audit: for a bounded sample of vectors the links are counted by brute force against all rows, in blocks; while the
-   found share is below `recall`, everything is built anew with twice the overlap.
+6. Audit: for a bounded sample of vectors, which grows until it has seen enough links, the links are counted by brute
+   force against all rows, in blocks; while the found share is below `recall`, everything is built anew with twice the
+   overlap. A share below 0.9 in the end is an error, and without any link in the sample there is no share (null).
 
 Defined cases: a vector that is null, zero or holds null or non-finite components links with nothing; vectors link only
-with vectors of their own length; rows without id link with nothing and are kept; repeated rows count as vectors of
+with vectors of their own length; components of any size a double holds count, as vectors are scaled before their norm
+is taken; rows without id link with nothing and are kept; repeated rows count as vectors of
 their own; an empty table gives an empty result.
 """
 
@@ -132,7 +134,7 @@ def _tasks(points: DataFrame, centres: np.ndarray, overlap: int, cap: int) -> Da
                         shards[i] = t
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shards, pa.list_(pa.int64()))], ["id", "copies", "v", "shards"])
 
-    placed = points.mapInArrow(assign, "id long, copies long, v array<float>, shards array<long>")
+    placed = points.mapInArrow(assign, "id long, copies long, v array<double>, shards array<long>")
     rows = keep(placed)
     in_shards = rows.select("*", F.explode("shards").alias("shard"))
     blocks = in_shards.groupBy("shard").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks"))
@@ -188,11 +190,11 @@ def link(points: DataFrame, centres: np.ndarray, *, least: float, overlap: int,
     return keep(tasks.join(united, "id").groupBy("shard", "i", "j").applyInArrow(search, "id long, links long, root long"))
 
 
-def audited(points: DataFrame, found: DataFrame, *, least: float, n: int, sample: int = 500) -> float:
-    """The share of all links of about `sample` vectors that were found; brute force over all rows, in blocks."""
+def audited(points: DataFrame, found: DataFrame, *, least: float, n: int, sample: int) -> tuple[int, int]:
+    """(links, found): all links of about `sample` vectors by brute force over all rows, in blocks, and how many were found."""
     chosen = points.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.lit(min(1.0, sample / max(1, n)) * (1 << 30))).toArrow()
     if not chosen.num_rows:
-        return 1.0
+        return 0, 0
     lengths = np.asarray(chosen.column("v").combine_chunks().value_lengths())
     groups = {int(d): (chosen.filter(pa.array(lengths == d)).column("id").to_numpy(), _matrix(chosen.filter(pa.array(lengths == d)).column("v"))) for d in np.unique(lengths)}
     sent = points.sparkSession.sparkContext.broadcast(groups)
@@ -212,13 +214,23 @@ def audited(points: DataFrame, found: DataFrame, *, least: float, n: int, sample
 
     true = points.mapInArrow(count, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
     both = true.join(found, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), "true")).alias("f")).first()
-    return both["f"] / both["t"] if both["t"] else 1.0
+    return both["t"] or 0, both["f"] or 0
+
+
+def audited_recall(points: DataFrame, found: DataFrame, *, least: float, n: int, sample: int = 500, most: int = 16_000, links: int = 100) -> float | None:
+    """The found share of the links of a sample, which grows from `sample` to `most` vectors until it has `links` of them;
+    None if it has none, which is no evidence."""
+    while True:
+        true, right = audited(points, found, least=least, n=n, sample=sample)
+        if true >= links or sample >= min(n, most):
+            return right / true if true else None
+        sample *= 4
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = 0.95, overlap: int = 4, shard_rows: int = 1000, cap: int = 2000,
-                    sample: int = 20_000, recall: float = 0.98) -> tuple[DataFrame, float]:
+                    sample: int = 20_000, recall: float = 0.98) -> tuple[DataFrame, float | None]:
     """((vec_id, n_links, component_id, kept), audited recall) of all rows of (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = rows.where(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False)))
     classes = keep(sound.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
@@ -234,10 +246,12 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, overlap: int = 4
     while True:
         local = link(points, centres, least=least, overlap=overlap, cap=cap)
         found = keep(local.groupBy("id").agg(F.sum("links").alias("links")))
-        share = audited(points, found, least=least, n=n)
-        if share >= recall or overlap >= max(1, len(centres)):
+        share = audited_recall(points, found, least=least, n=n)
+        if share is None or share >= recall or overlap >= max(1, len(centres)):
             break
         overlap *= 2
+    if share is not None and share < 0.9:
+        raise ValueError(f"found only {share:.3f} of the audited links")
     roots = components(local.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
     told = (classes.join(found, "id", "left").join(roots.select(F.col("a").alias("id"), F.col("b").alias("top")), "id", "left")
             .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("top", "id").alias("top")))
@@ -249,4 +263,4 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.95, overlap: int = 4
 
 def op3_pruned_graph(spark, folder):
     found, share = near_duplicates(table(spark, folder, "embeddings"))
-    return found.withColumn("audited_recall", F.lit(share))
+    return found.withColumn("audited_recall", F.lit(share).cast("double"))

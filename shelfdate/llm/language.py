@@ -31,6 +31,8 @@ STEP = 1 << 20
 #: Odd multipliers of the n-gram polynomial and of the probes (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 PROBES = 3
+#: One text in so many of a language's sample is enough for an n-gram; from so many texts a language is well taught.
+RARE, WELL_TAUGHT = 50, 30
 
 
 @lru_cache(maxsize=1)
@@ -66,10 +68,11 @@ def probes(code: np.ndarray, slots: int) -> list[np.ndarray]:
 
 
 class Filters:
-    """The bit-sliced filters: languages, slots, and each language's false-positive rate."""
+    """The bit-sliced filters: languages, slots, each language's false-positive rate, and the languages that fewer than
+    `WELL_TAUGHT` texts of the sample teach."""
 
-    def __init__(self, languages: list[str], slots: np.ndarray):
-        self.languages, self.slots = languages, slots
+    def __init__(self, languages: list[str], slots: np.ndarray, thin: frozenset[str] = frozenset()):
+        self.languages, self.slots, self.thin = languages, slots, thin
         fill = np.array([np.count_nonzero(slots >> i & 1) / len(slots) for i in range(len(languages))])
         self.false_positive = fill ** PROBES
 
@@ -91,10 +94,12 @@ class Filters:
 
 def learn(labelled: DataFrame, *, sample_per_language: int = 500, slots: int = 1 << 20, min_texts: int = 3,
           against: float = 0.25) -> Filters:
-    """labelled: text, lang. An n-gram belongs to a language if at least `min_texts` of its sample have it and its
-    share there is at least `against` times its share in the language that has it most."""
+    """labelled: text, lang, and doc_id if there is one. An n-gram belongs to a language if at least `min_texts` of its
+    sample (or one in `RARE` of it, where that is less) have it and its share there is at least `against` times its share in
+    the language that has it most."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    drawn_by = [c for c in ("text", "doc_id") if c in labelled.columns]
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", *drawn_by)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(64).collect()}
     if len(counts) > 63:
         raise ValueError("more than 63 languages")
@@ -102,7 +107,7 @@ def learn(labelled: DataFrame, *, sample_per_language: int = 500, slots: int = 1
     if not languages:
         return Filters([], np.zeros(slots, np.uint8))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_per_language / n))]), F.col("lang"))
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < rate * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64(*drawn_by, F.lit(3)), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
 
     def texts_grams(batches):
         settle()
@@ -118,7 +123,8 @@ def learn(labelled: DataFrame, *, sample_per_language: int = 500, slots: int = 1
     size = {r["lang"]: r["count"] for r in sampled}
     share = [F.col(f"n{i}") / max(1, size.get(x, 0)) for i, x in enumerate(languages)]
     most = F.greatest(*share) if len(share) > 1 else share[0]
-    mask = sum((F.when((F.col(f"n{i}") >= min_texts) & (s >= against * most), 1 << i).otherwise(0).cast("long")
+    least = [min(min_texts, -(-size.get(x, 0) // RARE)) for x in languages]
+    mask = sum((F.when((F.col(f"n{i}") >= max(1, least[i])) & (s >= against * most), 1 << i).otherwise(0).cast("long")
                 for i, s in enumerate(share)), F.lit(0).cast("long"))
     learned = found.groupBy("code").agg(*per).select("code", mask.alias("mask")).where("mask > 0").toArrow()
     code = learned.column("code").to_numpy().view(np.uint64)
@@ -126,7 +132,7 @@ def learn(labelled: DataFrame, *, sample_per_language: int = 500, slots: int = 1
     slice_ = np.zeros(slots, kind)
     for p in probes(code, slots):
         np.bitwise_or.at(slice_, p, learned.column("mask").to_numpy().astype(kind))
-    return Filters(languages, slice_)
+    return Filters(languages, slice_, frozenset(x for x in languages if size.get(x, 0) < WELL_TAUGHT))
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -149,9 +155,15 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def in_known_language(docs: DataFrame, *, least_known: float = 0.4, **options) -> DataFrame:
     """The documents in one of the languages that the labelled ones (lang not null) teach, with their columns; rejected
-    are texts without a letter and those of whose n-grams less than `least_known` belong to any one language."""
-    told = predict(docs, learn(docs, **options))
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("known") >= least_known)).select("row.*")
+    are texts without a letter and those of whose n-grams less than `least_known` belong to any one language. A document
+    whose language, predicted or its own, is thinly taught is not rejected for that."""
+    filters = learn(docs, **options)
+    told = predict(docs, filters).where(F.col("lang_pred") != UNDETERMINED)
+    thin = [F.coalesce(c.isin(*filters.thin), F.lit(False)) for c in (F.col("lang_pred"), F.col("row.lang"))] if filters.thin else []
+    kept = F.col("known") >= least_known
+    for c in thin:
+        kept = kept | c
+    return told.where(kept).select("row.*")
 
 
 def op1_language_bitmask(spark, folder):

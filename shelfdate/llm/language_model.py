@@ -313,7 +313,7 @@ def score(docs: DataFrame, held, *, keep_pairs: int | None = None) -> DataFrame:
     told = keep(totals(words(texts, buckets).unionByName(levels.where("kind = 'heads'")), least))
     sums = told.where("kind = 'sums'").agg(*[F.coalesce(F.sum(F.get("lengths", F.lit(i))), F.lit(0)).alias(n) for i, n in enumerate("nvab")]).first()
     tokens, distinct, once, twice = (int(x) for x in sums)
-    discount = once / (once + 2 * twice) if once else 0.5
+    discount = (once + 1) / (once + 2 * twice + 2)  # below 1, so that a word seen once keeps a part
     value = LogFrequencyFilter(least, 8).value
 
     def judge(rows: pa.Table) -> pa.Table:

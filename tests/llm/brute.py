@@ -76,7 +76,7 @@ def pair_scores(rows, divisor=7, least=2, growth=1.5, kept=0.9):
             words.update(w)
             pairs.update(zip([b""] + w[:-1], w))
     n, once, twice = sum(words.values()), sum(k == 1 for k in words.values()), sum(k == 2 for k in words.values())
-    discount = once / (once + 2 * twice) if once else 0.5
+    discount = (once + 1) / (once + 2 * twice + 2)
 
     def level(k):
         return 1 + math.floor(math.log(k / least) / math.log(growth) + 1e-9) if k >= least else 0

@@ -36,7 +36,7 @@ def test_pipeline_stage_by_stage(spark):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     assert all(results[n].columns == columns for n, _ in corpus_pipeline.STAGES[:-1])
     known = [(r.doc_id, r.text) for r in results["language_id"].collect()]
-    near = near_components(known)
+    near = near_components(known, percent=80)
     kept = [(r.doc_id, r.text) for r in results["near_dedup"].collect()]
     assert sorted(i for i, _ in kept) == sorted(i for i, c in near.items() if i == c)
     repeats = window_repeats(kept)
