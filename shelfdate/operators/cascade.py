@@ -60,10 +60,9 @@ def conclusive(e) -> Column:
             & ~true_if(e["damaged_day"]) & no_part_unknown(e["final_date"]))
 
 
-def retry_triggered(e, rules: RuleSet = PRODUCTION, order: CascadeOrder = CascadeOrder()) -> Column:
-    wanted = uncertain(e)
-    if order.retry_short:
-        wanted = wanted | true_if(e["short"])
+def retry_triggered(e, rules: RuleSet = PRODUCTION, retry_short: Column | None = None) -> Column:
+    short = true_if(e["short"])
+    wanted = uncertain(e) | (short if retry_short is None else short & retry_short)
     if rules.retry_damaged_day:
         wanted = wanted | true_if(e["damaged_day"])
     if rules.retry_partial:
@@ -120,41 +119,50 @@ def stages_side_by_side(stage_rows: DataFrame, stages=C.STAGES, fields=EVIDENCE)
         F.min(F.when(F.col("stage") == s, F.struct(*fields))).alias(s) for s in stages])
 
 
-def cascade(stage_rows: DataFrame, rules: RuleSet = PRODUCTION,
-            order: CascadeOrder = CascadeOrder()) -> DataFrame:
-    """(image_id, year, month, day, final_date, method, attempts, missing_stage, ...) per image."""
-    df = stages_side_by_side(stage_rows)
-    o, h, c, k = (F.col(s) for s in (ORIGINAL, HIGH, CONTRAST, CONTRAST_HIGH))
+def _evidence_flags(wide: DataFrame, rules: RuleSet) -> DataFrame:
+    """What no stage order changes about a row of stages side by side."""
+    o, h, c = (F.col(s) for s in (ORIGINAL, HIGH, CONTRAST))
+    present = F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in C.STAGES]))
+    return wide.withColumns({
+        "_ev": _found(o),
+        "_unc": _found(o) & uncertain(o),
+        "_split": _found(o) & uncertain(o) & single_date_disagreement(o, h),
+        "_prefer_high": _found(o) & prefer_retry(o, h, rules),
+        "_prefer_contrast": _found(o) & prefer_retry(o, c, rules),
+        "_present": present,
+        "_found_stages": F.array_compact(F.array(*[F.when(_found(F.col(s)), F.lit(s)) for s in C.STAGES])),
+        "_complete_stages": F.array_compact(F.array(*[
+            F.when(_found(F.col(s)) & no_part_unknown(F.col(s)["final_date"]), F.lit(s)) for s in C.STAGES])),
+    })
 
-    def ev(stage: Column) -> Column:
-        return true_if(stage["has_candidate"])
 
-    df = df.withColumns({
-        "_ev": ev(o),
-        "_retry": ev(o) & retry_triggered(o, rules, order),
-        "_unc": ev(o) & uncertain(o),
-        "_split": ev(o) & uncertain(o) & single_date_disagreement(o, h),
-        "_prefer_high": ev(o) & prefer_retry(o, h, rules),
-        "_prefer_contrast": ev(o) & prefer_retry(o, c, rules),
-    })
+def _found(stage: Column) -> Column:
+    return true_if(stage["has_candidate"])
+
+
+def _decided(df: DataFrame, rules: RuleSet, also: dict | None = None) -> DataFrame:
+    """df, a row of flagged stages with the order of one cascade in ``_fallback`` and ``_short``, with its decision as struct
+    ``_r``; ``also`` maps further fields of it to functions of the attempts (a column of stage names)."""
+    o, h, c, k = (F.col(s) for s in (ORIGINAL, HIGH, CONTRAST, CONTRAST_HIGH))
+    names = F.col("_fallback")
+    df = df.withColumn("_retry", _found(o) & retry_triggered(o, rules, F.col("_short")))
     if rules.empty_retry_contrast == "off":
         empty_high, contrast_wins = F.lit(False), F.lit(False)
     else:
-        empty_high = F.col("_retry") & F.col("_unc") & ~ev(h)
+        empty_high = F.col("_retry") & F.col("_unc") & ~_found(h)
         contrast_wins = F.col("_prefer_contrast")
         if rules.empty_retry_contrast == "anchored":
             empty_high = empty_high & true_if(o["self_anchor"])
             contrast_wins = contrast_wins & true_if(c["self_anchor"])
 
     # fallback chain: the first complete stage wins, a partial one only if nothing completes it
-    first_complete = F.coalesce(*[F.when(ev(F.col(s)) & no_part_unknown(F.col(s)["final_date"]), F.lit(i))
-                                  for i, s in enumerate(order.fallback)])
-    first_partial = F.coalesce(*[F.when(ev(F.col(s)), F.lit(i)) for i, s in enumerate(order.fallback)])
-    df = df.withColumns({"_empty_high": empty_high, "_complete": first_complete, "_partial": first_partial})
-    names = F.array(*[F.lit(s) for s in order.fallback])
+    def first_of(stages: str) -> Column:
+        return F.get(F.filter(names, lambda n: F.array_contains(stages, n)), F.lit(0))
+
+    df = df.withColumns({"_empty_high": empty_high, "_complete": first_of("_complete_stages"), "_partial": first_of("_found_stages")})
     fell_to = F.coalesce("_complete", "_partial")
-    agrees_o = ev(c) & true_if(c["final_date"] == o["final_date"])
-    agrees_h = ev(c) & true_if(c["final_date"] == h["final_date"])
+    agrees_o = _found(c) & true_if(c["final_date"] == o["final_date"])
+    agrees_h = _found(c) & true_if(c["final_date"] == h["final_date"])
 
     # (condition, stage, method), first match wins
     decisions = [
@@ -164,7 +172,7 @@ def cascade(stage_rows: DataFrame, rules: RuleSet = PRODUCTION,
         (F.col("_split") & agrees_h, F.lit(HIGH), F.lit("highres_1024_retry")),
         (F.col("_prefer_high"), F.lit(HIGH), F.lit("highres_1024_retry")),
         (F.col("_ev"), F.lit(ORIGINAL), F.lit("original_512_retry_kept")),
-        (fell_to.isNotNull(), F.get(names, fell_to), F.get(names, fell_to)),
+        (fell_to.isNotNull(), fell_to, fell_to),
     ]
     stage, method = F.lit(ORIGINAL), F.lit("original_no_candidate")
     for condition, chosen, named in reversed(decisions):
@@ -172,38 +180,69 @@ def cascade(stage_rows: DataFrame, rules: RuleSet = PRODUCTION,
         method = F.when(condition, named).otherwise(method)
     asked = (
         F.when(~F.col("_ev"), F.concat(F.array(F.lit(ORIGINAL)), F.when(
-            F.col("_complete").isNotNull(), F.slice(names, 1, F.col("_complete") + 1)).otherwise(names)))
+            F.col("_complete").isNotNull(), F.slice(names, 1, F.array_position(names, F.col("_complete")).cast("int"))).otherwise(names)))
         .when(~F.col("_retry"), F.array(F.lit(ORIGINAL)))
         .when(F.col("_empty_high") | F.col("_split"), F.array(F.lit(ORIGINAL), F.lit(HIGH), F.lit(CONTRAST)))
         .otherwise(F.array(F.lit(ORIGINAL), F.lit(HIGH))))
     df = df.withColumns({"_stage": stage, "_method": method, "_asked": asked})
 
-    def of_stage(field: str, name: str = "_stage") -> Column:
+    def of_stage(field: str) -> Column:
         value = F.lit(None)
         for s in C.STAGES:
-            value = F.when(F.col(name) == s, F.col(s)[field]).otherwise(value)
+            value = F.when(F.col("_stage") == s, F.col(s)[field]).otherwise(value)
         return value
 
-    nothing = F.coalesce(of_stage("final_date"), F.lit(C.NONE)) == C.NONE
-    df = df.withColumn("_nothing", nothing)
-    last_try = F.col("_nothing") & ev(k)
+    df = df.withColumn("_nothing", F.coalesce(of_stage("final_date"), F.lit(C.NONE)) == C.NONE)
+    last_try = F.col("_nothing") & _found(k)
     df = df.withColumns({
         "_stage": F.when(last_try, F.lit(CONTRAST_HIGH)).otherwise(F.col("_stage")),
         "_method": F.when(last_try, F.lit(CONTRAST_HIGH)).otherwise(F.col("_method")),
         "_asked": F.when(F.col("_nothing"), F.concat("_asked", F.array(F.lit(CONTRAST_HIGH)))).otherwise(F.col("_asked")),
     })
-    present = F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in C.STAGES]))
-    df = df.withColumn("missing_stage", F.get(F.array_except("_asked", present), F.lit(0)))
-
+    df = df.withColumn("missing_stage", F.get(F.array_except("_asked", "_present"), F.lit(0)))
     known = F.col("missing_stage").isNull()
-    return df.select(
-        "image_id",
-        *[F.when(known, of_stage(f)).alias(f) for f in C.DATE_COLUMNS[1:]],
-        F.when(known, F.col("_method")).alias("method"),
-        F.when(known, F.col("_asked")).alias("attempts"),
-        "missing_stage",
-        F.when(known, of_stage("q")).alias("q"),
-        F.when(known, F.coalesce(F.size(of_stage("candidate_dates")), F.lit(0))).alias("n_dates"))
+    fields = {
+        **{f: F.when(known, of_stage(f)) for f in C.DATE_COLUMNS[1:]},
+        "method": F.when(known, F.col("_method")),
+        "attempts": F.when(known, F.col("_asked")),
+        "missing_stage": F.col("missing_stage"),
+        "q": F.when(known, of_stage("q")),
+        "n_dates": F.when(known, F.coalesce(F.size(of_stage("candidate_dates")), F.lit(0))),
+        **{n: F.when(known, f(F.col("_asked"))) for n, f in (also or {}).items()},
+    }
+    return df.withColumn("_r", F.struct(*[f.alias(n) for n, f in fields.items()]))
+
+
+def cascade(stage_rows: DataFrame, rules: RuleSet = PRODUCTION,
+            order: CascadeOrder = CascadeOrder()) -> DataFrame:
+    """(image_id, year, month, day, final_date, method, attempts, missing_stage, ...) per image."""
+    wide = _evidence_flags(stages_side_by_side(stage_rows), rules)
+    wide = wide.withColumns({"_fallback": F.array(*[F.lit(s) for s in order.fallback]), "_short": F.lit(order.retry_short)})
+    return _decided(wide, rules).select("image_id", "_r.*")
+
+
+def cascade_trials(stage_rows: DataFrame, trials: dict[str, CascadeOrder] = TRIALS, rules: RuleSet = PRODUCTION) -> DataFrame:
+    """(image_id, trial, final_date, method, attempts, missing_stage, micros): the decisions of all trials in one pass over
+    the stage rows; the orders are data beside the one row of an image. micros: cost of the attempts, 0 where ``seconds``
+    is not known. An image for which a trial asks for a stage that is not there keeps a row with nulls and that stage's name."""
+    timed = stage_rows if "seconds" in stage_rows.columns else stage_rows.withColumn("seconds", F.lit(0.0))
+    wide = _evidence_flags(stages_side_by_side(timed, fields=(*EVIDENCE, "seconds")), rules)
+    orders = F.array(*[F.struct(F.lit(n).alias("trial"), F.array(*[F.lit(s) for s in t.fallback]).alias("_fallback"), F.lit(t.retry_short).alias("_short"))
+                       for n, t in trials.items()])
+    spent = {s: F.coalesce(F.round(F.col(s)["seconds"] * 1_000_000).cast("bigint"), F.lit(0).cast("bigint")) for s in C.STAGES}
+
+    def cost(attempts: Column) -> Column:
+        return sum((F.when(F.array_contains(attempts, s), m).otherwise(F.lit(0)) for s, m in spent.items()), F.lit(0).cast("bigint"))
+
+    each = wide.select("*", F.explode(orders).alias("_order")).select("*", "_order.*")
+    kept = ("final_date", "method", "attempts", "missing_stage", "micros")
+    return _decided(each, rules, {"micros": cost}).select("image_id", "trial", *[F.col("_r")[f].alias(f) for f in kept])
+
+
+def trials_side_by_side(stage_rows: DataFrame, trials: dict[str, CascadeOrder] = TRIALS, rules: RuleSet = PRODUCTION) -> DataFrame:
+    """(image_id, trials): the rows of :func:`cascade_trials` as one array per image, without a further exchange."""
+    rows = cascade_trials(stage_rows, trials, rules)
+    return rows.groupBy("image_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "image_id"])).alias("trials"))
 
 
 def first_candidate(stage_rows: DataFrame, order=C.STAGES[:4]) -> DataFrame:

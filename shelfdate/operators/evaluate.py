@@ -5,6 +5,8 @@ Reports are long tables of counts or of image rows; no report collects ids into
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +149,30 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return (middle - spread) / (1 + z * z / n), (middle + spread) / (1 + z * z / n)
 
 
+def _log_factorial(n: Column) -> Column:
+    """log(n!) to about 1e-12 of its value: a sum up to 20, Stirling's series beyond."""
+    x = n.cast("double")
+    small = F.aggregate(F.when(n > 1, F.sequence(F.lit(2).cast("bigint"), F.least(n, F.lit(20)).cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
+                        F.lit(0.0), lambda total, i: total + F.log(i.cast("double")))
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(n <= 20, small).otherwise((x + 0.5) * F.log(x) - x + 0.5 * F.log(F.lit(2 * math.pi)) + series)
+
+
+def sign_test(only_a: Column, only_b: Column) -> Column:
+    """Exact two-sided p-value of the sign test on discordant pairs: twice the smaller binomial tail at one half, at most 1;
+    1 without such pairs. The tail starts at its largest term, taken from logarithms, and each further term is a ratio of
+    the last, until they no longer count; so it costs about the square root of the number of pairs."""
+    n, low = (only_a + only_b).cast("bigint"), F.least(only_a, only_b).cast("bigint")
+    top = F.exp(_log_factorial(n) - _log_factorial(low) - _log_factorial(n - low) - n * math.log(2))
+    steps = F.when(low > 0, F.sequence(F.lit(1).cast("bigint"), F.least(low, (F.sqrt(n.cast("double")) * 12 + 20).cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+                       lambda a, i: F.struct((a["term"] * (low - i + 1) / (n - low + i)).alias("term"),
+                                             (a["sum"] + a["term"] * (low - i + 1) / (n - low + i)).alias("sum")), lambda a: a["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * top * tail))
+
+
 def paired(rows: DataFrame, a: str, b: str, by=()) -> DataFrame:
-    """Discordant pairs of two variants, with the exact two-sided sign test left to the counts."""
+    """Discordant pairs of two variants; :func:`sign_test` judges them."""
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col(a) & ~F.col(b)).alias("only_a"),
         F.count_if(~F.col(a) & F.col(b)).alias("only_b"), F.count_if(F.col(a) & F.col(b)).alias("both"))
@@ -189,6 +213,45 @@ def compare_policies(baseline: DataFrame, policies: dict[str, DataFrame], truth:
         F.count_if(F.size(F.array_except("calls", "old_calls")) > 0).alias("images_with_new_stages"))
 
 
+def beside_truth(trials: DataFrame, truth: DataFrame, baseline: str, names) -> DataFrame:
+    """(image_id, cohort, truth, base, p): one row per labelled image and trial (struct p) with the baseline's decision
+    (struct base); an image without stage rows keeps one row per trial, with nulls. trials: image_id and array ``trials``, which holds the decisions of ``names``."""
+    blank = truth.select("image_id", "cohort", F.col("final_date").alias("truth")).join(trials, "image_id", "left")
+    first = F.filter("trials", lambda t: t["trial"] == baseline)[0]
+    kind = trials.schema["trials"].dataType.elementType
+    empty = F.array(*[F.struct(F.lit(n).alias("trial"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:]]) for n in names])
+    return blank.select("image_id", "cohort", "truth", first.alias("base"), F.explode(F.coalesce("trials", empty)).alias("p"))
+
+
+def compare_trials(trials: DataFrame, truth: DataFrame, baseline: str, names, *, project_to: int = 500) -> DataFrame:
+    """Per cohort and trial, beside a baseline trial: labelled images, unknown ones (a stage is missing for either), right
+    ones, gains, regressions, calls and their difference, images with a retry and with stages the baseline does not ask
+    for, cost and its difference in micros, and seconds projected to a number of images."""
+    rows = beside_truth(trials, truth, baseline, names)
+    base, p = F.col("base"), F.col("p")
+    unknown = base["final_date"].isNull() | p["final_date"].isNull()
+    old, new = (~unknown & (x["final_date"] == F.col("truth")) for x in (base, p))
+    size = {n: F.when(~unknown, F.size(x["attempts"])).otherwise(0) for n, x in (("new", p), ("old", base))}
+    spent = {n: F.when(~unknown, x["micros"]).otherwise(0) for n, x in (("new", p), ("old", base))}
+    return rows.groupBy("cohort", F.col("p.trial").alias("policy")).agg(
+        F.count("*").alias("n"), F.count_if(unknown).alias("unknown"), F.count_if(new).alias("correct"),
+        F.count_if(~old & new).alias("gains"), F.count_if(old & ~new).alias("regressions"),
+        F.sum(size["new"]).alias("calls"), F.sum(size["new"] - size["old"]).alias("extra_calls"),
+        F.count_if(~unknown & (F.size(p["attempts"]) > 1)).alias("retry_images"),
+        F.count_if(~unknown & (F.size(F.array_except(p["attempts"], base["attempts"])) > 0)).alias("images_with_new_stages"),
+        F.sum(spent["new"]).alias("micros"), F.sum(spent["new"] - spent["old"]).alias("extra_micros"),
+        (F.sum(spent["new"]) / 1_000_000 * project_to / F.count("*")).alias("projected_seconds"))
+
+
+def trial_changes(trials: DataFrame, truth: DataFrame, baseline: str, names) -> DataFrame:
+    """(cohort, policy, image_id, truth, old, new, old_correct, new_correct, attempts): every labelled image whose prediction
+    under a trial is not the baseline's; one of them is null where a stage is missing."""
+    rows = beside_truth(trials, truth, baseline, names).where(~F.col("base.final_date").eqNullSafe(F.col("p.final_date")))
+    return rows.select("cohort", F.col("p.trial").alias("policy"), "image_id", "truth", F.col("base.final_date").alias("old"), F.col("p.final_date").alias("new"),
+                       F.coalesce(F.col("base.final_date") == F.col("truth"), F.lit(False)).alias("old_correct"),
+                       F.coalesce(F.col("p.final_date") == F.col("truth"), F.lit(False)).alias("new_correct"), F.col("p.attempts").alias("attempts"))
+
+
 def speed_gate(calls: DataFrame, group: str, order: str, first: int = 10, limit: float = 45_000.0) -> DataFrame:
     """(group, calls, projected, within_limit): the mean of the first few calls of each group, projected to all of its
     calls. calls: micros beside the named columns. first: how many calls are measured; limit: seconds allowed."""
@@ -276,7 +339,7 @@ def method_table(policies: dict[str, DataFrame], truth: DataFrame, baseline: str
 
 def verdict_changes(rows: DataFrame) -> DataFrame:
     """(raw, normalised, n) for rows of prediction, label and normalised label: whether a prediction equals the label as it
-    is written and as it is normalised, so that a change of verdict by normalising shows apart from one by inference."""
-    raw = F.coalesce(F.col("prediction") == F.col("label"), F.lit(False))
-    normal = F.coalesce(F.col("prediction") == F.col("normalised"), F.lit(False))
+    is written and as it is normalised, so that a change of verdict by normalising shows apart from one by inference.
+    Labels without a prediction are a class of their own, with nulls."""
+    raw, normal = (F.when(F.col("prediction").isNotNull(), F.coalesce(F.col("prediction") == F.col(c), F.lit(False))) for c in ("label", "normalised"))
     return rows.groupBy(raw.alias("raw"), normal.alias("normalised")).agg(F.count("*").alias("n"))

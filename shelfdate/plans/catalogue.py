@@ -174,6 +174,23 @@ def cascade_order_trials(spark, sf):
                                      F.sum(F.size("attempts")).alias("calls"))
 
 
+def _trials_and_truth(spark, sf):
+    """All trials over the stages, beside a truth that also names orders without any stage row."""
+    stages = T.stage_table(spark, sf).where(F.col("image_id").substr(-2, 2) != "07")
+    return CA.trials_side_by_side(stages), T.order_truth(spark, sf)
+
+
+def cohort_policy_trials(spark, sf):
+    trials, truth = _trials_and_truth(spark, sf)
+    out = E.compare_trials(trials, truth, "production", list(CA.TRIALS))
+    return out.withColumn("projected_seconds", F.round("projected_seconds", 6))
+
+
+def cohort_policy_changes(spark, sf):
+    trials, truth = _trials_and_truth(spark, sf)
+    return E.trial_changes(trials, truth, "production", list(CA.TRIALS)).withColumn("attempts", F.array_join("attempts", ","))
+
+
 def review_route(spark, sf):
     return CA.review_route(CA.cascade(T.stage_table(spark, sf))).groupBy("route").agg(F.count("*").alias("n"))
 
@@ -362,7 +379,7 @@ def method_table(spark, sf):
 def verdict_changes(spark, sf):
     records = L.with_truth(T.label_records(spark, sf))
     moved = T.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.date_format(T.moved("o_orderdate"), "yyyy-MM-dd").alias("prediction"))
-    rows = records.withColumn("k", L.numeric_key(F.col("image_id"))).join(moved, "k").select(
+    rows = records.withColumn("k", L.numeric_key(F.col("image_id"))).join(moved, "k", "left").select(
         "prediction", F.col("final_date").alias("label"), F.col("t_final_date").alias("normalised"))
     return E.verdict_changes(rows)
 
@@ -419,6 +436,11 @@ def paired_variant(spark, sf):
     return E.paired(rows, "a", "b", by=("source",))
 
 
+def paired_sign_test(spark, sf):
+    rows = paired_variant(spark, sf)
+    return rows.select("source", "only_a", "only_b", F.round(E.sign_test(F.col("only_a"), F.col("only_b")), 9).alias("p_value"))
+
+
 def snapshot_diff(spark, sf):
     old = T.stage_table(spark, sf).where(F.col("stage") != C.STAGES[4])
     new = T.stage_table(spark, sf).where(F.col("stage") != C.STAGES[0]).withColumn(
@@ -569,14 +591,14 @@ QUERIES = {f.__name__: f for f in (
     parse_rendered_dates, token_pattern_counts, select_expiry_per_image, select_latest_no_anchor,
     labelled_set_earliest, period_from_manufacture, manufacture_rerank, adjacent_day_join, nearest_year_join,
     format_hint_per_image, slash_order_per_image, fallback_tiers, stage_evidence, replay_accuracy, rule_ablation,
-    date_mentions_in_documents, cascade_production, cascade_first_candidate, cascade_order_trials, review_route,
+    date_mentions_in_documents, cascade_production, cascade_first_candidate, cascade_order_trials, cohort_policy_trials, cohort_policy_changes, review_route,
     policy_grid, retry_trigger_summary, outcome_categories, candidates_of_passes, candidate_detail_per_pass,
     best_pass_per_image, retry_overlay,
     merged_stage_sources, hybrid_fill, accuracy_by_truth_group, gains_regressions, policy_comparison, stage_oracle,
     candidate_oracle, early_stop_oracle, failure_stage_counts, wrong_answer_kinds, late_date_errors, error_classes,
     method_attempt_counts, coverage_gap, baseline_issues, grown_attempts, oracle_change, run_summary, method_table,
     verdict_changes, stage_texts, stage_timing_profile, listed_stage_seconds, runtime_projection, speed_gate,
-    wilson_by_source, paired_variant, snapshot_diff, truth_normalise, id_keys, label_record_reasons,
+    wilson_by_source, paired_variant, paired_sign_test, snapshot_diff, truth_normalise, id_keys, label_record_reasons,
     label_review_images, label_review_summary, approved_labels, submission_violations, completeness_gap,
     duplicate_stage_records, record_checksums, broken_checksums, table_fingerprint, sampled_images, sample_drift,
     reuse_audit, detection_validation, unfinished_work, keyword_crop_window,

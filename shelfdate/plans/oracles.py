@@ -86,7 +86,10 @@ def _prefer(a: str, b: str) -> str:
         AND list_contains({a}.cd, left({b}.f, 7) || '-NONE'))), false))"""
 
 
-def cascade_cte(short: str = "o.short") -> str:
+def cascade_cte(short: str = "o.short", fallback: str = "rhc") -> str:
+    names, codes = dict(zip("rhc", STAGES[1:4])), fallback.upper()
+    chain = [f"WHEN coalesce({a}.has AND {a}.f NOT LIKE '%NONE%', false) THEN ['{names[a]}', '{names[a]}', 'O{codes[:i + 1]}']" for i, a in enumerate(fallback)]
+    chain += [f"WHEN coalesce({a}.has, false) THEN ['{names[a]}', '{names[a]}', 'O{codes}']" for a in fallback]
     sides = " ".join(f"LEFT JOIN st {a} ON {a}.image_id = i.image_id AND {a}.stage = '{s}'" for a, s in zip("orhck", STAGES))
     return f"""w AS (SELECT i.image_id, o, r, h, c, k,
         coalesce(o.has, false) AS ev, coalesce(o.has AND (o.q < 0.9 OR o.many), false) AS unc,
@@ -104,13 +107,8 @@ def cascade_cte(short: str = "o.short") -> str:
         WHEN ev AND unc AND differ AND coalesce(c.f = h.f, false) THEN ['highres_1024', 'highres_1024_retry', 'OHC']
         WHEN ev AND take_h THEN ['highres_1024', 'highres_1024_retry', CASE WHEN unc AND differ THEN 'OHC' ELSE 'OH' END]
         WHEN ev THEN ['original_512', 'original_512_retry_kept', CASE WHEN unc AND differ THEN 'OHC' ELSE 'OH' END]
-        WHEN coalesce(r.has AND r.f NOT LIKE '%NONE%', false) THEN ['rotation_270', 'rotation_270', 'OR']
-        WHEN coalesce(h.has AND h.f NOT LIKE '%NONE%', false) THEN ['highres_1024', 'highres_1024', 'ORH']
-        WHEN coalesce(c.has AND c.f NOT LIKE '%NONE%', false) THEN ['clahe', 'clahe', 'ORHC']
-        WHEN coalesce(r.has, false) THEN ['rotation_270', 'rotation_270', 'ORHC']
-        WHEN coalesce(h.has, false) THEN ['highres_1024', 'highres_1024', 'ORHC']
-        WHEN coalesce(c.has, false) THEN ['clahe', 'clahe', 'ORHC']
-        ELSE ['original_512', 'original_no_candidate', 'ORHC'] END AS x FROM w),
+        {' '.join(chain)}
+        ELSE ['original_512', 'original_no_candidate', 'O{codes}'] END AS x FROM w),
     p AS (SELECT *, CASE x[1] WHEN 'original_512' THEN o WHEN 'rotation_270' THEN r WHEN 'highres_1024' THEN h ELSE c END AS s FROM a),
     z AS (SELECT *, coalesce(s.f, 'NONE') = 'NONE' AS empty, coalesce(k.has, false) AS last FROM p),
     full_ AS (SELECT image_id, CASE WHEN empty AND last THEN k ELSE s END AS s,
@@ -221,6 +219,24 @@ DETAIL = f"""CASE WHEN has_candidate THEN {shown('day')} ELSE 'NONE' END AS fina
     raw_distance IS NOT NULL AS anchor_found, CASE WHEN raw_distance IS NULL THEN 0 WHEN raw_distance <= coalesce(de, 'infinity'::DOUBLE) THEN 2 ELSE 1 END AS anchor_preference,
     round(raw_distance, 6) AS anchor_distance, CASE WHEN NOT has_candidate THEN 0 WHEN part THEN 2 ELSE 3 END AS valid_fields, has_candidate AND NOT part AS complete, score"""
 
+
+#: Each trial's decisions, also those with a missing stage; stages of images that end in 07 are left out for `gone`.
+def trial_rows(gone: str) -> str:
+    orders = {"production": ("o.short", "rhc"), "high_first": ("o.short", "hrc"), "contrast_first": ("o.short", "crh"), "contrast_before_high": ("o.short", "rch"),
+              "no_short_retry": ("false", "rhc"), "skip_rotation": ("o.short", "hc"), "skip_contrast": ("o.short", "rh")}
+    st = f"{ST[:ST.rindex('st AS (')]}st AS (SELECT * FROM ({ST[ST.rindex('st AS (') + 7:]} WHERE {gone})"
+    parts = [f"""{n} AS (WITH {cascade_cte(*args)} SELECT '{n}' AS policy, image_id, missing_stage, CASE WHEN missing_stage IS NULL THEN s.f END AS f,
+        CASE WHEN missing_stage IS NULL THEN asked END AS asked FROM res)""" for n, args in orders.items()]
+    cost = "(SELECT CAST(sum(CAST(round(l_tax * 1000000) AS BIGINT)) AS BIGINT) FROM st WHERE st.image_id = u.image_id AND list_contains(u.asked, st.stage))"
+    union = " UNION ALL ".join(f"SELECT * FROM {n}" for n in orders)
+    return f"""{st}, {TRUTH}, {", ".join(parts)}, every AS MATERIALIZED (SELECT policy, image_id, missing_stage, f, asked, {cost} AS micros FROM ({union}) u)"""
+
+
+_NAMES = "(SELECT unnest(['production', 'high_first', 'contrast_first', 'contrast_before_high', 'no_short_retry', 'skip_rotation', 'skip_contrast']) AS policy)"
+BESIDE = f"""{trial_rows("right(image_id, 2) <> '07'")}, beside AS (SELECT cohort, n.policy, tr.image_id, truth, b.f AS bf, p.f AS pf, b.asked AS ba, p.asked AS pa, b.micros AS bm, p.micros AS pm,
+    b.f IS NULL OR p.f IS NULL AS unknown FROM tr CROSS JOIN {_NAMES} n LEFT JOIN every p ON p.policy = n.policy AND p.image_id = tr.image_id
+    LEFT JOIN every b ON b.policy = 'production' AND b.image_id = tr.image_id)"""
+
 ORACLES: dict[str, str] = {
     "parse_rendered_dates": f"WITH {LI} SELECT line_img AS image_id, {ISO} AS final_date FROM li GROUP BY 1, 2",
     "token_pattern_counts": f"""WITH {LI} SELECT CASE l_partkey % 6 WHEN 2 THEN 'odd_separators_year_last' WHEN 3 THEN 'yyyymmdd'
@@ -301,6 +317,16 @@ ORACLES: dict[str, str] = {
         SELECT *, has_candidate AS found, count(*) OVER (PARTITION BY image_id) AS passes, count(*) FILTER (has_candidate) OVER (PARTITION BY image_id) AS passes_with_candidate,
           row_number() OVER (PARTITION BY image_id ORDER BY has_candidate DESC, anchor_preference DESC, coalesce(-raw_distance, 0) DESC, complete DESC, valid_fields DESC,
             raw_confidence DESC, list_position({list(STAGES)}, stage)) AS rn FROM (SELECT image_id, stage, {DETAIL}, raw_distance, raw_confidence FROM det)) WHERE rn = 1""",
+    "cascade_order_trials": f"""WITH {trial_rows('true')} SELECT policy AS trial, count(*) AS n, count(missing_stage) AS unknown, CAST(sum(len(asked)) AS BIGINT) AS calls
+        FROM every GROUP BY 1""",
+    "cohort_policy_trials": f"""WITH {BESIDE} SELECT cohort, policy, count(*) AS n, count(*) FILTER (unknown) AS unknown, count(*) FILTER (NOT unknown AND pf = truth) AS correct,
+        count(*) FILTER (NOT unknown AND bf <> truth AND pf = truth) AS gains, count(*) FILTER (NOT unknown AND bf = truth AND pf <> truth) AS regressions,
+        CAST(sum(CASE WHEN unknown THEN 0 ELSE len(pa) END) AS BIGINT) AS calls, CAST(sum(CASE WHEN unknown THEN 0 ELSE len(pa) - len(ba) END) AS BIGINT) AS extra_calls,
+        count(*) FILTER (NOT unknown AND len(pa) > 1) AS retry_images, count(*) FILTER (NOT unknown AND len(list_filter(pa, lambda v: NOT list_contains(ba, v))) > 0) AS images_with_new_stages,
+        CAST(sum(CASE WHEN unknown THEN 0 ELSE pm END) AS BIGINT) AS micros, CAST(sum(CASE WHEN unknown THEN 0 ELSE pm - bm END) AS BIGINT) AS extra_micros,
+        round(sum(CASE WHEN unknown THEN 0 ELSE pm END) / 1000000 * 500 / count(*), 6) AS projected_seconds FROM beside GROUP BY 1, 2""",
+    "cohort_policy_changes": f"""WITH {BESIDE} SELECT cohort, policy, image_id, truth, bf AS "old", pf AS "new", coalesce(bf = truth, false) AS old_correct, coalesce(pf = truth, false) AS new_correct,
+        array_to_string(pa, ',') AS attempts FROM beside WHERE bf IS DISTINCT FROM pf""",
     "retry_overlay": f"""WITH {ST}, {FIRST} SELECT fc.image_id, CASE WHEN k.has THEN k.f ELSE fc.f END AS final_date, coalesce(k.has, false) AS overlaid
         FROM fc LEFT JOIN st k ON k.image_id = fc.image_id AND k.stage = 'clahe_1024'""",
     "merged_stage_sources": f"WITH {ST} SELECT CASE WHEN has THEN 'early' ELSE 'late' END AS origin, stage, count(*) AS n FROM st GROUP BY 1, 2",
@@ -373,7 +399,8 @@ ORACLES: dict[str, str] = {
         round(count(*) FILTER (ok) / count(*), 6) AS accuracy, round(100.0 * (count(*) FILTER (ok) - count(*) FILTER (base)) / count(*), 6) AS points,
         count(*) FILTER (ok AND NOT base) AS recoveries, count(*) FILTER (base AND NOT ok) AS regressions FROM o GROUP BY 1""",
     "verdict_changes": f"""WITH {RECORDS}, e AS (SELECT *, coalesce(bad, cal, CASE WHEN final_date <> cf THEN 'component_final_mismatch' END) AS error FROM checked),
-        x AS (SELECT coalesce(strftime(d, '%Y-%m-%d') = final_date, false) AS raw, coalesce(error IS NULL AND strftime(d, '%Y-%m-%d') = cf, false) AS normalised FROM e WHERE k IS NOT NULL)
+        x AS (SELECT CASE WHEN k IS NOT NULL THEN coalesce(strftime(d, '%Y-%m-%d') = final_date, false) END AS raw,
+        CASE WHEN k IS NOT NULL THEN coalesce(error IS NULL AND strftime(d, '%Y-%m-%d') = cf, false) END AS normalised FROM e)
         SELECT raw, normalised, count(*) AS n FROM x GROUP BY 1, 2""",
     "stage_texts": f"""WITH {LI} SELECT img AS image_id, {STAGE_NAME} AS stage, string_agg(CASE l_returnflag WHEN 'A' THEN 'EXP ' WHEN 'R' THEN 'MFG ' ELSE '' END || {FORMATTED},
         ' | ' ORDER BY ord, CASE l_returnflag WHEN 'A' THEN 'EXP ' WHEN 'R' THEN 'MFG ' ELSE '' END || {FORMATTED}) AS texts FROM li GROUP BY 1, 2""",
@@ -393,6 +420,10 @@ ORACLES: dict[str, str] = {
     "paired_variant": """SELECT source, count(*) AS n, count(*) FILTER (quality = 1 AND toxic <> 1) AS only_a,
         count(*) FILTER (quality <> 1 AND toxic = 1) AS only_b, count(*) FILTER (quality = 1 AND toxic = 1) AS both
         FROM labels JOIN documents USING (doc_id) GROUP BY 1""",
+    "paired_sign_test": """WITH x AS (SELECT source, count(*) FILTER (quality = 1 AND toxic <> 1) AS only_a, count(*) FILTER (quality <> 1 AND toxic = 1) AS only_b
+        FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+        SELECT source, only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1),
+          lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END, 9) AS p_value FROM x""",
     "snapshot_diff": f"""WITH {ST}, a AS (SELECT image_id, stage, f AS "old" FROM st WHERE stage <> 'clahe_1024'),
         b AS (SELECT image_id, stage, CASE WHEN se THEN 'NONE' ELSE f END AS "new" FROM st WHERE stage <> 'original_512')
         SELECT image_id, stage, "old", "new", CASE WHEN "old" IS NULL THEN 'added' WHEN "new" IS NULL THEN 'removed' ELSE 'changed' END AS change

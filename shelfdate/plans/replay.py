@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cascade import TRIALS, cascade
+from ..operators.cascade import TRIALS, cascade, cascade_trials
 from ..operators.select import stage_results
 from ..rules import EARLIER, PRODUCTION, RuleSet, variant
 
@@ -54,10 +54,5 @@ def ablation_summary(results: DataFrame, truth: DataFrame, baseline: str = "base
 
 
 def order_trials(stage_rows: DataFrame, names: Iterable[str] = tuple(TRIALS), rules: RuleSet = PRODUCTION) -> DataFrame:
-    """(trial, image_id, final_date, method, attempts) for stage orders and skipped stages."""
-    out = None
-    for name in names:
-        part = cascade(stage_rows, rules, TRIALS[name]).select(
-            F.lit(name).alias("trial"), "image_id", "final_date", "method", "attempts", "missing_stage")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(image_id, trial, final_date, method, attempts, missing_stage, micros) for stage orders and skipped stages."""
+    return cascade_trials(stage_rows, {n: TRIALS[n] for n in names}, rules)
