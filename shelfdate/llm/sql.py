@@ -11,13 +11,14 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) A
 FROM w LEFT JOIN g USING (doc_id)
 """
 
-#: All pairs by cosine; the audit of a complete result is 1.
+#: All pairs by cosine; the audit of a complete result is 1, and null where no two different vectors link.
 OP3_SQL = """
 WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 e AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v) AND list_cosine_similarity(p.v, q.v) >= 0.95),
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
-SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept, CAST(1 AS DOUBLE) AS audited_recall
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept, 
+    (SELECT CASE WHEN count(*) > 0 THEN CAST(1 AS DOUBLE) END FROM e JOIN v x ON x.vec_id = e.a JOIN v y ON y.vec_id = e.b WHERE x.v <> y.v) AS audited_recall
 FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM e GROUP BY a) USING (vec_id)
 JOIN (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a) USING (vec_id)
 """
