@@ -214,3 +214,38 @@ def with_tokens(df: DataFrame, sources, rules: RuleSet, *, only: Column, out: st
     partial = f"exists({out}, t -> exists(t.r, q -> q.k >= 10000 and q.k % 100 = 0))"
     return df.withColumn(attempts, F.expr(f"if({partial}, {attempted(first)}, null)")).drop(
         "_hits", "_found", *guards(sources[0][0]))
+
+
+def with_token_lanes(df: DataFrame, lanes, *, only: Column, out: str) -> DataFrame:
+    """Add the tokens of several rule sets as column ``out``, array<struct<lane, tokens, attempted>>.
+
+    ``lanes`` lists (sources, rules), each as :func:`with_tokens` takes them. A text is matched once against the union of
+    the patterns read on it; every lane puts these matches into its own pattern order and lets them claim their spans.
+    """
+    numbers, framed = {}, []
+    for sources, _ in lanes:
+        for text, patterns, _, _ in sources:
+            for p in patterns:
+                if (text, p) not in numbers:
+                    framed += marked_texts(F.col(text), [p], len(numbers))
+                    numbers[text, p] = len(numbers)
+    hits = F.filter(F.array(*framed), lambda h: F.contains(h["marked"], F.lit(MATCH_MARK)))
+    df = df.withColumns(guards(lanes[0][0][0][0]))
+    df = df.withColumn("_hits", F.when(only, hits)).withColumn("_matched", matches("_hits"))
+    each = []
+    for lane, (sources, rules) in enumerate(lanes):
+        flat = [(text, p, code + i, tier) for text, patterns, code, tier in sources for i, p in enumerate(patterns)]
+        kinds = _sql_array(p.kinds for _, p, _, _ in flat)
+        orders = "array(" + ", ".join(_sql_array(p.orders()) for _, p, _, _ in flat) + ")"
+        code_array, tier_array, order = ("array(" + ", ".join(map(str, v)) + ")" for v in (
+            [code for _, _, code, _ in flat], [tier for _, _, _, tier in flat], [numbers[text, p] for text, p, _, _ in flat]))
+        mine = f"""flatten(transform({order}, (u, i) -> transform(filter(_matched, m -> m.no = u),
+            m -> named_struct('no', i, 's', m.s, 'e', m.e, 'g', m.g))))"""
+        found, tokens = f"_found_{lane}", f"_tokens_{lane}"
+        df = df.withColumn(found, F.expr(f"if(size(_matched) > 0, {mine}, _matched)")).withColumn(found, F.expr(trimmed(found, kinds, rules)))
+        df = df.withColumn(tokens, F.expr(claim(found, kinds, orders, code_array, tier_array, rules)))
+        first = f"filter({found}, m -> m.no < {len(sources[0][1])})"
+        partial = f"exists({tokens}, t -> exists(t.r, q -> q.k >= 10000 and q.k % 100 = 0))"
+        each.append(F.struct(F.lit(lane).alias("lane"), F.col(tokens).alias("tokens"), F.expr(f"if({partial}, {attempted(first)}, null)").alias("attempted")))
+    df = df.withColumn(out, F.array(*each))
+    return df.drop("_hits", "_matched", *[f"{n}_{i}" for n in ("_found", "_tokens") for i in range(len(lanes))], *guards(lanes[0][0][0][0]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions.geometry import box_geometry
 from ..functions.text import MATCH_MARK
-from ..functions.tokens import days_in_month, matches, with_tokens
+from ..functions.tokens import days_in_month, matches, with_token_lanes, with_tokens
 from ..rules import PRODUCTION, RuleSet
 from ..rules import constants as C
 from ..rules import patterns as P
@@ -47,40 +47,68 @@ def measure(boxes: DataFrame) -> DataFrame:
         *[c.alias(n) for n, c in box_geometry(F.col("bbox")).items()])
 
 
-def annotate(measured: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
-    """One row per box: word flags, format hints and date tokens of every tier."""
+def _worded(measured: DataFrame) -> DataFrame:
+    """What no rule set changes about a box: its repaired texts and word flags."""
     df = measured.withColumn("t", TX.clean(F.col("text")))
     df = df.withColumn("up", F.upper("t")).withColumn("digits", F.col("t").rlike(r"(?U)\d"))
     df = df.withColumn("repaired", F.when(F.col("digits"), TX.repair(F.col("t"))).otherwise(F.col("t")))
     df = df.withColumn("masked", TX.mask_clocks(F.col("repaired")))
-    df = df.withColumns({
+    return df.withColumns({
         "anchor": F.col("up").rlike(TX.ANCHOR_REGEX),
         "exclude": F.col("up").rlike(TX.EXCLUDE_REGEX),
         "primary": F.col("up").rlike(TX.PRIMARY_REGEX),
+        "yearless_text": F.regexp_replace("repaired", *P.YEARLESS_HOUR),
     })
 
-    # every tier is scanned in one pass; a fallback only counts where the box has no dated token
-    yearless = F.col("repaired")
-    if rules.yearless_hour:
-        yearless = F.regexp_replace(yearless, *P.YEARLESS_HOUR)
-    df = df.withColumn("yearless_text", yearless)
-    sources = [
+
+def _sources(rules: RuleSet) -> list:
+    """Texts and patterns of every tier; a fallback only counts where the box has no dated token."""
+    return [
         ("masked", rules.patterns, 0, 1),
         ("t", P.HINTED_PATTERNS if rules.hinted_word else P.HINTED_PATTERNS[:1], HINTED, 1),
         ("t", P.COMPACT_PATTERNS, COMPACT, 2),
-        ("yearless_text", P.YEARLESS_PATTERNS, YEARLESS, 3),
+        ("yearless_text" if rules.yearless_hour else "repaired", P.YEARLESS_PATTERNS, YEARLESS, 3),
         ("t", P.SIX_DIGIT_PATTERNS if rules.six_digit else (), SIX_SURE, 4),
         ("t", P.PADDED_PATTERNS, PADDED_SURE, 5),
     ]
-    df = with_tokens(df, sources, rules, only=F.col("placed") & F.col("digits"),
+
+
+def _until(rules: RuleSet) -> str:
+    return f"substring(t, m.e + 1) rlike r'{rules.until_after}'"
+
+
+def annotate(measured: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
+    """One row per box: word flags, format hints and date tokens of every tier."""
+    df = with_tokens(_worded(measured), _sources(rules), rules, only=F.col("placed") & F.col("digits"),
                      out="all_tokens", attempts="attempted")
+    return _described(df, _until(rules), rules)
 
+
+def annotate_lanes(measured: DataFrame, lanes: list[RuleSet]) -> DataFrame:
+    """One row per box and rule set, as :func:`annotate` gives it for each; ``image_id`` becomes struct<lane, id>.
+
+    Texts are repaired, worded and matched once, against the union of all patterns.
+    """
+    if len({(r.year_min, r.year_max) for r in lanes}) > 1:
+        raise ValueError("rule sets beside each other share their year window")
+    df = with_token_lanes(_worded(measured), [(_sources(r), r) for r in lanes], only=F.col("placed") & F.col("digits"), out="_lanes")
+    df = df.select("*", F.explode_outer("_lanes").alias("_lane")).withColumns({
+        "image_id": F.struct(F.col("_lane.lane").alias("lane"), F.col("image_id").alias("id")),
+        "all_tokens": F.col("_lane.tokens"), "attempted": F.col("_lane.attempted"), "lane": F.col("_lane.lane")})
+    until = {}
+    for i, r in enumerate(lanes):
+        until.setdefault(_until(r), []).append(str(i))
+    cases = " ".join(f"when lane in ({', '.join(n)}) then {u}" for u, n in until.items())
+    return _described(df.drop("_lanes", "_lane"), f"(case {cases} end)", lanes[0])
+
+
+def _described(df: DataFrame, ends_until: str, rules: RuleSet) -> DataFrame:
     # per token: does its own box exclude it, may a day box complete it, is it a short slash date
     both = F.col("anchor") & F.col("exclude") & (F.size("all_tokens") > 0)
     words = {"anchor_words": TX.ANCHOR_REGEX, "exclude_words": TX.EXCLUDE_REGEX}
     df = df.withColumns({n: F.when(both, framed_words(F.col("up"), r)) for n, r in words.items()})
     df = df.withColumns({"anchor_spans": matches("anchor_words"), "exclude_spans": matches("exclude_words")})
-    until = f"(anchor or substring(t, m.e + 1) rlike r'{rules.until_after}')"
+    until = f"(anchor or {ends_until})"
     labelled = f"substring(up, 1, m.s) rlike r'{P.LABEL_BEFORE}'"
     df = df.withColumn("tokens", F.expr(f"""
       if(coalesce(size(all_tokens), 0) <= 0, {EMPTY_TOKENS}, transform(all_tokens, m -> named_struct(

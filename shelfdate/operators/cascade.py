@@ -108,14 +108,14 @@ def single_date_disagreement(old, new) -> Column:
 
 # -- the cascade ---------------------------------------------------------------
 
-def stages_side_by_side(stage_rows: DataFrame, stages=C.STAGES, fields=EVIDENCE) -> DataFrame:
-    """One row per image with one struct column per stage, null where it was not recorded.
+def stages_side_by_side(stage_rows: DataFrame, stages=C.STAGES, fields=EVIDENCE, by=("image_id",)) -> DataFrame:
+    """One row per image (or ``by``) with one struct column per stage, null where it was not recorded.
 
     Of repeated rows of an (image, stage) the smallest one, field by field, is taken, so that a
     rerun takes the same; :func:`..quality.duplicates` is the gate that refuses them.
     """
     known = stage_rows.where(F.col("stage").isin(*stages))
-    return known.groupBy("image_id").agg(*[
+    return known.groupBy(*by).agg(*[
         F.min(F.when(F.col("stage") == s, F.struct(*fields))).alias(s) for s in stages])
 
 
@@ -245,6 +245,29 @@ def trials_side_by_side(stage_rows: DataFrame, trials: dict[str, CascadeOrder] =
     return rows.groupBy("image_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "image_id"])).alias("trials"))
 
 
+def cascade_variants(stage_rows: DataFrame, plans: dict[str, tuple[int, str, RuleSet]]) -> DataFrame:
+    """(image_id, trials): the decisions of several rule variants beside each other, in the shape of :func:`trials_side_by_side`
+    (costs are 0). stage_rows: results of lanes, with ``lane`` and ``period``; plans: name to (lane, period, cascade rules).
+
+    Every different set of cascade rules decides in a column of its own beside the stages of one (image, lane, period).
+    """
+    # one exchange on the image; the groupings below both keep to it
+    wide = stages_side_by_side(stage_rows.repartition("image_id"), by=("image_id", "lane", "period"))
+    order = CascadeOrder()
+    wide = wide.withColumns({"_fallback": F.array(*[F.lit(s) for s in order.fallback]), "_short": F.lit(order.retry_short)})
+    number = {}
+    for _, _, rules in plans.values():
+        if rules not in number:
+            number[rules] = f"_r{len(number)}"
+            wide = _decided(_evidence_flags(wide, rules), rules).select(*wide.columns, F.col("_r").alias(number[rules]))
+    kept = ("final_date", "method", "attempts", "missing_stage")
+    each = [F.when((F.col("lane") == lane) & (F.col("period") == period), F.struct(
+        F.lit(name).alias("trial"), *[F.col(number[rules])[f].alias(f) for f in kept], F.lit(0).cast("bigint").alias("micros")))
+        for name, (lane, period, rules) in plans.items()]
+    rows = wide.select("image_id", F.explode_outer(F.array_compact(F.array(*each))).alias("t")).where("t is not null")
+    return rows.groupBy("image_id").agg(F.collect_list("t").alias("trials"))
+
+
 def first_candidate(stage_rows: DataFrame, order=C.STAGES[:4]) -> DataFrame:
     """The policy before retries: the first stage with a candidate, else the original."""
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("stage"))

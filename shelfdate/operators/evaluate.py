@@ -252,6 +252,18 @@ def trial_changes(trials: DataFrame, truth: DataFrame, baseline: str, names) ->
                        F.coalesce(F.col("p.final_date") == F.col("truth"), F.lit(False)).alias("new_correct"), F.col("p.attempts").alias("attempts"))
 
 
+def change_kind(old: Column, new: Column, truth: Column) -> Column:
+    """What a changed prediction means: gain, regression or changed_wrong; unknown where a side or the truth is missing."""
+    return (F.when(old.isNull() | new.isNull() | truth.isNull(), C.UNKNOWN).when(new == truth, "gain")
+            .when(old == truth, "regression").otherwise("changed_wrong"))
+
+
+def trial_stage_calls(trials: DataFrame) -> DataFrame:
+    """(policy, stage, calls): how often each trial asks for each stage; images with a missing stage have no calls."""
+    each = trials.select(F.explode("trials").alias("t")).select(F.col("t.trial").alias("policy"), F.explode("t.attempts").alias("stage"))
+    return each.groupBy("policy", "stage").agg(F.count("*").alias("calls"))
+
+
 def speed_gate(calls: DataFrame, group: str, order: str, first: int = 10, limit: float = 45_000.0) -> DataFrame:
     """(group, calls, projected, within_limit): the mean of the first few calls of each group, projected to all of its
     calls. calls: micros beside the named columns. first: how many calls are measured; limit: seconds allowed."""

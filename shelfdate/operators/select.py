@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import add_period, exists_on_calendar, final_date, is_complete, latest_meaning, parts, render
 from ..rules import PRODUCTION, RuleSet
 from ..rules import constants as C
-from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, YEARLESS, HINTED, annotate, measure, tier_of
+from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, YEARLESS, HINTED, annotate, annotate_lanes, measure, tier_of
 from .groups import KEYS, MAX_GROUP_BOXES, Spread, Together, crowded_images
 
 
@@ -116,16 +116,14 @@ def _pick(cands: DataFrame, groups) -> DataFrame:
     )
 
 
-def _decide(picks: DataFrame, rules: RuleSet) -> DataFrame:
+def _decide(picks: DataFrame, rule: str) -> DataFrame:
+    """rule: SQL of the name of the rule for stated periods."""
     amount, unit = "int(split_part(period_low, ' ', 1))", "split_part(period_low, ' ', 2)"
     period = "base_low is not null and base_low = base_high and period_low = period_high"
     moved = add_period("base.k", amount, unit)
-    derived = {
-        "computed": f"if({moved} is null, null, struct({moved} as k, base.text, base.cx, base.cy, base.anchor, "
-                    "base.exclude, base.short, base.bare, base.attempted, base.d_anchor, base.d_exclude, 0 as score))",
-        "printed_base": f"if({moved} is null, null, first)",
-        "off": "null",
-    }[rules.period]
+    derived = (f"case {rule} when 'computed' then if({moved} is null, null, struct({moved} as k, base.text, base.cx, base.cy, base.anchor, "
+               "base.exclude, base.short, base.bare, base.attempted, base.d_anchor, base.d_exclude, 0 as score)) "
+               f"when 'printed_base' then if({moved} is null, null, first) end")
     return picks.withColumn("selected", F.expr(f"""
         case when n = 0 then null
              when all_own then if({period}, {derived}, null)
@@ -134,13 +132,13 @@ def _decide(picks: DataFrame, rules: RuleSet) -> DataFrame:
              else best end"""))
 
 
-def _evidence(picks: DataFrame) -> DataFrame:
+def _evidence(picks: DataFrame, *keep: str) -> DataFrame:
     k = F.col("selected.k")
     names = render(k)
     has = F.col("selected").isNotNull()
     dates = F.transform(F.array_sort("found_dates"), lambda d: final_date(d))
     return picks.select(
-        *KEYS,
+        *KEYS, *keep,
         *[F.coalesce(c, F.lit(C.NONE)).alias(n) for n, c in names.items()],
         has.alias("has_candidate"),
         F.when(has, F.col("q")).alias("q"),
@@ -180,10 +178,19 @@ def _marked(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
 
 def _run(boxes: DataFrame, groups, rules: RuleSet, view) -> DataFrame:
     rows = _marked(boxes, groups, rules)
-    picks = _decide(_pick(_candidates(rows, groups), groups), rules)
+    picks = _decide(_pick(_candidates(rows, groups), groups), f"'{rules.period}'")
     return view(groups.source_confidence(rows, picks))
 
 
+def _run_lanes(boxes: DataFrame, groups, lanes: dict[RuleSet, list[str]]) -> DataFrame:
+    rows = groups.prepare(annotate_lanes(measure(boxes), list(lanes)))
+    rows = _choose_tier(groups.facts(rows), groups)
+    periods = F.array(*[F.array(*[F.lit(p) for p in names]) for names in lanes.values()])
+    picks = _pick(_candidates(rows, groups), groups).withColumn("period", F.explode(F.get(periods, F.col("image_id.lane"))))
+    return _evidence(groups.source_confidence(rows, _decide(picks, "period")), "period").select(
+        F.col("image_id.lane").alias("lane"), "period", "*").withColumn("image_id", F.col("image_id.id"))
+
+
 def _candidate_rows(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
     found = _candidates(_marked(boxes, groups, rules), groups).where("k0 is not null")
     return found.select(
@@ -210,6 +217,12 @@ def stage_results(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> D
     return _parse(boxes, lambda part, groups: _run(part, groups, rules, _evidence), **options)
 
 
+def stage_results_of_lanes(boxes: DataFrame, lanes: dict[RuleSet, list[str]], **options) -> DataFrame:
+    """(lane, period, ...): :func:`stage_results` under several rule sets from one scan of the boxes. lanes: rule sets that read
+    tokens in different ways, each with the rules for stated periods to decide by; their number in this order is ``lane``."""
+    return _parse(boxes, lambda part, groups: _run_lanes(part, groups, lanes), **options)
+
+
 def _parse(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = None, max_group_boxes: int = MAX_GROUP_BOXES) -> DataFrame:
     """``run`` on the boxes of all images.
 

@@ -20,6 +20,7 @@ from ..operators.select import candidate_detail, candidate_rows, stage_results
 from ..rules import PRODUCTION
 from ..rules import constants as C
 from ..rules.patterns import DATE_PATTERNS
+from ..rules.ruleset import VARIANTS
 from ..sources import testbed as T
 from . import replay as RP
 
@@ -141,6 +142,47 @@ def rule_ablation(spark, sf):
     return RP.ablation_summary(results, truth).select("variant", "n", "gains", "regressions")
 
 
+def _variant_boxes(spark, sf):
+    """Five passes of an image per line item, (boxes, truth); the part key says which rule variant it is about, 12 lacks a pass."""
+    d, case = F.col("truth"), F.col("l_partkey") % 13
+    iso, month = F.concat(F.lit("AAAA "), F.date_format(d, "yyyy-MM-dd")), F.concat(F.lit("AAAA "), F.date_format(d, "yyyy.MM"))
+    wrong = F.date_format(F.add_months(d, 12), "yyyy-MM-dd")
+    nothing = F.lit("INGREDIENTS")
+    first = (F.when(case == 0, F.concat(F.lit("AAAA "), F.upper(F.date_format(d, "yyyyMMMdd")))).when(case == 1, F.concat(month, F.date_format(d, " , dd")))
+             .when(case == 2, F.concat(F.lit("AAAAA "), F.date_format(d, "yyMMdd"), F.lit("까 지"))).when(case == 4, month)
+             .when(case == 5, F.concat(F.lit("AAAAA "), F.date_format(d, "yyMMdd"), F.lit("까지"))).when(case == 6, F.concat(F.lit("MFG "), F.date_format(d, "yyyy-MM-dd")))
+             .when(case == 7, F.concat(F.lit("EXP "), wrong)).when(case == 8, F.concat(F.lit("AAAA "), wrong)).when(case == 9, wrong)
+             .when(case == 10, F.concat(month, F.lit(".45"))).when(case == 12, nothing).otherwise(iso))
+    high = F.when(case == 3, month).when(case.isin(4, 9, 10), iso).otherwise(nothing)
+    contrast = F.when(case == 7, F.concat(F.lit("EXP "), F.date_format(d, "yyyy-MM-dd"))).when(case == 8, iso).otherwise(nothing)
+    unsure = case.isin(3, 7, 8)
+    layout = [(C.STAGES[0], first, F.when(unsure, 0.8).otherwise(0.95)), (C.STAGES[0], F.when(case == 6, "제조일로부터 5개월"), F.lit(0.95)),
+              (C.STAGES[1], F.when(case != 12, nothing), F.lit(0.9)), (C.STAGES[2], high, F.when(unsure, 0.9).otherwise(0.97)),
+              (C.STAGES[3], contrast, F.lit(0.9)), (C.STAGES[4], nothing, F.lit(0.9))]
+    boxes = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(i).cast("bigint").alias("box_index"), t.alias("text"), c.cast("double").alias("confidence"),
+                               T.rectangle(F.lit(0), F.lit(40 * i)).alias("bbox")) for i, (s, t, c) in enumerate(layout)])
+    li = T.dealt(T.table(spark, sf, "lineitem"), "l_orderkey", "l_partkey").withColumn("truth", T.moved("l_shipdate"))
+    truth = li.select(T.per_line().alias("image_id"), F.date_format(F.when(case == 6, F.add_months(d, 5)).otherwise(d), "yyyy-MM-dd").alias("final_date"),
+                      F.col("l_returnflag").alias("cohort"))
+    return li.select(T.per_line().alias("image_id"), F.inline(boxes)).where("text is not null"), truth
+
+
+def rule_variant_trials(spark, sf):
+    boxes, truth = _variant_boxes(spark, sf)
+    out = E.compare_trials(RP.variants_side_by_side(boxes), truth, "baseline", list(VARIANTS))
+    return out.select("cohort", "policy", "n", "unknown", "correct", "gains", "regressions", "calls", "extra_calls", "retry_images", "images_with_new_stages")
+
+
+def rule_variant_stage_calls(spark, sf):
+    return E.trial_stage_calls(RP.variants_side_by_side(_variant_boxes(spark, sf)[0]))
+
+
+def rule_variant_changes(spark, sf):
+    boxes, truth = _variant_boxes(spark, sf)
+    rows = E.trial_changes(RP.variants_side_by_side(boxes), truth, "baseline", list(VARIANTS))
+    return rows.select("cohort", "policy", "image_id", "truth", "old", "new", E.change_kind(F.col("old"), F.col("new"), F.col("truth")).alias("kind"))
+
+
 def date_mentions_in_documents(spark, sf):
     """Dates in free text, whole texts: texts, texts with a date, and dates per kind of text."""
     names = {"documents": ("text", "doc_id"), "pages": ("html", "page_id"), "conversations": ("text", "conv_id", "turn")}
@@ -591,6 +633,7 @@ QUERIES = {f.__name__: f for f in (
     parse_rendered_dates, token_pattern_counts, select_expiry_per_image, select_latest_no_anchor,
     labelled_set_earliest, period_from_manufacture, manufacture_rerank, adjacent_day_join, nearest_year_join,
     format_hint_per_image, slash_order_per_image, fallback_tiers, stage_evidence, replay_accuracy, rule_ablation,
+    rule_variant_trials, rule_variant_stage_calls, rule_variant_changes,
     date_mentions_in_documents, cascade_production, cascade_first_candidate, cascade_order_trials, cohort_policy_trials, cohort_policy_changes, review_route,
     policy_grid, retry_trigger_summary, outcome_categories, candidates_of_passes, candidate_detail_per_pass,
     best_pass_per_image, retry_overlay,

@@ -237,6 +237,29 @@ BESIDE = f"""{trial_rows("right(image_id, 2) <> '07'")}, beside AS (SELECT cohor
     b.f IS NULL OR p.f IS NULL AS unknown FROM tr CROSS JOIN {_NAMES} n LEFT JOIN every p ON p.policy = n.policy AND p.image_id = tr.image_id
     LEFT JOIN every b ON b.policy = 'production' AND b.image_id = tr.image_id)"""
 
+#: Rule variants over an image per line item: the case is the part key modulo 13; what every variant makes of it, from the rules.
+_VARIANTS = ("baseline", "year_month_word", "mixed_comma", "split_until", "preserve_complete", "retry_partial", "retry_damaged_day", "retry_bare_date",
+             "clahe_after_empty_retry", "clahe_after_empty_anchored_retry", "no_period", "printed_period_base", "no_six")
+_BY_RULE = """(VALUES ('year_month_word', 0, 'truth', 'O'), ('mixed_comma', 1, 'truth', 'O'), ('split_until', 2, 'truth', 'O'), ('preserve_complete', 3, 'truth', 'OH'),
+    ('retry_partial', 1, 'month', 'OH'), ('retry_partial', 4, 'truth', 'OH'), ('retry_partial', 10, 'truth', 'OH'), ('retry_damaged_day', 10, 'truth', 'OH'),
+    ('retry_bare_date', 9, 'truth', 'OH'), ('clahe_after_empty_retry', 7, 'truth', 'OHC'), ('clahe_after_empty_retry', 8, 'truth', 'OHC'),
+    ('clahe_after_empty_anchored_retry', 7, 'truth', 'OHC'), ('no_period', 6, 'none', 'ORHCK'), ('printed_period_base', 6, 'printed', 'O'), ('no_six', 5, 'none', 'ORHCK'))
+    t(policy, c, what, asked)"""
+_BASE = """(VALUES (0, 'none', 'ORHCK'), (1, 'month', 'O'), (2, 'none', 'ORHCK'), (3, 'month', 'OH'), (4, 'month', 'O'), (5, 'truth', 'O'), (6, 'truth', 'O'), (7, 'later', 'OH'),
+    (8, 'later', 'OH'), (9, 'later', 'O'), (10, 'month', 'O'), (11, 'truth', 'O'), (12, NULL, NULL)) b(c, what, asked)"""
+
+
+def _dated(what: str) -> str:
+    return (f"CASE {what} WHEN 'truth' THEN truth WHEN 'none' THEN 'NONE' WHEN 'month' THEN strftime(d, '%Y-%m') || '-NONE' "
+            f"WHEN 'later' THEN strftime(d + INTERVAL 12 MONTH, '%Y-%m-%d') WHEN 'printed' THEN strftime(d, '%Y-%m-%d') END")
+
+
+RULE_VARIANTS = f"""WITH {LI}, im AS (SELECT line_img AS image_id, l_returnflag AS cohort, d, l_partkey % 13 AS c,
+    strftime(CASE WHEN l_partkey % 13 = 6 THEN d + INTERVAL 5 MONTH ELSE d END, '%Y-%m-%d') AS truth FROM li),
+  each AS (SELECT im.*, v.policy, b.what AS bw, b.asked AS ba, coalesce(t.what, b.what) AS pw, coalesce(t.asked, b.asked) AS pa
+    FROM im JOIN {_BASE} ON b.c = im.c CROSS JOIN (SELECT unnest({list(_VARIANTS)}) AS policy) v LEFT JOIN {_BY_RULE} ON t.policy = v.policy AND t.c = im.c),
+  rv AS (SELECT *, {_dated('bw')} AS bf, {_dated('pw')} AS pf FROM each)"""
+
 ORACLES: dict[str, str] = {
     "parse_rendered_dates": f"WITH {LI} SELECT line_img AS image_id, {ISO} AS final_date FROM li GROUP BY 1, 2",
     "token_pattern_counts": f"""WITH {LI} SELECT CASE l_partkey % 6 WHEN 2 THEN 'odd_separators_year_last' WHEN 3 THEN 'yyyymmdd'
@@ -276,6 +299,14 @@ ORACLES: dict[str, str] = {
     "rule_ablation": f"""WITH {LI}, v AS (SELECT unnest(['baseline', 'year_month_word+mixed_comma', 'no_six']) AS variant)
         SELECT variant, count(*) AS n, count(*) FILTER (variant LIKE 'year%' AND l_partkey % 4 = 1) AS gains,
         count(*) FILTER (variant = 'no_six' AND l_partkey % 4 = 2) AS regressions FROM li, v GROUP BY 1""",
+    "rule_variant_trials": f"""{RULE_VARIANTS} SELECT cohort, policy, count(*) AS n, count(*) FILTER (pf IS NULL) AS unknown, count(*) FILTER (pf = truth) AS correct,
+        count(*) FILTER (bf <> truth AND pf = truth) AS gains, count(*) FILTER (bf = truth AND pf <> truth) AS regressions, CAST(sum(coalesce(length(pa), 0)) AS BIGINT) AS calls,
+        CAST(sum(coalesce(length(pa) - length(ba), 0)) AS BIGINT) AS extra_calls, count(*) FILTER (length(pa) > 1) AS retry_images,
+        count(*) FILTER (length(pa) > length(ba)) AS images_with_new_stages FROM rv GROUP BY 1, 2""",
+    "rule_variant_stage_calls": f"""{RULE_VARIANTS} SELECT policy, s.stage, count(*) AS calls FROM rv JOIN (VALUES ('O', 'original_512'), ('R', 'rotation_270'), ('H', 'highres_1024'),
+        ('C', 'clahe'), ('K', 'clahe_1024')) s(code, stage) ON contains(pa, s.code) GROUP BY 1, 2""",
+    "rule_variant_changes": f"""{RULE_VARIANTS} SELECT cohort, policy, image_id, truth, bf AS "old", pf AS "new",
+        CASE WHEN pf = truth THEN 'gain' WHEN bf = truth THEN 'regression' ELSE 'changed_wrong' END AS kind FROM rv WHERE bf IS DISTINCT FROM pf""",
     "cascade_production": f"""WITH {ST}, {cascade_cte()} SELECT image_id, CASE WHEN missing_stage IS NULL THEN s.f END AS final_date,
         CASE WHEN missing_stage IS NULL THEN method END AS method,
         coalesce(CASE WHEN missing_stage IS NULL THEN array_to_string(asked, ',') END, NULL) AS attempts, missing_stage FROM res""",

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cascade import TRIALS, cascade, cascade_trials
-from ..operators.select import stage_results
+from ..operators.cascade import TRIALS, cascade, cascade_trials, cascade_variants
+from ..operators.select import stage_results, stage_results_of_lanes
 from ..rules import EARLIER, PRODUCTION, RuleSet, variant
+from ..rules.ruleset import VARIANTS, split
 
 
 def replay(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
@@ -28,6 +29,21 @@ def ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **
     return out
 
 
+def variants_side_by_side(boxes: DataFrame, names: Iterable[str] = tuple(VARIANTS), base: RuleSet = EARLIER, **options) -> DataFrame:
+    """(image_id, trials): what :func:`ablation` gives for several rule variants, from one scan of the boxes and as one array
+    per image. Variants that read tokens alike share a lane, variants that differ in stated periods or in the cascade only
+    share the image step as well. ``evaluate.compare_trials`` and its companions read the result."""
+    parts = {n: split(variant(base, n)) for n in names}
+    lanes: dict[RuleSet, list[str]] = {}
+    for reading, period, _ in parts.values():
+        used = lanes.setdefault(reading, [])
+        if period not in used:
+            used.append(period)
+    place = {reading: i for i, reading in enumerate(lanes)}
+    plans = {n: (place[reading], period, rules) for n, (reading, period, rules) in parts.items()}
+    return cascade_variants(stage_results_of_lanes(boxes, lanes, **options), plans)
+
+
 def parser_ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **options) -> DataFrame:
     """As :func:`ablation` for one stage per image, without the cascade."""
     out = None

@@ -34,6 +34,16 @@ class RuleSet:
 
 PRODUCTION = RuleSet()
 
+CASCADE_FIELDS = ("preserve_complete", "retry_partial", "retry_damaged_day", "retry_bare_date", "empty_retry_contrast", "early_stop")
+
+
+def split(rules: RuleSet) -> tuple[RuleSet, str, RuleSet]:
+    """A rule set in three: how tokens are read, how stated periods are used, how the cascade decides. The first and the
+    last are rule sets with production values in all other fields, so that equal ones can be shared between variants."""
+    cascade = {f: getattr(rules, f) for f in CASCADE_FIELDS}
+    reading = {f: getattr(PRODUCTION, f) for f in (*CASCADE_FIELDS, "period")}
+    return replace(rules, **reading), rules.period, replace(PRODUCTION, **cascade)
+
 _ACCEPTED = {P.YEAR_WORD_DAY.name, P.COMMA_THEN_DOT.name, P.DOT_THEN_COMMA.name}
 
 EARLIER = RuleSet(
