@@ -187,8 +187,8 @@ def _run_lanes(boxes: DataFrame, groups, lanes: dict[RuleSet, list[str]]) -> Dat
     rows = _choose_tier(groups.facts(rows), groups)
     periods = F.array(*[F.array(*[F.lit(p) for p in names]) for names in lanes.values()])
     picks = _pick(_candidates(rows, groups), groups).withColumn("period", F.explode(F.get(periods, F.col("image_id.lane"))))
-    return _evidence(groups.source_confidence(rows, _decide(picks, "period")), "period").select(
-        F.col("image_id.lane").alias("lane"), "period", "*").withColumn("image_id", F.col("image_id.id"))
+    return _evidence(groups.source_confidence(rows, _decide(picks, "period")), "period").withColumns(
+        {"lane": F.col("image_id.lane"), "image_id": F.col("image_id.id")})
 
 
 def _candidate_rows(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
