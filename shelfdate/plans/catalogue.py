@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import policies as PO
 from ..operators import quality as Q
 from ..operators import review as R
+from ..operators import shadow as SH
 from ..operators.boxes import annotate, date_tokens, measure
 from ..operators.boxes import stage_texts as stage_texts_of
 from ..operators.quantiles import exclusive_quantile
@@ -284,6 +285,28 @@ def best_pass_per_image(spark, sf):
     return best.withColumns({"anchor_distance": F.round("anchor_distance", 6), "confidence": F.round("confidence", 6)})
 
 
+def _cohort(spark, sf):
+    """Official results, some of them twice or gone, and two development lists that share a few images."""
+    key, ending = F.col("image_id").cast("bigint"), F.col("image_id").substr(-2, 2)
+    found = CA.first_candidate(T.stage_table(spark, sf)).where(ending != "07").select("image_id", "method")
+    listed = T.order_truth(spark, sf).select("image_id")
+    return SH.cohort_membership(found.unionByName(found.where(key % 97 == 0)), listed.where(key % 11 == 0), listed.where(key % 7 == 0))
+
+
+def cohort_membership(spark, sf):
+    return _cohort(spark, sf)
+
+
+def shadow_changes(spark, sf):
+    rows = SH.shadow_rows(T.stage_table(spark, sf), _cohort(spark, sf), T.order_truth(spark, sf))
+    return rows.withColumn("attempts", F.array_join("attempts", ","))
+
+
+def shadow_summary(spark, sf):
+    rows = SH.shadow_summary(SH.shadow_rows(T.stage_table(spark, sf), _cohort(spark, sf), T.order_truth(spark, sf)))
+    return rows.withColumns({c: F.round(c, 6) for c, t in rows.dtypes if t == "double"})
+
+
 def retry_overlay(spark, sf):
     stages = T.stage_table(spark, sf)
     base = CA.first_candidate(stages)
@@ -636,7 +659,7 @@ QUERIES = {f.__name__: f for f in (
     rule_variant_trials, rule_variant_stage_calls, rule_variant_changes,
     date_mentions_in_documents, cascade_production, cascade_first_candidate, cascade_order_trials, cohort_policy_trials, cohort_policy_changes, review_route,
     policy_grid, retry_trigger_summary, outcome_categories, candidates_of_passes, candidate_detail_per_pass,
-    best_pass_per_image, retry_overlay,
+    best_pass_per_image, cohort_membership, shadow_changes, shadow_summary, retry_overlay,
     merged_stage_sources, hybrid_fill, accuracy_by_truth_group, gains_regressions, policy_comparison, stage_oracle,
     candidate_oracle, early_stop_oracle, failure_stage_counts, wrong_answer_kinds, late_date_errors, error_classes,
     method_attempt_counts, coverage_gap, baseline_issues, grown_attempts, oracle_change, run_summary, method_table,

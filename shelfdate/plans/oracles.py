@@ -260,6 +260,25 @@ RULE_VARIANTS = f"""WITH {LI}, im AS (SELECT line_img AS image_id, l_returnflag
     FROM im JOIN {_BASE} ON b.c = im.c CROSS JOIN (SELECT unnest({list(_VARIANTS)}) AS policy) v LEFT JOIN {_BY_RULE} ON t.policy = v.policy AND t.c = im.c),
   rv AS (SELECT *, {_dated('bw')} AS bf, {_dated('pw')} AS pf FROM each)"""
 
+COHORT = f"""WITH {ST}, {TRUTH}, {FIRST}, lists AS (SELECT image_id, CAST(image_id AS BIGINT) AS k, method FROM tr
+    LEFT JOIN (SELECT * FROM fc WHERE right(image_id, 2) <> '07') USING (image_id)),
+  mem AS (SELECT image_id, CASE WHEN method IS NOT NULL AND k % 97 = 0 THEN 'duplicate' WHEN k % 77 = 0 THEN 'overlap' WHEN method IS NULL THEN 'not_official'
+    WHEN k % 11 = 0 THEN 'excluded_failure' WHEN k % 7 = 0 THEN 'excluded_control' WHEN method = 'original_512' THEN 'primary' ELSE 'later_stop' END AS membership
+    FROM lists WHERE method IS NOT NULL OR k % 11 = 0 OR k % 7 = 0)"""
+SHADOW = f"""{COHORT}, sh0 AS (SELECT image_id, truth, o, r, h, coalesce(o.q < 0.9 OR o.many, false) AS trig FROM mem JOIN tr USING (image_id)
+    LEFT JOIN st o ON o.image_id = mem.image_id AND o.stage = 'original_512' LEFT JOIN st r ON r.image_id = mem.image_id AND r.stage = 'rotation_270'
+    LEFT JOIN st h ON h.image_id = mem.image_id AND h.stage = 'highres_1024' WHERE membership = 'primary'),
+  sh1 AS (SELECT *, NOT trig OR (r.stage IS NOT NULL AND h.stage IS NOT NULL) AS known FROM sh0),
+  sh2 AS (SELECT *, known AND trig AS triggered, CASE WHEN NOT known THEN NULL WHEN trig AND h.has AND len(h.cd) = 1 AND h.q > o.q AND (NOT (r.has AND coalesce(len(r.cd), 0) = 1) OR h.q > r.q) THEN 'highres_1024'
+      WHEN trig AND r.has AND len(r.cd) = 1 AND r.q > o.q THEN 'rotation_270' ELSE 'original_512' END AS selected_stage FROM sh1),
+  sh AS (SELECT image_id, truth, CASE WHEN known THEN o.f END AS baseline, CASE selected_stage WHEN 'highres_1024' THEN h.f WHEN 'rotation_270' THEN r.f WHEN 'original_512' THEN o.f END AS shadow,
+    triggered, selected_stage, known, CASE WHEN triggered THEN 'original_512,rotation_270,highres_1024' WHEN known THEN 'original_512' ELSE '' END AS attempts,
+    CASE WHEN known THEN CAST(round(o.l_tax * 1000000) AS BIGINT) ELSE 0 END AS original_micros,
+    CASE WHEN triggered THEN CAST(round(r.l_tax * 1000000) AS BIGINT) + CAST(round(h.l_tax * 1000000) AS BIGINT) ELSE 0 END AS retry_micros FROM sh2),
+  shadowed AS (SELECT * EXCLUDE (known), coalesce(baseline = truth, false) AS baseline_correct, coalesce(shadow = truth, false) AS shadow_correct,
+    CASE WHEN NOT known THEN 'unknown' WHEN baseline = truth AND shadow = truth THEN 'unchanged_correct' WHEN baseline = truth THEN 'regression'
+      WHEN shadow = truth THEN 'recovery' WHEN baseline = shadow THEN 'unchanged_wrong' ELSE 'wrong_to_different_wrong' END AS category FROM sh)"""
+
 ORACLES: dict[str, str] = {
     "parse_rendered_dates": f"WITH {LI} SELECT line_img AS image_id, {ISO} AS final_date FROM li GROUP BY 1, 2",
     "token_pattern_counts": f"""WITH {LI} SELECT CASE l_partkey % 6 WHEN 2 THEN 'odd_separators_year_last' WHEN 3 THEN 'yyyymmdd'
@@ -358,6 +377,15 @@ ORACLES: dict[str, str] = {
         round(sum(CASE WHEN unknown THEN 0 ELSE pm END) / 1000000 * 500 / count(*), 6) AS projected_seconds FROM beside GROUP BY 1, 2""",
     "cohort_policy_changes": f"""WITH {BESIDE} SELECT cohort, policy, image_id, truth, bf AS "old", pf AS "new", coalesce(bf = truth, false) AS old_correct, coalesce(pf = truth, false) AS new_correct,
         array_to_string(pa, ',') AS attempts FROM beside WHERE bf IS DISTINCT FROM pf""",
+    "cohort_membership": f"{COHORT} SELECT image_id, membership FROM mem",
+    "shadow_changes": f"{SHADOW} SELECT * FROM shadowed",
+    "shadow_summary": f"""{SHADOW}, s AS (SELECT count(*) AS n, count(*) FILTER (baseline_correct) AS baseline_correct, count(*) FILTER (shadow_correct) AS shadow_correct,
+        count(*) FILTER (triggered) AS triggered, {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in (
+            "recovery", "regression", "wrong_to_different_wrong", "unchanged_correct", "unchanged_wrong", "unknown"))},
+        count(*) FILTER (triggered AND baseline_correct) AS triggered_correct, CAST(sum(len(list_filter(string_split(attempts, ','), lambda x: x <> ''))) AS BIGINT) AS attempts,
+        CAST(sum(original_micros) AS BIGINT) AS original_micros, CAST(sum(retry_micros) AS BIGINT) AS retry_micros FROM shadowed)
+        SELECT *, triggered - triggered_correct AS triggered_wrong, shadow_correct - baseline_correct AS net_correct, round(500.0::DOUBLE / n * triggered, 6) AS projected_triggers,
+        round(500.0::DOUBLE / n * 2 * triggered, 6) AS projected_retries, round(500.0::DOUBLE / n * retry_micros / 1000000, 6) AS projected_retry_seconds FROM s""",
     "retry_overlay": f"""WITH {ST}, {FIRST} SELECT fc.image_id, CASE WHEN k.has THEN k.f ELSE fc.f END AS final_date, coalesce(k.has, false) AS overlaid
         FROM fc LEFT JOIN st k ON k.image_id = fc.image_id AND k.stage = 'clahe_1024'""",
     "merged_stage_sources": f"WITH {ST} SELECT CASE WHEN has THEN 'early' ELSE 'late' END AS origin, stage, count(*) AS n FROM st GROUP BY 1, 2",
