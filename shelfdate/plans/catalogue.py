@@ -10,6 +10,7 @@ from ..functions.text import has_word
 from ..functions.windows import keyword_window, recentred_window
 from ..operators import cascade as CA
 from ..operators import evaluate as E
+from ..operators import passes as PA
 from ..operators import policies as PO
 from ..operators import quality as Q
 from ..operators import review as R
@@ -285,6 +286,24 @@ def best_pass_per_image(spark, sf):
     return best.withColumns({"anchor_distance": F.round("anchor_distance", 6), "confidence": F.round("confidence", 6)})
 
 
+def _saved_passes(spark, sf):
+    """Saved passes from parsed boxes; a pass all of whose lines are blank was recorded without any box."""
+    boxes = _pass_boxes(spark, sf).where("text <> 'INGREDIENTS'")
+    found = candidate_detail(boxes).select("image_id", "stage", "final_date", "has_candidate")
+    seen = T.table(spark, sf, "lineitem").groupBy(T.image_key("l_orderkey").alias("image_id"), T.stage_of().alias("stage")).agg(
+        F.count_if(F.col("l_partkey") % 17 != 0).alias("boxes"), F.min("l_tax").alias("seconds"))
+    return seen.join(found, ["image_id", "stage"], "left")
+
+
+def fold_of_passes(spark, sf):
+    rows = PA.fold_passes(_saved_passes(spark, sf), T.order_truth(spark, sf))
+    return rows.withColumn("attempts", F.array_join("attempts", ","))
+
+
+def control_of_passes(spark, sf):
+    return PA.control(_saved_passes(spark, sf), T.order_truth(spark, sf))
+
+
 def _cohort(spark, sf):
     """Official results, some of them twice or gone, and two development lists that share a few images."""
     key, ending = F.col("image_id").cast("bigint"), F.col("image_id").substr(-2, 2)
@@ -659,7 +678,7 @@ QUERIES = {f.__name__: f for f in (
     rule_variant_trials, rule_variant_stage_calls, rule_variant_changes,
     date_mentions_in_documents, cascade_production, cascade_first_candidate, cascade_order_trials, cohort_policy_trials, cohort_policy_changes, review_route,
     policy_grid, retry_trigger_summary, outcome_categories, candidates_of_passes, candidate_detail_per_pass,
-    best_pass_per_image, cohort_membership, shadow_changes, shadow_summary, retry_overlay,
+    best_pass_per_image, fold_of_passes, control_of_passes, cohort_membership, shadow_changes, shadow_summary, retry_overlay,
     merged_stage_sources, hybrid_fill, accuracy_by_truth_group, gains_regressions, policy_comparison, stage_oracle,
     candidate_oracle, early_stop_oracle, failure_stage_counts, wrong_answer_kinds, late_date_errors, error_classes,
     method_attempt_counts, coverage_gap, baseline_issues, grown_attempts, oracle_change, run_summary, method_table,

@@ -260,6 +260,11 @@ RULE_VARIANTS = f"""WITH {LI}, im AS (SELECT line_img AS image_id, l_returnflag
     FROM im JOIN {_BASE} ON b.c = im.c CROSS JOIN (SELECT unnest({list(_VARIANTS)}) AS policy) v LEFT JOIN {_BY_RULE} ON t.policy = v.policy AND t.c = im.c),
   rv AS (SELECT *, {_dated('bw')} AS bf, {_dated('pw')} AS pf FROM each)"""
 
+SAVED = f"""{PASSES}, {TRUTH}, pz AS (SELECT x.image_id, x.stage, count(*) FILTER (NOT blank) AS boxes, any_value(micros) AS micros FROM x
+    JOIN (SELECT img AS image_id, {STAGE_NAME} AS stage, CAST(round(min(l_tax) * 1000000) AS BIGINT) AS micros FROM li GROUP BY 1, 2) USING (image_id, stage) GROUP BY ALL),
+  ps AS (SELECT pz.*, coalesce(det.has_candidate, false) AS has, CASE WHEN coalesce(det.has_candidate, false) THEN {shown('day')} ELSE 'NONE' END AS f FROM pz LEFT JOIN det USING (image_id, stage)),
+  side AS (SELECT tr.image_id, truth, {", ".join(c for c in "orhc")} FROM tr {" ".join(f"LEFT JOIN ps {c} ON {c}.image_id = tr.image_id AND {c}.stage = '{s}'" for c, s in zip("orhc", STAGES))})"""
+
 COHORT = f"""WITH {ST}, {TRUTH}, {FIRST}, lists AS (SELECT image_id, CAST(image_id AS BIGINT) AS k, method FROM tr
     LEFT JOIN (SELECT * FROM fc WHERE right(image_id, 2) <> '07') USING (image_id)),
   mem AS (SELECT image_id, CASE WHEN method IS NOT NULL AND k % 97 = 0 THEN 'duplicate' WHEN k % 77 = 0 THEN 'overlap' WHEN method IS NULL THEN 'not_official'
@@ -377,6 +382,20 @@ ORACLES: dict[str, str] = {
         round(sum(CASE WHEN unknown THEN 0 ELSE pm END) / 1000000 * 500 / count(*), 6) AS projected_seconds FROM beside GROUP BY 1, 2""",
     "cohort_policy_changes": f"""WITH {BESIDE} SELECT cohort, policy, image_id, truth, bf AS "old", pf AS "new", coalesce(bf = truth, false) AS old_correct, coalesce(pf = truth, false) AS new_correct,
         array_to_string(pa, ',') AS attempts FROM beside WHERE bf IS DISTINCT FROM pf""",
+    "fold_of_passes": f"""{SAVED}, q AS (SELECT *, CASE WHEN o.stage IS NULL THEN 'original_512' WHEN o.has THEN NULL WHEN r.stage IS NULL THEN 'rotation_270' WHEN r.has THEN NULL
+          WHEN h.stage IS NULL THEN 'highres_1024' WHEN h.has THEN NULL WHEN c.stage IS NULL THEN 'clahe' END AS missing_stage,
+          CASE WHEN o.has THEN 1 WHEN r.has THEN 2 WHEN h.has THEN 3 ELSE 4 END AS asked, CASE WHEN o.has THEN o WHEN r.has THEN r WHEN h.has THEN h WHEN c.has THEN c END AS s FROM side),
+        fo AS (SELECT *, missing_stage IS NULL AS known, coalesce(s.f, 'NONE') AS f, coalesce(s.has, false) AS found, o.boxes + r.boxes + h.boxes + c.boxes AS boxes FROM q)
+        SELECT image_id, truth, CASE WHEN known THEN f END AS final_date, CASE WHEN known THEN coalesce(s.stage, 'original_no_candidate') END AS method,
+        CASE WHEN known THEN array_to_string((['original_512', 'rotation_270', 'highres_1024', 'clahe'])[1:asked], ',') END AS attempts, known AND f = truth AS correct,
+        CASE WHEN NOT known THEN 'unknown' WHEN f = truth THEN 'success' WHEN found THEN 'parser_wrong_after_candidate' WHEN boxes = 0 THEN 'ocr_no_boxes'
+          ELSE 'ocr_boxes_no_date_candidate' END AS failure_stage,
+        CASE WHEN known THEN CASE WHEN asked > 1 THEN r.micros ELSE 0 END + CASE WHEN asked > 2 THEN h.micros ELSE 0 END + CASE WHEN asked > 3 THEN c.micros ELSE 0 END END AS fallback_micros,
+        missing_stage FROM fo""",
+    "control_of_passes": f"""{SAVED}, q AS (SELECT *, o.stage IS NOT NULL AND (o.has OR r.stage IS NOT NULL) AS known, NOT coalesce(o.has, false) AND coalesce(r.has, false) AS moved FROM side)
+        SELECT image_id, CASE WHEN known THEN CASE WHEN moved THEN 'rotation_270' ELSE 'original_512' END END AS source,
+        CASE WHEN known THEN CASE WHEN moved THEN r.f ELSE o.f END END AS final_date, CASE WHEN known THEN o.has OR moved END AS has_candidate,
+        CASE WHEN known THEN CASE WHEN moved THEN r.f ELSE o.f END = truth END AS correct FROM q""",
     "cohort_membership": f"{COHORT} SELECT image_id, membership FROM mem",
     "shadow_changes": f"{SHADOW} SELECT * FROM shadowed",
     "shadow_summary": f"""{SHADOW}, s AS (SELECT count(*) AS n, count(*) FILTER (baseline_correct) AS baseline_correct, count(*) FILTER (shadow_correct) AS shadow_correct,
