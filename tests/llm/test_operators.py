@@ -213,16 +213,6 @@ def test_words_get_the_ids_that_the_whole_text_gives_them():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
-def test_pieces_told_together_have_the_ids_they_have_alone():
-    coder = packing.WordCoder(packing.vocabulary_file())
-    rng = random.Random(5)
-    signs = ["a", "ä", "I\u0307", "\u0301", "0", "7", "'s", "<|endoftext|>", "<|", "…", "“", "日本", "\u200d", "\x1c", "!!", "\U0001f600"]
-    pieces = list({"".join(rng.choices(signs, k=rng.randint(1, 4))).encode() for _ in range(1500)})
-    told = coder.told(pieces)
-    alone = coder.coder.encode_batch([x.decode() for x in pieces], add_special_tokens=False)
-    assert {x: np.frombuffer(told[x], coder.kind).tolist() for x in pieces} == {x: e.ids for x, e in zip(pieces, alone, strict=True)}
-
-
 def test_words_are_told_again_after_they_were_forgotten(monkeypatch):
     coder, small = packing.WordCoder(packing.vocabulary_file()), packing.WordCoder(packing.vocabulary_file())
     texts = [" ".join(f"w{i * k % 61}x, {i}" for i in range(40)).encode() for k in range(30)]
