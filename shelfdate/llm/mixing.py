@@ -8,8 +8,9 @@ finds which lengths close the gap, from below or above. Which documents of a len
 Defined cases: a null text has size 0, a null source is a source of its own and comes last; documents of size 0
 get the source's whole repeats and no more; repeated rows count one by one; an empty table gives an empty result.
 The number of distinct sources is bounded by `max_sources` (one summary row each comes to the driver); everything
-else stays distributed. A (source, length) group may hold any share of all rows: it is cut into `BINS` by hash, and rows
-are ranked within their bin only.
+else stays distributed. A (source, length) group may hold any share of all rows: it is cut into `BINS` by a hash of id and
+text, so that rows without an id or with the same one spread too, and rows are ranked within their bin only. Only rows with
+the same id and the same text share a mark: which of them are taken is open, how many of them is not.
 """
 
 from __future__ import annotations
@@ -100,13 +101,15 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
     return taken
 
 
-def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5,
+def mix(docs: DataFrame, *, size: Column | None = None, salt: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5,
         repeats: int = 2, seed: int = 7, max_sources: int = 100_000) -> DataFrame:
-    """(row, size, source_size, target, times): every input row with the number of times the mix takes it."""
+    """(row, size, source_size, target, times): every input row with the number of times the mix takes it. size, salt:
+    words and hash of the text, for callers that have them already."""
     spark = docs.sparkSession
     rows = docs.select(packed(docs).alias("row"), F.col("source").cast("string").alias("source"),
-                       F.col("doc_id").alias("id"), (words_in() if size is None else size).alias("size"))
-    mark = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed))
+                       F.col("doc_id").alias("id"), (words_in() if size is None else size).alias("size"),
+                       (F.xxhash64("text") if salt is None else salt).alias("salt"))
+    mark = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "salt", F.lit(seed))
     rows = rows.select("row", "source", "size", mark.alias("mark"))
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     rows = rows.select("row", named.alias("name"), "size", "mark", F.pmod("mark", F.lit(BINS)).alias("bin"))
@@ -157,7 +160,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def op9_length_count_mix(spark, folder):
     """Production parameters: weights 3, 1, 2 repeating, 150 % of all words, at most two repeats."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", words_in().alias("size"))
+    docs = table(spark, folder, "documents").select("doc_id", "source", words_in().alias("size"), F.xxhash64("text").alias("salt"))
     sized = keep(docs)
-    return mix(sized, size=F.col("size")).select(
+    return mix(sized, size=F.col("size"), salt=F.col("salt")).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))

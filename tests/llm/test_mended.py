@@ -7,7 +7,7 @@ import pytest
 from brute import near_components
 
 import corpus_pipeline
-from shelfdate.llm import embeddings, language, language_model
+from shelfdate.llm import embeddings, language, language_model, mixing
 from shelfdate.llm.common import keep
 
 
@@ -81,3 +81,18 @@ def test_near_dedup_stage_takes_pairs_from_eighty_percent(spark):
     assert near_components([(i, t) for i, t, *_ in rows], percent=80) == {1: 1, 2: 1} and near_components([(i, t) for i, t, *_ in rows]) == {1: 1, 2: 2}
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_mix_spreads_rows_without_id_and_repeats_itself(spark):
+    rows = [(None, f"a{i} b{i}", "hot") for i in range(600)] + [(7, f"c{i} d{i} e{i}", "hot") for i in range(300)] + [(i, "x y", "cold") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for width in (3, 7):
+        mixed = mixing.mix(docs.repartition(width), share=0.6)
+        seen.append(sorted((r.row.doc_id or -1, r.row.text, r.row.source, r.times) for r in mixed.collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+    taken = {s: sum(len(text.split()) * n for _, text, source, n in seen[0] if source == s) for s in ("hot", "cold")}
+    # sources in order weigh 3 (cold, stopped at twice its size) and 1 (hot, the rest)
+    assert taken == {"cold": 200, "hot": round(0.6 * (600 * 2 + 300 * 3 + 100)) - 200}
+    chosen = {text for doc_id, text, _, n in seen[0] if doc_id == 7 and n}
+    assert 0 < len(chosen) < 300
