@@ -92,14 +92,15 @@ def late_date_error(predicted: Column, truth: Column) -> Column:
 
 
 def stage_oracle(stage_rows: DataFrame, truth: DataFrame, final: DataFrame) -> DataFrame:
-    """Could any stage have been right, and was the final choice?"""
+    """Could any stage have been right, and was the final choice? Over all labelled images; unknown ones have no final choice."""
     t = truth.select("image_id", F.col("final_date").alias("truth"))
-    any_hit = stage_rows.join(t, "image_id").groupBy("image_id").agg(
-        F.bool_or(F.col("final_date") == F.col("truth")).alias("any_stage"))
-    chosen = final.join(t, "image_id").select("image_id", (F.col("final_date") == F.col("truth")).alias("correct"))
-    return any_hit.join(chosen, "image_id").groupBy().agg(
-        F.count("*").alias("n"), F.count_if("any_stage").alias("oracle"), F.count_if("correct").alias("correct"),
-        F.count_if(F.col("any_stage") & ~F.col("correct")).alias("missed_choice"))
+    hits = stage_rows.join(t, "image_id").groupBy("image_id").agg(F.bool_or(F.col("final_date") == F.col("truth")).alias("any_stage"))
+    chosen = final.select("image_id", F.col("final_date").alias("chosen"))
+    rows = t.join(hits, "image_id", "left").join(chosen, "image_id", "left")
+    return rows.groupBy().agg(
+        F.count("*").alias("n"), F.count_if(F.col("chosen").isNull()).alias("unknown"), F.count_if("any_stage").alias("oracle"),
+        F.count_if(F.col("chosen") == F.col("truth")).alias("correct"),
+        F.count_if(F.col("any_stage") & (F.col("chosen") != F.col("truth"))).alias("missed_choice"))
 
 
 def candidate_oracle(stage_rows: DataFrame, truth: DataFrame) -> DataFrame:

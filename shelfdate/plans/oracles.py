@@ -425,8 +425,8 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (len(list_filter(t.asked, lambda v: NOT list_contains(b.asked, v))) > 0) AS images_with_new_stages
         FROM base b JOIN trial t USING (image_id) JOIN tr USING (image_id) GROUP BY 1""",
     "stage_oracle": f"""WITH {ST}, {TRUTH}, {FIRST}, h AS (SELECT image_id, bool_or(f = truth) AS hit FROM st JOIN tr USING (image_id) GROUP BY 1)
-        SELECT count(*) AS n, count(*) FILTER (hit) AS oracle, count(*) FILTER (f = truth) AS correct,
-        count(*) FILTER (hit AND f <> truth) AS missed_choice FROM fc JOIN h USING (image_id) JOIN tr USING (image_id)""",
+        SELECT count(*) AS n, count(*) FILTER (f IS NULL) AS unknown, count(*) FILTER (hit) AS oracle, count(*) FILTER (f = truth) AS correct,
+        count(*) FILTER (hit AND f <> truth) AS missed_choice FROM tr LEFT JOIN fc USING (image_id) LEFT JOIN h USING (image_id)""",
     "candidate_oracle": f"""WITH {ST}, {TRUTH} SELECT stage, count(*) AS errors, count(*) FILTER (list_contains(cd, truth)) AS recoverable
         FROM st JOIN tr USING (image_id) WHERE f <> truth GROUP BY 1""",
     "early_stop_oracle": f"""WITH {ST}, {TRUTH}, n AS (SELECT *, list_position(['original_512', 'rotation_270', 'highres_1024', 'clahe'], stage) AS no

@@ -98,3 +98,11 @@ def test_sign_test_is_the_binomial_tail(spark):
 def test_labels_without_a_prediction_are_a_class_of_their_own(spark):
     rows = spark.createDataFrame([("x", "x", "x"), ("x", "y", "x"), (None, "x", "x"), (None, None, None)], "prediction string, label string, normalised string")
     assert {(r.raw, r.normalised): r.n for r in E.verdict_changes(rows).collect()} == {(True, True): 1, (False, True): 1, (None, None): 2}
+
+
+def test_stage_oracle_counts_every_labelled_image(spark):
+    truth = spark.createDataFrame([(i, "2025-01-02") for i in range(1, 6)], "image_id long, final_date string")
+    stages = spark.createDataFrame([(1, "2025-01-02"), (2, "2025-01-02"), (2, "2024-01-02"), (3, "NONE"), (4, "2025-01-02"), (9, "2025-01-02")],
+                                   "image_id long, final_date string")
+    final = spark.createDataFrame([(1, "2025-01-02"), (2, "2024-01-02"), (3, "NONE"), (9, "2025-01-02")], "image_id long, final_date string")
+    assert E.stage_oracle(stages, truth, final).collect()[0].asDict() == {"n": 5, "unknown": 2, "oracle": 3, "correct": 1, "missed_choice": 1}
