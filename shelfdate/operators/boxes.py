@@ -47,6 +47,11 @@ def measure(boxes: DataFrame) -> DataFrame:
         *[c.alias(n) for n, c in box_geometry(F.col("bbox")).items()])
 
 
+#: What a box tells by its place, and what the reading of its text depends on.
+PLACE = ("image_id", "stage", "box_index", "confidence", "cx", "cy", "x0", "x1", "h")
+TEXT = ("text", "placed")
+
+
 def _worded(measured: DataFrame) -> DataFrame:
     """What no rule set changes about a box: its repaired texts and word flags."""
     df = measured.withColumn("t", TX.clean(F.col("text")))
@@ -78,14 +83,15 @@ def _until(rules: RuleSet) -> str:
 
 
 def annotate(measured: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
-    """One row per box: word flags, format hints and date tokens of every tier."""
+    """One row per box: word flags, format hints and date tokens of every tier. ``measured`` may also hold the distinct
+    texts alone (``TEXT``): nothing here depends on the place of a box."""
     df = with_tokens(_worded(measured), _sources(rules), rules, only=F.col("placed") & F.col("digits"),
                      out="all_tokens", attempts="attempted")
     return _described(df, _until(rules), rules)
 
 
 def annotate_lanes(measured: DataFrame, lanes: list[RuleSet]) -> DataFrame:
-    """One row per box and rule set, as :func:`annotate` gives it for each; ``image_id`` becomes struct<lane, id>.
+    """One row per box and rule set, as :func:`annotate` gives it for each, with its number as ``lane``.
 
     Texts are repaired, worded and matched once, against the union of all patterns.
     """
@@ -93,7 +99,6 @@ def annotate_lanes(measured: DataFrame, lanes: list[RuleSet]) -> DataFrame:
         raise ValueError("rule sets beside each other share their year window")
     df = with_token_lanes(_worded(measured), [(_sources(r), r) for r in lanes], only=F.col("placed") & F.col("digits"), out="_lanes")
     df = df.select("*", F.explode_outer("_lanes").alias("_lane")).withColumns({
-        "image_id": F.struct(F.col("_lane.lane").alias("lane"), F.col("image_id").alias("id")),
         "all_tokens": F.col("_lane.tokens"), "attempted": F.col("_lane.attempted"), "lane": F.col("_lane.lane")})
     until = {}
     for i, r in enumerate(lanes):
@@ -137,7 +142,7 @@ def _described(df: DataFrame, ends_until: str, rules: RuleSet) -> DataFrame:
                          "_years": F.when(F.col("t").contains("/"), years)})
     has_tokens = F.size("tokens") > 0
     return df.select(
-        "image_id", "stage", "box_index", "text", "confidence", "placed", "cx", "cy", "x0", "x1", "h",
+        *[c for c in (*PLACE, *TEXT, "lane") if c in df.columns],
         "anchor", "exclude", "primary", "tokens",
         F.when(has_tokens, F.col("attempted")).alias("attempted"),
         F.when(has_tokens & F.col("anchor"), TX.words_found(F.col("up"), C.ANCHOR_WORDS))

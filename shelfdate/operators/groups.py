@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.geometry import nearest_in
 from ..rules import constants as C
 from . import spatial
+from .boxes import TEXT
 
 KEYS = ["image_id", "stage"]
+LANE_KEYS = [*KEYS, "lane"]
 MAX_GROUP_BOXES = 4096
 
 INF = "double('infinity')"
@@ -28,6 +30,11 @@ def crowded_images(boxes: DataFrame, limit: int = MAX_GROUP_BOXES) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > limit)
 
 
+def told(boxes: DataFrame, described: DataFrame) -> DataFrame:
+    """Boxes with the columns that their texts have in ``described``, a bounded table of distinct texts."""
+    return boxes.join(F.broadcast(described), list(TEXT))
+
+
 def slim(rows: DataFrame) -> DataFrame:
     """Annotated boxes as they are exchanged: only boxes with a date token keep their text."""
     return rows.withColumn("text", F.when(F.size("tokens") > 0, F.col("text")))
@@ -55,14 +62,20 @@ def _image_flags() -> dict[str, Column]:
 
 
 class Together:
-    """Facts by window over one exchange on the image."""
+    """Facts by window over one exchange on the image, into ``parts`` tasks (None: the session's)."""
 
-    def __init__(self, keys=KEYS):
+    def __init__(self, keys=KEYS, parts: int | None = None):
+        self.keys, self.parts = keys, parts
         self.window = Window.partitionBy(*keys)
 
-    def prepare(self, rows: DataFrame) -> DataFrame:
-        # the only exchange: every window below and the cascade's grouping by image reuse it
-        return slim(rows).repartition("image_id")
+    def prepare(self, measured: DataFrame, read, texts: DataFrame | None) -> DataFrame:
+        """Boxes as ``read`` describes them, exchanged once: every window below and the cascade's grouping by image reuse
+        it. With ``texts`` the boxes move and sort as they are measured and get what their text tells where they arrive."""
+        spread = ([] if self.parts is None else [self.parts]) + ["image_id"]
+        if texts is None:
+            return slim(read(measured)).repartition(*spread)
+        rows = measured.repartition(*spread).withColumn("first_box", F.min("box_index").over(Window.partitionBy(*KEYS)))
+        return slim(told(rows, read(texts)))
 
     def facts(self, rows: DataFrame) -> DataFrame:
         points = {
@@ -74,7 +87,7 @@ class Together:
             "year_at": _point(F.col("lone_year").isNotNull(), "box_index", "lone_year"),
             "day_at": _point(F.col("lone_day").isNotNull(), "x0", "h", "confidence", "lone_day"),
         }
-        facts = _image_flags() | {n: F.collect_list(p) for n, p in points.items()}
+        facts = {n: a for n, a in _image_flags().items() if n not in rows.columns} | {n: F.collect_list(p) for n, p in points.items()}
         rows = rows.withColumns({n: a.over(self.window) for n, a in facts.items()})
         dated = F.size("tokens") > 0
 
@@ -110,8 +123,15 @@ class Together:
                                                         and b.cy = selected.cy), b -> b.confidence)""")
         return picks.withColumn("_same", same).withColumns({"q": F.array_min("_same"), "q_high": F.array_max("_same")}).drop("_same")
 
-    def sources(self) -> Column:
-        return F.collect_list(F.when(F.size("tokens") > 0, F.struct("text", "cx", "cy", "confidence")))
+    def found(self, rows: DataFrame, reference: Column) -> DataFrame:
+        """Per image, beside every box: the manufacture date, all dates, the number of texts that hold one, and the places and
+        confidences of dated texts."""
+        found = F.size("_c") > 0
+        return self.over(
+            rows, reference=reference, found_dates=F.collect_list(F.when(found, F.expr("transform(_c, x -> x.r[0].k)"))),
+            n_texts=F.collect_set(F.when(found, F.col("text"))),
+            sources=F.collect_list(F.when(F.size("tokens") > 0, F.struct("text", "cx", "cy", "confidence"))),
+        ).withColumns({"found_dates": F.array_distinct(F.flatten("found_dates")), "n_texts": F.size("n_texts")})
 
 
 class Spread:
@@ -120,8 +140,8 @@ class Spread:
     def __init__(self, keys=KEYS):
         self.keys = keys
 
-    def prepare(self, rows: DataFrame) -> DataFrame:
-        return spatial.cut(slim(rows))
+    def prepare(self, measured: DataFrame, read, texts: DataFrame | None) -> DataFrame:
+        return spatial.cut(slim(read(measured) if texts is None else told(measured, read(texts))))
 
     def over(self, rows: DataFrame, **facts: Column) -> DataFrame:
         # one row per crowded group: there are at most rows / MAX_GROUP_BOXES of them, and
@@ -158,8 +178,13 @@ class Spread:
         out = out.join(right, [*self.keys, "x0", "x1", "cy", "h", "confidence"], "left")
         return spatial.cut(out.drop("_dy", "_ny"))
 
-    def sources(self) -> Column:
-        return F.lit(None)
+    def found(self, rows: DataFrame, reference: Column) -> DataFrame:
+        # the dates of a group are bounded by the calendar; its texts are only counted
+        rows = self.over(rows, reference=reference)
+        facts = rows.select(*self.keys, "text", F.explode("_c").alias("x")).groupBy(*self.keys).agg(
+            F.collect_set(F.expr("x.r[0].k")).alias("found_dates"), F.count_distinct("text").alias("n_texts"))
+        rows = rows.join(facts, self.keys, "left").withColumn("sources", F.lit(None))
+        return rows.withColumns({"found_dates": F.coalesce("found_dates", F.expr("cast(array() as array<int>)")), "n_texts": F.coalesce("n_texts", F.lit(0))})
 
     def source_confidence(self, rows: DataFrame, picks: DataFrame) -> DataFrame:
         same = [*self.keys, "text", "cx", "cy"]

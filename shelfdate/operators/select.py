@@ -6,14 +6,20 @@ and the evidence the cascade decides on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_period, exists_on_calendar, final_date, is_complete, latest_meaning, parts, render
 from ..rules import PRODUCTION, RuleSet
 from ..rules import constants as C
-from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, YEARLESS, HINTED, annotate, annotate_lanes, measure, tier_of
-from .groups import KEYS, MAX_GROUP_BOXES, Spread, Together, crowded_images
+from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, TEXT, YEARLESS, HINTED, annotate, annotate_lanes, measure, tier_of
+from .groups import KEYS, LANE_KEYS, MAX_GROUP_BOXES, Spread, Together, crowded_images
+
+#: Distinct texts, times rule sets, that are read once and broadcast (of their characters: MAX_SHARED_CHARS); where there are
+#: more, every box reads its own text.
+MAX_SHARED_TEXTS, MAX_SHARED_CHARS = 200_000, 16_000_000
+#: Boxes, times rule sets, that one task of the image step gets on average.
+BOXES_PER_TASK = 200_000
 
 
 def _usable() -> str:
@@ -43,7 +49,7 @@ def _choose_tier(rows: DataFrame, groups) -> DataFrame:
 def _readings() -> str:
     """SQL: readings of token ``m`` best first, completed by a neighbouring box where allowed."""
     k = "m.r[0].k"
-    ordered = """array_sort(transform(m.r, (q, i) -> named_struct(
+    ordered = """sort_array(transform(m.r, (q, i) -> named_struct(
         'rank', -if(hint <=> 'dmy' or (slash_hint and m.slash), q.score_dmy, q.score), 'i', i, 'k', q.k)))"""
 
     def single(value: str) -> str:
@@ -61,58 +67,66 @@ def _readings() -> str:
 
 
 def _candidates(rows: DataFrame, groups) -> DataFrame:
-    """One row per candidate date (and one empty row per image without any)."""
+    """Boxes with their candidate dates as array ``c``: as printed (k0), beside the manufacture date of the image (k1)."""
     rows = rows.withColumn("_c", F.expr(
-        f"transform(chosen, m -> named_struct('s', m.s, 'own', m.own, 'r', {_readings()}))"))
-    cands = rows.select("*", F.explode_outer("_c").alias("c")).drop("_c", "chosen", "usable", "tokens_")
-    cands = cands.withColumns({"s": F.col("c.s"), "own": F.col("c.own"), "r": F.col("c.r"), "k0": F.expr("c.r[0].k")})
-    reference = F.min_by("k0", F.when(
-        F.expr(f"has_anchor and has_exclude and {is_complete('k0')} and d_exclude < d_anchor"),
-        F.struct("d_exclude", "box_index", "s", "text")))
-    cands = groups.over(cands, reference=reference)
+        f"transform(chosen, m -> named_struct('s', m.s, 'own', m.own, 'r', {_readings()}))")).drop("chosen", "usable")
+    rows = rows.withColumn("_printed", F.expr(f"""array_min(transform(filter(_c, x -> {is_complete('x.r[0].k')}),
+        x -> named_struct('s', x.s, 'k', x.r[0].k)))"""))
+    reference = F.min_by("_printed.k", F.when(
+        F.expr("has_anchor and has_exclude and _printed is not null and d_exclude < d_anchor"),
+        F.struct("d_exclude", "box_index", "_printed.s", "text")))
+    rows = groups.found(rows, reference).drop("tokens")
     top = f"""
         if(reference is not null and d_anchor < d_exclude,
-           array_sort(transform(r, (q, i) -> named_struct(
+           array_min(transform(x.r, (q, i) -> named_struct(
              'rank', q.rank - if({is_complete('q.k')} and q.k > reference, {C.AFTER_MANUFACTURE_BONUS}, 0),
-             'i', i, 'k', q.k, 'score', -q.rank)))[0],
-           named_struct('rank', 0, 'i', 0, 'k', k0, 'score', -r[0].rank))"""
-    return cands.withColumn("top", F.expr(top)).withColumns(
-        {"k1": F.col("top.k"), "score": F.col("top.score"), "score0": F.expr("-r[0].rank")}).drop("top")
-
-
-def _pick(cands: DataFrame, groups) -> DataFrame:
-    found = F.col("k0").isNotNull()
-    order = ["box_index", "s", "text"]
-
-    def chosen(k: str, score: str = "score0"):
-        return F.struct(F.col(k).alias("k"), "text", "cx", "cy", "anchor", "exclude", "short", "bare", "attempted",
-                        "d_anchor", "d_exclude", F.col(score).alias("score"))
-
-    rank = F.when(found, F.expr(f"""
-        if(has_anchor,
-           named_struct('a', int(own), 'b', int(d_anchor > d_exclude),
-             'c', int(has_primary and has_secondary and not d_primary < d_secondary),
-             'd', -{latest_meaning('k1')}, 'e', d_anchor, 'f', box_index, 'g', s, 'h', text),
-           named_struct('a', int(not {is_complete('k1')}), 'b', 0, 'c', 0,
-             'd', if({is_complete('k1')}, -k1, 0), 'e', double(0), 'f', box_index, 'g', s, 'h', text))"""))
-    dated = F.when(found & (F.col("k0") >= 10000), F.col("k0"))
-    return cands.groupBy(*KEYS).agg(
-        F.count("k0").alias("n"),
-        F.bool_and(F.when(found, F.col("own"))).alias("all_own"),
-        F.count_distinct(F.when(found, F.col("text"))).alias("n_texts"),
-        F.bool_and(F.when(found, F.expr(f"{is_complete('k0')} and not exclude and words <> ''"))).alias("all_labelled"),
+             'i', i, 'k', q.k, 'score', -q.rank))),
+           named_struct('rank', 0, 'i', 0, 'k', x.r[0].k, 'score', -x.r[0].rank))"""
+    return rows.withColumn("c", F.expr(f"""transform(transform(_c, x -> named_struct('x', x, 'top', {top})), y -> named_struct(
+        's', y.x.s, 'own', y.x.own, 'k0', y.x.r[0].k, 'k1', y.top.k, 'score', y.top.score, 'score0', -y.x.r[0].rank))""")).drop("_c", "_printed")
+
+
+def _pick(rows: DataFrame, groups) -> DataFrame:
+    """One row per image: its boxes' candidates are ranked within the box first, so that no row is multiplied."""
+    found = F.size("c") > 0
+
+    def leading(order: str, only: str | None = None) -> Column:
+        first = f"array_min(transform({{0}}, x -> named_struct({order}, 'x', x))).x"
+        return F.expr(f"if(size(c) = 1, get(c, 0), {first.format('c')})" if only is None else first.format(f"filter(c, x -> {only})"))
+
+    k1 = "x.k1"
+    rows = rows.withColumns({
+        "_best": F.expr(f"""array_min(transform(c, x -> named_struct(
+            'a', if(has_anchor, int(x.own), int(not {is_complete(k1)})),
+            'd', if(has_anchor, -{latest_meaning(k1)}, if({is_complete(k1)}, -x.k1, 0)), 's', x.s, 'x', x)))"""),
+        "_earliest": leading("'k', x.k0, 's', x.s"), "_first": leading("'s', x.s"),
+        "_base": F.when(F.size("c") > 1, leading("'s', x.s", "x.k0 >= 10000")).when(F.expr("get(c, 0).k0 >= 10000"), F.get("c", F.lit(0))),
+        "_dated": F.expr("transform(filter(c, x -> x.k0 >= 10000), x -> x.k0)")})
+
+    def chosen(candidate: str, k: str = "k0", score: str = "score0"):
+        return F.struct(F.col(candidate)[k].alias("k"), "text", "cx", "cy", "anchor", "exclude", "short", "bare", "attempted",
+                        "d_anchor", "d_exclude", F.col(candidate)[score].alias("score"))
+
+    rank = F.when(found, F.expr("""named_struct('a', _best.a, 'b', int(has_anchor and d_anchor > d_exclude),
+        'c', int(has_anchor and has_primary and has_secondary and not d_primary < d_secondary),
+        'd', _best.d, 'e', if(has_anchor, d_anchor, double(0)), 'f', box_index, 'g', _best.s, 'h', text)"""))
+    rows = rows.withColumn("_best_one", F.col("_best.x"))
+    return rows.groupBy(*groups.keys).agg(
+        F.sum(F.size("c").cast("bigint")).alias("n"),
+        F.bool_and(F.when(found, F.expr("forall(c, x -> x.own)"))).alias("all_own"),
+        F.first("n_texts").alias("n_texts"),
+        F.bool_and(F.when(found, F.expr(f"forall(c, x -> {is_complete('x.k0')}) and not exclude and words <> ''"))).alias("all_labelled"),
         F.min(F.when(found, F.col("words"))).alias("words_low"),
         F.max(F.when(found, F.col("words"))).alias("words_high"),
-        F.min("k0").alias("k_low"), F.max("k0").alias("k_high"),
-        F.min(dated).alias("base_low"), F.max(dated).alias("base_high"),
-        F.min_by(chosen("k1", "score"), rank).alias("best"),
-        F.min_by(chosen("k0"), F.when(found, F.struct("k0", *order))).alias("earliest"),
-        F.min_by(chosen("k0"), F.when(dated.isNotNull(), F.struct(*order))).alias("base"),
-        F.min_by(chosen("k0"), F.when(found, F.struct(*order))).alias("first"),
-        F.collect_set("k0").alias("found_dates"),   # bounded by the calendar
+        F.min(F.expr("_earliest.k0")).alias("k_low"), F.max(F.expr("array_max(transform(c, x -> x.k0))")).alias("k_high"),
+        F.min(F.array_min("_dated")).alias("base_low"), F.max(F.array_max("_dated")).alias("base_high"),
+        F.min_by(chosen("_best_one", "k1", "score"), rank).alias("best"),
+        F.min_by(chosen("_earliest"), F.when(found, F.struct("_earliest.k0", "box_index", "_earliest.s", "text"))).alias("earliest"),
+        F.min_by(chosen("_base"), F.when(F.col("_base").isNotNull(), F.struct("box_index", "_base.s", "text"))).alias("base"),
+        F.min_by(chosen("_first"), F.when(found, F.struct("box_index", "_first.s", "text"))).alias("first"),
+        F.first("found_dates").alias("found_dates"),   # bounded by the calendar
         F.first("period_low").alias("period_low"), F.first("period_high").alias("period_high"),
-        F.min("tier").alias("tier"), F.max("has_anchor").alias("has_anchor"),
-        groups.sources().alias("sources") if isinstance(groups, Together) else F.max(F.lit(None)).alias("sources"),
+        F.min("tier").alias("tier"), F.max("has_anchor").alias("has_anchor"), F.first("sources").alias("sources"),
     )
 
 
@@ -171,28 +185,27 @@ def _detail(picks: DataFrame) -> DataFrame:
         F.col("selected.score").alias("score"))
 
 
-def _marked(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
-    rows = groups.prepare(annotate(measure(boxes), rules))
+def _marked(boxes: DataFrame, groups, rules: RuleSet, texts: DataFrame | None) -> DataFrame:
+    rows = groups.prepare(measure(boxes), lambda rows: annotate(rows, rules), texts)
     return _choose_tier(groups.facts(rows), groups)
 
 
-def _run(boxes: DataFrame, groups, rules: RuleSet, view) -> DataFrame:
-    rows = _marked(boxes, groups, rules)
+def _run(boxes: DataFrame, groups, rules: RuleSet, view, texts: DataFrame | None) -> DataFrame:
+    rows = _marked(boxes, groups, rules, texts)
     picks = _decide(_pick(_candidates(rows, groups), groups), f"'{rules.period}'")
     return view(groups.source_confidence(rows, picks))
 
 
-def _run_lanes(boxes: DataFrame, groups, lanes: dict[RuleSet, list[str]]) -> DataFrame:
-    rows = groups.prepare(annotate_lanes(measure(boxes), list(lanes)))
+def _run_lanes(boxes: DataFrame, groups, lanes: dict[RuleSet, list[str]], texts: DataFrame | None) -> DataFrame:
+    rows = groups.prepare(measure(boxes), lambda rows: annotate_lanes(rows, list(lanes)), texts)
     rows = _choose_tier(groups.facts(rows), groups)
     periods = F.array(*[F.array(*[F.lit(p) for p in names]) for names in lanes.values()])
-    picks = _pick(_candidates(rows, groups), groups).withColumn("period", F.explode(F.get(periods, F.col("image_id.lane"))))
-    return _evidence(groups.source_confidence(rows, _decide(picks, "period")), "period").withColumns(
-        {"lane": F.col("image_id.lane"), "image_id": F.col("image_id.id")})
+    picks = _pick(_candidates(rows, groups), groups).withColumn("period", F.explode(F.get(periods, F.col("lane"))))
+    return _evidence(groups.source_confidence(rows, _decide(picks, "period")), "lane", "period")
 
 
-def _candidate_rows(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
-    found = _candidates(_marked(boxes, groups, rules), groups).where("k0 is not null")
+def _candidate_rows(boxes: DataFrame, groups, rules: RuleSet, texts: DataFrame | None) -> DataFrame:
+    found = _candidates(_marked(boxes, groups, rules, texts), groups).select("*", F.inline("c"))
     return found.select(
         *KEYS, "box_index", F.col("s").alias("start"), "text", "confidence", "tier", F.col("own").alias("self_excluded"),
         final_date(F.col("k0")).alias("printed_date"), final_date(F.col("k1")).alias("final_date"), "score",
@@ -202,44 +215,56 @@ def _candidate_rows(boxes: DataFrame, groups, rules: RuleSet) -> DataFrame:
 def candidate_rows(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
     """One row per candidate date of the tier that counts in its (image, stage): where it is printed, its best reading, that
     reading beside a manufacture date (final_date), its score and its distances to the nearest words of both kinds."""
-    return _parse(boxes, lambda part, groups: _candidate_rows(part, groups, rules), **options)
+    return _parse(boxes, lambda part, groups, texts: _candidate_rows(part, groups, rules, texts), **options)
 
 
 def candidate_detail(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
     """One row per (image, stage) with the evidence of its chosen candidate: text, highest confidence among the boxes with
     that text and centre, preference (2 nearer to an expiry word than to a manufacture word, 1 farther, 0 without expiry
     word), distance to the nearest expiry word, known parts, completeness and score of the reading."""
-    return _parse(boxes, lambda part, groups: _run(part, groups, rules, _detail), **options)
+    return _parse(boxes, lambda part, groups, texts: _run(part, groups, rules, _detail, texts), **options)
 
 
 def stage_results(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:
     """Date and evidence of every (image, stage) in a box table; options as in :func:`_parse`."""
-    return _parse(boxes, lambda part, groups: _run(part, groups, rules, _evidence), **options)
+    return _parse(boxes, lambda part, groups, texts: _run(part, groups, rules, _evidence, texts), **options)
 
 
 def stage_results_of_lanes(boxes: DataFrame, lanes: dict[RuleSet, list[str]], **options) -> DataFrame:
     """(lane, period, ...): :func:`stage_results` under several rule sets from one scan of the boxes. lanes: rule sets that read
     tokens in different ways, each with the rules for stated periods to decide by; their number in this order is ``lane``."""
-    return _parse(boxes, lambda part, groups: _run_lanes(part, groups, lanes), **options)
+    return _parse(boxes, lambda part, groups, texts: _run_lanes(part, groups, lanes, texts), keys=LANE_KEYS, copies=len(lanes), **options)
 
 
-def _parse(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = None, max_group_boxes: int = MAX_GROUP_BOXES) -> DataFrame:
+def _parse(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = None, max_group_boxes: int = MAX_GROUP_BOXES,
+           share_texts: bool | None = None, keys=KEYS, copies: int = 1) -> DataFrame:
     """``run`` on the boxes of all images.
 
     ``crowded`` tells which images hold more boxes than one task should keep together: a
     table with ``image_id``, ``False`` when the caller knows there are none, or ``None`` to
-    count (one pass over the key column).
+    count (one pass over the key column).  ``share_texts`` tells whether every distinct text is read once
+    and broadcast, or ``None`` to count them (one pass over the text column): labels, dates and lots repeat.
+    Both ways give the same rows.
     """
     if crowded is None:
         crowded = crowded_images(boxes, max_group_boxes)
         if crowded.isEmpty():
             crowded = False
+    texts = measure(boxes).groupBy(*TEXT).agg(F.count("*").alias("n"))
+    parts = None
+    if share_texts is None:
+        size = texts.agg(F.count("*").alias("texts"), F.sum("n").alias("boxes"), F.sum(F.length("text")).alias("chars")).first()
+        share_texts = bool(size.texts) and size.texts * 2 <= size.boxes and size.texts * copies <= MAX_SHARED_TEXTS and size.chars <= MAX_SHARED_CHARS
+        parts = -(-(size.boxes or 0) * copies // BOXES_PER_TASK)
+        parts = parts if parts > int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    shared = texts.drop("n") if share_texts else None
+    together = Together(keys, parts)
     if crowded is False:
-        return run(boxes, Together())
+        return run(boxes, together, shared)
     ids = crowded.select("image_id").distinct()
     plain = boxes.join(ids, "image_id", "left_anti")
     dense = boxes.join(ids, "image_id", "left_semi")
-    return run(plain, Together()).unionByName(run(dense, Spread()))
+    return run(plain, together, shared).unionByName(run(dense, Spread(keys), shared))
 
 
 def parse_dates(boxes: DataFrame, rules: RuleSet = PRODUCTION, **options) -> DataFrame:

@@ -75,3 +75,23 @@ def test_exchange_moves_no_text_of_undated_boxes(spark):
     assert [r.text for r in slim(annotate(measure(boxes))).orderBy("box_index").collect()] == [None, "2027.01.02"]
     plan = stage_results(boxes, crowded=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(image_id") == 1
+
+
+def test_texts_read_once_give_the_same_results(spark):
+    # repeated texts read once and joined, or every box by itself; on both paths, and under several rule sets beside each other
+    from shelfdate.operators.select import candidate_detail, candidate_rows
+    from shelfdate.plans.replay import variants_side_by_side
+    golden = build(spark)[0]
+    boxes = crowd(spark).unionByName(golden.selectExpr("concat('g', image_id) image_id", "stage", "box_index", "text", "confidence", "bbox")).persist()
+    for told in (stage_results, candidate_rows, candidate_detail):
+        assert as_rows(told(boxes, share_texts=True)) == as_rows(told(boxes, share_texts=False))
+    assert as_rows(stage_results(boxes, share_texts=True, max_group_boxes=0)) == as_rows(stage_results(boxes, share_texts=False))
+    lanes = [as_rows(variants_side_by_side(golden, ["baseline", "no_six"], share_texts=s).selectExpr("image_id", "array_sort(trials)")) for s in (True, False)]
+    assert lanes[0] == lanes[1]
+
+
+def test_a_repeated_text_is_read_once(spark, monkeypatch):
+    # what the boxes exchange does not hold tokens where texts repeat: the tables of texts and boxes meet after it
+    boxes = crowd(spark).unionByName(crowd(spark).selectExpr("concat('x', image_id) image_id", "stage", "box_index", "text", "confidence", "bbox"))
+    plan = stage_results(boxes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "rightHint=(strategy=broadcast)" in plan
