@@ -8,6 +8,8 @@ every probe with every point, and no group is gathered anywhere.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,12 @@ STEP, LEAF_POINTS = 3, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder the session names."""
+    """Cut lineage in the shared checkpoint folder the session names; a folder of its own only for a local session without one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            shared = tempfile.mkdtemp(prefix="cut-")
         if shared is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared)

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.alike import once_per_kind
 from ..operators.cascade import TRIALS, cascade, cascade_trials, cascade_variants
 from ..operators.select import stage_results, stage_results_of_lanes
 from ..rules import EARLIER, PRODUCTION, RuleSet, variant
@@ -32,7 +33,8 @@ def ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **
 def variants_side_by_side(boxes: DataFrame, names: Iterable[str] = tuple(VARIANTS), base: RuleSet = EARLIER, **options) -> DataFrame:
     """(image_id, trials): what :func:`ablation` gives for several rule variants, from one scan of the boxes and as one array
     per image. Variants that read tokens alike share a lane, variants that differ in stated periods or in the cascade only
-    share the image step as well. ``evaluate.compare_trials`` and its companions read the result."""
+    share the image step as well; images with equal boxes are decided once. ``evaluate.compare_trials`` and its companions
+    read the result."""
     parts = {n: split(variant(base, n)) for n in names}
     lanes: dict[RuleSet, list[str]] = {}
     for reading, period, _ in parts.values():
@@ -41,18 +43,20 @@ def variants_side_by_side(boxes: DataFrame, names: Iterable[str] = tuple(VARIANT
             used.append(period)
     place = {reading: i for i, reading in enumerate(lanes)}
     plans = {n: (place[reading], period, rules) for n, (reading, period, rules) in parts.items()}
-    return cascade_variants(stage_results_of_lanes(boxes, lanes, **options), plans)
+    return once_per_kind(boxes, lambda part, **told: cascade_variants(stage_results_of_lanes(part, lanes, **told), plans), **options)
 
 
 def parser_ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **options) -> DataFrame:
-    """As :func:`ablation` for one stage per image, without the cascade."""
-    out = None
-    for name in names:
-        part = stage_results(boxes, variant(base, name), **options).select(
-            F.lit(name).alias("variant"), "image_id", "final_date", F.array("stage").alias("attempts"),
-            F.lit(None).cast("string").alias("missing_stage"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """As :func:`ablation` for one stage per image, without the cascade; images with equal boxes are parsed once."""
+    def each(part: DataFrame, **told) -> DataFrame:
+        out = None
+        for name in names:
+            rows = stage_results(part, variant(base, name), **told).select(
+                F.lit(name).alias("variant"), "image_id", "final_date", F.array("stage").alias("attempts"),
+                F.lit(None).cast("string").alias("missing_stage"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+    return once_per_kind(boxes, each, **options)
 
 
 def ablation_summary(results: DataFrame, truth: DataFrame, baseline: str = "baseline") -> DataFrame:
