@@ -21,15 +21,15 @@ LONE = "size(boxes) = 1 and size(boxes[0].bbox) > 0 and forall(boxes[0].bbox, p
 
 
 def kinds_of_images(boxes: DataFrame) -> DataFrame:
-    """(image_id, kind, stages): images with equal boxes in all stages are of one kind (SHA-256); stages holds them."""
+    """(image_id, kind): images with equal boxes in all stages are of one kind (SHA-256)."""
     box = F.struct("box_index", "text", "confidence", "bbox")
-    by_stage = boxes.repartition("image_id").groupBy("image_id", "stage").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    by_stage = boxes.repartition("image_id").groupBy("image_id", "stage").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     index = boxes.schema["box_index"].dataType.simpleString()
     alone = f"""array(named_struct('box_index', if(boxes[0].box_index is null, null, cast(0 as {index})), 'text', boxes[0].text,
         'confidence', boxes[0].confidence, 'bbox', array(array(0D, 0D))))"""
     by_stage = by_stage.withColumn("boxes", F.expr(f"if({LONE}, {alone}, boxes)"))
-    images = by_stage.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("stage", "boxes"))).alias("stages"))
-    return images.withColumn("kind", F.sha2(F.to_json("stages"), 256))
+    stages = F.sort_array(F.collect_list(F.struct("stage", "boxes")))
+    return by_stage.groupBy("image_id").agg(F.unhex(F.sha2(F.to_json(stages), 256)).alias("kind"))
 
 
 def once_per_kind(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = None, max_group_boxes: int = MAX_GROUP_BOXES, **options) -> DataFrame:
@@ -40,11 +40,16 @@ def once_per_kind(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = N
         if crowded.isEmpty():
             crowded = False
     ids = None if crowded is False else crowded.select("image_id").distinct()
-    images = kinds_of_images(boxes if ids is None else boxes.join(ids, "image_id", "left_anti"))
-    one = spatial.cut(images.groupBy("kind").agg(F.first("stages").alias("stages")))
-    few = one.count() <= MAX_SHARED_KINDS
-    each = one.select(F.col("kind").alias("image_id"), F.inline("stages")).select("image_id", "stage", F.inline("boxes"))
+    plain = boxes if ids is None else boxes.join(ids, "image_id", "left_anti")
+    images = spatial.cut(kinds_of_images(plain))
+    shown = spatial.cut(images.groupBy("kind").agg(F.min("image_id").alias("shown")))
+    few = shown.count() <= MAX_SHARED_KINDS
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
+    each = spatial.cut(plain.join(bounded(shown), F.col("image_id").eqNullSafe(F.col("shown")), "left_semi"))
     told = run(each, crowded=False, **options)
-    named = told.withColumnRenamed("image_id", "kind")
-    out = images.select("image_id", "kind").join(F.broadcast(named) if few else named, "kind").select(*told.columns)
+    named = shown.join(told, F.col("image_id").eqNullSafe(F.col("shown"))).drop("image_id", "shown")
+    out = images.join(bounded(named), "kind").select(*told.columns)
     return out if ids is None else out.unionByName(run(boxes.join(ids, "image_id", "left_semi"), crowded=crowded, **options))
