@@ -1,4 +1,6 @@
 """Images with equal boxes are parsed once, with the rows of parsing each."""
+import os
+
 import pytest
 from conftest import BOXES, rect
 from pyspark.sql import functions as F
@@ -6,8 +8,11 @@ from test_parser import build
 
 from shelfdate.operators import alike
 from shelfdate.operators.select import stage_results
+from shelfdate.plans import catalogue
 from shelfdate.plans.replay import parser_ablation, variants_side_by_side
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def told(rows):
     return sorted(map(str, rows.collect()))
@@ -40,3 +45,14 @@ def test_variants_and_ablation_parse_a_kind_once(spark):
     assert alike.once_per_kind(boxes, run).count() == 50 and seen == [1]
     assert parser_ablation(boxes, ["baseline", "no_six"]).count() == 100
     assert variants_side_by_side(boxes, ["baseline", "no_six"]).count() == 50
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+def test_format_hints_are_read_once_per_kind(spark, monkeypatch):
+    seen, whole = [], catalogue.stage_results
+
+    def run(part, **options):
+        seen.append(part.select("image_id").distinct().count())
+        return whole(part, **options)
+    monkeypatch.setattr(catalogue, "stage_results", run)
+    assert catalogue.format_hint_per_image(spark, FOLDER).count() > seen[0]
