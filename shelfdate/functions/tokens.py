@@ -205,7 +205,7 @@ def with_tokens(df: DataFrame, sources, rules: RuleSet, *, only: Column, out: st
     orders = "array(" + ", ".join(_sql_array(p.orders()) for p in flat) + ")"
     code_array, tier_array = ("array(" + ", ".join(map(str, v)) + ")" for v in (codes, tiers))
     hits = F.filter(F.array(*framed), lambda h: F.contains(h["marked"], F.lit(MATCH_MARK)))
-    df = df.withColumns(guards(sources[0][0]))
+    df = df.withColumns({n: F.when(only, g) for n, g in guards(sources[0][0]).items()})
     df = df.withColumn("_hits", F.when(only, hits)).withColumn("_found", matches("_hits"))
     df = df.withColumn("_found", F.expr(trimmed("_found", kinds, rules)))
     df = df.withColumn(out, F.expr(claim("_found", kinds, orders, code_array, tier_array, rules)))
@@ -230,7 +230,7 @@ def with_token_lanes(df: DataFrame, lanes, *, only: Column, out: str) -> DataFra
                     framed += marked_texts(F.col(text), [p], len(numbers))
                     numbers[text, p] = len(numbers)
     hits = F.filter(F.array(*framed), lambda h: F.contains(h["marked"], F.lit(MATCH_MARK)))
-    df = df.withColumns(guards(lanes[0][0][0][0]))
+    df = df.withColumns({n: F.when(only, g) for n, g in guards(lanes[0][0][0][0]).items()})
     df = df.withColumn("_hits", F.when(only, hits)).withColumn("_matched", matches("_hits"))
     each = []
     for lane, (sources, rules) in enumerate(lanes):

@@ -90,6 +90,16 @@ def annotate(measured: DataFrame, rules: RuleSet = PRODUCTION) -> DataFrame:
     return _described(df, _until(rules), rules)
 
 
+def main_dates(measured: DataFrame, *keep: str, rules: RuleSet = PRODUCTION) -> DataFrame:
+    """(keep, n): how many dates of the main table a box holds, the tokens of :func:`annotate` numbered below HINTED. They
+    claim their spans before all others, so no other source is read, and a text without a digit is only searched for one."""
+    df = measured.withColumn("t", TX.clean(F.col("text"))).withColumn("digits", F.col("t").rlike(r"(?U)\d"))
+    read = F.col("placed") & F.col("digits")
+    df = df.withColumn("masked", F.when(read, TX.mask_clocks(TX.repair(F.col("t")))))
+    df = with_tokens(df, _sources(rules)[:1], rules, only=read, out="main", attempts="attempted")
+    return df.select(*keep, F.when(read, F.size("main")).otherwise(0).alias("n"))
+
+
 def annotate_lanes(measured: DataFrame, lanes: list[RuleSet]) -> DataFrame:
     """One row per box and rule set, as :func:`annotate` gives it for each, with its number as ``lane``.
 
