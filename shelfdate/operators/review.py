@@ -45,28 +45,29 @@ def audit_records(records: DataFrame) -> DataFrame:
 def review_images(audited: DataFrame, image_counts: DataFrame | None = None) -> DataFrame:
     """One row per image: merged reasons, a candidate only where all records agree, a status.
 
-    Copies of one record collapse before images are formed, so an id repeated many times costs
-    one row per distinct value.
+    The records are read once: each counts for its source and for its unordered pair of month and day, both are counted by map-side
+    combined aggregates, so an id repeated many times costs one row per source and pair, and then meet in their image.
     """
     parts = ["canonical_year", "canonical_month", "canonical_day", "canonical_final_date"]
-    distinct = audited.groupBy("key", "source", *parts, "reasons").agg(F.count("*").alias("copies"))
-    flags = [F.max(F.array_contains("reasons", r)).alias(r) for r in REASONS]
-    # two records of one image whose month and day are swapped share this unordered pair
-    pair = F.when(F.col("canonical_month") != F.col("canonical_day"), F.struct(
-        F.col("canonical_year"), F.least("canonical_month", "canonical_day").alias("low"),
-        F.greatest("canonical_month", "canonical_day").alias("high")))
-    swaps = (distinct.where("canonical_final_date is not null").withColumn("pair", pair).where("pair is not null")
-             .groupBy("key", "pair").agg(F.min("canonical_month").alias("a"), F.max("canonical_month").alias("b"))
-             .where("a <> b").select("key").distinct().withColumn("swapped", F.lit(True)))
-    repeated = (audited.groupBy("key", "source").agg(F.count("*").alias("n"))
-                .groupBy("key").agg((F.max("n") > 1).alias("duplicate_source_id"),
-                                    F.count("*").alias("n_sources"), F.sum("n").alias("n_records")))
-    whole = F.struct(*[F.col(p) for p in parts])
-    images = distinct.groupBy("key").agg(
-        *flags, F.min(F.when(F.col("canonical_final_date").isNotNull(), whole)).alias("low"),
-        F.max(F.when(F.col("canonical_final_date").isNotNull(), whole)).alias("high"),
-        F.bool_and(F.col("canonical_final_date").isNotNull()).alias("all_valid"))
-    images = images.join(repeated, "key").join(swaps, "key", "left")
+    valid, month, day = F.col("canonical_final_date").isNotNull(), F.col("canonical_month"), F.col("canonical_day")
+    bits = sum((F.when(F.array_contains("reasons", r), 1 << i).otherwise(0) for i, r in enumerate(REASONS)), F.lit(0))
+    # two records of one image whose month and day are swapped share this pair
+    of_source = F.struct(F.lit(False).alias("paired"), "source", F.lit(None).cast("string").alias("pair_year"),
+                         F.lit(None).cast("string").alias("pair_low"), F.lit(None).cast("string").alias("pair_high"))
+    of_pair = F.struct(F.lit(True).alias("paired"), F.lit(None).cast(audited.schema["source"].dataType).alias("source"), F.col("canonical_year").alias("pair_year"),
+                       F.least(month, day).alias("pair_low"), F.greatest(month, day).alias("pair_high"))
+    each = audited.select("key", F.when(valid, F.struct(*parts)).alias("whole"), bits.alias("bits"), month.alias("month"),
+                          F.explode(F.when(valid & (month != day), F.array(of_source, of_pair)).otherwise(F.array(of_source))).alias("of"))
+    each = each.select("key", "of.*", "month", *[F.when(~F.col("of.paired"), F.col(c)).alias(c) for c in ("whole", "bits")])
+    counted = each.groupBy("key", "paired", "source", "pair_year", "pair_low", "pair_high").agg(
+        F.count("*").alias("n"), F.bit_or("bits").alias("bits"), F.min("whole").alias("low"), F.max("whole").alias("high"),
+        F.bool_and(F.when(~F.col("paired"), F.col("whole").isNotNull())).alias("all_valid"),
+        (F.min(F.when(F.col("paired"), F.col("month"))) != F.max(F.when(F.col("paired"), F.col("month")))).alias("swapped"))
+    source = F.when(~F.col("paired"), F.col("n"))
+    images = counted.groupBy("key").agg(
+        F.bit_or("bits").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("all_valid").alias("all_valid"),
+        F.max("swapped").alias("swapped"), (F.max(source) > 1).alias("duplicate_source_id"), F.count(source).alias("n_sources"), F.sum(source).alias("n_records"))
+    images = images.withColumns({r: F.col("bits").bitwiseAND(F.lit(1 << i)) != 0 for i, r in enumerate(REASONS)})
     mapping = F.lit(False)
     if image_counts is not None:
         images = images.join(image_counts.select(F.col("image_id").alias("key"), "n_images"), "key", "left")
@@ -90,17 +91,19 @@ def review_images(audited: DataFrame, image_counts: DataFrame | None = None) ->
 
 
 def review_summary(images: DataFrame) -> DataFrame:
-    """(kind, value, n): totals, reasons and statuses."""
-    totals = images.agg(F.count("*").alias("unique_images"), F.sum("n_records").alias("source_rows"),
-                        F.count_if(F.col("n_sources") > 1).alias("cross_source_overlap"))
-    names = ("unique_images", "source_rows", "cross_source_overlap")
-    totals = totals.select(F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(n).alias("value"),
-                           F.col(n).cast("bigint").alias("n")) for n in names])).alias("x")).select("x.*")
-    reasons = (images.select(F.explode(F.split("review_reason", ";")).alias("value")).where("value <> ''")
-               .groupBy("value").agg(F.count("*").alias("n")).select(F.lit("reason").alias("kind"), "value", "n"))
-    status = (images.groupBy(F.col("review_status").alias("value")).agg(F.count("*").alias("n"))
-              .select(F.lit("status").alias("kind"), "value", "n"))
-    return totals.unionByName(reasons).unionByName(status)
+    """(kind, value, n): totals, reasons and statuses, from one pass over the images."""
+    def row(kind: str, value, n):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), n.cast("bigint").alias("n"))
+
+    one = F.lit(1)
+    totals = [row("total", F.lit("unique_images"), one), row("total", F.lit("source_rows"), F.col("n_records")),
+              row("total", F.lit("cross_source_overlap"), (F.col("n_sources") > 1).cast("int"))]
+    told = F.array(*totals, row("status", F.col("review_status"), one))
+    reasons = F.when(F.col("review_reason") != "", F.transform(F.split("review_reason", ";"), lambda v: row("reason", v, one)))
+    rows = images.select(F.explode(F.concat(told, F.coalesce(reasons, F.slice(told, 1, 0)))).alias("x")).select("x.*")
+    # totals are there without any image, too
+    none = images.sparkSession.createDataFrame([("total", "unique_images", 0), ("total", "source_rows", None), ("total", "cross_source_overlap", 0)], "kind string, value string, n bigint")
+    return rows.unionByName(none).groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
 def approved(labels: DataFrame) -> DataFrame:
