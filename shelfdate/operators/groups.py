@@ -44,7 +44,7 @@ def _point(kind: Column, *extra: str) -> Column:
     return F.when(F.col("placed") & kind, F.struct("cx", "cy", *extra))
 
 
-def _image_flags() -> dict[str, Column]:
+def image_flags() -> dict[str, Column]:
     placed = F.col("placed")
     return {
         "any_dmy": F.max("hint_dmy"),
@@ -87,7 +87,7 @@ class Together:
             "year_at": _point(F.col("lone_year").isNotNull(), "box_index", "lone_year"),
             "day_at": _point(F.col("lone_day").isNotNull(), "x0", "h", "confidence", "lone_day"),
         }
-        facts = {n: a for n, a in _image_flags().items() if n not in rows.columns} | {n: F.collect_list(p) for n, p in points.items()}
+        facts = {n: a for n, a in image_flags().items() if n not in rows.columns} | {n: F.collect_list(p) for n, p in points.items()}
         rows = rows.withColumns({n: a.over(self.window) for n, a in facts.items()})
         dated = F.size("tokens") > 0
 
@@ -149,7 +149,7 @@ class Spread:
         return rows.join(rows.groupBy(*self.keys).agg(*[a.alias(n) for n, a in facts.items()]), self.keys)
 
     def facts(self, rows: DataFrame) -> DataFrame:
-        rows = self.over(rows, **_image_flags())
+        rows = self.over(rows, **image_flags())
         probes = rows.where((F.size("tokens") > 0) & F.col("placed"))
         where = {
             "d_anchor": F.col("anchor"),

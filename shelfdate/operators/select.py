@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import add_period, exists_on_calendar, final_date, is_complete, latest_meaning, parts, render
 from ..rules import PRODUCTION, RuleSet
 from ..rules import constants as C
+from . import spatial
 from .boxes import COMPACT, PADDED_NEEDS, PADDED_SURE, SIX_NEEDS, SIX_SURE, TEXT, YEARLESS, HINTED, annotate, annotate_lanes, measure, tier_of
+from .gathered import gathered, picked
 from .groups import KEYS, LANE_KEYS, MAX_GROUP_BOXES, Spread, Together, crowded_images
 
 #: Distinct texts, times rule sets, that are read once and broadcast (of their characters: MAX_SHARED_CHARS); where there are
@@ -191,6 +193,8 @@ def _marked(boxes: DataFrame, groups, rules: RuleSet, texts: DataFrame | None) -
 
 
 def _run(boxes: DataFrame, groups, rules: RuleSet, view, texts: DataFrame | None) -> DataFrame:
+    if isinstance(groups, Together):
+        return view(picked(gathered(measure(boxes), rules, texts, groups.parts), f"'{rules.period}'"))
     rows = _marked(boxes, groups, rules, texts)
     picks = _decide(_pick(_candidates(rows, groups), groups), f"'{rules.period}'")
     return view(groups.source_confidence(rows, picks))
@@ -205,7 +209,11 @@ def _run_lanes(boxes: DataFrame, groups, lanes: dict[RuleSet, list[str]], texts:
 
 
 def _candidate_rows(boxes: DataFrame, groups, rules: RuleSet, texts: DataFrame | None) -> DataFrame:
-    found = _candidates(_marked(boxes, groups, rules, texts), groups).select("*", F.inline("c"))
+    if isinstance(groups, Together):
+        rows = gathered(measure(boxes), rules, texts, groups.parts)
+        found = rows.select(*KEYS, F.col("g.tier").alias("tier"), F.inline("g.candidates")).select("*", "x.box_index", "x.text", "x.confidence")
+    else:
+        found = _candidates(_marked(boxes, groups, rules, texts), groups).select("*", F.inline("c"))
     return found.select(
         *KEYS, "box_index", F.col("s").alias("start"), "text", "confidence", "tier", F.col("own").alias("self_excluded"),
         final_date(F.col("k0")).alias("printed_date"), final_date(F.col("k1")).alias("final_date"), "score",
@@ -253,6 +261,7 @@ def _parse(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = None, ma
     texts = measure(boxes).groupBy(*TEXT).agg(F.count("*").alias("n"))
     parts = None
     if share_texts is None:
+        texts = spatial.cut(texts)   # counted and, where shared, told from there: the boxes are read for it once
         size = texts.agg(F.count("*").alias("texts"), F.sum("n").alias("boxes"), F.sum(F.length("text")).alias("chars")).first()
         share_texts = bool(size.texts) and size.texts * 2 <= size.boxes and size.texts * copies <= MAX_SHARED_TEXTS and size.chars <= MAX_SHARED_CHARS
         parts = -(-(size.boxes or 0) * copies // BOXES_PER_TASK)
