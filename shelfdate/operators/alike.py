@@ -17,7 +17,13 @@ from .groups import MAX_GROUP_BOXES, crowded_images
 MAX_SHARED_KINDS = 120_000
 
 # A box alone in its (image, stage) has no neighbour: every distance is 0 or infinite wherever it lies and no order counts.
-LONE = "size(boxes) = 1 and size(boxes[0].bbox) > 0 and forall(boxes[0].bbox, p -> size(p) >= 2 and forall(p, v -> coalesce(abs(v) <= 1e15, false)))"
+ANYWHERE = "size({0}.bbox) > 0 and forall({0}.bbox, p -> size(p) >= 2 and forall(p, v -> coalesce(abs(v) <= 1e15, false)))"
+
+
+def _alone(box: str, index: str) -> str:
+    """SQL: ``box``, alone in its stage, without its place."""
+    return f"""'box_index', if({box}.box_index is null, null, cast(0 as {index})), 'text', {box}.text, 'confidence', {box}.confidence,
+        'bbox', array(array(0D, 0D))"""
 
 
 def kinds_of_images(boxes: DataFrame) -> DataFrame:
@@ -25,13 +31,53 @@ def kinds_of_images(boxes: DataFrame) -> DataFrame:
     box = F.struct("box_index", "text", "confidence", "bbox")
     by_stage = boxes.repartition("image_id").groupBy("image_id", "stage").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     index = boxes.schema["box_index"].dataType.simpleString()
-    alone = f"""array(named_struct('box_index', if(boxes[0].box_index is null, null, cast(0 as {index})), 'text', boxes[0].text,
-        'confidence', boxes[0].confidence, 'bbox', array(array(0D, 0D))))"""
-    by_stage = by_stage.withColumn("boxes", F.expr(f"if({LONE}, {alone}, boxes)"))
+    by_stage = by_stage.withColumn("boxes", F.expr(
+        f"if(size(boxes) = 1 and {ANYWHERE.format('boxes[0]')}, array(named_struct({_alone('boxes[0]', index)})), boxes)"))
     stages = F.sort_array(F.collect_list(F.struct("stage", "boxes")))
     return by_stage.groupBy("image_id").agg(F.unhex(F.sha2(F.to_json(stages), 256)).alias("kind"))
 
 
+def with_kinds(images: DataFrame) -> DataFrame:
+    """``images``, a row each with the boxes of all its stages as array ``boxes`` (stage, box_index, text, confidence, bbox), with
+    its ``kind`` as :func:`kinds_of_images` tells kinds apart, and ``boxes`` in the form that all of a kind share. Nothing moves."""
+    index = images.schema["boxes"].dataType.elementType["box_index"].dataType.simpleString()
+    ordered = """sort_array(transform(boxes, b -> named_struct('stage', b.stage, 'box_index', b.box_index, 'text', b.text,
+        'confidence', b.confidence, 'bbox', b.bbox)))"""
+    other = "({0} or not get(boxes, {1}).stage <=> b.stage)"
+    lone = f"{other.format('i = 0', 'i - 1')} and {other.format('i = size(boxes) - 1', 'i + 1')} and {ANYWHERE.format('b')}"
+    shared = f"transform(boxes, (b, i) -> if({lone}, named_struct('stage', b.stage, {_alone('b', index)}), b))"
+    rows = images.withColumn("boxes", F.expr(ordered)).withColumn("boxes", F.expr(shared))
+    # never null: a filter on nulls before a join would be worked out from the boxes as they come, in every place that names them
+    return rows.withColumn("kind", F.coalesce(F.unhex(F.sha2(F.to_json("boxes"), 256)), F.lit(b"")))
+
+
+def counted_kinds(images: DataFrame, *labels: str) -> DataFrame:
+    """(kind, key, boxes, labels, n): how many images with the same boxes and labels there are, kept; a row of ``images`` holds the boxes
+    of all its stages as array ``boxes``, in any order, but one order is one row here. Only different rows are exchanged, no row
+    per image; kinds are told from them. ``key`` is a hash of the boxes as they come, for :func:`tell`."""
+    counted = images.groupBy("boxes", *labels).agg(F.count("*").alias("n"))
+    return spatial.cut(with_kinds(counted.withColumn("key", F.xxhash64("boxes"))))
+
+
+def parsed_kinds(counted: DataFrame, run, **options) -> DataFrame:
+    """(kind, ...): what ``run(boxes, **options)`` makes of one image of each of the :func:`counted_kinds`."""
+    each = spatial.cut(counted.select(F.col("kind").alias("image_id"), "boxes").dropDuplicates(["image_id"]))
+    return run(each.select("image_id", F.inline("boxes")), **options).withColumnRenamed("image_id", "kind")
+
+
+def tell(images: DataFrame, counted: DataFrame, told: DataFrame) -> DataFrame:
+    """Images with what is told of their kind (``told``: kind, ...), a row for each told; where that is little it goes to the images,
+    not they to it. An image knows its kind by the key of its boxes, as ``counted`` shows that no key is of two kinds;
+    otherwise it works out its kind."""
+    keys = counted.select("key", "kind").distinct()
+    if keys.groupBy("key").count().where("count > 1").isEmpty():
+        by, images, told = "key", images.withColumn("key", F.xxhash64("boxes")), keys.join(told, "kind").drop("kind")
+    else:
+        by, images = "kind", with_kinds(images)
+    told = spatial.cut(told)
+    return images.drop("boxes").join(F.broadcast(told) if told.count() <= MAX_SHARED_KINDS else told, by).drop(by)
+
+
 def once_per_kind(boxes: DataFrame, run, *, crowded: DataFrame | bool | None = None, max_group_boxes: int = MAX_GROUP_BOXES, **options) -> DataFrame:
     """``run(boxes, crowded=..., **options)``, rows with ``image_id``, on one image of each kind, told to all of that kind.
     Crowded images (as for the parser) are no rows to hold together: they run as they are."""

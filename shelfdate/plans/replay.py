@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.alike import once_per_kind
+from ..operators.alike import once_per_kind, parsed_kinds
 from ..operators.cascade import TRIALS, cascade, cascade_trials, cascade_variants
 from ..operators.select import stage_results, stage_results_of_lanes
 from ..rules import EARLIER, PRODUCTION, RuleSet, variant
@@ -30,11 +30,8 @@ def ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **
     return out
 
 
-def variants_side_by_side(boxes: DataFrame, names: Iterable[str] = tuple(VARIANTS), base: RuleSet = EARLIER, **options) -> DataFrame:
-    """(image_id, trials): what :func:`ablation` gives for several rule variants, from one scan of the boxes and as one array
-    per image. Variants that read tokens alike share a lane, variants that differ in stated periods or in the cascade only
-    share the image step as well; images with equal boxes are decided once. ``evaluate.compare_trials`` and its companions
-    read the result."""
+def _variants(names: Iterable[str], base: RuleSet):
+    """The step from boxes to (image_id, trials) for several rule variants."""
     parts = {n: split(variant(base, n)) for n in names}
     lanes: dict[RuleSet, list[str]] = {}
     for reading, period, _ in parts.values():
@@ -43,7 +40,21 @@ def variants_side_by_side(boxes: DataFrame, names: Iterable[str] = tuple(VARIANT
             used.append(period)
     place = {reading: i for i, reading in enumerate(lanes)}
     plans = {n: (place[reading], period, rules) for n, (reading, period, rules) in parts.items()}
-    return once_per_kind(boxes, lambda part, **told: cascade_variants(stage_results_of_lanes(part, lanes, **told), plans), **options)
+    return lambda part, **told: cascade_variants(stage_results_of_lanes(part, lanes, **told), plans)
+
+
+def variants_side_by_side(boxes: DataFrame, names: Iterable[str] = tuple(VARIANTS), base: RuleSet = EARLIER, **options) -> DataFrame:
+    """(image_id, trials): what :func:`ablation` gives for several rule variants, from one scan of the boxes and as one array
+    per image. Variants that read tokens alike share a lane, variants that differ in stated periods or in the cascade only
+    share the image step as well; images with equal boxes are decided once. ``evaluate.compare_trials`` and its companions
+    read the result."""
+    return once_per_kind(boxes, _variants(names, base), **options)
+
+
+def variants_of_kinds(counted: DataFrame, names: Iterable[str] = tuple(VARIANTS), base: RuleSet = EARLIER, **options) -> DataFrame:
+    """(kind, trials): as :func:`variants_side_by_side` for images told by kind (``alike.counted_kinds``). The trials stay with the
+    kinds: they are many times the size of an image, and no image needs them all."""
+    return parsed_kinds(counted, _variants(names, base), **options)
 
 
 def parser_ablation(boxes: DataFrame, names: Iterable[str], base: RuleSet = EARLIER, **options) -> DataFrame:
