@@ -4,6 +4,7 @@ from conftest import BOXES, rect
 from pyspark.sql import functions as F
 from test_parser import build
 
+from shelfdate.operators import evaluate as E
 from shelfdate.operators import spatial
 from shelfdate.operators.alike import counted_kinds, kinds_of_images, parsed_kinds, tell
 from shelfdate.operators.select import stage_results
@@ -77,3 +78,25 @@ def test_changes_move_no_row_per_image(spark, folder, kept):
     assert max(kept) < IMAGES / 2
     changed = rows.groupBy("policy", "kind").count().collect()
     assert changed and all(r["count"] % (IMAGES / 13) == 0 for r in changed)
+
+
+def test_trials_are_compared_by_kind(spark, folder, kept):
+    """Two dates of 13 cases in three cohorts are 78 rows; every cohort and policy counts all of its images."""
+    rows = catalogue.rule_variant_trials(spark, folder).collect()
+    assert max(kept) < IMAGES / 2
+    truth = {c: IMAGES // 3 + (i < IMAGES % 3) for i, c in enumerate("ANR")}
+    assert {(r["cohort"], r["n"]) for r in rows} == set(truth.items())
+    assert all(r["gains"] == r["regressions"] == r["extra_calls"] == 0 for r in rows if r["policy"] == "baseline")
+    assert {r["policy"] for r in rows if r["gains"]} and {r["policy"] for r in rows if r["regressions"]}
+
+
+def test_a_row_of_the_truth_may_stand_for_several_images(spark):
+    trial = "array<struct<trial:string,final_date:string,method:string,attempts:array<string>,missing_stage:string,micros:bigint>>"
+    given = [("a", [("old", "x", "m", ["o"], None, 1), ("new", "y", "m", ["o", "h"], None, 2)]), ("b", [("old", None, None, None, "o", None), ("new", "y", "m", ["o"], None, 2)])]
+    trials = spark.createDataFrame(given, f"kind string, trials {trial}")
+    counted = spark.createDataFrame([("a", "1", "y", 3), ("a", "2", "x", 2), ("b", "1", "y", 4), ("none", "1", "y", 5)], "kind string, cohort string, final_date string, n bigint")
+    each = counted.select(F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"), "*").select(F.concat_ws("-", "kind", "cohort", "i").alias("image_id"), "kind", "cohort", "final_date")
+    one_by_one = E.compare_trials(trials.join(each, "kind").select("image_id", "trials"), each, "old", ["old", "new"])
+    assert told(E.compare_trials(trials, counted, "old", ["old", "new"], by="kind")) == told(one_by_one)
+    calls = E.trial_stage_calls(trials, counted.select("kind", "n"))
+    assert told(calls) == told(E.trial_stage_calls(trials.join(each, "kind").select("trials")))
